@@ -16,6 +16,7 @@ from tessera.operators import quality as Q
 from tessera.operators import sampling as SM
 from tessera.operators import split as SP
 from tessera.operators import stats as S
+from tessera.functions.columns import rnd
 from tessera.plans.views import duck_sql, load
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
@@ -396,3 +397,125 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
+
+
+# ---------------------------------------------------------------- preprocessing
+from tessera.operators import metrics as M  # noqa: E402
+from tessera.operators import preprocess as R  # noqa: E402
+
+_LN = ["l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_extendedprice", "l_tax", "l_returnflag",
+       "l_linestatus"]
+
+
+def _fill_sql(table: str, c: str, value_sql: str, cols: list[str]) -> str:
+    sel = ", ".join(f"coalesce({x}, ({value_sql})) AS {x}" if x == c else x for x in cols)
+    return f"SELECT {sel} FROM {src(table)}"
+
+
+register("impute_mean_lineitem_nulls",
+         _fill_sql("lineitem_nulls", "l_discount", f"SELECT avg(l_discount) FROM {src('lineitem_nulls')}", _LN))(
+    lambda spark, d: R.impute(load(spark, d, "lineitem_nulls"), ["l_discount"], "mean"))
+
+_ONC = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+register("impute_median_orders_nulls",
+         _fill_sql("orders_nulls", "o_totalprice",
+                   f"SELECT quantile_cont(o_totalprice, 0.5) FROM {src('orders_nulls')}", _ONC))(
+    lambda spark, d: R.impute(load(spark, d, "orders_nulls"), ["o_totalprice"], "median"))
+
+register("impute_mode_events_nulls",
+         _fill_sql("events_nulls", "event_type", _mode_sql("events_nulls", "event_type"),
+                   ["event_id", "user_id", "value", "event_type"]))(
+    lambda spark, d: R.impute(load(spark, d, "events_nulls"), ["event_type"], "most_frequent"))
+
+register("impute_constant_events_nulls",
+         _fill_sql("events_nulls", "event_type", "SELECT 'missing'", ["event_id", "user_id", "value", "event_type"]))(
+    lambda spark, d: R.impute(load(spark, d, "events_nulls"), ["event_type"], "constant"))
+
+register("standard_scale_lineitem", "SELECT " + ", ".join(
+    f"round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 "
+    f"ELSE stddev_pop({c}) END FROM lineitem), 6) AS {c}" for c in ["l_quantity", "l_extendedprice", "l_discount"]) +
+    ", l_returnflag FROM lineitem")(
+    lambda spark, d: (lambda df: df.select(*[rnd(F.col(c), 6).alias(c) for c in
+                                             ["l_quantity", "l_extendedprice", "l_discount"]], "l_returnflag"))(
+        R.standard_scale(load(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount",
+                                                           "l_returnflag"))))
+
+register("one_hot_orders", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS o_orderstatus_F,
+  CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS o_orderstatus_O,
+  CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END AS o_orderstatus_P FROM orders""")(
+    lambda spark, d: R.one_hot(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"]))
+
+register("drop_constant_lineitem_net",
+         f"SELECT l_quantity, l_extendedprice, net, l_discount, l_tax FROM {src('lineitem_net')}")(
+    lambda spark, d: R.drop_constant(load(spark, d, "lineitem_net")))
+
+_FC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _fclassif_sql(table: str, feats: list[str], target: str) -> str:
+    parts = []
+    for c in feats:
+        parts.append(f"""SELECT '{c}' AS feature, round(((sxx - n * (sx / n) * (sx / n)) / (k - 1)) / (ssw / (n - k)), 3)
+  AS score FROM (SELECT sum(nc) AS n, sum(nc * mc) AS sx, sum(nc * mc * mc) AS sxx, sum(w) AS ssw,
+  count_if(nc > 0) AS k FROM (SELECT count({c}) AS nc, avg({c}) AS mc, var_pop({c}) * count({c}) AS w
+  FROM {src(table)} WHERE {target} IS NOT NULL GROUP BY {target}))""")
+    return union(parts)
+
+
+register("f_classif_lineitem", _fclassif_sql("lineitem", _FC, "l_returnflag"))(
+    lambda spark, d: R.f_classif(load(spark, d, "lineitem"), _FC, "l_returnflag").drop("__pos"))
+
+register("f_regression_lineitem", union([
+    f"SELECT '{c}' AS feature, round(corr({c}, l_extendedprice) * corr({c}, l_extendedprice) / "
+    f"(1 - corr({c}, l_extendedprice) * corr({c}, l_extendedprice)) * "
+    f"(count_if({c} IS NOT NULL AND l_extendedprice IS NOT NULL) - 2), 3) AS score FROM lineitem"
+    for c in ["l_quantity", "l_discount", "l_tax"]]))(
+    lambda spark, d: R.feature_scores(load(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"],
+                                      "l_extendedprice").drop("__pos"))
+
+register("select_k_best_lineitem", "SELECT * FROM (" + _fclassif_sql("lineitem", _FC, "l_returnflag") +
+         ") ORDER BY score DESC LIMIT 2")(
+    lambda spark, d: R.select_k_best(load(spark, d, "lineitem"), _FC, "l_returnflag", 2)[1])
+
+register("preprocess_customer_nation", None)(
+    lambda spark, d: R.preprocess(load(spark, d, "customer_nation"), target="r_name", feat_select=True, k_best=6))
+
+# ---------------------------------------------------------------- evaluation
+_CNT = f"(SELECT actual, predicted, count(*) AS n FROM {src('orders_rule')} GROUP BY 1, 2)"
+_PC = f"""(WITH c AS {_CNT},
+cls AS (SELECT actual AS cls FROM c UNION SELECT predicted FROM c),
+pc AS (SELECT cls, coalesce((SELECT sum(n) FROM c WHERE actual = cls AND predicted = cls), 0) AS tp,
+  coalesce((SELECT sum(n) FROM c WHERE actual = cls), 0) AS support,
+  coalesce((SELECT sum(n) FROM c WHERE predicted = cls), 0) AS pred FROM cls)
+SELECT cls, tp, support, CASE WHEN pred = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / pred END AS p,
+  CASE WHEN support = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / support END AS r FROM pc)"""
+_PCF = f"(SELECT *, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f FROM {_PC})"
+
+register("confusion_orders_rule", f"""
+WITH c AS {_CNT}, cls AS (SELECT actual AS cls FROM c UNION SELECT predicted FROM c)
+SELECT a.cls AS actual, b.cls AS predicted, coalesce(c.n, 0) AS n FROM cls a CROSS JOIN cls b
+LEFT JOIN c ON c.actual = a.cls AND c.predicted = b.cls""")(
+    lambda spark, d: M.confusion(load(spark, d, "orders_rule"), "actual", "predicted"))
+
+register("class_report_orders_rule", f"""
+SELECT cls AS class, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1_score, support FROM {_PCF}
+UNION ALL SELECT 'accuracy', round(CAST(sum(tp) AS DOUBLE) / sum(support), 4),
+  round(CAST(sum(tp) AS DOUBLE) / sum(support), 4), round(CAST(sum(tp) AS DOUBLE) / sum(support), 4), sum(support)
+  FROM {_PCF}
+UNION ALL SELECT 'macro avg', round(avg(p), 4), round(avg(r), 4), round(avg(f), 4), sum(support) FROM {_PCF}
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 4), round(sum(r * support) / sum(support), 4),
+  round(sum(f * support) / sum(support), 4), sum(support) FROM {_PCF}""")(
+    lambda spark, d: M.class_report(load(spark, d, "orders_rule"), "actual", "predicted"))
+
+register("metrics_orders_rule", f"""
+SELECT round(CAST(sum(tp) AS DOUBLE) / sum(support), 4) AS accuracy, round(avg(p), 4) AS precision_macro,
+  round(avg(r), 4) AS recall_macro, round(avg(f), 4) AS f1_macro FROM {_PCF}""")(
+    lambda spark, d: M.metrics(load(spark, d, "orders_rule"), "actual", "predicted"))
+
+register("accuracy_by_split_orders_rule", f"""
+SELECT split, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM
+({_split_sql('orders_rule', 'o_orderkey', 'actual', 0.2, 42, 'o_orderkey, actual, predicted')}) GROUP BY split""")(
+    lambda spark, d: M.accuracy_by_split(SP.train_test_split(load(spark, d, "orders_rule"), 0.2, 42,
+                                                             key=["o_orderkey"], stratify="actual"),
+                                         "actual", "predicted"))

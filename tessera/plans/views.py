@@ -30,6 +30,9 @@ VIEWS = {
                     "FROM events"),
     # outliers / skew
     "events_cubed": "SELECT event_id, user_id, value, power(value, 3) AS value3, event_type FROM events",
+    # a fixed rule standing in for a classifier (exercises the evaluation ops)
+    "orders_rule": ("SELECT o_orderkey, o_orderstatus AS actual, CASE WHEN o_totalprice < 100000 THEN 'F' "
+                    "WHEN o_totalprice < 250000 THEN 'O' ELSE 'P' END AS predicted FROM orders"),
     # an analysis table joined over the star schema
     "customer_nation": ("SELECT c.c_custkey, c.c_acctbal, c.c_mktsegment, n.n_name, r.r_name "
                         "FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey "
