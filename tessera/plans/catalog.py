@@ -519,3 +519,82 @@ SELECT split, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 4)
     lambda spark, d: M.accuracy_by_split(SP.train_test_split(load(spark, d, "orders_rule"), 0.2, 42,
                                                              key=["o_orderkey"], stratify="actual"),
                                          "actual", "predicted"))
+
+
+# ---------------------------------------------------------------- matrix analyses (no SQL oracle:
+# eigen-decompositions and iterative fits; checked against numpy in tests/)
+from tessera.operators import cluster as K  # noqa: E402
+from tessera.operators import discriminant as D  # noqa: E402
+from tessera.operators import factor as FA  # noqa: E402
+from tessera.operators import insights as I  # noqa: E402
+from tessera.operators import models as MO  # noqa: E402
+from tessera.operators import normality as N  # noqa: E402
+from tessera.operators import reduce as RD  # noqa: E402
+
+_PCA = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+
+
+def embedding_table(spark, d, dims: int = 64):
+    """embeddings with the vector spread into columns e0..e63 (+ label)."""
+    e = load(spark, d, "embeddings")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)],
+                    F.col("label").cast("string").alias("label"))
+
+
+register("normality_lineitem", None)(
+    lambda spark, d: N.normality(load(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
+                                 5000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
+register("normality_events_cubed", None)(
+    lambda spark, d: N.normality(load(spark, d, "events_cubed"), ["value", "value3"], 5000, ["event_id"]))
+register("scree_lineitem", None)(lambda spark, d: RD.scree(load(spark, d, "lineitem"), _PCA))
+register("pca_variance_lineitem", None)(lambda spark, d: RD.pca_variance(load(spark, d, "lineitem"), _PCA, 5))
+register("pca_loadings_lineitem", None)(lambda spark, d: RD.pca_loadings(load(spark, d, "lineitem"), _PCA, 5))
+register("pca_scores_embeddings", None)(
+    lambda spark, d: RD.pca_scores(embedding_table(spark, d), [f"e{i}" for i in range(64)], 10, True, "label"))
+register("lda_variance_embeddings", None)(
+    lambda spark, d: D.lda_analysis(embedding_table(spark, d), "label", [f"e{i}" for i in range(64)],
+                                    key=["vec_id"])["variance"])
+register("lda_report_embeddings", None)(
+    lambda spark, d: D.lda_analysis(embedding_table(spark, d), "label", [f"e{i}" for i in range(64)],
+                                    key=["vec_id"])["report"])
+register("fa_loadings_lineitem", None)(
+    lambda spark, d: FA.fa_tables(load(spark, d, "lineitem"), _PCA, 3, "varimax")["loadings"])
+register("fa_communalities_lineitem", None)(
+    lambda spark, d: FA.fa_tables(load(spark, d, "lineitem"), _PCA, 3, "quartimax")["communalities"])
+register("fa_variance_embeddings", None)(
+    lambda spark, d: FA.fa_tables(embedding_table(spark, d), [f"e{i}" for i in range(16)], 4, None)["variance"])
+
+
+def _kmeans_sizes(spark, d):
+    t = embedding_table(spark, d)
+    feats = [f"e{i}" for i in range(64)]
+    res = K.fit_kmeans(t, feats, 10, n_init=3)
+    return K.cluster_sizes(res.assign(t))
+
+
+def _kmeans_vs_label(spark, d):
+    t = embedding_table(spark, d)
+    feats = [f"e{i}" for i in range(64)]
+    res = K.fit_kmeans(t, feats, 10, n_init=3)
+    return S.crosstab(res.assign(t), "KMeans_Cluster", "label")
+
+
+def _kmeans_profile(spark, d):
+    t = load(spark, d, "lineitem")
+    res = K.fit_kmeans(t, _PCA, 4, n_init=3)
+    prof = K.cluster_profile(res.assign(t), _PCA)
+    return C.normalized_profile(prof, "KMeans_Cluster", _PCA)
+
+
+register("kmeans_sizes_embeddings", None)(_kmeans_sizes)
+register("kmeans_vs_label_embeddings", None)(_kmeans_vs_label)
+register("kmeans_profile_lineitem", None)(_kmeans_profile)
+register("kmeans_scan_lineitem", None)(
+    lambda spark, d: K.kmeans_scan(load(spark, d, "lineitem"), _PCA,
+                                   ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
+register("compare_models_embeddings", None)(
+    lambda spark, d: MO.compare_models(embedding_table(spark, d), "label", [f"e{i}" for i in range(64)],
+                                       ["logistic", "random_forest"], key=["vec_id"])[0])
+register("insights_events", None)(lambda spark, d: I.insights(load(spark, d, "events_cubed")))
+register("insights_text_lineitem_nulls", None)(
+    lambda spark, d: I.insights_text(I.insights(load(spark, d, "lineitem_nulls"), "l_returnflag")))
