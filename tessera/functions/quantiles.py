@@ -45,7 +45,7 @@ def _pcts(grid: int) -> list[float]:
 
 def _width(setting) -> float:
     grid, acc = setting
-    return 5.0 / grid + 2.0 / acc
+    return 3.0 / grid + 2.0 / acc
 
 
 def _setting_for(m: int):
@@ -186,8 +186,8 @@ def _run_rounds(df: DataFrame, by: list[str], slots, groups: dict) -> None:
             aggs.append(f"percentile_approx(CASE WHEN {_band_cond(c, p)} THEN {c} END, {pcts}, {acc}) AS __sk{j}")
             aggs += [f"{one(p('rank'))} AS __k{j}", f"{one(p('base'))} AS __b{j}", f"{one(p('m'))} AS __m{j}"]
             rib = f"__k{j} - __b{j}"
-            post.append(f"element_at(__sk{j}, {_probe_index(rib, f'__m{j}', -2, True, grid)}) AS lo{j}")
-            post.append(f"element_at(__sk{j}, {_probe_index(rib, f'__m{j}', 2, False, grid)}) AS hi{j}")
+            post.append(f"element_at(__sk{j}, {_probe_index(rib, f'__m{j}', -1, True, grid)}) AS lo{j}")
+            post.append(f"element_at(__sk{j}, {_probe_index(rib, f'__m{j}', 1, False, grid)}) AS hi{j}")
         for row in _aggregate(_with_brackets(df, by, slots, groups), by, aggs, post):
             tl = groups.get(tuple(row[b] for b in by))
             if tl is None:
@@ -281,8 +281,8 @@ def quantile_values(df: DataFrame, cols: list[str], probs: list[float], by: list
                 t = _Target(key=key, column=c, rank=r, base=0, m=n)
                 g0 = COARSE[0]
                 fi = (r + 1) / n * g0
-                t.lo = grid[max(0, min(g0, math.floor(fi) - 2))]
-                t.hi = grid[max(0, min(g0, math.ceil(fi) + 2))]
+                t.lo = grid[max(0, min(g0, math.floor(fi) - 1))]
+                t.hi = grid[max(0, min(g0, math.ceil(fi) + 1))]
                 t.gather = _width(COARSE) * n <= BAND_LIMIT
                 tl.append(t)
         groups[key] = tl
@@ -325,6 +325,7 @@ def _count_pass(df, by, slots, groups):
     grouped = bool(by)
     prm = _Params(grouped)
     aggs, post, live = [], [], []
+    gathers: dict = {}
     for j, sl in enumerate(slots):
         ts = [g[j] for g in groups.values() if g[j] is not None and not g[j].done]
         if not ts:
@@ -338,10 +339,14 @@ def _count_pass(df, by, slots, groups):
         post += [f"a{j}", f"b{j}", f"c{j}", f"d{j}"]
         if all(t.gather for t in ts):
             one = f"first({p('rank')})" if grouped else p("rank")
-            aggs.append(f"sort_array(collect_list(CASE WHEN {c} > {lo} AND {c} < {hi} THEN {c} END)) AS __l{j}")
+            gexpr = f"sort_array(collect_list(CASE WHEN {c} > {lo} AND {c} < {hi} THEN {c} END))"
+            if grouped or gexpr not in gathers:
+                gathers[gexpr] = f"__l{j}"
+                aggs.append(f"{gexpr} AS __l{j}")
+            lst = gathers[gexpr] if not grouped else f"__l{j}"
             aggs.append(f"{one} AS __k{j}")
             pos = f"CAST(__k{j} - b{j} + 1 AS INT)"
-            post.append(f"CASE WHEN {pos} >= 1 THEN try_element_at(__l{j}, {pos}) END AS v{j}")
+            post.append(f"CASE WHEN {pos} >= 1 THEN try_element_at({lst}, {pos}) END AS v{j}")
         else:
             post.append(f"CAST(NULL AS DOUBLE) AS v{j}")
     if not aggs:

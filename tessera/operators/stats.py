@@ -145,22 +145,33 @@ def crosstab(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> DataFrame
             .select(col(a), col(b), F.coalesce(F.col("count"), F.lit(0)).alias("count")))
 
 
+def _num_sql(df: DataFrame, name: str) -> str:
+    from tessera.functions.quantiles import _num_sql as q
+    return q(df, name)
+
+
 def corr_matrix(df: DataFrame, cols: list[str] | None = None, digits: int | None = None,
                 chunk: int = 600) -> DataFrame:
     """Tall Pearson matrix (a, b, r) over all ordered pairs, pairwise
-    complete.  Each pair is three mergeable aggregates; wide inputs are
-    split into chunks of ``chunk`` pairs per job."""
+    complete (rows where both values are present).  Each pair is three
+    mergeable central-moment aggregates in one scan; wide inputs are split
+    into chunks of ``chunk`` pairs per job."""
     cols = cols or numeric_cols(df)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     spark = df.sparkSession
     vals: dict = {}
+    xs = [_num_sql(df, c) for c in cols]
+    diag_exprs = ([f"count({x}) AS n{i}" for i, x in enumerate(xs)] +
+                  [f"var_pop({x}) AS v{i}" for i, x in enumerate(xs)])
     with multipass(df, cols) as work:
-        diag = work.agg(*[F.count(num(work, c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                        *[F.var_pop(num(work, c)).alias(f"v{i}") for i, c in enumerate(cols)]).collect()[0]
-        for s in range(0, len(pairs), chunk):
+        diag = None
+        for s in range(0, max(len(pairs), 1), chunk):
             part = pairs[s:s + chunk]
-            row = work.agg(*[pearson(num(work, cols[i]), num(work, cols[j])).alias(f"r{i}_{j}")
-                             for i, j in part]).collect()[0]
+            exprs = [f"try_divide(regr_sxy({xs[j]}, {xs[i]}), sqrt(regr_sxx({xs[j]}, {xs[i]}) * "
+                     f"regr_syy({xs[j]}, {xs[i]}))) AS r{i}_{j}" for i, j in part]
+            row = work.selectExpr(*(exprs + (diag_exprs if diag is None else []))).collect()[0]
+            if diag is None:
+                diag = row
             for i, j in part:
                 vals[(i, j)] = row[f"r{i}_{j}"]
     out = []
