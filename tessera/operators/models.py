@@ -168,3 +168,35 @@ def prediction_table(pred: DataFrame, classes: list, extra: list[str] | None = N
     return p.select(F.element_at(names, F.col("label").cast("int") + 1).alias("actual"),
                     F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
                     *[col(e) for e in (extra or [])])
+
+
+def classify_components(scores: DataFrame, comps: list[str], target: str, model: str = "logistic",
+                        test_size: float = 0.2, seed: int = 42, key: list[str] | None = None,
+                        show: int = 5) -> dict:
+    """Classifier on component scores (PCA / factor scores fitted on all
+    rows, as the reference does): rows without a target dropped, exact
+    stratified split when every class has two rows, then metrics, report,
+    confusion, train/test accuracy and a prediction table with the first
+    ``show`` components."""
+    key = [k for k in (key or []) if k not in comps and k != target]
+    base = scores.where(col(target).isNotNull())
+    classes = sorted(r[0] for r in base.select(col(target).cast("string")).distinct().collect())
+    if len(classes) < 2:
+        raise ValueError("need at least two classes")
+    lab = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target).cast("string")) - 1
+    frame = base.select(*[col(k) for k in key], col(target), *[col(c).alias(f"__z{i}") for i, c in enumerate(comps)],
+                        *[col(c) for c in comps[:show]]).withColumn("label", lab.cast("double"))
+    strat = target if can_stratify(frame, target) else None
+    s = train_test_split(frame, test_size, seed, key=key or None, stratify=strat)
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        pred = fit_predict(model, s, len(comps), seed)
+    finally:
+        s.unpersist()
+    names = F.array(*[F.lit(c) for c in classes])
+    named = pred.withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))
+    test = named.where(F.col("split") == "test")
+    return {"metrics": M.metrics(test, target, "predicted"), "report": M.class_report(test, target, "predicted"),
+            "confusion": M.confusion(test, target, "predicted"),
+            "accuracy": M.accuracy_by_split(named, target, "predicted"),
+            "predictions": test.select(F.col(target).alias("actual"), "predicted", *comps[:show])}

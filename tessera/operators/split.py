@@ -16,10 +16,14 @@ _STRATUM = "__stratum"
 _ORDER = "__order"
 
 
+def stratify_check(df: DataFrame, target: str) -> DataFrame:
+    """One row: ``can_stratify`` = every class has at least two rows."""
+    return (df.groupBy(col(target)).count()
+            .agg(F.coalesce(F.min("count") >= 2, F.lit(False)).alias("can_stratify")))
+
+
 def can_stratify(df: DataFrame, target: str) -> bool:
-    """Stratify only when every class has at least two rows."""
-    r = (df.groupBy(col(target)).count().agg(F.min("count").alias("m")).collect())
-    return bool(r) and r[0]["m"] is not None and r[0]["m"] >= 2
+    return bool(stratify_check(df, target).collect()[0]["can_stratify"])
 
 
 def _allocate(counts: dict, n_test: int, n: int) -> dict:

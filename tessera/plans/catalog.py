@@ -598,3 +598,33 @@ register("compare_models_embeddings", None)(
 register("insights_events", None)(lambda spark, d: I.insights(load(spark, d, "events_cubed")))
 register("insights_text_lineitem_nulls", None)(
     lambda spark, d: I.insights_text(I.insights(load(spark, d, "lineitem_nulls"), "l_returnflag")))
+
+
+def _pca_classifier(spark, d):
+    t = embedding_table(spark, d)
+    feats = [f"e{i}" for i in range(64)]
+    m = RD.fit_pca(t, feats, 8, True, "label")
+    sc = m.transform(t, ["vec_id", "label"], 8)
+    return MO.classify_components(sc, [f"PC{j + 1}" for j in range(8)], "label", "logistic", key=["vec_id"])["report"]
+
+
+def _fa_classifier(spark, d):
+    t = load(spark, d, "lineitem")
+    m = FA.fit_fa(t, _PCA, 3, "varimax")
+    sc = m.transform(t, ["l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return MO.classify_components(sc, [f"Factor_{j + 1}" for j in range(3)], "l_returnflag", "logistic",
+                                  key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])["accuracy"]
+
+
+def _cluster_projection(spark, d):
+    t = load(spark, d, "lineitem")
+    res = K.fit_kmeans(t, _PCA, 4, n_init=2)
+    return K.cluster_projection(res.assign(t), res)
+
+
+register("pca_classifier_embeddings", None)(_pca_classifier)
+register("fa_classifier_lineitem", None)(_fa_classifier)
+register("kmeans_projection_lineitem", None)(_cluster_projection)
+register("stratify_guard_orders", """
+SELECT min(n) >= 2 AS can_stratify FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)""")(
+    lambda spark, d: SP.stratify_check(load(spark, d, "orders"), "o_orderpriority"))
