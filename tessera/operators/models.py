@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import col, numeric_cols
 from tessera.functions.linalg import prepare
 from tessera.operators import metrics as M
+from tessera.operators.neighbors import knn_predict
 from tessera.operators.split import can_stratify, train_test_split
 
-MODELS = ["logistic", "random_forest", "gradient_boosting", "svm"]
+MODELS = ["logistic", "random_forest", "gradient_boosting", "svm", "knn"]
 _NAMES = {"logistic": "Logistic Regression", "random_forest": "Random Forest",
-          "gradient_boosting": "Gradient Boosting", "svm": "SVM"}
+          "gradient_boosting": "Gradient Boosting", "svm": "SVM", "knn": "K-Nearest Neighbors"}
 
 
 def model_frame(df: DataFrame, feats: list[str], target: str, fit_rows: DataFrame | None = None,
@@ -100,6 +101,10 @@ def fit_predict(name: str, split_df: DataFrame, d: int, seed: int = 42, rff_dim:
     not recompute the split lineage on every pass."""
     from pyspark.ml.functions import array_to_vector
     keep = [c for c in split_df.columns if not c.startswith("__z")]
+    if name == "knn":
+        pred = knn_predict(split_df, d, k=5).persist(StorageLevel.MEMORY_AND_DISK)
+        pred.count()
+        return pred
     if name == "svm":
         g = gamma if gamma is not None else 1.0 / max(d, 1)
         frame = with_rff(split_df, d, rff_dim, g, seed)

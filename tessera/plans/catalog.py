@@ -628,3 +628,12 @@ register("kmeans_projection_lineitem", None)(_cluster_projection)
 register("stratify_guard_orders", """
 SELECT min(n) >= 2 AS can_stratify FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)""")(
     lambda spark, d: SP.stratify_check(load(spark, d, "orders"), "o_orderpriority"))
+
+# exact k-nearest-neighbour classifier (no SQL oracle: checked against a brute force in tests/)
+register("compare_models_knn_embeddings", None)(
+    lambda spark, d: MO.compare_models(embedding_table(spark, d), "label", [f"e{i}" for i in range(64)],
+                                       ["knn"], key=["vec_id"])[0])
+register("compare_models_knn_lineitem", None)(
+    lambda spark, d: MO.compare_models(load(spark, d, "lineitem"), "l_returnflag",
+                                       ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["knn"],
+                                       key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])[0])
