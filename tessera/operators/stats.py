@@ -153,32 +153,62 @@ def _num_sql(df: DataFrame, name: str) -> str:
 def corr_matrix(df: DataFrame, cols: list[str] | None = None, digits: int | None = None,
                 chunk: int = 600) -> DataFrame:
     """Tall Pearson matrix (a, b, r) over all ordered pairs, pairwise
-    complete (rows where both values are present).  Each pair is three
-    mergeable central-moment aggregates in one scan; wide inputs are split
-    into chunks of ``chunk`` pairs per job."""
+    complete (rows where both values are present).
+
+    One small pass gives each column's count and mean; a second pass sums
+    deviations from those means (plain sums, mergeable, numerically stable
+    because the shift is the mean).  Columns without NULLs share their
+    per-column sums across all pairs; a pair involving a column with NULLs
+    gets its own sums over the rows where both are present.  Wide inputs
+    are split into chunks of ``chunk`` pairs per job."""
     cols = cols or numeric_cols(df)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     spark = df.sparkSession
     vals: dict = {}
-    xs = [_num_sql(df, c) for c in cols]
-    diag_exprs = ([f"count({x}) AS n{i}" for i, x in enumerate(xs)] +
-                  [f"var_pop({x}) AS v{i}" for i, x in enumerate(xs)])
     with multipass(df, cols) as work:
+        xs = [num(work, c) for c in cols]
+        st = work.agg(F.count(F.lit(1)).alias("n"), *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                      *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
+                      *[(F.min(x) == F.max(x)).alias(f"k{i}") for i, x in enumerate(xs)]).collect()[0]
+        n = st["n"]
+        full = [st[f"n{i}"] == n for i in range(len(cols))]
+        const = [st[f"k{i}"] is not False for i in range(len(cols))]
+        dev = [x - F.lit(float(st[f"m{i}"] if st[f"m{i}"] is not None else 0.0)) for i, x in enumerate(xs)]
+        one = [F.sum(dev[i]).alias(f"s{i}") for i in range(len(cols))] + \
+              [F.sum(dev[i] * dev[i]).alias(f"q{i}") for i in range(len(cols))]
         diag = None
-        for s in range(0, max(len(pairs), 1), chunk):
-            part = pairs[s:s + chunk]
-            exprs = [f"try_divide(regr_sxy({xs[j]}, {xs[i]}), sqrt(regr_sxx({xs[j]}, {xs[i]}) * "
-                     f"regr_syy({xs[j]}, {xs[i]}))) AS r{i}_{j}" for i, j in part]
-            row = work.selectExpr(*(exprs + (diag_exprs if diag is None else []))).collect()[0]
+        for s0 in range(0, max(len(pairs), 1), chunk):
+            part = pairs[s0:s0 + chunk]
+            exprs = []
+            for i, j in part:
+                exprs.append(F.sum(dev[i] * dev[j]).alias(f"p{i}_{j}"))
+                if not (full[i] and full[j]):
+                    both = xs[i].isNotNull() & xs[j].isNotNull()
+                    di, dj = F.when(both, dev[i]), F.when(both, dev[j])
+                    exprs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(di).alias(f"si{i}_{j}"),
+                              F.sum(dj).alias(f"sj{i}_{j}"), F.sum(di * di).alias(f"qi{i}_{j}"),
+                              F.sum(dj * dj).alias(f"qj{i}_{j}")]
+            row = work.agg(*(exprs + (one if diag is None else []))).collect()[0]
             if diag is None:
                 diag = row
             for i, j in part:
-                vals[(i, j)] = row[f"r{i}_{j}"]
+                if const[i] or const[j]:
+                    vals[(i, j)] = None
+                    continue
+                if full[i] and full[j]:
+                    m, si, sj, qi, qj = n, diag[f"s{i}"], diag[f"s{j}"], diag[f"q{i}"], diag[f"q{j}"]
+                else:
+                    m, si, sj = row[f"n{i}_{j}"], row[f"si{i}_{j}"], row[f"sj{i}_{j}"]
+                    qi, qj = row[f"qi{i}_{j}"], row[f"qj{i}_{j}"]
+                vals[(i, j)] = _pearson(m, si, sj, qi, qj, row[f"p{i}_{j}"])
+        if diag is None:
+            diag = work.agg(*one).collect()[0]
     out = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             if i == j:
-                ok = diag[f"n{i}"] >= 2 and (diag[f"v{i}"] or 0) > 0
+                ni, si, qi = st[f"n{i}"], diag[f"s{i}"], diag[f"q{i}"]
+                ok = ni >= 2 and not const[i] and qi is not None and qi - si * si / ni > 0
                 r = 1.0 if ok else None
             else:
                 r = vals[(min(i, j), max(i, j))]
@@ -188,6 +218,17 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, digits: int | None
     return spark.createDataFrame(out, "i int, j int, a string, b string, r double")
 
 
+def _pearson(m, si, sj, qi, qj, p):
+    """r from sums of deviations over the ``m`` complete pairs; NULL for
+    fewer than two pairs or a zero variance."""
+    if not m or m < 2 or p is None:
+        return None
+    sxx, syy, sxy = qi - si * si / m, qj - sj * sj / m, p - si * sj / m
+    if sxx <= 1e-12 * qi or syy <= 1e-12 * qj:          # constant over the complete pairs
+        return None
+    return max(-1.0, min(1.0, sxy / (sxx * syy) ** 0.5))
+
+
 def corr_pairs(df: DataFrame, cols: list[str] | None = None, n: int | None = 10,
                min_abs: float | None = None, digits: int = 4) -> DataFrame:
     """Upper-triangle pairs (feature_a, feature_b, correlation, abs_corr)

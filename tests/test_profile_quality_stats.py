@@ -102,3 +102,12 @@ def test_grouped_stats(spark):
     for k, g in pdf.groupby("k"):
         assert got[k]["x_median"] == pytest.approx(round(g.x.median(), 3), abs=1e-9)
         assert got[k]["x_std"] == pytest.approx(round(g.x.std(), 3), abs=1e-9)
+
+
+def test_corr_matrix_inexact_constants(spark):
+    pdf = pd.DataFrame({"a": [0.1] * 7 + [0.3], "b": [0.7, 0.1, 0.2, 0.9, 0.3, 0.3, 0.5, None],
+                        "c": [1.5, 2.5, 0.5, 3.5, 1.0, 2.0, 0.7, 1.1]})
+    m = {(r["a"], r["b"]): r["r"] for r in S.corr_matrix(spark.createDataFrame(pdf)).collect()}
+    assert m[("a", "b")] is None                     # a is constant on the rows where b is present
+    assert m[("b", "c")] == pytest.approx(pdf.corr().loc["b", "c"])
+    assert m[("a", "c")] == pytest.approx(pdf.corr().loc["a", "c"])
