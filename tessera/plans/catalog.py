@@ -637,3 +637,44 @@ register("compare_models_knn_lineitem", None)(
     lambda spark, d: MO.compare_models(load(spark, d, "lineitem"), "l_returnflag",
                                        ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["knn"],
                                        key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])[0])
+
+
+def _knn_embeddings_sql(k: int = 5, dims: int = 64) -> str:
+    """Brute-force oracle for the kNN comparison on embeddings: mean
+    imputation, population-std scaling over rows with a target, the exact
+    stratified split, all-pairs distances (affordable only on this small
+    table), k nearest by (distance, label), vote (smallest label on ties)."""
+    e = [f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(dims)]
+    imp = ", ".join(f"coalesce({x}, (SELECT avg({x}) FROM embeddings)) - (SELECT avg({x}) FROM embeddings) AS i{i}"
+                    for i, x in enumerate(e))
+    z = ", ".join(f"(i{i} - avg(i{i}) OVER ()) / coalesce(nullif(stddev_pop(i{i}) OVER (), 0), 1)" for i in range(dims))
+    split = _split_sql("zt", "vec_id", "target", 0.2, 42, "vec_id, target, v")
+    return f"""WITH it AS (SELECT vec_id, CAST(label AS VARCHAR) AS target, {imp} FROM embeddings),
+zt AS (SELECT vec_id, target, list_value({z}) AS v FROM it WHERE target IS NOT NULL),
+pts AS ({split}),
+tr AS (SELECT target AS tl, v AS tv FROM pts WHERE split = 'train'),
+qs AS (SELECT DISTINCT v FROM pts),
+pr AS (SELECT qs.v, tr.tl, list_distance(qs.v, tr.tv) AS dist FROM qs CROSS JOIN tr),
+top AS (SELECT v, tl FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY dist, tl) AS rn FROM pr)
+        WHERE rn <= {k}),
+vote AS (SELECT v, tl, count(*) AS c FROM top GROUP BY v, tl),
+pred AS (SELECT v, tl AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY c DESC, tl) AS rn
+         FROM vote) WHERE rn = 1),
+scored AS (SELECT pts.split, pts.target AS actual, pred.predicted FROM pts JOIN pred ON pts.v = pred.v),
+cnt AS (SELECT actual, predicted, count(*) AS n FROM scored WHERE split = 'test' GROUP BY 1, 2),
+cls AS (SELECT actual AS cls FROM cnt UNION SELECT predicted FROM cnt),
+pc AS (SELECT cls, coalesce((SELECT sum(n) FROM cnt WHERE actual = cls AND predicted = cls), 0) AS tp,
+  coalesce((SELECT sum(n) FROM cnt WHERE actual = cls), 0) AS support,
+  coalesce((SELECT sum(n) FROM cnt WHERE predicted = cls), 0) AS npred FROM cls),
+pr2 AS (SELECT tp, support, CASE WHEN npred = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / npred END AS p,
+  CASE WHEN support = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / support END AS r FROM pc),
+prf AS (SELECT *, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f FROM pr2)
+SELECT 'K-Nearest Neighbors' AS model,
+  (SELECT round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 4) FROM scored WHERE split = 'train')
+    AS train_accuracy,
+  (SELECT round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 4) FROM scored WHERE split = 'test')
+    AS test_accuracy,
+  round(avg(p), 4) AS precision_macro, round(avg(r), 4) AS recall_macro, round(avg(f), 4) AS f1_macro FROM prf"""
+
+
+REGISTRY["compare_models_knn_embeddings"] = (REGISTRY["compare_models_knn_embeddings"][0], _knn_embeddings_sql())
