@@ -108,8 +108,8 @@ def knn_labels(frame: DataFrame, d: int, k: int = 5, split_col: str = "split",
         offsets = list(itertools.product((-1, 0, 1), repeat=m))
         pending = queries.select("__v", F.lit(0).alias("__lvl"))
         done: list[DataFrame] = []
+        levels = [0]
         for _ in range(max_rounds):
-            levels = sorted(r[0] for r in pending.select("__lvl").distinct().collect())
             width = F.lit(w0) * F.pow(F.lit(2.0), F.col("__lvl"))
             base = project(pending).select(
                 F.col("__v").alias("__q"), "__lvl",
@@ -141,7 +141,8 @@ def knn_labels(frame: DataFrame, d: int, k: int = 5, split_col: str = "split",
             res = res.checkpoint(eager=True)
             done.append(res.where("ok").select("__v", "prediction"))
             pending = res.where(~F.col("ok")).select("__v", F.col("__next").alias("__lvl"))
-            if pending.isEmpty():
+            levels = sorted(r[0] for r in pending.select("__lvl").distinct().collect())
+            if not levels:
                 break
         else:
             raise RuntimeError("k-nearest-neighbour rounds did not finish")
