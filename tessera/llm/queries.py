@@ -7,10 +7,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import token_planes
+from tessera.llm import cuckoo_dedup, simhash_popcount, token_planes
 from tessera.llm.common import scratch_path, table
 
 
+def op1_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS pts,
+         sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
+  FROM documents),
+k AS (SELECT text_sha256, arg_min(doc_id, (-pts, doc_id)) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN k USING (text_sha256)
+"""
+
+
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_planes.write_token_files(table(spark, sf_dir, "documents"), path, token_planes.public_tokenizer(),
@@ -18,7 +32,16 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_token_files(spark, path)
 
 
+def op9_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_popcount.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash_popcount.fp_hex().alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op4_token_planes": op4_token_planes,
+    "op9_simhash_popcount": op9_simhash_popcount,
+}
+ORACLES: dict[str, str] = {
+    "op1_cuckoo_dedup": OP1_SQL,
 }
-ORACLES: dict[str, str] = {}
