@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import cuckoo_dedup, simhash_popcount, token_planes
+from tessera.llm import cuckoo_dedup, fm_decontam, simhash_popcount, token_planes
 from tessera.llm.common import scratch_path, table
 
 
@@ -32,6 +33,39 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_token_files(spark, path)
 
 
+def op8_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", fm_decontam.n_hit().alias("n_hit"),
+                        F.size("items").cast("long").alias("n_items"),
+                        fm_decontam.items_sha256().alias("items_sha256"),
+                        fm_decontam.is_contaminated().alias("contaminated"))
+
+
+OP8_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS k, array_to_string(ws[i:i + 12], ' ') AS g
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(2, len(ws) - 11))) AS i FROM b WHERE len(ws) > 0)),
+o AS (
+  SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) CROSS JOIN (SELECT DISTINCT k FROM p)
+  WHERE i + k - 1 <= len(ws)),
+m AS (SELECT DISTINCT doc_id, i, p.k, item_id FROM o JOIN p USING (k, g)),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def op9_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_popcount.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash_popcount.fp_hex().alias("fingerprint"), "component_id")
@@ -40,8 +74,10 @@ def op9_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op4_token_planes": op4_token_planes,
+    "op8_fm_decontam": op8_fm_decontam,
     "op9_simhash_popcount": op9_simhash_popcount,
 }
 ORACLES: dict[str, str] = {
     "op1_cuckoo_dedup": OP1_SQL,
+    "op8_fm_decontam": OP8_SQL,
 }
