@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cuckoo_dedup, fm_decontam, simhash_popcount, token_planes
+from tessera.llm import cuckoo_dedup, fm_decontam, simhash_popcount, token_planes, toxicity
 from tessera.llm.common import scratch_path, table
 
 
@@ -26,6 +26,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_planes.write_token_files(table(spark, sf_dir, "documents"), path, token_planes.public_tokenizer(),
@@ -73,6 +78,7 @@ def op9_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_token_planes": op4_token_planes,
     "op8_fm_decontam": op8_fm_decontam,
     "op9_simhash_popcount": op9_simhash_popcount,
