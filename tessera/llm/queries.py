@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cuckoo_dedup, fm_decontam, simhash_popcount, token_planes, toxicity
+from tessera.llm import cuckoo_dedup, fm_decontam, poisson_mix, simhash_popcount, token_planes, toxicity
 from tessera.llm.common import scratch_path, table
 
 
@@ -38,6 +38,29 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_token_files(spark, path)
 
 
+def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    mixed = poisson_mix.mix(docs, poisson_mix.tempered_weights(docs))
+    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key")
+
+
+OP6_SQL = """
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+r AS (SELECT source, (sqrt(n) / (SELECT sum(sqrt(n)) FROM n)) * (SELECT sum(n) FROM n) / n AS rate FROM n),
+q AS (SELECT source, rate, greatest(1, ceil(rate / 500))::INT AS pieces, rate / greatest(1, ceil(rate / 500)) AS m FROM r),
+c AS (SELECT source, sum(exp(CASE WHEN i = 0 THEN 0 ELSE i * ln(m) END - m - lgamma(i + 1))) OVER (PARTITION BY source ORDER BY i) AS cdf
+      FROM (SELECT source, m, unnest(range(0, (ceil(m + 12 * sqrt(m)) + 31)::INT)) AS i FROM q)),
+l AS (SELECT source, list(cdf) AS cdf FROM c GROUP BY 1),
+u AS (SELECT doc_id, d.source, q.rate, l.cdf, unnest(range(0, q.pieces)) AS j FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+      JOIN l ON d.source IS NOT DISTINCT FROM l.source),
+k AS (SELECT doc_id, source, rate, sum(len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || j), 1, 13))::BIGINT / 4503599627370496.0)))::INT AS n_copies
+      FROM u GROUP BY ALL)
+SELECT doc_id, source, round(rate, 6) AS rate, n_copies, copy::INT AS copy,
+       md5('order42:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM k)
+"""
+
+
 def op8_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", fm_decontam.n_hit().alias("n_hit"),
@@ -80,10 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_token_planes": op4_token_planes,
+    "op6_poisson_mix": op6_poisson_mix,
     "op8_fm_decontam": op8_fm_decontam,
     "op9_simhash_popcount": op9_simhash_popcount,
 }
 ORACLES: dict[str, str] = {
     "op1_cuckoo_dedup": OP1_SQL,
+    "op6_poisson_mix": OP6_SQL,
     "op8_fm_decontam": OP8_SQL,
 }
