@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cuckoo_dedup, fm_decontam, poisson_mix, simhash_popcount, token_planes, toxicity
+from tessera.llm import cuckoo_dedup, fm_decontam, poisson_mix, simhash_popcount, token_planes, toxicity, url_templates
 from tessera.llm.common import scratch_path, table
 
 
@@ -61,6 +61,48 @@ FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM k)
 """
 
 
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
+def _op7_sql() -> str:
+    """The tree level by level, as in the operator."""
+    levels = ["t1", "t2", "t3"]
+    ctes = ["""u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages)""",
+            """h AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)""",
+            """r AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                     WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                     WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+                     WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule,
+                     regexp_replace(regexp_replace(path, '[0-9a-f]{12,}', '<x>', 'g'), '[0-9]+', '<n>', 'g') AS typed FROM h)""",
+            "v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS known FROM r)",
+            """s0 AS (SELECT host, typed, count(*) FILTER (known = 'block') AS b, count(*) FILTER (known = 'allow') AS a,
+                      coalesce(string_split(typed, '/')[2], '<none>') AS t1, coalesce(string_split(typed, '/')[3], '<none>') AS t2,
+                      coalesce(string_split(typed, '/')[4], '<none>') AS t3,
+                      CASE WHEN len(string_split(typed, '/')) > 4 THEN '**' ELSE '' END AS tail FROM v GROUP BY ALL)"""]
+    last = "s0"
+    for d, t in enumerate(levels):
+        above = ", ".join(["host", *levels[:d]])
+        ctes += [f"m{d} AS (SELECT {above} FROM (SELECT DISTINCT {above}, {t} FROM {last}) GROUP BY {above} HAVING count(*) > 20)",
+                 f"w{d} AS (SELECT s.* REPLACE (CASE WHEN {t} <> '<none>' AND ({above}) IN (SELECT ({above}) FROM m{d}) THEN '*' ELSE {t} END AS {t}) FROM {last} s)"]
+        last = f"w{d}"
+    for d, t in reversed(list(enumerate(levels))):
+        above = ", ".join(["host", *levels[:d]])
+        ctes += [f"k{d} AS (SELECT {above}, {t}, sum(b) AS kb, sum(a) + sum(b) AS kn FROM {last} GROUP BY ALL HAVING sum(a) + sum(b) > 0)",
+                 f"p{d} AS (SELECT {above}, sum(kb) / sum(kn) AS p FROM k{d} GROUP BY ALL)",
+                 f"x{d} AS (SELECT {above}, {t} FROM k{d} JOIN p{d} USING ({above}) WHERE abs(kb / kn - p) <= 1.96::DOUBLE * sqrt(p * (1 - p) / kn) + 0.5::DOUBLE / kn)",
+                 f"y{d} AS (SELECT s.* REPLACE (CASE WHEN ({above}, {t}) IN (SELECT ({above}, {t}) FROM x{d}) THEN '~' ELSE {t} END AS {t}) FROM {last} s)"]
+        last = f"y{d}"
+    ctes += [f"j AS (SELECT host, t1, t2, t3, tail, (sum(b) + 1) / (sum(a) + sum(b) + 4) > 0.5 AS reject FROM {last} GROUP BY ALL)",
+             f"e AS (SELECT host, typed, reject FROM {last} JOIN j USING (host, t1, t2, t3, tail))"]
+    return ("WITH " + ",\n".join(ctes) + "\nSELECT page_id, host, path, rule, coalesce(known, CASE WHEN reject THEN 'block' "
+            "ELSE 'allow' END) AS verdict FROM v JOIN e USING (host, typed)")
+
+
+OP7_SQL = _op7_sql()
+
+
 def op8_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", fm_decontam.n_hit().alias("n_hit"),
@@ -104,11 +146,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_planes": op4_token_planes,
     "op6_poisson_mix": op6_poisson_mix,
+    "op7_url_templates": op7_url_templates,
     "op8_fm_decontam": op8_fm_decontam,
     "op9_simhash_popcount": op9_simhash_popcount,
 }
 ORACLES: dict[str, str] = {
     "op1_cuckoo_dedup": OP1_SQL,
     "op6_poisson_mix": OP6_SQL,
+    "op7_url_templates": OP7_SQL,
     "op8_fm_decontam": OP8_SQL,
 }

@@ -150,8 +150,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
     member = components(links(distinct)).withColumnRenamed("node", "fp")
     least = (member.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component")))
     linked = member.join(least, "root").select("fp", "component", "root")
-    of_fp = (distinct.join(linked, "fp", "left")
-             .select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component")).alias("component_id")))
+    # written, so that the last join is a plain one of two shuffles that can be split where a fingerprint is hot
+    of_fp = written(distinct.join(linked, "fp", "left").select(
+        "fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component")).alias("component_id")), "fp-groups")
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
