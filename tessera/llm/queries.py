@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cuckoo_dedup, fm_decontam, poisson_mix, simhash_popcount, token_planes, toxicity, url_templates
+from tessera.llm import cuckoo_dedup, fm_decontam, masked_lm, poisson_mix, simhash_popcount, token_planes, toxicity, url_templates
 from tessera.llm.common import scratch_path, table
 
 
@@ -38,6 +38,10 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_token_files(spark, path)
 
 
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     mixed = poisson_mix.mix(docs, poisson_mix.tempered_weights(docs))
@@ -145,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_token_planes": op4_token_planes,
+    "op5_masked_lm": op5_masked_lm,
     "op6_poisson_mix": op6_poisson_mix,
     "op7_url_templates": op7_url_templates,
     "op8_fm_decontam": op8_fm_decontam,
