@@ -41,11 +41,13 @@ HASHED = VOCAB // 2
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
 MASK = 0.2
-BATCH = 4096
-RATE = 0.1
+BATCH = 1024
+RATE = 0.3
 SEED = 42
 FAN = 16
-PIECE = 200_000
+#: Words scored at a time, and bytes of text prepared at a time, in a task.
+PIECE = 16_384
+GROUP_BYTES = 2_000_000
 
 
 class Vocabulary(dict):
@@ -188,13 +190,13 @@ def padded_ids(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts), np.concatenate(places)) if docs else (pad, np.zeros(0, np.int64))
 
 
-def _groups(texts, limit: int = PIECE) -> Iterator[list]:
-    """Neighbouring texts of about ``limit`` bytes together."""
+def _groups(texts, limit: int = GROUP_BYTES) -> Iterator[list]:
+    """Neighbouring texts, cut when ``limit`` bytes are reached."""
     some, size = [], 0
     for t in texts:
         some.append(t)
         size += len(t)
-        if size >= limit * 8:
+        if size >= limit:
             yield some
             some, size = [], 0
     if some:
