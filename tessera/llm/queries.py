@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cuckoo_dedup, fm_decontam, masked_lm, poisson_mix, simhash_popcount, token_planes, toxicity, url_templates
+from tessera.llm import cuckoo_dedup, fm_decontam, masked_lm, poisson_mix, simhash_popcount, suffix_hash_dedup, token_planes, toxicity, url_templates
 from tessera.llm.common import scratch_path, table
 
 
@@ -145,6 +145,11 @@ def op9_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash_popcount.fp_hex().alias("fingerprint"), "component_id")
 
 
+def op10_suffix_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_hash_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op3_toxicity": op3_toxicity,
@@ -154,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_templates": op7_url_templates,
     "op8_fm_decontam": op8_fm_decontam,
     "op9_simhash_popcount": op9_simhash_popcount,
+    "op10_suffix_hash_dedup": op10_suffix_hash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_cuckoo_dedup": OP1_SQL,
