@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cuckoo_dedup, fm_decontam, masked_lm, poisson_mix, simhash_popcount, suffix_hash_dedup, token_planes, toxicity, url_templates
+from tessera.llm import cuckoo_dedup, fm_decontam, html_gbt, masked_lm, poisson_mix, simhash_popcount, suffix_hash_dedup, token_planes, toxicity, url_templates
 from tessera.llm.common import scratch_path, table
 
 
@@ -26,6 +26,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op2_html_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_gbt.extract_main_text(pages, html_gbt.train(pages))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -152,6 +157,7 @@ def op10_suffix_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
+    "op2_html_gbt": op2_html_gbt,
     "op3_toxicity": op3_toxicity,
     "op4_token_planes": op4_token_planes,
     "op5_masked_lm": op5_masked_lm,
