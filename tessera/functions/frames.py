@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -29,6 +30,15 @@ def multipass(df: DataFrame, cols: list[str] | None = None):
         work.unpersist()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared checkpoint folder and read back: row numbers given
+    before stay as they are, whatever is lost or run again."""
+    from tessera.session import checkpoint_dir
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def explode_structs(row_df: DataFrame, structs: list[Column], keep: list[str] | None = None) -> DataFrame:
     """Turn one wide aggregate row per group into tall rows: ``structs`` are
     struct Columns with identical field names/types, one per output row."""

@@ -100,6 +100,8 @@ def linear_columns(zcols: list[Column], weights: np.ndarray, names: list[str],
     return out
 
 
+# Orthogonal rotation by repeated singular value decompositions (Kaiser 1958;
+# the usual orthomax iteration, as in scikit-learn, BSD 3-clause licence).
 def varimax_like(loadings: np.ndarray, gamma: float, tol: float = 1e-6, max_iter: int = 100) -> np.ndarray:
     """Orthogonal rotation of a (p x k) loading matrix maximising the
     orthomax criterion (gamma = 1: varimax, 0: quartimax), by the

@@ -39,6 +39,10 @@ MAX_GROUPS = 5000
 MAX_ROUNDS = 24
 
 
+class TooManyGroups(ValueError):
+    """The groups' brackets would not fit the driver."""
+
+
 def _pcts(grid: int) -> list[float]:
     return [i / grid for i in range(grid + 1)]
 
@@ -270,8 +274,10 @@ def quantile_values(df: DataFrame, cols: list[str], probs: list[float], by: list
     NULL are dropped (grouping semantics of the tabular model)."""
     by = list(by or [])
     if by:
-        df = df.where(F.lit(True) if not by else
-                      F.expr(" AND ".join(f"`{b}` IS NOT NULL" for b in by)))
+        for b in by:  # a NaN key is a missing one
+            df = df.where(col(b).isNotNull())
+            if isinstance(df.schema[b].dataType, (T.FloatType, T.DoubleType)):
+                df = df.where(~F.isnan(col(b)))
     aggs = list(extra_aggs or [])
     pcts = "array(" + ", ".join(repr(x) + "D" for x in _pcts(COARSE[0])) + ")"
     for i, c in enumerate(cols):
@@ -282,7 +288,7 @@ def quantile_values(df: DataFrame, cols: list[str], probs: list[float], by: list
     first = (df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs))
     rows = first.limit(MAX_GROUPS + 1).collect()
     if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups: use approximate quantiles")
+        raise TooManyGroups(f"more than {MAX_GROUPS} groups")
     slots = [(c, p, s) for c in cols for p in probs for s in (0, 1)]
     groups: dict = {}
     extras: dict = {}

@@ -97,14 +97,51 @@ def violin_stats(df: DataFrame, c: str, by: str | None = None, bins: int = 40) -
     share of its group ([by,] bin, bin_lo, bin_hi, n, share)."""
     h = histogram(df, c, bins, by)
     if by:
-        tot = h.groupBy(col(by)).agg(F.sum("n").alias("__tot"))
-        h = h.join(F.broadcast(tot), on=by)
+        # a group has at most ``bins`` rows here
+        tot = h.groupBy(col(by).alias("__by")).agg(F.sum("n").alias("__tot"))
+        h = h.join(tot, h[by].eqNullSafe(tot["__by"])).drop("__by")
     else:
-        tot = h.agg(F.sum("n").alias("__tot")).collect()[0]["__tot"]
-        h = h.withColumn("__tot", F.lit(tot))
+        h = h.withColumn("__tot", F.lit(h.agg(F.sum("n")).first()[0]))
     return h.withColumn("share", rnd(F.col("n") / F.col("__tot"), 6)).drop("__tot")
 
 
+def violin_outliers(df: DataFrame, c: str, by: str | None = None, k: float = 1.5) -> DataFrame:
+    """The points beyond the whiskers of a violin's box ([by,] value, n): each
+    distinct value with its number of rows. The box itself is ``box_stats``."""
+    x = num(df, c)
+    box = box_stats(df, c, by, k, 12).select(*([col(by).alias("__by")] if by else []), "lower_fence", "upper_fence")
+    points = df.select(*([col(by)] if by else []), x.alias("value")).where(F.col("value").isNotNull())
+    points = points.groupBy(*([col(by)] if by else []), "value").agg(F.count(F.lit(1)).alias("n"))
+    if by:
+        points = points.join(box, points[by] == box["__by"]).drop("__by")
+    else:
+        fence = box.first()
+        points = points.select("*", F.lit(fence["lower_fence"]).cast("double").alias("lower_fence"),
+                               F.lit(fence["upper_fence"]).cast("double").alias("upper_fence"))
+    out = points.where((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence")))
+    return out.select(*([col(by)] if by else []), "value", "n")
+
+
+def scatter_bins(df: DataFrame, x: str, y: str, color: str | None = None, bins: int = 40) -> DataFrame:
+    """All rows of a scatter plot as counts on a grid of equal cells:
+    (x_bin, y_bin, x_lo, y_lo[, color], n); rows where x or y is missing drop out."""
+    xc, yc = num(df, x), num(df, y)
+    d = df.where(xc.isNotNull() & yc.isNotNull())
+    r = d.agg(F.min(xc), F.max(xc), F.min(yc), F.max(yc)).first()
+    if r[0] is None:
+        return df.sparkSession.createDataFrame([], "x_bin int, y_bin int, x_lo double, y_lo double, n long")
+
+    def cell(v, lo, hi):
+        w = (hi - lo) / bins
+        return (F.least(F.floor((v - lo) / w), F.lit(bins - 1)) if w > 0 else F.lit(0)).cast("int")
+
+    keys = ["x_bin", "y_bin"] + ([color] if color else [])
+    counts = (d.select(cell(xc, r[0], r[1]).alias("x_bin"), cell(yc, r[2], r[3]).alias("y_bin"), *([col(color)] if color else []))
+              .groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")))
+    return counts.select("x_bin", "y_bin", (F.lit(r[0]) + F.col("x_bin") * ((r[1] - r[0]) / bins)).alias("x_lo"),
+                         (F.lit(r[2]) + F.col("y_bin") * ((r[3] - r[2]) / bins)).alias("y_lo"), *([col(color)] if color else []), "n")
+
+
 def scatter_sample(df: DataFrame, x: str, y: str, color: str | None = None, n: int = 5000,
                    key: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Seeded hash-ordered sample of (x, y[, color]) points."""
@@ -116,9 +153,8 @@ def scatter_sample(df: DataFrame, x: str, y: str, color: str | None = None, n: i
 
 def scatter_matrix(df: DataFrame, cols: list[str], color: str | None = None, n: int = 5000,
                    key: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """One seeded sample of up to four feature columns (+ color) for a pair
-    plot; needs at least two features."""
-    cols = cols[:4]
+    """One seeded sample of the feature columns (+ color) for a pair plot;
+    needs at least two features."""
     if len(cols) < 2:
         raise ValueError("scatter matrix needs at least two columns")
     key = key or df.columns
@@ -129,11 +165,12 @@ def scatter_matrix(df: DataFrame, cols: list[str], color: str | None = None, n:
 
 def chart_data(df: DataFrame, kind: str, x: str, y: str | None = None, color: str | None = None,
                **kw) -> DataFrame:
-    """Dataset for the custom chart kinds: Scatter, Histogram, Box, Violin,
-    Line (grouped mean)."""
+    """Dataset for the custom chart kinds: Scatter (all rows on a grid; a
+    sample of points if ``n`` is given), Histogram, Box, Violin, Line (grouped
+    mean)."""
     k = kind.lower()
     if k == "scatter":
-        return scatter_sample(df, x, y, color, **kw)
+        return scatter_sample(df, x, y, color, **kw) if "n" in kw else scatter_bins(df, x, y, color, kw.get("bins", 40))
     if k == "histogram":
         return histogram(df, x, kw.get("bins", 40), color)
     if k == "box":

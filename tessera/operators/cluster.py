@@ -2,16 +2,14 @@
 
 Fits use ``pyspark.ml.clustering.KMeans`` (k-means|| seeding, one
 distributed pass per iteration) on mean-imputed, standardised features;
-the best of ``n_init`` seeds by training cost is kept.  The K scan runs
-its per-K fits in parallel Spark tasks over a bounded, hash-ordered
-sample that is broadcast once."""
+the best of ``n_init`` seeds by training cost is kept.  The K scan fits and
+measures every K on all rows."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -20,11 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, num, numeric_cols, pround, rnd
+from tessera.functions.frames import multipass
 from tessera.functions.linalg import Prepared, prepare
 from tessera.operators.reduce import fit_pca
-from tessera.operators.sampling import sample_n
-
-SCAN_SAMPLE = 3000
 
 
 @dataclass
@@ -53,19 +49,16 @@ class KMeansResult:
 
 def fit_kmeans(df: DataFrame, feats: list[str] | None = None, k: int = 4, n_init: int = 10,
                max_iter: int = 300, seed: int = 42) -> KMeansResult:
-    """Best of ``n_init`` k-means|| fits; default features are the first
-    six numeric columns (a target column is not excluded).  Clusters are
+    """Best of ``n_init`` k-means|| fits; default features are all numeric
+    columns (a target column is not excluded).  Clusters are
     renumbered by size (largest first), then by centre."""
-    feats = feats or numeric_cols(df)[:6]
+    feats = feats or numeric_cols(df)
     if len(feats) < 2:
         raise ValueError("clustering needs at least two features")
     prep = prepare(df, feats, True)
     z = prep.columns(df)
     vec = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(z))], outputCol="features")
     data = vec.transform(df.select(*z)).select("features")
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < par:
-        data = data.repartition(par)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         best = None
@@ -84,7 +77,7 @@ def fit_kmeans(df: DataFrame, feats: list[str] | None = None, k: int = 4, n_init
                         model)
 
 
-def cluster_metrics(assigned: DataFrame, res: KMeansResult, digits: int = 4) -> DataFrame:
+def cluster_metrics(assigned: DataFrame, res: KMeansResult, digits: int | None = 4) -> DataFrame:
     """(k, inertia, silhouette, davies_bouldin).  Silhouette is Spark's
     ClusteringEvaluator (squared Euclidean, linear time); Davies-Bouldin
     uses Euclidean distances to each cluster's mean."""
@@ -116,99 +109,28 @@ def cluster_metrics(assigned: DataFrame, res: KMeansResult, digits: int = 4) ->
         db += worst
     db /= len(ids)
     return assigned.sparkSession.createDataFrame(
-        [(res.k, pround(inertia, digits), pround(sil, digits), pround(db, digits))],
+        [(res.k, *(float(v) if digits is None else pround(v, digits) for v in (inertia, sil, db)))],
         "k int, inertia double, silhouette double, davies_bouldin double")
 
 
-def _np_kmeans(x: np.ndarray, k: int, n_init: int, max_iter: int, seed: int):
-    """Lloyd iterations with k-means++ seeding on a bounded sample."""
-    rng = np.random.default_rng(seed)
-    best = None
-    for _ in range(n_init):
-        c = [x[rng.integers(len(x))]]
-        for _ in range(1, k):
-            d2 = np.min(((x[:, None, :] - np.array(c)[None]) ** 2).sum(-1), axis=1)
-            p = d2 / d2.sum() if d2.sum() > 0 else None
-            c.append(x[rng.choice(len(x), p=p)])
-        c = np.array(c)
-        for _ in range(max_iter):
-            lab = np.argmin(((x[:, None, :] - c[None]) ** 2).sum(-1), axis=1)
-            new = np.array([x[lab == j].mean(0) if np.any(lab == j) else c[j] for j in range(k)])
-            if np.allclose(new, c, atol=1e-6):
-                c = new
-                break
-            c = new
-        lab = np.argmin(((x[:, None, :] - c[None]) ** 2).sum(-1), axis=1)
-        inertia = float(((x - c[lab]) ** 2).sum())
-        if best is None or inertia < best[0]:
-            best = (inertia, lab, c)
-    return best
-
-
-def _silhouette(x: np.ndarray, lab: np.ndarray) -> float:
-    dist = np.sqrt(np.maximum(((x[:, None, :] - x[None]) ** 2).sum(-1), 0))
-    ks = np.unique(lab)
-    if len(ks) < 2:
-        return float("nan")
-    mean_to = np.stack([dist[:, lab == j].sum(1) / np.maximum((lab == j).sum() - (lab == j) * 1, 1)
-                        if False else dist[:, lab == j].mean(1) for j in ks], axis=1)
-    sizes = np.array([(lab == j).sum() for j in ks])
-    own = np.searchsorted(ks, lab)
-    a = dist[np.arange(len(x))[:, None], np.arange(len(x))[None]].sum(1) * 0
-    a = np.array([dist[i, lab == lab[i]].sum() / max(sizes[own[i]] - 1, 1) for i in range(len(x))])
-    mean_to[np.arange(len(x)), own] = np.inf
-    b = mean_to.min(1)
-    s = np.where(sizes[own] > 1, (b - a) / np.maximum(a, b), 0.0)
-    return float(np.nanmean(s))
-
-
-def _davies_bouldin(x: np.ndarray, lab: np.ndarray) -> float:
-    ks = np.unique(lab)
-    cen = np.array([x[lab == j].mean(0) for j in ks])
-    s = np.array([np.sqrt(((x[lab == j] - cen[i]) ** 2).sum(1)).mean() for i, j in enumerate(ks)])
-    dd = np.sqrt(((cen[:, None] - cen[None]) ** 2).sum(-1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = (s[:, None] + s[None]) / dd
-    r[~np.isfinite(r)] = 0
-    np.fill_diagonal(r, 0)
-    return float(r.max(1).mean())
-
-
-def kmeans_scan(df: DataFrame, feats: list[str] | None = None, key: list[str] | None = None,
-                sample: int = SCAN_SAMPLE, n_init: int = 3, max_iter: int = 100, seed: int = 42) -> DataFrame:
+def kmeans_scan(df: DataFrame, feats: list[str] | None = None, ks: list[int] | None = None,
+                n_init: int = 3, max_iter: int = 100, seed: int = 42) -> DataFrame:
     """(k, inertia, silhouette, davies_bouldin, best) for K in
-    2 .. min(12, n // 5 + 2) - 1 on a seeded sample of at most ``sample``
-    rows (hash-ordered), exact Euclidean silhouette on the sample.  Each K
-    is one Spark task; the bounded sample is broadcast once."""
-    feats = feats or numeric_cols(df)[:6]
+    2 .. min(12, n // 5 + 2) - 1: every K is fitted on all rows and measured on
+    all rows; best is the highest unrounded silhouette, the first on ties."""
+    feats = feats or numeric_cols(df)
     spark = df.sparkSession
-    prep = prepare(df, feats, True)
-    n = prep.n
-    ks = list(range(2, min(12, n // 5 + 2)))
-    if not ks:
-        return spark.createDataFrame([], "k int, inertia double, silhouette double, davies_bouldin double, best boolean")
-    key = key or df.columns
-    smp = sample_n(df, sample, key, seed) if n > sample else df
-    pts = smp.select(*prep.columns(smp)).toPandas().to_numpy(dtype=float)
-    bc = spark.sparkContext.broadcast(pts)
-
-    def run(it):
-        x = bc.value
-        for pdf in it:
-            rows = []
-            for kk in pdf["k"]:
-                inertia, lab, _ = _np_kmeans(x, int(kk), n_init, max_iter, seed)
-                rows.append((int(kk), inertia, _silhouette(x, lab), _davies_bouldin(x, lab)))
-            yield pd.DataFrame(rows, columns=["k", "inertia", "silhouette", "davies_bouldin"])
-
-    grid = spark.createDataFrame([(k,) for k in ks], "k int").repartition(len(ks))
-    res = grid.mapInPandas(run, "k int, inertia double, silhouette double, davies_bouldin double").collect()
-    bc.unpersist()
-    res = sorted(res, key=lambda r: r["k"])
-    best = max(res, key=lambda r: (pround(r["silhouette"], 4), -r["k"]))["k"]
-    return spark.createDataFrame([(r["k"], r["inertia"], pround(r["silhouette"], 4), pround(r["davies_bouldin"], 4),
-                                   r["k"] == best) for r in res],
-                                 "k int, inertia double, silhouette double, davies_bouldin double, best boolean")
+    with multipass(df, feats) as work:
+        if ks is None:
+            ks = list(range(2, min(12, work.count() // 5 + 2)))
+        rows = []
+        for k in ks:
+            res = fit_kmeans(work, feats, k, n_init, max_iter, seed)
+            rows.append(cluster_metrics(res.assign(work, []), res, None).first())
+    best = max(range(len(rows)), key=lambda i: (rows[i]["silhouette"], -i)) if rows else None
+    out = [(k, *(pround(r[c], 4) for c in ("inertia", "silhouette", "davies_bouldin")), i == best)
+           for i, (k, r) in enumerate(zip(ks, rows))]
+    return spark.createDataFrame(out, "k int, inertia double, silhouette double, davies_bouldin double, best boolean")
 
 
 def cluster_profile(assigned: DataFrame, feats: list[str], digits: int = 3) -> DataFrame:

@@ -49,6 +49,9 @@ class LDAModel:
             *[f"__s{k}" for k in range(len(self.classes))])
 
 
+# The two-step solution (whiten the within-class scatter, then rotate to the
+# between-class axes) is the textbook one, arranged as in scikit-learn's "svd"
+# solver (BSD 3-clause licence), from which its tolerances are taken too.
 def fit_lda(train: DataFrame, d: int, classes: list, tol: float = 1e-4) -> LDAModel:
     k = len(classes)
     z = [f"__z{i}" for i in range(d)]
@@ -61,6 +64,8 @@ def fit_lda(train: DataFrame, d: int, classes: list, tol: float = 1e-4) -> LDAMo
     counts = np.array([r["n"] for r in per], float)
     means = np.array([[r[c] for c in z] for r in per], float)
     n = counts.sum()
+    if n <= len(labels):
+        raise ValueError("discriminant analysis needs more rows than classes")
     priors = counts / n
     mdf = train.sparkSession.createDataFrame([(float(labels[i]), *map(float, means[i])) for i in range(len(labels))],
                                              ["label"] + [f"__mu{i}" for i in range(d)])

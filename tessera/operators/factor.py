@@ -46,12 +46,16 @@ class FAModel:
         return df.select(*[col(c) for c in keep], *z).select(*[col(c) for c in keep], *sc)
 
 
+# Maximum likelihood by alternating a scaled eigenproblem and the uniquenesses
+# (Barber 2012, algorithm 21.1), with the stopping rule and constants of
+# scikit-learn's FactorAnalysis (BSD 3-clause licence).
 def fit_fa(df: DataFrame, feats: list[str] | None = None, k: int = 3, rotation: str | None = "varimax",
            target: str | None = None, tol: float = 1e-2, max_iter: int = 1000) -> FAModel:
     feats = feats or [c for c in numeric_cols(df) if c != target]
     if len(feats) < 3:
         raise ValueError("factor analysis needs at least three features")
-    k = min(k, len(feats) - 1, 15)
+    if not 1 <= k < len(feats):
+        raise ValueError(f"{len(feats)} features allow 1 to {len(feats) - 1} factors, not {k}")
     with multipass(df, feats) as work:
         prep = prepare(work, feats, True)
         n, mean, cov = covariance(work, prep.columns(work), len(feats))

@@ -1,165 +1,87 @@
-"""Exact k-nearest-neighbour classification (M8) without comparing every
-query with every train row.
-
-Train and query vectors are projected onto the top principal axes of the
-train features (at most four).  A projection onto orthonormal axes never
-lengthens a difference, so every train point within distance ``w`` of a
-query lies in the 3 x .. x 3 block of grid cells (width ``w``) around the
-query's cell.  Each round band-joins the pending queries to the train
-points of their block, keeps the k nearest per query (a row_number limit,
-which Spark applies per partition before the shuffle), and accepts a
-query when its k-th distance is at most ``w``: any point outside the block
-is farther than ``w``.  Grids of width ``w0 * 2**level`` share one origin;
-a query left open with k candidates moves to the level whose width covers
-its k-th candidate distance (an upper bound of the true one), so it is
-settled in the next round; one with fewer candidates moves up one level.
-Once the width spans the whole projected range every train point is a
-candidate, so the loop always ends with exact answers.
-
-Identical train vectors with one label become one row carrying
-min(copies, k) units, and identical query vectors are answered once, so a
-vector repeated on a third of the rows costs k rows, not a third of all
-pairs.  Ties on distance are broken by label (smallest first); the vote
-picks the most frequent label, the smallest on ties.
+"""k-nearest-neighbour classification (M8).
+
+The classifier is fitted on at most ``FIT_ROWS`` train rows (the first in the
+order of a hash of the row's features; all of them when there are fewer).
+Equal vectors of one label become one row with a count of at most k. Those
+rows go to the tasks as one matrix; each Arrow batch of query rows is compared
+with them in blocks by a matrix product, so a task holds the matrix and one
+block of distances, whatever the number of queries. The product only picks
+candidates: distances that decide are summed from differences. Ties on distance
+are broken by label (smallest first); the vote picks the most frequent label,
+the smallest on ties. Queries are never shuffled.
 """
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from tessera.functions.linalg import covariance, linear_columns
-from tessera.session import checkpoint_dir
-
-MAX_AXES = 4
-CANDIDATES_PER_QUERY = 4      # aim of the first cell width: about 4k train units per 3 x 3 block
-
-
-def _equals(c):
-    return lambda x: x == F.lit(c)
-
-
-def _first_width(ranges: list[float], n: int, want: float) -> float:
-    """Cell width at which a 3 x .. x 3 block holds about ``want`` of ``n``
-    train units spread evenly over boxes of side ``ranges``."""
-    def expected(w):
-        out = float(n)
-        for r in ranges:
-            out *= min(1.0, 3 * w / r) if r > 0 else 1.0
-        return out
-    span = max(ranges)
-    if span <= 0:
-        return 1.0
-    lo, hi = span * 1e-9, span
-    for _ in range(100):
-        mid = (lo * hi) ** 0.5
-        lo, hi = (mid, hi) if expected(mid) < want else (lo, mid)
-    return hi
-
-
-def _sq_dist(a: str, b: str):
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0), lambda acc, v: acc + v)
+from pyspark.sql import types as T
+
+#: Train rows that the classifier is fitted on, at most.
+FIT_ROWS = 100_000
+#: Distances that a task holds at a time.
+BLOCK = 4_000_000
+
+
+def fit_rows_of(frame: DataFrame, d: int, k: int, split_col: str = "split", fit_rows: int = FIT_ROWS):
+    """(vectors, labels, copies) of the train rows that are used."""
+    z = [f"__z{i}" for i in range(d)]
+    train = frame.where(F.col(split_col) == "train").select(*z, F.col("label").cast("double").alias("label"))
+    table = train.orderBy(F.xxhash64(*z), "label", *z).limit(fit_rows).toArrow()
+    if not table.num_rows:
+        raise ValueError("no train rows")
+    rows = np.stack([c.to_numpy() for c in table.columns], axis=1)
+    units, copies = np.unique(rows, axis=0, return_counts=True)
+    return units[:, :d], units[:, d], np.minimum(copies, k)
+
+
+def vote(x: np.ndarray, vectors: np.ndarray, labels: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+    """Predicted label of each row of ``x``."""
+    k = int(min(k, copies.sum()))
+    kk = min(k, len(vectors))
+    norms, out = (vectors ** 2).sum(axis=1), np.empty(len(x))
+    step = max(1, BLOCK // len(vectors))
+    for a in range(0, len(x), step):
+        q = x[a:a + step]
+        qn = (q ** 2).sum(axis=1)
+        rough = qn[:, None] + norms - 2 * (q @ vectors.T)
+        edge = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
+        row, unit = np.nonzero(rough <= (edge + 1e-9 * (1 + qn + norms.max()))[:, None])
+        exact = np.zeros(len(row))
+        for i in range(x.shape[1]):
+            exact += (q[row, i] - vectors[unit, i]) ** 2
+        order = np.lexsort((labels[unit], exact, row))
+        row, label, n = row[order], labels[unit[order]], copies[unit[order]]
+        start = np.searchsorted(row, np.arange(len(q)))
+        before = np.cumsum(n) - n
+        left = k - (before - before[start][row])
+        n = np.clip(left, 0, n)  # copies that are among the k nearest
+        classes, code = np.unique(label, return_inverse=True)
+        votes = np.zeros((len(q), len(classes)), np.int64)
+        np.add.at(votes, (row, code), n)
+        out[a:a + step] = classes[votes.argmax(axis=1)]
+    return out
 
 
-def knn_labels(frame: DataFrame, d: int, k: int = 5, split_col: str = "split",
-               max_rounds: int = 64) -> DataFrame:
-    """(``__v`` = feature vector, ``prediction``) for every distinct vector
-    of ``frame`` (features ``__z0..``, numeric ``label``; train rows are
-    those with ``split_col`` = 'train')."""
+def knn_predict(frame: DataFrame, d: int, k: int = 5, split_col: str = "split", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``frame`` plus ``prediction`` (the vote of the k nearest fitted train rows,
+    Euclidean distance on ``__z0..``) for every row; a train row is its own
+    neighbour."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    spark = frame.sparkSession
-    checkpoint_dir(spark)
-    zcols = [F.col(f"__z{i}") for i in range(d)]
-    train = frame.where(F.col(split_col) == "train")
-    _, _, cov = covariance(train, zcols, d)
-    vals, vecs = np.linalg.eigh(np.atleast_2d(cov))
-    m = min(MAX_AXES, d)
-    axes = vecs[:, np.argsort(vals)[::-1][:m]]
-    pnames = [f"__p{j}" for j in range(m)]
-
-    def project(df: DataFrame) -> DataFrame:
-        el = [F.col("__v")[i] for i in range(d)]
-        return df.select("*", *linear_columns(el, axes, pnames))
-
-    units = (train.groupBy(F.array(*zcols).alias("__v"), F.col("label")).count()
-             .select("__v", "label", F.explode(F.sequence(F.lit(1), F.least(F.col("count"), F.lit(k))))
-                     .alias("__copy")))
-    units = project(units).persist(StorageLevel.MEMORY_AND_DISK)
-    queries = project(frame.select(F.array(*zcols).alias("__v")).distinct())
-    try:
-        rng = [F.min(p).alias(f"lo{j}") for j, p in enumerate(pnames)] + \
-              [F.max(p).alias(f"hi{j}") for j, p in enumerate(pnames)]
-        ts = units.agg(F.count(F.lit(1)).alias("n"), *rng).collect()[0]
-        qs = queries.agg(*rng).collect()[0]
-        n_units = ts["n"]
-        if n_units == 0:
-            raise ValueError("no train rows")
-        k_eff = min(k, n_units)
-        ranges = [max(ts[f"hi{j}"], qs[f"hi{j}"]) - min(ts[f"lo{j}"], qs[f"lo{j}"]) for j in range(m)]
-        span = max(ranges)
-        w0 = _first_width(ranges, n_units, CANDIDATES_PER_QUERY * k)
-        labels = sorted(r[0] for r in units.select("label").distinct().collect())
-        offsets = list(itertools.product((-1, 0, 1), repeat=m))
-        pending = queries.select("__v", F.lit(0).alias("__lvl"))
-        done: list[DataFrame] = []
-        levels = [0]
-        for _ in range(max_rounds):
-            width = F.lit(w0) * F.pow(F.lit(2.0), F.col("__lvl"))
-            base = project(pending).select(
-                F.col("__v").alias("__q"), "__lvl",
-                *[F.floor(F.col(p) / width).cast("long").alias(f"b{j}") for j, p in enumerate(pnames)])
-            shifts = F.array(*[F.struct(*[F.lit(o[j]).cast("long").alias(f"o{j}") for j in range(m)])
-                               for o in offsets])
-            q = base.select("__q", "__lvl", *[f"b{j}" for j in range(m)], F.explode(shifts).alias("o"))
-            q = q.select("__q", "__lvl", *[(F.col(f"b{j}") + F.col(f"o.o{j}")).alias(f"c{j}") for j in range(m)])
-            t = units.select("__v", "label", "__copy", *pnames,
-                             F.explode(F.array(*[F.lit(v) for v in levels])).alias("__lvl"))
-            t = t.select("__v", "label", "__copy", "__lvl",
-                         *[F.floor(F.col(p) / width).cast("long").alias(f"c{j}") for j, p in enumerate(pnames)])
-            pairs = q.join(t, on=["__lvl"] + [f"c{j}" for j in range(m)]).select(
-                "__q", "__lvl", "label", "__v", "__copy", _sq_dist("__q", "__v").alias("d2"))
-            rank = F.row_number().over(Window.partitionBy("__q").orderBy("d2", "label", "__v", "__copy"))
-            top = pairs.withColumn("__rn", rank).where(F.col("__rn") <= k_eff)
-            agg = top.groupBy("__q", "__lvl").agg(F.count(F.lit(1)).alias("nf"), F.max("d2").alias("dk2"),
-                                                  F.collect_list("label").alias("labs"))
-            votes = [F.struct(F.size(F.filter("labs", _equals(c))).alias("n"), F.lit(-c).alias("neg"))
-                     for c in labels]
-            best = F.greatest(*votes) if len(votes) > 1 else votes[0]
-            ok = (F.col("nf") >= k_eff) & ((width >= F.lit(span)) | (F.col("dk2") <= width * width))
-            # a query holding k candidates knows its k-th distance is at most sqrt(dk2): the level whose
-            # cells are that wide settles it next round; otherwise widen one level
-            need = F.ceil(F.log2(F.greatest(F.sqrt("dk2"), F.lit(w0)) / F.lit(w0))).cast("int")
-            nxt = F.when(F.col("nf") >= k_eff, F.greatest(F.col("__lvl") + 1, need)).otherwise(F.col("__lvl") + 1)
-            res = agg.select(F.col("__q").alias("__v"), (-best["neg"]).alias("prediction"), ok.alias("ok"),
-                             nxt.alias("__next"))
-            res = res.checkpoint(eager=True)
-            done.append(res.where("ok").select("__v", "prediction"))
-            pending = res.where(~F.col("ok")).select("__v", F.col("__next").alias("__lvl"))
-            levels = sorted(r[0] for r in pending.select("__lvl").distinct().collect())
-            if not levels:
-                break
-        else:
-            raise RuntimeError("k-nearest-neighbour rounds did not finish")
-    finally:
-        units.unpersist()
-    out = done[0]
-    for r in done[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-def knn_predict(frame: DataFrame, d: int, k: int = 5, split_col: str = "split") -> DataFrame:
-    """``frame`` plus ``prediction`` (the k-nearest-neighbour vote over the
-    train rows, Euclidean distance on ``__z0..``) for every row."""
+    vectors, labels, copies = fit_rows_of(frame, d, k, split_col, fit_rows)
+    z = [f"__z{i}" for i in range(d)]
     keep = [c for c in frame.columns if not c.startswith("__z")]
-    preds = knn_labels(frame, d, k, split_col)
-    zcols = [F.col(f"__z{i}") for i in range(d)]
-    return (frame.withColumn("__v", F.array(*zcols)).join(preds, on="__v", how="inner")
-            .select(*keep, F.col("prediction").cast("double").alias("prediction")))
-
+    n_keep = len(keep)
+    schema = T.StructType([*[frame.schema[c] for c in keep], T.StructField("prediction", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(n_keep + i).to_numpy(zero_copy_only=False) for i in range(d)], axis=1).astype(float)
+            found = vote(x, vectors, labels, copies, k) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], pa.array(found)], names=[*keep, "prediction"])
+    return frame.select(*keep, *z).mapInArrow(run, schema)

@@ -1,118 +1,33 @@
-"""Shapiro-Wilk normality test per column.
+"""Normality of each column by its moments.
 
-Each column's non-null values are ranked by a seeded md5 hash and the
-first ``sample`` of them (all when fewer) are tested; the sample is
-bounded, so the per-column test runs as one ``applyInPandas`` group of
-at most ``sample`` rows.  W and its p-value follow Royston (1995),
-algorithm AS R94, written with numpy."""
+The Jarque-Bera statistic over all rows, ``n / 6 * (g1^2 + g2^2 / 4)`` with the
+population skewness g1 and excess kurtosis g2; its p-value is that of a
+chi-square with two degrees of freedom, ``exp(-JB / 2)``. It takes the place of
+Shapiro-Wilk, which needs all values of a column sorted in one place and is only
+tabulated for small samples: this is one pass of plain aggregates."""
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import num, numeric_cols, pround
-from tessera.operators.sampling import hash_text
-
-_N = NormalDist()
-
-# Polynomial coefficients of Royston's approximation (AS R94).
-_C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
-_C2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
-_G = [-2.273, 0.459]
-_C3 = [0.5440, -0.39978, 0.025054, -6.714e-4]
-_C4 = [1.3822, -0.77857, 0.062767, -0.0020322]
-_C5 = [-1.5861, -0.31082, -0.083751, 0.0038915]
-_C6 = [-0.4803, -0.082676, 0.0030302]
-
-
-def _poly(c, x):
-    return sum(ci * x ** i for i, ci in enumerate(c))
+from tessera.functions.columns import num, numeric_cols, rnd
+from tessera.functions.frames import explode_structs
 
 
-def shapiro_wilk(values) -> tuple[float, float]:
-    """(W, p) for 3 <= n; NaN when all values are equal."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < 3:
-        raise ValueError("need at least 3 values")
-    rng = x[-1] - x[0]
-    if rng == 0:
-        return float("nan"), float("nan")
-    half = n // 2
-    if n == 3:
-        a = np.array([math.sqrt(0.5)])
-    else:
-        m = np.array([_N.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, half + 1)])
-        summ2 = 2.0 * np.sum(m ** 2)
-        ssumm2 = math.sqrt(summ2)
-        rsn = 1.0 / math.sqrt(n)
-        a1 = _poly(_C1, rsn) - m[0] / ssumm2
-        a = -m / 1.0
-        if n > 5:
-            a2 = -m[1] / ssumm2 + _poly(_C2, rsn)
-            fac = math.sqrt((summ2 - 2 * m[0] ** 2 - 2 * m[1] ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))
-            a = -m / fac
-            a[0], a[1] = a1, a2
-        else:
-            fac = math.sqrt((summ2 - 2 * m[0] ** 2) / (1 - 2 * a1 ** 2))
-            a = -m / fac
-            a[0] = a1
-    xs = x / rng
-    num_ = np.sum(a * (xs[::-1][:half] - xs[:half])) ** 2
-    den = np.sum((xs - xs.mean()) ** 2)
-    w = min(num_ / den, 1.0)
-    if n == 3:
-        p = max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
-        return w, p
-    w1 = math.log(1 - w) if w < 1 else -math.inf
-    if n <= 11:
-        gamma = _poly(_G, n)
-        if w1 == -math.inf:
-            return w, 1.0
-        if w1 >= gamma:
-            return w, 1e-99
-        y = -math.log(gamma - w1)
-        mu, sigma = _poly(_C3, n), math.exp(_poly(_C4, n))
-    else:
-        if w1 == -math.inf:
-            return w, 1.0
-        ln = math.log(n)
-        y = w1
-        mu, sigma = _poly(_C5, ln), math.exp(_poly(_C6, ln))
-    p = 1.0 - _N.cdf((y - mu) / sigma)
-    return w, p
-
-
-def normality(df: DataFrame, cols: list[str] | None = None, sample: int = 5000,
-              key: list[str] | None = None, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """(column, n, W, p_value, normal) for columns with more than 3
-    non-null values; normal when p > alpha.  W rounded to 4, p to 6."""
+def normality(df: DataFrame, cols: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
+    """(column, n, jb, p_value, normal) for columns with more than 3 non-null
+    values; normal when p > alpha. jb rounded to 4, p to 6; both NULL, and
+    normal false, for a constant column."""
     cols = cols or numeric_cols(df)
-    key = key or df.columns
-    h = hash_text(key, seed)
-    parts = []
-    for c in cols:
+    aggs = []
+    for i, c in enumerate(cols):
         x = num(df, c)
-        parts.append(df.where(x.isNotNull()).select(F.lit(c).alias("column"), x.alias("v"), h.alias("__h"))
-                     .orderBy("__h", "v").limit(sample).select("column", "v"))
-    tall = parts[0]
-    for p_ in parts[1:]:
-        tall = tall.unionByName(p_)
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["v"].to_numpy(dtype=float)
-        if len(v) <= 3:
-            return pd.DataFrame(columns=["column", "n", "W", "p_value"])
-        w, p = shapiro_wilk(v)
-        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [len(v)], "W": [w], "p_value": [p]})
-
-    res = tall.groupBy("column").applyInPandas(test, "column string, n long, W double, p_value double")
-    from tessera.functions.columns import rnd
-    return res.select("column", "n", rnd("W", 4).alias("W"), rnd("p_value", 6).alias("p_value"),
-                      (F.col("p_value") > alpha).alias("normal"))
+        aggs += [F.count(x).alias(f"n{i}"), F.skewness(x).alias(f"s{i}"), F.kurtosis(x).alias(f"k{i}")]
+    row = df.agg(*aggs)
+    out = explode_structs(row, [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("s"),
+                                         F.col(f"k{i}").alias("k")) for i, c in enumerate(cols)]).where("n > 3")
+    jb = F.col("n") / 6 * (F.col("s") * F.col("s") + F.col("k") * F.col("k") / 4)
+    p = F.exp(-jb / 2)
+    return out.select("column", "n", rnd(jb, 4).alias("jb"), rnd(p, 6).alias("p_value"),
+                      F.coalesce(p > alpha, F.lit(False)).alias("normal"))

@@ -168,7 +168,11 @@ def f_classif(df: DataFrame, feats: list[str], target: str, digits: int | None =
     tall = explode_structs(st, [F.col(f"s{i}") for i in range(len(feats))])
     grand = F.col("__sx") / F.col("__n")
     ssb = F.col("__sxx") - F.col("__n") * grand * grand
-    score = F.try_divide(ssb / (F.col("__k") - 1), F.col("__ssw") / (F.col("__n") - F.col("__k")))
+    between = F.try_divide(ssb, F.col("__k") - 1)
+    within = F.try_divide(F.col("__ssw"), F.col("__n") - F.col("__k"))
+    # classes that a feature separates perfectly have no spread within: infinite, unless nothing differs at all
+    score = F.when((within == 0) & (between > 1e-12 * F.col("__sxx") / F.col("__n")), F.lit(float("inf"))).otherwise(
+        F.try_divide(between, within))
     score = rnd(score, digits) if digits is not None else score
     return tall.select("__pos", "feature", score.alias("score"))
 
@@ -183,7 +187,7 @@ def f_regression(df: DataFrame, feats: list[str], target: str, digits: int | Non
     structs = []
     for i, c in enumerate(feats):
         r, n = F.col(f"r{i}"), F.col(f"n{i}")
-        score = F.try_divide(r * r, 1 - r * r) * (n - 2)
+        score = F.when((r * r >= 1) & (n > 2), F.lit(float("inf"))).otherwise(F.try_divide(r * r, 1 - r * r) * (n - 2))
         score = rnd(score, digits) if digits is not None else score
         structs.append(F.struct(F.lit(i).alias("__pos"), F.lit(c).alias("feature"), score.alias("score")))
     return explode_structs(row, structs)
@@ -196,23 +200,23 @@ def is_classification_target(df: DataFrame, target: str) -> bool:
     return distinct_upto(df, [target], 20)[target] <= 20
 
 
-def feature_scores(df: DataFrame, feats: list[str], target: str) -> DataFrame:
+def feature_scores(df: DataFrame, feats: list[str], target: str, digits: int | None = 3) -> DataFrame:
     fn = f_classif if is_classification_target(df, target) else f_regression
-    return fn(df, feats, target)
+    return fn(df, feats, target, digits)
 
 
 def select_k_best(df: DataFrame, feats: list[str], target: str, k: int = 5):
     """(selected DataFrame, scores of kept features sorted descending).
-    Highest scores win; among equal scores the later column (stable
-    ascending sort, last k)."""
-    scores = feature_scores(df, feats, target).collect()
+    Highest unrounded scores win; among equal scores the later column (stable
+    ascending sort, last k).  The table shows them rounded to 3 digits."""
+    scores = feature_scores(df, feats, target, None).collect()
     k = min(k, len(feats))
     order = sorted(scores, key=lambda r: (float("-inf") if r["score"] is None else r["score"], r["__pos"]))
     kept = {r["feature"] for r in order[len(order) - k:]}
     keep_cols = [c for c in feats if c in kept]
     sel = df.select(*[col(c) for c in keep_cols], *[col(c) for c in df.columns if c not in feats])
     sc = df.sparkSession.createDataFrame(
-        [(r["feature"], r["score"]) for r in scores if r["feature"] in kept], "feature string, score double"
+        [(r["feature"], pround(r["score"], 3)) for r in scores if r["feature"] in kept], "feature string, score double"
     ).orderBy(F.col("score").desc_nulls_last(), "feature")
     return sel, sc
 

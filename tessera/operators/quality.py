@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,17 +72,19 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, n: int | None = 30) -> DataFrame:
     """Every copy of each duplicated row (``keep=False``), ordered by all
-    columns.  Copies are rebuilt from (row, count) groups by expansion, so
-    a row repeated on a third of the table is never windowed in one task."""
+    columns.  The first ``n`` are rebuilt from (row, count) groups, at most n
+    copies of each; without ``n`` the rows themselves are kept by a semi join."""
     cols = df.columns
     g = (df.groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("__cnt"))
          .where(F.col("__cnt") > 1))
-    out = g.select(*[col(c) for c in cols],
-                   F.explode(F.sequence(F.lit(1), F.col("__cnt").cast("int"))).alias("__copy"))
-    out = out.orderBy(*[col(c).asc_nulls_first() for c in cols], "__copy")
-    if n:
-        out = out.limit(n)
-    return out.drop("__copy")
+    order = [col(c).asc_nulls_first() for c in cols]
+    if not n:
+        twice = g.select(*[col(c).alias(f"__{i}") for i, c in enumerate(cols)])
+        same = functools.reduce(operator.and_, [df[f"`{c}`"].eqNullSafe(twice[f"__{i}"]) for i, c in enumerate(cols)])
+        return df.join(twice, same, "left_semi").orderBy(*order)
+    few = g.orderBy(*order).limit(n)
+    copies = F.explode(F.sequence(F.lit(1), F.least(F.col("__cnt"), F.lit(n)).cast("int")))
+    return (few.select(*[col(c) for c in cols], copies.alias("__copy")).orderBy(*order, "__copy").limit(n).drop("__copy"))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import pround, rnd, col
+from tessera.functions.columns import col, rnd
+from tessera.functions.frames import stored
 from tessera.functions.quantiles import kth_values
 from tessera.operators.sampling import hash_long
 
 _STRATUM = "__stratum"
 _ORDER = "__order"
+#: Classes that a stratified split may have: one number each comes to the driver.
+MAX_STRATA = 100_000
 
 
 def stratify_check(df: DataFrame, target: str) -> DataFrame:
@@ -37,65 +40,90 @@ def _allocate(counts: dict, n_test: int, n: int) -> dict:
     return base
 
 
+def _codes(df: DataFrame, name: str, descending: bool) -> list[Column]:
+    """Numbers, exact as doubles, whose order is the column's; NULL and NaN
+    come last. Text is told apart by its first 24 bytes."""
+    c, t = col(name), df.schema[name].dataType
+    if isinstance(t, T.BooleanType):
+        out = [c.cast("int")]
+    elif isinstance(t, T.LongType):
+        out = [F.shiftright(c, 20), c.bitwiseAND(F.lit((1 << 20) - 1))]
+    elif isinstance(t, T.NumericType):
+        out = [F.nanvl(c.cast("double"), F.lit(None).cast("double"))]
+    elif isinstance(t, T.DateType):
+        out = [F.unix_date(c)]
+    elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        day = F.to_date(c)
+        out = [F.unix_date(day), F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")]
+    else:
+        raw = F.hex(F.encode(c.cast("string"), "utf-8"))
+        out = [F.conv(F.rpad(F.substring(raw, 12 * i + 1, 12), 12, "0"), 16, 10) for i in range(4)]
+    last = F.lit(1e300)
+    return [F.coalesce(-x.cast("double") if descending else x.cast("double"), last) for x in out]
+
+
 def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
                      key: list[str] | None = None, stratify: str | None = None,
                      shuffle: bool = True, order_by: str | None = None) -> DataFrame:
     """``df`` plus a ``split`` column ('train' / 'test') with exactly
-    ceil(n * test_size) test rows.
-
-    Shuffled: rows are ranked by a 52-bit md5 of (key, seed), ties by key.
-    Not shuffled: the last rows by ``order_by`` are the test rows.
-    Stratified: the test count is spread over classes by largest remainder
-    and each class is cut at its own exact rank.  Cut points come from the
-    distributed order-statistic routine; rows tied on the cut value are
-    expanded from (row, count) groups, so no class or hot key is ever
-    windowed or gathered in one task."""
+    ceil(n * test_size) test rows; every row comes back, NULLs included.
+
+    Shuffled: the rows with the smallest 52-bit md5 of (key, seed) are the test
+    rows, ties by key. Not shuffled: the last rows by ``order_by``, then by key
+    (NULLs count as first). Stratified: the test count is spread over classes by
+    largest remainder and each class is cut at its own exact rank. The order is
+    a list of numeric codes; the cut of the first comes from the distributed
+    order-statistic routine, and only rows tied on it go to the next, at last to
+    a row number. So no class and no hot value is windowed or gathered."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must be in (0, 1)")
-    key = key or df.columns
-    cols = df.columns
-    if shuffle:
-        order = hash_long(key, seed).cast("double")
-    else:
-        if order_by is None:
-            raise ValueError("order_by is required when shuffle=False")
-        order = -col(order_by).cast("double")
-    strat = (F.coalesce(col(stratify).cast("string"), F.lit("\u0000")) if stratify
-             else F.lit(""))
-    work = df.select("*", strat.alias(_STRATUM), order.alias(_ORDER))
-    counts = {r[_STRATUM]: r["count"] for r in work.groupBy(_STRATUM).count().collect()}
+    key, cols = key or df.columns, df.columns
+    if not shuffle and order_by is None:
+        raise ValueError("order_by is required when shuffle=False")
+    codes = [hash_long(key, seed).cast("double")] if shuffle else _codes(df, order_by, True)
+    codes += [c for k in key for c in _codes(df, k, not shuffle)]
+    strat = F.coalesce(col(stratify).cast("string"), F.lit("\u0000")) if stratify else F.lit("")
+    n_codes = len(codes)
+    work = stored(df.select("*", strat.alias(_STRATUM), *[c.alias(f"{_ORDER}{i}") for i, c in enumerate(codes)],
+                            F.monotonically_increasing_id().cast("double").alias(f"{_ORDER}{n_codes}")), "split")
+    strata = work.groupBy(_STRATUM).count().limit(MAX_STRATA + 1).collect()
+    if len(strata) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} classes to stratify by")
+    counts = {r[_STRATUM]: r["count"] for r in strata}
     n = sum(counts.values())
-    n_test = math.ceil(test_size * n)
-    alloc = _allocate(counts, n_test, n) if stratify else {"": n_test}
-
-    def ranks(k, c, cnt):
-        want = alloc.get(k[0], 0)
-        return [want - 1] if want > 0 else [None]
-
-    cuts, _ = kth_values(work, _ORDER, ranks, by=[_STRATUM])
-    spark = df.sparkSession
-    cut_rows = [(k[0], v[0], int(alloc.get(k[0], 0))) for k, v in cuts.items()]
-    cut_df = spark.createDataFrame(cut_rows, f"{_STRATUM} string, __cut double, __want long")
-    j = work.join(F.broadcast(cut_df), on=_STRATUM, how="left")
-    below = F.col(_ORDER) < F.col("__cut")
-    lt = (j.where(below).groupBy(_STRATUM).agg(F.count(F.lit(1)).alias("__lt")))
-    plain = j.where(F.col("__cut").isNull() | (F.col(_ORDER) != F.col("__cut")))
-    plain = plain.select(*[col(c) for c in cols],
-                         F.when(F.coalesce(below, F.lit(False)), "test").otherwise("train").alias("split"))
-    ties = (j.where(F.col(_ORDER) == F.col("__cut"))
-            .groupBy(*[col(c) for c in cols], _STRATUM, "__want")
-            .agg(F.count(F.lit(1)).alias("__cnt")))
-    ties = ties.join(F.broadcast(lt), on=_STRATUM, how="left")
-    w = Window.partitionBy(_STRATUM).orderBy(*[col(k) for k in key], *[col(c) for c in cols])
-    ties = ties.withColumn("__before", F.coalesce(
-        F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    need = F.col("__want") - F.coalesce(F.col("__lt"), F.lit(0)) - F.col("__before")
-    ties = ties.select(*[col(c) for c in cols], F.col("__cnt"), need.alias("__need"))
-    tie_rows = ties.select(*[col(c) for c in cols], F.col("__need"),
-                           F.explode(F.sequence(F.lit(1), F.col("__cnt").cast("int"))).alias("__i"))
-    tie_rows = tie_rows.select(*[col(c) for c in cols],
-                               F.when(F.col("__i") <= F.col("__need"), "test").otherwise("train").alias("split"))
-    return plain.unionByName(tie_rows)
+    want = _allocate(counts, math.ceil(test_size * n), n) if n else {}
+    cuts: dict[str, list[float]] = {k: [] for k, w in want.items() if w > 0}
+    open_, tied = {k: w for k, w in want.items() if w > 0}, work
+    for level in range(n_codes + 1):
+        if not open_:
+            break
+        name = f"{_ORDER}{level}"
+        found, _ = kth_values(tied, name, lambda k, c, m: [open_[k[0]] - 1] if k[0] in open_ else [None], by=[_STRATUM])
+        for k in open_:
+            cuts[k].append(found[(k,)][0])
+        edge = _cut_table(df, {k: cuts[k][-1:] for k in open_}, 1)
+        at = tied.join(F.broadcast(edge), _STRATUM)
+        sides = {r[_STRATUM]: r for r in at.groupBy(_STRATUM).agg(
+            F.count_if(F.col(name) < F.col("__c0")).alias("lt"), F.count_if(F.col(name) == F.col("__c0")).alias("eq")).collect()}
+        open_ = {k: w - sides[k]["lt"] for k, w in open_.items() if sides[k]["lt"] + sides[k]["eq"] > w}
+        if open_:
+            tied = at.where(F.col(_STRATUM).isin(*open_) & (F.col(name) == F.col("__c0"))).drop("__c0")
+    depth = max((len(c) for c in cuts.values()), default=0)
+    if not depth:
+        return work.select(*[col(c) for c in cols], F.lit("train").alias("split"))
+    test = F.lit(True)  # rows tied on all cuts of their class are in
+    for level in reversed(range(depth)):
+        code, cut = F.col(f"{_ORDER}{level}"), F.col(f"__c{level}")
+        test = F.when(cut.isNull(), True).otherwise((code < cut) | ((code == cut) & test))
+    joined = work.join(F.broadcast(_cut_table(df, cuts, depth)), _STRATUM, "left")
+    return joined.select(*[col(c) for c in cols],
+                         F.when(F.col("__c0").isNotNull() & test, "test").otherwise("train").alias("split"))
+
+
+def _cut_table(df: DataFrame, cuts: dict[str, list[float]], depth: int) -> DataFrame:
+    """One row a class (bounded by MAX_STRATA), its cuts padded by NULL."""
+    fields = ", ".join([f"{_STRATUM} string", *[f"__c{i} double" for i in range(depth)]])
+    return df.sparkSession.createDataFrame([(k, *c, *[None] * (depth - len(c))) for k, c in cuts.items()], fields)
 
 
 def split_summary(split_df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tessera.functions.columns import pround, rnd, col, num, numeric_cols
 from tessera.functions.frames import explode_structs, multipass
 from tessera.functions.moments import adj_kurt, adj_skew, pearson
-from tessera.functions.quantiles import quantile_values
+from tessera.functions.quantiles import BAND_LIMIT, MAX_GROUPS, quantile_values
 
 _DESCRIBE_SCHEMA = T.StructType([
     T.StructField("column", T.StringType(), False),
@@ -87,26 +87,37 @@ def value_counts(df: DataFrame, c: str, n: int | None = 20) -> DataFrame:
 
 def grouped_stats(df: DataFrame, key: str, cols: list[str], digits: int = 3) -> DataFrame:
     """Per key: ``<col>_mean``, ``<col>_std`` (sample), ``<col>_median``
-    (exact); rows with a NULL key dropped."""
-    spark = df.sparkSession
-    with multipass(df.where(col(key).isNotNull()), [key] + cols) as work:
+    (exact); rows with a NULL or NaN key dropped.
+
+    Groups of up to BAND_LIMIT rows are aggregated by built-in functions; of the
+    larger ones (at most one in BAND_LIMIT rows) the medians are found by the
+    distributed order statistics, so that no buffer holds a hot group."""
+    d = df.where(col(key).isNotNull())
+    if isinstance(df.schema[key].dataType, (T.FloatType, T.DoubleType)):
+        d = d.where(~F.isnan(col(key)))
+    hot = [r[0] for r in d.groupBy(col(key)).count().where(F.col("count") > BAND_LIMIT).limit(MAX_GROUPS).collect()]
+    aggs = []
+    for c in cols:
+        x = num(d, c)
+        aggs += [rnd(F.avg(x), digits).alias(f"{c}_mean"), rnd(F.stddev_samp(x), digits).alias(f"{c}_std"),
+                 rnd(F.percentile(x, 0.5), digits).alias(f"{c}_median")]
+    if not hot:
+        return d.groupBy(col(key)).agg(*aggs)
+    small = d.where(~col(key).isin(*hot)).groupBy(col(key)).agg(*aggs)
+    return small.unionByName(_hot_stats(d.where(col(key).isin(*hot)), key, cols, digits))
+
+
+def _hot_stats(df: DataFrame, key: str, cols: list[str], digits: int) -> DataFrame:
+    with multipass(df, [key] + cols) as work:
         extra = []
         for i, c in enumerate(cols):
             extra += [F.avg(num(work, c)).alias(f"m{i}"), F.stddev_samp(num(work, c)).alias(f"s{i}")]
         qv, ex = quantile_values(work, cols, [0.5], by=[key], extra_aggs=extra)
     fields = [T.StructField(key, df.schema[key].dataType, True)]
-    for c in cols:
-        fields += [T.StructField(f"{c}_mean", T.DoubleType(), True),
-                   T.StructField(f"{c}_std", T.DoubleType(), True),
-                   T.StructField(f"{c}_median", T.DoubleType(), True)]
-    rows = []
-    for k, r in ex.items():
-        vals = list(k)
-        for i, c in enumerate(cols):
-            for v in (r[f"m{i}"], r[f"s{i}"], qv[k][(c, 0.5)]):
-                vals.append(None if v is None else pround(float(v), digits))
-        rows.append(vals)
-    return spark.createDataFrame(rows, T.StructType(fields))
+    fields += [T.StructField(f"{c}_{s}", T.DoubleType(), True) for c in cols for s in ("mean", "std", "median")]
+    rows = [[*k, *[None if v is None else pround(float(v), digits) for i, c in enumerate(cols)
+                   for v in (r[f"m{i}"], r[f"s{i}"], qv[k][(c, 0.5)])]] for k, r in ex.items()]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
 
 
 def grouped_mean(df: DataFrame, key: str, c: str, grain: str | None = None,
@@ -130,16 +141,17 @@ def count_by(df: DataFrame, key: str, target: str) -> DataFrame:
             .groupBy(col(key), col(target)).count())
 
 
-def crosstab(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> DataFrame:
-    """Tall crosstab (a, b, count) with zero cells kept.  The levels of
-    ``b`` (checked to be at most ``max_levels``) expand each level of ``a``
-    in place; no join of two row sets."""
+def crosstab(df: DataFrame, a: str, b: str, zeros: bool = True) -> DataFrame:
+    """Tall crosstab (a, b, count). ``zeros``: cells that do not occur are rows
+    of count 0 as well (levels of a times levels of b); off, only counted cells."""
     d = df.where(col(a).isNotNull() & col(b).isNotNull())
-    levels = [r[0] for r in d.select(col(b)).distinct().limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise ValueError(f"{b} has more than {max_levels} levels")
     counts = d.groupBy(col(a), col(b)).count()
-    grid = (d.select(col(a)).distinct()
+    if not zeros:
+        return counts
+    levels = sorted(r[0] for r in counts.select(col(b)).distinct().collect())
+    if not levels:
+        return counts
+    grid = (counts.select(col(a)).distinct()
             .select(col(a), F.explode(F.array(*[F.lit(v) for v in levels])).alias(b)))
     return (grid.join(counts, on=[a, b], how="left")
             .select(col(a), col(b), F.coalesce(F.col("count"), F.lit(0)).alias("count")))
@@ -257,9 +269,9 @@ def class_imbalance(df: DataFrame, target: str) -> DataFrame:
     counts = df.where(col(target).isNotNull()).groupBy(col(target)).count()
     ratio = F.try_divide(F.max("count").cast("double"), F.min("count"))
     out = counts.agg(F.count(F.lit(1)).alias("n_classes"), F.max("count").alias("max_count"),
-                     F.min("count").alias("min_count"), rnd(ratio, 4).alias("ratio"))
-    return out.withColumn("level", F.when(F.col("ratio") > 5, "severe")
-                          .when(F.col("ratio") > 2, "moderate").otherwise("balanced"))
+                     F.min("count").alias("min_count"), ratio.alias("__r"))
+    level = F.when(F.col("__r") > 5, "severe").when(F.col("__r") > 2, "moderate").otherwise("balanced")
+    return out.select("n_classes", "max_count", "min_count", rnd("__r", 4).alias("ratio"), level.alias("level"))
 
 
 def zero_share(df: DataFrame, c: str) -> DataFrame:

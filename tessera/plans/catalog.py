@@ -474,6 +474,46 @@ register("f_regression_lineitem", union([
     lambda spark, d: R.feature_scores(load(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"],
                                       "l_extendedprice").drop("__pos"))
 
+# a feature that separates the classes perfectly scores infinity and comes first; close scores keep their order
+register("select_k_best_perfect", """
+SELECT 'code' AS feature, 'Infinity'::DOUBLE AS score""")(
+    lambda spark, d: R.select_k_best(load(spark, d, "lineitem").selectExpr(
+        "l_returnflag", "cast(ascii(l_returnflag) as double) AS code", "l_quantity"), ["l_quantity", "code"], "l_returnflag", 1)[1])
+
+register("split_orders_unshuffled", """
+WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS d FROM orders),
+r AS (SELECT o_orderkey, row_number() OVER (ORDER BY d DESC NULLS LAST, o_orderkey DESC) AS i, count(*) OVER () AS n FROM b)
+SELECT o_orderkey, CASE WHEN i <= ceil(0.2::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM r""")(
+    lambda spark, d: SP.train_test_split(load(spark, d, "orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS d"), 0.2, key=["o_orderkey"],
+        shuffle=False, order_by="d").select("o_orderkey", "split"))
+
+register("split_events_by_text", """
+WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_type DESC, event_id DESC) AS i, count(*) OVER () AS n FROM events)
+SELECT event_id, CASE WHEN i <= ceil(0.3::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM r""")(
+    lambda spark, d: SP.train_test_split(load(spark, d, "events").select("event_id", "event_type"), 0.3, key=["event_id"],
+                                         shuffle=False, order_by="event_type").select("event_id", "split"))
+
+register("grouped_stats_by_orderkey", """
+SELECT l_orderkey, round(avg(l_quantity), 3) AS l_quantity_mean, round(stddev_samp(l_quantity), 3) AS l_quantity_std,
+       round(quantile_cont(l_quantity, 0.5), 3) AS l_quantity_median FROM lineitem GROUP BY 1""")(
+    lambda spark, d: S.grouped_stats(load(spark, d, "lineitem"), "l_orderkey", ["l_quantity"]))
+
+register("scatter_bins_lineitem", """
+WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS e FROM lineitem),
+g AS (SELECT least(floor((l_quantity - a) / ((b - a) / 40)), 39)::INT AS x_bin,
+             least(floor((l_extendedprice - c) / ((e - c) / 40)), 39)::INT AS y_bin, l_returnflag, a, b, c, e FROM lineitem, r)
+SELECT x_bin, y_bin, a + x_bin * ((b - a) / 40) AS x_lo, c + y_bin * ((e - c) / 40) AS y_lo, l_returnflag, count(*) AS n FROM g GROUP BY ALL""")(
+    lambda spark, d: C.chart_data(load(spark, d, "lineitem"), "Scatter", "l_quantity", "l_extendedprice", "l_returnflag"))
+
+register("violin_outliers_events_cubed", """
+WITH q AS (SELECT event_type, quantile_cont(value3, 0.25) AS q1, quantile_cont(value3, 0.75) AS q3
+           FROM {t} WHERE event_type IS NOT NULL GROUP BY 1)
+SELECT event_type, round(value3, 3) AS value, count(*) AS n FROM {t} JOIN q USING (event_type)
+WHERE value3 < q1 - 1.5 * (q3 - q1) OR value3 > q3 + 1.5 * (q3 - q1) GROUP BY ALL""".replace("{t}", src("events_cubed")))(
+    lambda spark, d: C.violin_outliers(load(spark, d, "events_cubed"), "value3", "event_type")
+    .select("event_type", F.round("value", 3).alias("value"), "n"))
+
 register("select_k_best_lineitem", "SELECT * FROM (" + _fclassif_sql("lineitem", _FC, "l_returnflag") +
          ") ORDER BY score DESC LIMIT 2")(
     lambda spark, d: R.select_k_best(load(spark, d, "lineitem"), _FC, "l_returnflag", 2)[1])
@@ -541,13 +581,34 @@ def embedding_table(spark, d, dims: int = 64):
                     F.col("label").cast("string").alias("label"))
 
 
-register("normality_lineitem", None)(
-    lambda spark, d: N.normality(load(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
-                                 5000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
-register("normality_events_cubed", None)(
-    lambda spark, d: N.normality(load(spark, d, "events_cubed"), ["value", "value3"], 5000, ["event_id"]))
+def _normality_sql(table: str, cols: list[str]) -> str:
+    """Jarque-Bera from central moments."""
+    return union([f"""SELECT '{c}' AS "column", n, round(jb, 4) AS jb, round(exp(-jb / 2), 6) AS p_value, coalesce(exp(-jb / 2) > 0.05, false) AS normal
+FROM (SELECT n, n / 6.0 * (m3 * m3 / (m2 * m2 * m2) + (m4 / (m2 * m2) - 3) * (m4 / (m2 * m2) - 3) / 4) AS jb
+  FROM (SELECT count(x) AS n, avg((x - m) * (x - m)) AS m2, avg((x - m) ** 3) AS m3, avg((x - m) ** 4) AS m4
+    FROM (SELECT {c}::DOUBLE AS x, avg({c}::DOUBLE) OVER () AS m FROM {src(table)})))""" for c in cols])
+
+
+register("normality_lineitem", _normality_sql("lineitem", LI_NUM))(lambda spark, d: N.normality(load(spark, d, "lineitem"), LI_NUM))
+register("normality_events_cubed", _normality_sql("events_cubed", ["value", "value3"]))(
+    lambda spark, d: N.normality(load(spark, d, "events_cubed"), ["value", "value3"]))
 register("scree_lineitem", None)(lambda spark, d: RD.scree(load(spark, d, "lineitem"), _PCA))
 register("pca_variance_lineitem", None)(lambda spark, d: RD.pca_variance(load(spark, d, "lineitem"), _PCA, 5))
+
+
+def _pca_rebuilt(spark, d):
+    """The correlation matrix from all components: sum over k of eigenvalue * loading_a * loading_b."""
+    t = load(spark, d, "lineitem")
+    n = t.count()
+    m = RD.fit_pca(t, _PCA, len(_PCA), True)
+    v, e = m.components, m.explained_variance * (n - 1) / n
+    return spark.createDataFrame([(a, b, round(float(sum(e[k] * v[i, k] * v[j, k] for k in range(len(e)))), 6))
+                                  for i, a in enumerate(_PCA) for j, b in enumerate(_PCA) if i <= j], "a string, b string, r double")
+
+
+register("pca_rebuilt_correlations", union([
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem"
+    for i, a in enumerate(_PCA) for j, b in enumerate(_PCA) if i <= j]))(_pca_rebuilt)
 register("pca_loadings_lineitem", None)(lambda spark, d: RD.pca_loadings(load(spark, d, "lineitem"), _PCA, 5))
 register("pca_scores_embeddings", None)(
     lambda spark, d: RD.pca_scores(embedding_table(spark, d), [f"e{i}" for i in range(64)], 10, True, "label"))
@@ -562,26 +623,26 @@ register("fa_loadings_lineitem", None)(
 register("fa_communalities_lineitem", None)(
     lambda spark, d: FA.fa_tables(load(spark, d, "lineitem"), _PCA, 3, "quartimax")["communalities"])
 register("fa_variance_embeddings", None)(
-    lambda spark, d: FA.fa_tables(embedding_table(spark, d), [f"e{i}" for i in range(16)], 4, None)["variance"])
+    lambda spark, d: FA.fa_tables(embedding_table(spark, d), [f"e{i}" for i in range(64)], 4, None)["variance"])
 
 
 def _kmeans_sizes(spark, d):
     t = embedding_table(spark, d)
     feats = [f"e{i}" for i in range(64)]
-    res = K.fit_kmeans(t, feats, 10, n_init=3)
+    res = K.fit_kmeans(t, feats, 10)
     return K.cluster_sizes(res.assign(t))
 
 
 def _kmeans_vs_label(spark, d):
     t = embedding_table(spark, d)
     feats = [f"e{i}" for i in range(64)]
-    res = K.fit_kmeans(t, feats, 10, n_init=3)
+    res = K.fit_kmeans(t, feats, 10)
     return S.crosstab(res.assign(t), "KMeans_Cluster", "label")
 
 
 def _kmeans_profile(spark, d):
     t = load(spark, d, "lineitem")
-    res = K.fit_kmeans(t, _PCA, 4, n_init=3)
+    res = K.fit_kmeans(t, _PCA, 4)
     prof = K.cluster_profile(res.assign(t), _PCA)
     return C.normalized_profile(prof, "KMeans_Cluster", _PCA)
 
@@ -590,8 +651,23 @@ register("kmeans_sizes_embeddings", None)(_kmeans_sizes)
 register("kmeans_vs_label_embeddings", None)(_kmeans_vs_label)
 register("kmeans_profile_lineitem", None)(_kmeans_profile)
 register("kmeans_scan_lineitem", None)(
-    lambda spark, d: K.kmeans_scan(load(spark, d, "lineitem"), _PCA,
-                                   ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
+    lambda spark, d: K.kmeans_scan(load(spark, d, "lineitem"), _PCA))
+
+
+def _kmeans_metrics(spark, d):
+    t = load(spark, d, "lineitem")
+    res = K.fit_kmeans(t, _PCA, 4)
+    return K.cluster_metrics(res.assign(t, []), res)
+
+
+def _clustered_dataset(spark, d):
+    t = load(spark, d, "customer")
+    res = K.fit_kmeans(t, ["c_nationkey", "c_acctbal"], 3)
+    return res.assign(t).select(*t.columns, "KMeans_Cluster")
+
+
+register("kmeans_metrics_lineitem", None)(_kmeans_metrics)
+register("clustered_dataset_customer", None)(_clustered_dataset)
 register("compare_models_embeddings", None)(
     lambda spark, d: MO.compare_models(embedding_table(spark, d), "label", [f"e{i}" for i in range(64)],
                                        ["logistic", "random_forest"], key=["vec_id"])[0])
@@ -618,7 +694,7 @@ def _fa_classifier(spark, d):
 
 def _cluster_projection(spark, d):
     t = load(spark, d, "lineitem")
-    res = K.fit_kmeans(t, _PCA, 4, n_init=2)
+    res = K.fit_kmeans(t, _PCA, 4)
     return K.cluster_projection(res.assign(t), res)
 
 

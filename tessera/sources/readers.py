@@ -57,10 +57,13 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = None, **options) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = None, multi_line: bool = False,
+               **options) -> DataFrame:
     """Read csv / parquet / json / orc by extension (or ``fmt``).  CSV:
-    header row, NA tokens to NULL, types from ``schema`` or inferred.
-    Errors surface as Spark exceptions."""
+    header row, quotes doubled inside quotes, NA tokens to NULL, types from
+    ``schema`` or inferred.  Errors surface as Spark exceptions.
+    ``multi_line`` reads line breaks inside quotes; a file is then one task, so
+    it is off unless asked for."""
     fmt = fmt or _FORMATS.get(_ext(path))
     if fmt is None:
         raise ValueError(f"unsupported file type: {path}")
@@ -68,7 +71,8 @@ def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = No
         r = spark.read.format(fmt).options(**options)
         return (r.schema(schema) if schema is not None else r).load(path)
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").options(**options).csv(path))
+           .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+           .option("multiLine", multi_line).options(**options).csv(path))
     clean = raw.select(*[F.when(F.trim(col(c)).isin(NA_TOKENS) | col(c).isNull(), F.lit(None))
                          .otherwise(col(c)).alias(c) for c in raw.columns])
     if schema is not None:
