@@ -1,17 +1,15 @@
 """Feature-matrix moments on Spark, small d x d algebra on the driver.
 
 Only d-length vectors and d x d matrices (d = number of features) reach
-the driver; the row-sized work is one statistics pass and one
-Gramian pass (``Correlation.corr`` runs a tree aggregate of BLAS updates
-in the JVM)."""
+the driver; the row-sized work is one statistics pass and one pass of sums
+of products."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,27 +51,53 @@ def prepare(df: DataFrame, feats: list[str], scale: bool = True) -> Prepared:
     return Prepared(feats, n, mean, mean.copy(), sd if scale else np.ones(len(feats)))
 
 
+#: Up to so many columns the sums of products are one aggregate in the JVM;
+#: beyond, a task forms them for its Arrow batches by a matrix product.
+WIDE = 12
+
+
 def covariance(df: DataFrame, cols: list[Column], n_cols: int):
-    """(n, column means, population covariance) of ``n_cols`` numeric
-    Columns without NULLs.  Variances from one aggregation, correlations
-    from the JVM Gramian; zero-variance features get zero rows."""
-    z = df.select(*cols)
+    """(n, column means, population covariance) of ``n_cols`` numeric Columns
+    without NULLs, from one pass of sums of products. Columns should be about
+    centred (as ``prepare`` makes them), so that nothing cancels."""
+    z = df.select(*[c.alias(f"__g{i}") for i, c in enumerate(cols)])
     names = z.columns
-    st = z.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
-               *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(names)]).collect()[0]
-    n = st["n"]
-    mean = np.array([st[f"m{i}"] or 0.0 for i in range(n_cols)])
-    var = np.array([st[f"v{i}"] or 0.0 for i in range(n_cols)])
-    if n_cols == 1:
-        return n, mean, var.reshape(1, 1)
-    vec = VectorAssembler(inputCols=names, outputCol="__v").transform(z).select("__v")
-    corr = Correlation.corr(vec, "__v").collect()[0][0].toArray()
-    corr = np.nan_to_num(corr, nan=0.0)
-    sd = np.sqrt(var)
-    cov = corr * np.outer(sd, sd)
+    pairs = [(i, j) for i in range(n_cols) for j in range(i, n_cols)]
+    if n_cols <= WIDE:
+        row = z.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)],
+                    *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs]).first()
+        n = row["n"]
+        sums = [row[f"s{i}"] or 0.0 for i in range(n_cols)]
+        products = {(i, j): row[f"p{i}_{j}"] or 0.0 for i, j in pairs}
+    else:
+        rows = (z.select(*[F.col(c).cast("double") for c in names]).mapInArrow(_products(n_cols), "i int, j int, s double")
+                .groupBy("i", "j").agg(F.sum("s").alias("s")).collect())
+        products = {(r["i"], r["j"]): r["s"] for r in rows}
+        n = int(products.get((n_cols, n_cols), 0))
+        sums = [products.get((i, n_cols), 0.0) for i in range(n_cols)]
+    mean = np.array(sums) / max(n, 1)
+    cov = np.zeros((n_cols, n_cols))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = products.get((i, j), 0.0) / max(n, 1) - mean[i] * mean[j]
+    flat = np.diag(cov) <= 1e-14 * np.maximum(1.0, mean ** 2)
+    cov[flat], cov[:, flat] = 0.0, 0.0
     return n, mean, cov
 
 
+def _products(d: int):
+    """Per task: sums of products of all pairs of columns and a column of ones."""
+    def run(batches):
+        total = np.zeros((d + 1, d + 1))
+        for b in batches:
+            x = np.stack([*[c.to_numpy(zero_copy_only=False) for c in b.columns], np.ones(b.num_rows)], axis=1)
+            total += x.T @ x
+        i, j = np.triu_indices(d + 1)
+        if total[d, d]:
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])],
+                                             names=["i", "j", "s"])
+    return run
+
+
 def fix_signs(vectors: np.ndarray) -> np.ndarray:
     """Make the largest-magnitude entry of each column positive."""
     v = vectors.copy()

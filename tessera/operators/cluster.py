@@ -8,6 +8,7 @@ measures every K on all rows."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import StorageLevel
@@ -61,13 +62,15 @@ def fit_kmeans(df: DataFrame, feats: list[str] | None = None, k: int = 4, n_init
     data = vec.transform(df.select(*z)).select("features")
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        best = None
-        for r in range(n_init):
+        data.count()
+
+        def one(r: int):
             m = KMeans(k=k, maxIter=max_iter, seed=seed + r, initMode="k-means||", tol=1e-4).fit(data)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (m, cost)
-        model, cost = best
+            return m.summary.trainingCost, r, m
+
+        # the restarts' many short jobs share the cluster; the first of equal costs wins
+        with ThreadPool(min(n_init, 4)) as pool:
+            cost, _, model = min(pool.map(one, range(n_init)), key=lambda x: x[:2])
         sizes = {r["prediction"]: r["count"] for r in model.transform(data).groupBy("prediction").count().collect()}
     finally:
         data.unpersist()

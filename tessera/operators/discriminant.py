@@ -12,11 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import numeric_cols, pround
+from tessera.functions.frames import stored
 from tessera.functions.linalg import covariance, fix_signs, linear_columns
 from tessera.operators import metrics as M
 from tessera.operators.models import model_frame
@@ -114,11 +114,11 @@ def lda_analysis(df: DataFrame, target: str, feats: list[str] | None = None, tes
         raise ValueError("LDA needs at least two classes")
     strat = target if can_stratify(frame, target) else None
     s = train_test_split(frame, test_size, seed, key=key or None, stratify=strat)
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    s = stored(s, "lda-split")
     model = fit_lda(s.where(F.col("split") == "train"), len(feats), classes)
     pred = model.predict(s)
-    scores = model.transform(pred, [target, "split", "label", "prediction"])
-    scores = scores.persist(StorageLevel.MEMORY_AND_DISK)
+    scores = model.transform(pred, list(dict.fromkeys([target, "split", "label", "prediction"])))
+    scores = stored(scores, "lda-scores")
     cum = np.cumsum(model.ratio)
     spark = df.sparkSession
     var = spark.createDataFrame([(f"LD{j + 1}", pround(model.ratio[j] * 100, 2), pround(cum[j] * 100, 2))

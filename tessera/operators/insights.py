@@ -160,7 +160,7 @@ def insights(df: DataFrame, target: str | None = None) -> DataFrame:
     rows = []
     for section in SECTIONS:
         said = [f for r in RULES if r.section == section for f in r.apply(found)]
-        rows += [(section, i, *f) for i, f in enumerate(said, 1)]
+        rows += [(section, i, code, text, pround(value, 4)) for i, (code, text, value) in enumerate(said, 1)]
     return df.sparkSession.createDataFrame(rows, SCHEMA)
 
 

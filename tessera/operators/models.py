@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, numeric_cols
+from tessera.functions.frames import stored
 from tessera.functions.linalg import prepare
 from tessera.operators import metrics as M
 from tessera.operators.neighbors import knn_predict
@@ -115,9 +116,7 @@ def fit_predict(name: str, split_df: DataFrame, d: int, seed: int = 42, rff_dim:
     from pyspark.ml.functions import array_to_vector
     keep = [c for c in split_df.columns if not c.startswith("__z")]
     if name == "knn":
-        pred = knn_predict(split_df, d, k=5).persist(StorageLevel.MEMORY_AND_DISK)
-        pred.count()
-        return pred
+        return stored(knn_predict(split_df, d, k=5), "predictions")
     if name == "svm":
         g = gamma if gamma is not None else 1.0 / max(d, 1)
         frame = with_rff(split_df, d, rff_dim, g, seed)
@@ -130,8 +129,7 @@ def fit_predict(name: str, split_df: DataFrame, d: int, seed: int = 42, rff_dim:
         train = frame.where(F.col("split") == "train")
         n_train = train.count()
         model = estimator(name, n_train, seed).fit(train)
-        pred = model.transform(frame).select(*keep, "prediction").persist(StorageLevel.MEMORY_AND_DISK)
-        pred.count()
+        pred = stored(model.transform(frame).select(*keep, "prediction"), "predictions")
     finally:
         frame.unpersist()
     return pred
@@ -166,11 +164,7 @@ def compare_models(df: DataFrame, target: str, feats: list[str] | None = None,
             rows.append((_NAMES[name], acc.get("train"), acc.get("test"), m["precision_macro"],
                          m["recall_macro"], m["f1_macro"]))
             if exact > best_acc:  # unrounded; the first wins ties
-                if best is not None:
-                    best[1].unpersist()
                 best, best_acc = (name, pred), exact
-            else:
-                pred.unpersist()
     finally:
         s.unpersist()
     table = df.sparkSession.createDataFrame(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,20 +26,36 @@ _FIXED_WIDTH = {
 }
 
 
-def _distinct_expr(df: DataFrame, name: str, approx: bool):
-    c = F.when(~is_missing(df, name), col(name))
-    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
+def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(position, n_distinct) of each column's values, NULL and NaN left out.
+
+    Values go into rows (position, value), one scan for whole numbers, one for
+    floating point and one for the rest; equal ones merge in the map tasks, and
+    only (position, value) is shuffled."""
+    cols = cols or df.columns
+    kinds: dict[str, list] = {}
+    for c in cols:
+        t = df.schema[c].dataType
+        kind = ("bigint" if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else
+                "double" if isinstance(t, (T.FloatType, T.DoubleType)) else "string")
+        value = F.hex(col(c)) if isinstance(t, T.BinaryType) else col(c).cast(kind)
+        value = F.when(~is_missing(df, c), value + F.lit(0.0) if kind == "double" else value)  # -0.0 is 0.0
+        kinds.setdefault(kind, []).append(F.struct(F.lit(df.columns.index(c)).alias("position"), value.alias("v")))
+    parts = [df.select(F.inline(F.array(*items))).where(F.col("v").isNotNull()).distinct()
+             .groupBy("position").agg(F.count(F.lit(1)).alias("n_distinct")) for items in kinds.values()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """One row per column: (position, column, dtype, non_null, nulls,
-    null_pct, n_distinct).  A single aggregation job; distinct counts ignore
-    NULL/NaN.  ``approx_distinct`` swaps the exact distinct counts (one
-    shuffle of (column, value) pairs) for HyperLogLog++ sketches."""
+    null_pct, n_distinct); distinct counts ignore NULL/NaN.
+    ``approx_distinct`` swaps the exact distinct counts for HyperLogLog++
+    sketches in the same pass as the null counts."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(df.columns):
         aggs.append(F.count_if(~is_missing(df, c)).alias(f"__nn{i}"))
-        aggs.append(_distinct_expr(df, c, approx_distinct).alias(f"__nd{i}"))
+        if approx_distinct:
+            aggs.append(F.approx_count_distinct(F.when(~is_missing(df, c), col(c))).alias(f"__nd{i}"))
     row = df.agg(*aggs)
     structs = []
     for i, f in enumerate(df.schema.fields):
@@ -49,8 +66,14 @@ def profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
             F.lit(dtype_name(f.dataType)).alias("dtype"),
             nn.alias("non_null"), nulls.alias("nulls"),
             rnd(F.try_divide(nulls * 100.0, F.col("__rows")), 2).alias("null_pct"),
-            F.col(f"__nd{i}").alias("n_distinct")))
-    return explode_structs(row, structs)
+            (F.col(f"__nd{i}") if approx_distinct else F.lit(0).cast("long")).alias("n_distinct")))
+    tall = explode_structs(row, structs)
+    if approx_distinct or not df.columns:
+        return tall
+    exact = distinct_counts(df).select("position", F.col("n_distinct").alias("__nd"))
+    return (tall.join(F.broadcast(exact), "position", "left")  # at most a row a column
+            .select("position", "column", "dtype", "non_null", "nulls", "null_pct",
+                    F.coalesce("__nd", "n_distinct").alias("n_distinct")))
 
 
 def sample_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

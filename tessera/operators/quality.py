@@ -21,22 +21,18 @@ def _row_missing(df: DataFrame):
 
 def quality_summary(df: DataFrame) -> DataFrame:
     """One row: rows, cols, total_missing, missing_pct, duplicate_rows,
-    complete_rows.  One aggregation over groups of identical rows (copies
-    are equal, so each group carries its per-row missing count once):
-    a single shuffle with map-side combine, robust to a hot duplicate."""
+    complete_rows.  Missing counts come from one plain aggregate without a
+    shuffle of rows; only the duplicate count groups whole rows (equal ones
+    merge in the map tasks)."""
     ncols = len(df.columns)
-    g = (df.groupBy(*[col(c) for c in df.columns])
-         .agg(F.count(F.lit(1)).alias("__cnt")) if ncols else None)
-    g = g.select("__cnt", _row_missing(g).alias("__miss"))
-    out = g.agg(
-        F.coalesce(F.sum("__cnt"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("__cnt") * F.col("__miss")), F.lit(0)).alias("total_missing"),
-        F.coalesce(F.sum(F.col("__cnt") - 1), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.sum(F.when(F.col("__miss") == 0, F.col("__cnt"))), F.lit(0)).alias("complete_rows"))
-    return out.select(
-        "rows", F.lit(ncols).alias("cols"), "total_missing",
-        rnd(F.try_divide(F.col("total_missing") * 100.0, F.col("rows") * ncols), 2).alias("missing_pct"),
-        "duplicate_rows", "complete_rows")
+    missing = _row_missing(df)
+    plain = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("total_missing"),
+                   F.count_if(missing == 0).alias("complete_rows")).first()
+    rows = F.lit(plain["rows"]).cast("long")
+    return duplicate_count(df).select(
+        rows.alias("rows"), F.lit(ncols).alias("cols"), F.lit(plain["total_missing"]).cast("long").alias("total_missing"),
+        rnd(F.try_divide(F.lit(plain["total_missing"] * 100.0), rows * ncols), 2).alias("missing_pct"),
+        "duplicate_rows", F.lit(plain["complete_rows"]).cast("long").alias("complete_rows"))
 
 
 def missing_by_column(df: DataFrame, n: int | None = None) -> DataFrame:

@@ -518,6 +518,13 @@ register("select_k_best_lineitem", "SELECT * FROM (" + _fclassif_sql("lineitem",
          ") ORDER BY score DESC LIMIT 2")(
     lambda spark, d: R.select_k_best(load(spark, d, "lineitem"), _FC, "l_returnflag", 2)[1])
 
+_SCALED = [("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_totalprice", "coalesce(o_totalprice, avg(o_totalprice) OVER ())")]
+register("preprocess_orders_nulls", f"""
+WITH i AS (SELECT o_orderstatus, o_orderpriority, {', '.join(f'({x})::DOUBLE AS {c}' for c, x in _SCALED)} FROM {src("orders_nulls")})
+SELECT {', '.join(f'round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) + 0.0 AS {c}' for c, _ in _SCALED)},
+  {', '.join(f"CASE WHEN o_orderstatus = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS o_orderstatus_{v}" for v in "FOP")}, o_orderpriority FROM i""")(
+    lambda spark, d: R.preprocess(load(spark, d, "orders_nulls"), target="o_orderpriority").select(
+        *[F.round(c, 6).alias(c) for c, _ in _SCALED], *[F.col(f"o_orderstatus_{v}") for v in "FOP"], "o_orderpriority"))
 register("preprocess_customer_nation", None)(
     lambda spark, d: R.preprocess(load(spark, d, "customer_nation"), target="r_name", feat_select=True, k_best=6))
 
@@ -626,22 +633,27 @@ register("fa_variance_embeddings", None)(
     lambda spark, d: FA.fa_tables(embedding_table(spark, d), [f"e{i}" for i in range(64)], 4, None)["variance"])
 
 
+def _spread(df):
+    """The supplied tables are single files: deal their rows out for iterative fits."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _kmeans_sizes(spark, d):
-    t = embedding_table(spark, d)
+    t = _spread(embedding_table(spark, d))
     feats = [f"e{i}" for i in range(64)]
     res = K.fit_kmeans(t, feats, 10)
     return K.cluster_sizes(res.assign(t))
 
 
 def _kmeans_vs_label(spark, d):
-    t = embedding_table(spark, d)
+    t = _spread(embedding_table(spark, d))
     feats = [f"e{i}" for i in range(64)]
     res = K.fit_kmeans(t, feats, 10)
     return S.crosstab(res.assign(t), "KMeans_Cluster", "label")
 
 
 def _kmeans_profile(spark, d):
-    t = load(spark, d, "lineitem")
+    t = _spread(load(spark, d, "lineitem"))
     res = K.fit_kmeans(t, _PCA, 4)
     prof = K.cluster_profile(res.assign(t), _PCA)
     return C.normalized_profile(prof, "KMeans_Cluster", _PCA)
@@ -651,11 +663,11 @@ register("kmeans_sizes_embeddings", None)(_kmeans_sizes)
 register("kmeans_vs_label_embeddings", None)(_kmeans_vs_label)
 register("kmeans_profile_lineitem", None)(_kmeans_profile)
 register("kmeans_scan_lineitem", None)(
-    lambda spark, d: K.kmeans_scan(load(spark, d, "lineitem"), _PCA))
+    lambda spark, d: K.kmeans_scan(_spread(load(spark, d, "lineitem")), _PCA))
 
 
 def _kmeans_metrics(spark, d):
-    t = load(spark, d, "lineitem")
+    t = _spread(load(spark, d, "lineitem"))
     res = K.fit_kmeans(t, _PCA, 4)
     return K.cluster_metrics(res.assign(t, []), res)
 
@@ -667,10 +679,101 @@ def _clustered_dataset(spark, d):
 
 
 register("kmeans_metrics_lineitem", None)(_kmeans_metrics)
+
+
+def _kmeans_check(spark, d):
+    """Each row has the nearest centre, each centre is its members' mean (as far as the fit's tolerance), sizes add up."""
+    t = _spread(load(spark, d, "lineitem").select(*_PCA))
+    res = K.fit_kmeans(t, _PCA, 4)
+    a = res.assign(t, []).persist()
+    z = [f"__z{i}" for i in range(len(_PCA))]
+    means = {r["cluster"]: r for r in a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in z]).collect()}
+    far = max(abs(means[k][c] - float(res.centers[k][i])) for k in means for i, c in enumerate(z))
+    dist = [F.round(sum(((F.col(c) - F.lit(float(res.centers[k][i]))) ** 2 for i, c in enumerate(z)), F.lit(0.0)), 9) for k in range(len(res.centers))]
+    own = F.element_at(F.array(*dist), F.col("cluster") + 1)
+    wrong = a.where(own > F.least(*dist)).count()
+    order = [means[k]["n"] for k in sorted(means)]
+    a.unpersist()
+    return spark.createDataFrame([(sum(order), len(means), wrong, far < 0.05, order == sorted(order, reverse=True))],
+                                 "rows long, clusters long, not_nearest long, centres_are_means boolean, largest_first boolean")
+
+
+register("kmeans_check_lineitem", """
+SELECT count(*) AS rows, 4 AS clusters, 0 AS not_nearest, true AS centres_are_means, true AS largest_first FROM lineitem""")(_kmeans_check)
+
+
+def _lda_check(spark, d):
+    """Scatter of the discriminant scores within classes, over all train rows: the identity; and n - classes as its weight."""
+    got = D.lda_analysis(embedding_table(spark, d), "label", [f"e{i}" for i in range(64)], key=["vec_id"])["scores"].where("split = 'train'")
+    axes = [c for c in got.columns if c.startswith("LD")][:3]
+    n, k = got.count(), got.select("label").distinct().count()
+    centred = got.join(got.groupBy("label").agg(*[F.avg(c).alias(f"m{c}") for c in axes]), "label")
+    aggs = [(F.sum((F.col(a) - F.col(f"m{a}")) * (F.col(b) - F.col(f"m{b}"))) / (n - k)).alias(f"{a}_{b}") for a in axes for b in axes]
+    row = centred.agg(*aggs).first()
+    return spark.createDataFrame([(a, b, abs(round(row[f"{a}_{b}"], 5))) for a in axes for b in axes], "a string, b string, within double")
+
+
+register("lda_check_embeddings", """
+SELECT 'LD' || a AS a, 'LD' || b AS b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END::DOUBLE AS within
+FROM range(1, 4) x(a), range(1, 4) y(b) WHERE (SELECT count(DISTINCT label) FROM embeddings) > 3""")(_lda_check)
+
+
+def _fa_check(spark, d):
+    """Communality plus uniqueness is a standardised variable's variance."""
+    m = FA.fit_fa(load(spark, d, "lineitem"), _PCA, 3, "varimax")
+    return spark.createDataFrame([(f, round(float((m.loadings[i] ** 2).sum() + m.psi[i]), 2)) for i, f in enumerate(_PCA)],
+                                 "variable string, variance double")
+
+
+register("fa_check_lineitem", union([
+    f"SELECT '{c}' AS variable, round(var_pop(z), 2) AS variance FROM (SELECT ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z FROM lineitem)"
+    for c in _PCA]))(_fa_check)
 register("clustered_dataset_customer", None)(_clustered_dataset)
 register("compare_models_embeddings", None)(
     lambda spark, d: MO.compare_models(embedding_table(spark, d), "label", [f"e{i}" for i in range(64)],
                                        ["logistic", "random_forest"], key=["vec_id"])[0])
+
+
+def _insight_sql(table: str, nums: list[str], others: list[str], target: str) -> str:
+    """Measures as rows (m, pos, v); each rule as a SELECT over them."""
+    t, cols = src(table), [*nums, *others]
+    quart = lambda c: (f"(SELECT quantile_cont({c}, 0.25) FROM {t})", f"(SELECT quantile_cont({c}, 0.75) FROM {t})")
+    facts = [f"SELECT 'rows' AS m, 0 AS pos, count(*)::DOUBLE AS v FROM {t}", f"SELECT 'columns', 0, {len(cols)}",
+             f"SELECT 'duplicate_rows', 0, sum(n - 1) FROM (SELECT count(*) AS n FROM {t} GROUP BY {', '.join(cols)})",
+             f"SELECT 'classes', 0, count(DISTINCT {target}) FROM {t}",
+             f"SELECT 'class_ratio', 0, max(n) / min(n) FROM (SELECT count(*) AS n FROM {t} WHERE {target} IS NOT NULL GROUP BY {target})"]
+    facts += [f"SELECT 'null_pct', {i}, 100.0 * (count(*) - count({c})) / count(*) FROM {t}" for i, c in enumerate(cols)]
+    facts += [f"SELECT 'abs_r', 0, corr({a}, {b}) FROM {t}" for i, a in enumerate(nums) for b in nums[i + 1:]]
+    for i, c in enumerate(nums):
+        lo, hi = quart(c)
+        facts += [f"SELECT 'outlier_pct', {i}, 100.0 * count_if({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({c}) "
+                  f"FROM (SELECT *, {lo} AS q1, {hi} AS q3 FROM {t})", f"SELECT 'skewness', {i}, skewness({c}) FROM {t}"]
+    rules = []
+    for n, r in enumerate(I.RULES):
+        m = "null_pct" if r.measure == "null_pct_worst" else r.measure
+        order = "abs(v) DESC" if r.measure in ("null_pct_worst", "abs_r") else "pos"
+        if m not in ("rows", "columns", "duplicate_rows", "classes", "class_ratio", "null_pct", "abs_r", "outlier_pct", "skewness"):
+            continue
+        upto = "" if r.upto == float("inf") else f" AND abs(v) <= {r.upto}"
+        hits = f"FROM f WHERE m = '{m}' AND abs(v) > {r.above}{upto}"
+        if r.measure == "null_pct_worst" and upto:  # the worst column itself must be in range
+            hits += f" AND v = (SELECT max(v) FROM f WHERE m = '{m}')"
+        head = f"SELECT '{r.section}' AS section, {n} AS n, '{r.code}' AS code"
+        if r.mode == "some":
+            rules.append(f"{head}, 0 AS i, count(*)::DOUBLE AS value {hits} HAVING count(*) > 0")
+        elif r.mode == "none":
+            rules.append(f"{head}, 0 AS i, NULL::DOUBLE AS value WHERE NOT EXISTS (SELECT 1 {hits})")
+        else:
+            rules.append(f"SELECT * FROM ({head}, row_number() OVER (ORDER BY {order}) AS i, v AS value {hits}) WHERE i <= {1 if r.mode == 'first' else r.limit}")
+    return (f"WITH f AS ({union(facts)}), r AS ({union(rules)})\nSELECT section, row_number() OVER (PARTITION BY section ORDER BY n, i) AS rank, "
+            "code, round(value, 4) AS value FROM r")
+
+
+register("insight_codes_events", _insight_sql("events_cubed", ["event_id", "user_id", "value", "value3"], ["event_type"], "event_type"))(
+    lambda spark, d: I.insights(load(spark, d, "events_cubed")).select("section", "rank", "code", "value"))
+register("insight_codes_lineitem_nulls", _insight_sql(
+    "lineitem_nulls", [c for c, t in LI_NULLS if t != "string"], ["l_returnflag", "l_linestatus"], "l_returnflag"))(
+    lambda spark, d: I.insights(load(spark, d, "lineitem_nulls"), "l_returnflag").select("section", "rank", "code", "value"))
 register("insights_events", None)(lambda spark, d: I.insights(load(spark, d, "events_cubed")))
 register("insights_text_lineitem_nulls", None)(
     lambda spark, d: I.insights_text(I.insights(load(spark, d, "lineitem_nulls"), "l_returnflag")))
@@ -693,7 +796,7 @@ def _fa_classifier(spark, d):
 
 
 def _cluster_projection(spark, d):
-    t = load(spark, d, "lineitem")
+    t = _spread(load(spark, d, "lineitem"))
     res = K.fit_kmeans(t, _PCA, 4)
     return K.cluster_projection(res.assign(t), res)
 
