@@ -7,6 +7,7 @@ measures every K on all rows."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -63,9 +64,11 @@ def fit_kmeans(df: DataFrame, feats: list[str] | None = None, k: int = 4, n_init
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         data.count()
+        # stop when the centres' squared moves add up to 1e-4 of a standardised variance; Spark bounds each centre's move
+        tol = math.sqrt(1e-4 / k)
 
         def one(r: int):
-            m = KMeans(k=k, maxIter=max_iter, seed=seed + r, initMode="k-means||", tol=1e-4).fit(data)
+            m = KMeans(k=k, maxIter=max_iter, seed=seed + r, initMode="k-means||", tol=tol).fit(data)
             return m.summary.trainingCost, r, m
 
         # the restarts' many short jobs share the cluster; the first of equal costs wins
