@@ -149,38 +149,11 @@ def _bracket_table(spark: SparkSession, by: list[str], key_types, groups: dict,
     return spark.createDataFrame(rows, T.StructType(fields))
 
 
-CHUNK = 48   # aggregate expressions per job: small generated methods compile and JIT faster
-
-
-def _aggregate(data: DataFrame, by: list[str], aggs: list[str], post: list[str], groups_of=None) -> list:
-    """Run ``aggs`` then ``post`` per group; wide lists are split by target
-    (``groups_of`` maps an alias suffix to its target) into jobs of about
-    CHUNK expressions, and the per-group results are merged."""
+def _aggregate(data: DataFrame, by: list[str], aggs: list[str], post: list[str]) -> list:
+    """Run ``aggs`` then ``post`` per group."""
     keys = ["`" + b.replace("`", "``") + "`" for b in by]
-
-    def run(a, p):
-        res = data.groupBy(*by).agg(*[F.expr(x) for x in a]) if by else data.selectExpr(*a)
-        return res.selectExpr(*keys, *p).collect()
-
-    if len(aggs) <= CHUNK or groups_of is None:
-        return [r.asDict() for r in run(aggs, post)]
-    batches, cur_a, cur_p = [], [], []
-    for tag in groups_of:
-        ta = [x for x in aggs if x.endswith(f"{tag}") or f"{tag} " in x.rsplit(" AS ", 1)[-1] + " "]
-        tp = [x for x in post if x.rsplit(" AS ", 1)[-1].strip() in groups_of[tag]]
-        if cur_a and len(cur_a) + len(ta) > CHUNK:
-            batches.append((cur_a, cur_p))
-            cur_a, cur_p = [], []
-        cur_a += ta
-        cur_p += tp
-    if cur_a:
-        batches.append((cur_a, cur_p))
-    merged: dict = {}
-    for a, p in batches:
-        for r in run(a, p):
-            d = r.asDict()
-            merged.setdefault(tuple(d[b] for b in by), {}).update(d)
-    return list(merged.values())
+    res = data.groupBy(*by).agg(*[F.expr(x) for x in aggs]) if by else data.selectExpr(*aggs)
+    return [r.asDict() for r in res.selectExpr(*keys, *post).collect()]
 
 
 def _with_brackets(df, by, slots, groups):

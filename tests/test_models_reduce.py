@@ -59,18 +59,20 @@ def test_kmeans_cost_falls_with_k(lineitem):
     assert costs[1] < costs[0]
 
 
-def test_shapiro_wilk_known_value():
-    w, p = N.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
-    assert w == pytest.approx(0.7888, abs=1e-4) and p == pytest.approx(0.0067, abs=2e-4)
-
-
-def test_normality_runs(lineitem):
-    r = N.normality(lineitem, ["l_quantity", "l_tax"], 1000, ["l_orderkey", "l_linenumber", "l_partkey"]).collect()
-    assert {x["column"] for x in r} == {"l_quantity", "l_tax"} and all(x["n"] == 1000 for x in r)
+def test_normality_equals_numpy(lineitem):
+    """The moment test that took the place of the sampled Shapiro-Wilk."""
+    got = {r["column"]: r for r in N.normality(lineitem, ["l_quantity", "l_extendedprice"]).collect()}
+    x = lineitem.select("l_quantity", "l_extendedprice").toPandas()
+    for c in x:
+        z = (x[c] - x[c].mean()) / x[c].std(ddof=0)
+        jb = len(z) / 6 * ((z ** 3).mean() ** 2 + ((z ** 4).mean() - 3) ** 2 / 4)
+        assert got[c]["n"] == len(z) and got[c]["jb"] == pytest.approx(jb, abs=1e-3)
+        assert got[c]["p_value"] == pytest.approx(np.exp(-jb / 2), abs=1e-6) and got[c]["normal"] == (np.exp(-jb / 2) > 0.05)
 
 
 def test_compare_models_logistic(lineitem):
     tab, best, pred = MO.compare_models(lineitem, "l_returnflag", FEATS, ["logistic"])
     r = tab.collect()[0]
-    assert 0 <= r["test_accuracy"] <= 1 and best == "logistic"
+    # return flags are drawn without regard to the features: near the share of the largest class
+    assert 0.2 < r["test_accuracy"] < 0.5 and best == "logistic"
     assert pred.count() == 1200
