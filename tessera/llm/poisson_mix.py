@@ -67,16 +67,16 @@ def mix(docs: DataFrame, weights: DataFrame, seed: int = SEED, id_col: str = "do
     the rows of each partition are in the order of the shuffle key."""
     of_source = written(rates(docs, weights, source_col), "rates")
     small = of_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    of_source = of_source.withColumnRenamed("source", "__source")
+    of_source = of_source.select(*[F.col(c).alias(f"__{c}") for c in of_source.columns])
     of_source = F.broadcast(of_source) if small else of_source
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     count = F.aggregate(
-        F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.size(F.filter(
-            F.col("cdf"), lambda c: c <= _uniform(F.lit(str(seed)), ident, j.cast("string"))))),
+        F.transform(F.sequence(F.lit(0), F.col("__pieces") - 1), lambda j: F.size(F.filter(
+            F.col("__cdf"), lambda c: c <= _uniform(F.lit(str(seed)), ident, j.cast("string"))))),
         F.lit(0), lambda a, b: a + b)
     own = [c for c in docs.columns if c not in ("n_copies", "copy", "rate", "shuffle_key")]
     copies = (docs.join(of_source, docs[source_col].eqNullSafe(of_source["__source"]))
-              .select(*own, count.alias("n_copies"), "rate").filter("n_copies > 0")
+              .select(*[docs[c] for c in own], count.alias("n_copies"), F.col("__rate").alias("rate")).filter("n_copies > 0")
               .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1))))
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("copy").cast("string")))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

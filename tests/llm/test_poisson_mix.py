@@ -62,6 +62,14 @@ def test_no_weight_no_rows_and_errors(spark):
         pm.mix(df, spark.createDataFrame([("s", -1.0)], "source string, weight double")).count()
 
 
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, "s", i, i, i, i) for i in range(20)],
+                               "doc_id long, source string, rate long, cdf long, pieces long, weight long")
+    got = pm.mix(df, spark.createDataFrame([("s", 1.0)], "source string, weight double"))
+    assert got.columns == ["doc_id", "source", "cdf", "pieces", "weight", "n_copies", "rate", "copy", "shuffle_key"]
+    assert all(r.cdf == r.pieces == r.weight == r.doc_id and r.rate == 1.0 for r in got.collect())
+
+
 def test_tempered_weights(spark):
     df = spark.createDataFrame([(i, "s" if i < 90 else "t") for i in range(100)], "doc_id long, source string")
     got = {r.source: r.weight for r in pm.tempered_weights(df).collect()}
