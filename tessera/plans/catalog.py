@@ -857,3 +857,16 @@ SELECT 'K-Nearest Neighbors' AS model,
 
 
 REGISTRY["compare_models_knn_embeddings"] = (REGISTRY["compare_models_knn_embeddings"][0], _knn_embeddings_sql())
+
+# the other kinds of the chart dispatcher, with the SQL of the operators they stand for
+for _name, _like, _args in (
+        ("chart_histogram_events", "histogram_events_value_by_type", ("events", "Histogram", "value", None, "event_type", {"bins": 30})),
+        ("chart_box_lineitem", "box_lineitem_price_by_flag", ("lineitem", "Box", None, "l_extendedprice", "l_returnflag", {})),
+        ("chart_violin_lineitem", "violin_lineitem_discount", ("lineitem", "Violin", None, "l_discount", "l_linestatus", {"bins": 20}))):
+    register(_name, REGISTRY[_like][1])(
+        lambda spark, d, a=_args: C.chart_data(load(spark, d, a[0]), a[1], a[2], a[3], a[4], **a[5]))
+
+# the best model's test predictions, row by row
+register("knn_predictions_embeddings", _knn_embeddings_sql().split("cnt AS (SELECT actual")[0].rstrip().rstrip(",")
+         + "\nSELECT actual, predicted FROM scored WHERE split = 'test'")(
+    lambda spark, d: MO.compare_models(embedding_table(spark, d), "label", [f"e{i}" for i in range(64)], ["knn"], key=["vec_id"])[2])

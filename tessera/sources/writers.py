@@ -7,19 +7,18 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """UTF-8 CSV with a header row (one file per partition)."""
-    df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
+    """UTF-8 CSV with a header row (one file per partition); quotes are doubled."""
+    df.write.mode(mode).option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
 
 
 def write_result(df: DataFrame, base: str, name: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     """Export a named result (processed, train, test, stats, loadings,
     predictions, clustered, ...) under ``base/name``."""
     path = f"{base.rstrip('/')}/{name}"
-    w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        write_csv(df, path, mode)
     else:
-        w.format(fmt).save(path)
+        df.write.mode(mode).format(fmt).save(path)
     return path
 
 

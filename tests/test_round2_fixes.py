@@ -150,3 +150,39 @@ def test_findings(spark):
     clean = I.insights(spark.range(10).selectExpr("id AS a", "id % 4 AS b"))
     assert {"missing_none", "duplicates_none", "outliers_ok"} <= {r.code for r in clean.collect()}
     assert I.insights(spark.createDataFrame([], "a double, b string")).count() > 0
+
+
+def test_kernel_machine_and_forest(spark):
+    """Rings: no line separates them."""
+    from tessera.operators import models as MO
+    df = spark.range(240).selectExpr(
+        "id", "(1 + id % 2 * 2) * cos(id * 0.7) AS a", "(1 + id % 2 * 2) * sin(id * 0.7) AS b", "if(id % 2 = 0, 'in', 'out') AS t")
+    table, best, pred = MO.compare_models(df, "t", ["a", "b"], ["logistic", "svm", "random_forest"], key=["id"])
+    acc = {r.model: r.test_accuracy for r in table.collect()}
+    assert acc["SVM"] > 0.95 and acc["Random Forest"] > 0.9 and acc["Logistic Regression"] < 0.8
+    assert best in ("svm", "random_forest") and pred.count() == 48 and set(pred.columns) == {"actual", "predicted"}
+
+
+def test_components_for_a_share_and_scores(spark, lineitem):
+    from tessera.operators import reduce as RD
+    m = RD.fit_pca(lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 4)
+    n = m.n_components_for(0.95)
+    assert sum(m.ratio[:n]) >= 0.95 > sum(m.ratio[:n - 1])
+    assert RD.fit_pca(lineitem, ["l_quantity", "l_discount", "l_tax"], 1).n_components_for(0.95) is None
+
+
+def test_feature_finder(spark):
+    from tessera.functions.columns import find_features
+    df = spark.range(1).selectExpr("1 AS air_temp", "2.0 AS wind", "'x' AS temp_note", "3 AS other")
+    assert find_features(df, ["temp", "wind"]) == ["air_temp", "wind"]
+    assert find_features(df, ["none"]) == ["air_temp", "wind", "other"]
+
+
+def test_named_results_round_trip(spark, tmp_path):
+    from tessera.sources import writers as W
+    df = spark.createDataFrame([(1, "a,b"), (2, 'q"q')], "i long, s string")
+    W.write_csv(df, str(tmp_path / "x.csv"))
+    assert sorted(read_table(spark, str(tmp_path / "x.csv")).collect()) == sorted(df.collect())
+    where = W.write_result(df, str(tmp_path), "train", "csv")
+    assert sorted(read_table(spark, where, fmt="csv").collect()) == sorted(df.collect())
+    assert spark.read.parquet(W.write_result(df, str(tmp_path), "stats")).count() == 2
