@@ -106,6 +106,41 @@ def test_edge_cases(spark):
     assert answer(spark, []) == []
 
 
+def in_process(docs, hot=()):
+    """All steps without Spark (whose tasks import their own constants): removed intervals by document."""
+    import zstandard
+    texts = pa.RecordBatch.from_pydict({"doc": list(range(len(docs))), "text": [d.encode() for d in docs]})
+    found = pa.Table.from_batches(sd._scan(iter([texts]))).sort_by([(c, "ascending") for c in ("a", "x", "doc", "at")])
+    parts = pa.Table.from_batches(sd._meet(np.array(hot, np.int64))(found.to_batches(max_chunksize=7))).to_pylist()
+    gone = [(p["doc"], p["start"], p["stop"]) for p in parts if p["kind"] == 0]
+    asked = {}
+    for p in parts:
+        if p["kind"]:
+            asked.setdefault(p["doc"], []).append({k: p[k] for k in ("kind", "start", "stop", "a", "o")})
+    z = zstandard.ZstdCompressor()
+    rows = pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int64()), pa.array([z.compress(docs[d].encode()) for d in asked]),
+                                       pa.array(list(asked.values()))], names=["doc", "z", "parts"])
+    fetched = pa.Table.from_batches(sd._fetch(iter([rows.slice(0, 9), rows.slice(9)])))
+    fetched = fetched.sort_by([(c, "ascending") for c in ("kind", "a", "x", "doc", "start")])
+    for b in sd._settle(fetched.to_batches(max_chunksize=11)):
+        gone += list(zip(*(c.to_pylist() for c in b.columns)))
+    out = []
+    for i in range(len(docs)):
+        mine = [g for g in gone if g[0] == i]
+        _, s, e = sd.merged(*(np.array(c, np.int64) for c in zip(*mine))) if mine else ([], [], [])
+        out.append([(int(x), int(y)) for x, y in zip(s, e)])
+    return out, {p["kind"] for p in parts}
+
+
+@pytest.mark.parametrize("crowd", [512, 2, 0])
+def test_crowded_groups_go_singly(monkeypatch, crowd):
+    monkeypatch.setattr(sd, "CROWD", crowd)
+    docs = planted(7)
+    got, kinds = in_process(docs)
+    assert got == [w[2] for w in brute([(i, d.encode()) for i, d in enumerate(docs)])]
+    assert kinds == ({0, 1} if crowd == 512 else {0, 1, 2} if crowd else {0, 2})
+
+
 def test_long_text_is_cut_with_overlap(spark, monkeypatch):
     monkeypatch.setattr(sd, "BLOCK", 1 << 12)
     sd._Powers.up = None
@@ -113,16 +148,6 @@ def test_long_text_is_cut_with_overlap(spark, monkeypatch):
     long = "".join(rng.choices("abcdefgh ", k=9000))
     docs = [long[2000:2600], long, long[1000:7000] + "q" * 500, long[:50] + long[8000:]]
     want = brute([(i, d.encode()) for i, d in enumerate(docs)])
-    # without Spark, as its tasks import their own BLOCK
-    texts = pa.RecordBatch.from_pydict({"doc": list(range(4)), "text": [d.encode() for d in docs]})
-    found = pa.Table.from_batches(sd._scan(iter([texts]))).sort_by([(c, "ascending") for c in ("a", "x", "doc", "at")])
-    parts = pa.Table.from_batches(sd._meet(np.zeros(0, np.int64))(found.to_batches(max_chunksize=7))).to_pylist()
-    gone = [(p["doc"], p["start"], p["stop"]) for p in parts if p["kind"] == 0]
-    rows = [(p["a"], p["doc"], p["start"], p["o"], docs[p["doc"]].encode()[p["start"]:p["stop"] + 99]) for p in parts if p["kind"] == 1]
-    rows.sort()
-    gone += list(zip(*(c.tolist() for c in sd.repeats(rows))))
-    for i, w in enumerate(want):
-        mine = [g for g in gone if g[0] == i]
-        got = sd.merged(*(np.array(c, np.int64) for c in zip(*mine))) if mine else ([], [], [])
-        assert [(int(s), int(e)) for s, e in zip(got[1], got[2])] == w[2]
+    got, _ = in_process(docs)
+    assert got == [w[2] for w in want]
     sd._Powers.up = None
