@@ -165,6 +165,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str =
     columns. Rows that share an id count as one document and leave one row;
     documents without an id are all linked to one another by that and leave one
     row, if no other document is linked to them."""
-    groups = near_groups(docs, shingle, id_col, text_col)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["stay"]), "left_semi").dropDuplicates([id_col])
+    groups = written(near_groups(docs, shingle, id_col, text_col), "near-groups")
+    # plain equality, so that the join's partitioning serves dropDuplicates too
+    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("stay"))
+    kept = docs.join(stay, docs[id_col] == stay["stay"], "left_semi").dropDuplicates([id_col])
+    if groups.filter("doc_id IS NULL AND component_id IS NULL").limit(1).count():
+        kept = kept.union(docs.filter(docs[id_col].isNull()).orderBy(F.xxhash64(text_col), text_col).limit(1))
+    return kept
