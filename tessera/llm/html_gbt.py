@@ -402,9 +402,14 @@ class Extractor:
 
 def train(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES) -> Extractor:
     """On a bounded sample of whole pages, the first in the order of a hash of their source."""
-    sources = pages.select(pages[html_col].cast("string").alias("html")).filter(F.length("html").between(1, FIT_LENGTH))
-    sample = sources.orderBy(F.xxhash64("html"), "html").limit(fit_pages)
-    return Extractor([r[0] for r in sample.collect()])
+    sources = (pages.select(pages[html_col].cast("string").alias("html")).filter(F.length("html").between(1, FIT_LENGTH))
+               .withColumn("h", F.xxhash64("html")))
+    # first the hashes alone, so that no task sends pages that are not chosen
+    least = sources.select("h").distinct().orderBy("h").limit(fit_pages).agg(F.max("h")).first()[0]
+    if least is None:
+        return Extractor([])
+    chosen = sources.filter(F.col("h") <= least).groupBy("h").agg(F.min("html").alias("html"))
+    return Extractor([r.html for r in sorted(chosen.collect())])
 
 
 def extract_main_text(pages: DataFrame, extractor: Extractor, id_col: str = "page_id", url_col: str = "url",
