@@ -40,7 +40,7 @@ FIT_ROWS = 20_000
 FEATURES = 2000
 MINED_VOTERS = 120
 #: Toxic rows that must have a feature for it to be mined.
-MIN_TOXIC = 4
+MIN_TOXIC = 3
 CANDIDATES = 60_000
 PREFIXES = range(3, 11)
 EM_ROUNDS = 6
@@ -73,6 +73,33 @@ def features_of(word: bytes) -> Iterator[bytes]:
                 yield word[:k] + b"+"
 
 
+class Matches:
+    """Word -> which of some features it has. Most words are settled by their
+    first three bytes, the rest are looked up once."""
+
+    def __init__(self, features):
+        self.features = frozenset(features)
+        self.firsts = frozenset(f[:min(3, len(f) - 1)] for f in self.features)
+        self.known: dict[bytes, tuple] = {}
+
+    def of(self, word: bytes) -> tuple:
+        if word[:3] not in self.firsts:
+            return ()
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            got = self.known[word] = tuple(f for f in features_of(word) if f in self.features)
+        return got
+
+    def all(self, words: set[bytes]) -> set[bytes]:
+        on: set[bytes] = set()
+        for w in words:
+            if w[:3] in self.firsts:
+                on.update(self.of(w))
+        return on
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
@@ -82,11 +109,12 @@ def _counts(keep: frozenset | None):
     (``keep`` None), or of the clean rows' features among ``keep``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        matches = Matches(keep or ())
         for b in batches:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
                 if toxic == (keep is None):
-                    found = {f for w in words_of(text.as_py()) for f in features_of(w)}
-                    seen.update(found if keep is None else found & keep)
+                    words = words_of(text.as_py())
+                    seen.update({f for w in words for f in features_of(w)} if keep is None else matches.all(words))
         names = list(seen)
         for a in range(0, len(names), 100_000):
             some = names[a:a + 100_000]
@@ -128,20 +156,10 @@ class Voters:
         self.number = {f: i for i, f in enumerate(mined[:MINED_VOTERS])}
         self.lexicon = {w.encode(): len(self.number) + i for i, w in enumerate(LEXICON)}
         self.size = len(self.number) + len(LEXICON) + 3
-        self.known: dict[bytes, tuple] = {}
+        self.matches = Matches(self.number)
 
     def fires(self, text: str, words: set[bytes]) -> bytes:
-        on: set[int] = set()
-        for w in words:
-            got = self.known.get(w)
-            if got is None:
-                got = tuple({self.number[f] for f in features_of(w) if f in self.number}
-                            | ({self.lexicon[w]} if w in self.lexicon else set()))
-                if len(self.known) > 300_000:
-                    self.known.clear()
-                self.known[w] = got
-            if got:
-                on.update(got)
+        on = {self.number[f] for f in self.matches.all(words)} | {self.lexicon[w] for w in words & self.lexicon.keys()}
         own = self.size - 3
         if on and any(i >= len(self.number) for i in on) and _YOU.search(text):
             on.add(own)
@@ -259,20 +277,11 @@ class Classifier:
     def __init__(self, features: list[bytes], weights: np.ndarray, bias: float):
         self.weights = {f: float(w) for f, w in zip(features, weights) if w}
         self.bias = bias
-        self.known: dict[bytes, tuple] = {}
+        self.matches = Matches(self.weights)
 
     def score(self, text: str) -> float:
         """Each feature counts once a text."""
-        on: set[bytes] = set()
-        for w in words_of(text):
-            got = self.known.get(w)
-            if got is None:
-                got = tuple(f for f in features_of(w) if f in self.weights)
-                if len(self.known) > 300_000:
-                    self.known.clear()
-                self.known[w] = got
-            if got:
-                on.update(got)
+        on = self.matches.all(words_of(text))
         odds = self.bias + math.fsum(self.weights[f] for f in on)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
@@ -298,13 +307,13 @@ def fit_classifier(rows: list[list[int]], target: np.ndarray, features: list[byt
 def _sample_features(features: list[bytes], mined: list[bytes], size: int, model: LabelModel):
     """(posterior, feature numbers) of sample rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, voters = {f: i for i, f in enumerate(features)}, Voters(mined)
+        number, voters, matches = {f: i for i, f in enumerate(features)}, Voters(mined), Matches(features)
         for b in batches:
             on, votes = [], []
             for text in b.column(0):
                 t = text.as_py()
                 words = words_of(t)
-                on.append(sorted({number[f] for w in words for f in features_of(w) if f in number}))
+                on.append(sorted(number[f] for f in matches.all(words)))
                 votes.append(np.unpackbits(np.frombuffer(voters.fires(t, words), np.uint8))[:size])
             p = model.posterior(np.array(votes, float).reshape(-1, size), b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(on, pa.list_(pa.int32()))], names=["p", "on"])
@@ -318,7 +327,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = (labels.select(labels[label_id].cast("long").alias("k"), labels[label_col].alias("t"))
              .filter(F.col("k").isNotNull() & F.col("t").isNotNull()).filter(~held_out("k"))
              .groupBy("k").agg((F.max(F.col("t").cast("int")) > 0).alias("toxic")))
-    chosen = known.orderBy(F.xxhash64("k"), "k").limit(fit_rows)
+    # a hash decides which of more labelled rows are used; 5% are left as room for chance
+    share = min(1.0, 0.95 * fit_rows / max(1, known.count()))
+    chosen = known.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(fit_rows)
     rows = docs.select(docs[id_col].cast("long").alias("id"), text)
     path = scratch_path(docs.sparkSession, "toxic-sample")
     rows.join(F.broadcast(chosen), rows["id"] == chosen["k"]).select("text", "toxic").write.parquet(path)
