@@ -58,7 +58,7 @@ class Vocabulary(dict):
         self.own = len(self)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             for w in list(self)[self.own:]:
                 del self[w]
         out = self[word] = VOCAB - HASHED + zlib.crc32(word) % HASHED

@@ -73,6 +73,10 @@ class WordIds(dict):
             self.by_piece = False
             self.by_word = self.encode(probe) == self.whole(probe)
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces = {"": b""}
+
     def whole(self, text: str) -> bytes:
         return b"".join([self.id_bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
@@ -184,6 +188,7 @@ def _encode(tokenizer: str, end_id: int | None, block: int, chunk_ids: int, bits
                 size += len(one)
         if docs:
             yield out()
+        words.forget()  # workers live on, for other operators too
     return run
 
 

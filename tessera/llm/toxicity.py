@@ -87,7 +87,7 @@ class Matches:
             return ()
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             got = self.known[word] = tuple(f for f in features_of(word) if f in self.features)
         return got
