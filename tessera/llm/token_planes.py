@@ -107,7 +107,7 @@ class WordIds(dict):
     def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self.whole(text)
-        if self.by_piece and text.isascii():
+        if self.by_piece and text.isascii() and "<|" not in text:  # special tokens are matched before case is mapped
             text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 

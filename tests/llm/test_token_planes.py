@@ -31,6 +31,12 @@ def test_words_equal_whole_texts(spark):
     assert [np.frombuffer(words.encode(t), "<u4").tolist() for t in texts] == plain_ids(texts)
 
 
+def test_special_tokens_in_other_case():
+    texts = ["see <|EndOfText|> here", "<|ENDOFTEXT|>", "A <|endoftext|> B<|StartOfText|>C", "<|startoftext|>Don't <| Stop |> <|x"]
+    words = tp.WordIds(tp.public_tokenizer())
+    assert [np.frombuffer(words.encode(t), "<u4").tolist() for t in texts] == plain_ids(texts)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
 def test_tokenizer_that_keeps_white_space(name):
     words = tp.WordIds(tp.public_tokenizer(name))
