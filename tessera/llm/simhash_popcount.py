@@ -82,8 +82,8 @@ def _fingerprints(shingle: int):
                     found.append(_majority(hashes))
                     hashes, held = [], 0
             found.append(_majority(hashes))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(found).view(np.int64))],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(np.concatenate(found).view(np.int64))],
+                                             names=["doc_id", *b.schema.names[2:], "fp"])
     return run
 
 
@@ -161,14 +161,20 @@ def fp_hex(fp: str = "fp") -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those linked to one of a smaller id, with all their
-    columns. Rows that share an id count as one document and leave one row;
-    documents without an id are all linked to one another by that and leave one
-    row, if no other document is linked to them."""
-    groups = written(near_groups(docs, shingle, id_col, text_col), "near-groups")
-    # plain equality, so that the join's partitioning serves dropDuplicates too
-    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("stay"))
-    kept = docs.join(stay, docs[id_col] == stay["stay"], "left_semi").dropDuplicates([id_col])
-    if groups.filter("doc_id IS NULL AND component_id IS NULL").limit(1).count():
-        kept = kept.union(docs.filter(docs[id_col].isNull()).orderBy(F.xxhash64(text_col), text_col).limit(1))
-    return kept
+    """One document of each component, with all its columns: the one of the
+    smallest id (null ids last), of several such rows the one read first. A
+    row number tells rows apart, so rows without an id, or with an id that
+    occurs again, go only if they are linked to the staying one."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    ids = numbered.select(numbered[id_col].cast("long").alias("doc_id"),
+                          F.coalesce(numbered[text_col].cast("string"), F.lit("")).cast("binary").alias("text"), F.col(row).alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    # a row a fingerprint is left of a family of copies before anything is shuffled
+    distinct = written(ids.mapInArrow(_fingerprints(shingle), "doc_id long, row long, fp long").groupBy("fp").agg(first), "distinct-fps")
+    member = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    stay = (distinct.join(member, "fp", "left").groupBy(F.coalesce("root", "fp").alias("component"))
+            .agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
+    return numbered.join(stay, row, "left_semi").select(*[numbered[c] for c in docs.columns])

@@ -74,3 +74,14 @@ def test_edge_cases(spark):
     assert kept.columns == df.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "11", "7", "9", "None"]
     assert sp.near_groups(df.limit(0)).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids_stay(spark):
+    texts = [f"{w} one two three {w * 2} four five {w * 3} six" for w in ("alpha", "beta", "gamma", "delta", "omega")]
+    fps = [brute_fp(t) for t in texts]
+    assert all(bin(a ^ b).count("1") > 2 for i, a in enumerate(fps) for b in fps[:i])
+    rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[1], 3), (5, texts[2], 4), (5, texts[3], 5), (4, texts[3], 6),
+            (5, texts[4], 7), (5, texts[4], 8), (None, texts[4], 9)]
+    kept = sp.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row long").coalesce(1))
+    assert kept.columns == ["doc_id", "text", "row"]
+    assert sorted(r.row for r in kept.collect()) == [1, 2, 4, 6, 7]
