@@ -41,7 +41,8 @@ FEATURES = 2000
 MINED_VOTERS = 120
 #: Toxic rows that must have a feature for it to be mined.
 MIN_TOXIC = 3
-CANDIDATES = 60_000
+#: Features counted in a task before they are given out.
+HELD_FEATURES = 400_000
 PREFIXES = range(3, 11)
 EM_ROUNDS = 6
 THRESHOLD = 0.3
@@ -104,23 +105,26 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def _counts(keep: frozenset | None):
-    """Per task: feature -> toxic rows, clean rows; of all features of toxic rows
-    (``keep`` None), or of the clean rows' features among ``keep``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        matches = Matches(keep or ())
-        for b in batches:
-            for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
-                if toxic == (keep is None):
-                    words = words_of(text.as_py())
-                    seen.update({f for w in words for f in features_of(w)} if keep is None else matches.all(words))
-        names = list(seen)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: feature -> toxic rows, clean rows; given out whenever many are held."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def out() -> Iterator[pa.RecordBatch]:
+        names = list(seen[0] | seen[1])
         for a in range(0, len(names), 100_000):
             some = names[a:a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([seen[f] for f in some], pa.int64())],
-                                             names=["f", "n"])
-    return run
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.binary()), *(pa.array([seen[t][f] for f in some], pa.int64()) for t in (1, 0))],
+                names=["f", "toxic", "clean"])
+        for s in seen:
+            s.clear()
+
+    for b in batches:
+        for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
+            seen[toxic].update({f for w in words_of(text.as_py()) for f in features_of(w)})
+            if len(seen[0]) + len(seen[1]) > HELD_FEATURES:
+                yield from out()
+    yield from out()
 
 
 def _gain(a: float, b: float, n1: int, n0: int) -> float:
@@ -140,13 +144,17 @@ def mine(sample: DataFrame, features: int = FEATURES) -> list[bytes]:
     n1, n0 = (sample.filter("toxic").count(), sample.filter("NOT toxic").count())
     if not n1 or not n0:
         return []
-    toxic = (sample.mapInArrow(_counts(None), "f binary, n long").groupBy("f").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect())
-    a = {bytes(r.f): r.n for r in toxic}
-    clean = (sample.mapInArrow(_counts(frozenset(a)), "f binary, n long").groupBy("f").agg(F.sum("n").alias("n")).collect())
-    b = {bytes(r.f): r.n for r in clean}
-    gains = {f: _gain(a[f], b.get(f, 0), n1, n0) for f in a}
-    return sorted((f for f in gains if gains[f] > 6), key=lambda f: (-gains[f], f))[:features]
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_gain(x, y, n1, n0) for x, y in rows], pa.float64())],
+                                             names=["f", "gain"])
+
+    counts = (sample.mapInArrow(_counts, "f binary, toxic long, clean long").groupBy("f")
+              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= MIN_TOXIC))
+    best = counts.mapInArrow(gains, "f binary, gain double").filter("gain > 6").orderBy(F.desc("gain"), "f").limit(features)
+    return [bytes(r.f) for r in best.collect()]
 
 
 class Voters:

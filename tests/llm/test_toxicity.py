@@ -51,6 +51,15 @@ def test_label_model_discounts_correlated_voters():
     assert model.weight[0] < 0.5 < model.weight[3]
 
 
+def test_rare_telling_words_beside_many_common_ones(spark):
+    rng = np.random.default_rng(4)
+    common = " ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (9000, 10)))
+    rows = [(common + (" zzvile" if i < 3 else ""), True) for i in range(4)] + [(common, False)] * 20
+    sample = spark.createDataFrame(rows, "text string, toxic boolean").repartition(4)
+    assert len({f for w in tx.words_of(common) for f in tx.features_of(w)}) > 60_000
+    assert b"zzvile=" in tx.mine(sample)
+
+
 def test_edge_cases(spark):
     long = "fine words " * 30_000
     rows = [(1, "you are a stupid idiot, moron", 1), (2, None, 1), (3, "", 0), (None, "nice", 0), (4, "nice words", 0), (4, "nice words", 0), (5, long, 0)]
