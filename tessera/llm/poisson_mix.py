@@ -80,3 +80,11 @@ def mix(docs: DataFrame, weights: DataFrame, seed: int = SEED, id_col: str = "do
               .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1))))
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("copy").cast("string")))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def write_mixed(docs: DataFrame, weights: DataFrame, path: str, seed: int = SEED, id_col: str = "doc_id",
+                source_col: str = "source") -> DataFrame:
+    """The mixed documents, written whole to ``path`` and read back."""
+    mixed = mix(docs, weights, seed, id_col, source_col)
+    mixed.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(mixed.schema).parquet(path)

@@ -48,8 +48,8 @@ def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    mixed = poisson_mix.mix(docs, poisson_mix.tempered_weights(docs))
+    docs = table(spark, sf_dir, "documents")
+    mixed = poisson_mix.write_mixed(docs, poisson_mix.tempered_weights(docs), scratch_path(spark, "mixed"))
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key")
 
 

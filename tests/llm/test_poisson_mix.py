@@ -6,6 +6,7 @@ import math
 import pytest
 
 from tessera.llm import poisson_mix as pm
+from tessera.llm import queries
 
 
 def uniform(*parts):
@@ -74,3 +75,15 @@ def test_tempered_weights(spark):
     df = spark.createDataFrame([(i, "s" if i < 90 else "t") for i in range(100)], "doc_id long, source string")
     got = {r.source: r.weight for r in pm.tempered_weights(df).collect()}
     assert got["s"] / got["t"] == pytest.approx(3) and sum(got.values()) == pytest.approx(1)
+
+
+def test_query_moves_whole_documents(spark, monkeypatch, tmp_path):
+    path, sf = str(tmp_path / "mixed"), "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, "scratch_path", lambda *_: path)
+    got = sorted((r.doc_id, r.copy, r.n_copies) for r in queries.op6_poisson_mix(spark, sf).collect())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mixed = spark.read.parquet(path)
+    assert set(docs.columns) <= set(mixed.columns)
+    assert got == sorted((r.doc_id, r.copy, r.n_copies) for r in mixed.collect())
+    want = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.text == want[r.doc_id] for r in mixed.collect())
