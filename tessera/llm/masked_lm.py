@@ -6,12 +6,17 @@ and a two-step softmax gives the word's class and the word within its class, so
 that probabilities add up to one. The sum of the words' conditional log
 probabilities is the document's score.
 
-What is gathered from the corpus: the counts of all words (the most frequent get
-ids of their own, the others share ids by hash), and one network per scan task,
-trained in numpy on all documents of the task with a share of the positions
-masked (``MASK``) and averaged by tokens in a tree of groups of ``FAN``
-networks. Both follow the input; the driver gets the vocabulary and at most
-``FAN`` networks, whose sizes are fixed.
+What is gathered from the corpus: the counts of all words, and one network per
+scan task, trained in numpy on all documents of the task with a share of the
+positions masked (``MASK``). The most frequent words are leaves of the two-step softmax. All
+others share its remaining leaves (buckets) by hash, and a third step, a binary
+tree below each bucket, leads to the word: every word that occurs ``MIN_COUNT``
+times has a leaf and embeddings of its own, the rarer ones of a bucket share a
+leaf, whose probability is multiplied by the word's share of their counts. So
+scores are of words, and vocabulary and network grow with the input. The tasks'
+rows of the words' tables are averaged by how often each was met, the rest by
+tokens, in a tree of groups of ``FAN``; the counts of the rarer words stay a
+distributed table.
 
 Defined cases: null and empty texts have no words, log_prob 0 and mean 0; words
 at a text's ends see a padding word; rows with one id are scored one by one; an
@@ -21,6 +26,7 @@ scored in pieces of fixed size, which changes nothing.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,11 +42,13 @@ from tessera.llm.fm_decontam import words_of
 
 CLASSES = 32
 VOCAB = CLASSES * CLASSES
-#: Ids of words that have none of their own.
+#: Leaves of the two-step softmax that words share by hash.
 HASHED = VOCAB // 2
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
 MASK = 0.2
+#: Words that occur so often have a leaf and embeddings of their own.
+MIN_COUNT = 20
 BATCH = 1024
 RATE = 0.3
 SEED = 42
@@ -48,24 +56,92 @@ FAN = 16
 #: Words scored at a time, and bytes of text prepared at a time, in a task.
 PIECE = 16_384
 GROUP_BYTES = 2_000_000
+#: Words whose rows are averaged at a time.
+BLOCK = 4096
+
+
+class Words(list):
+    """Words with ids of their own, the most frequent first; their counts, and
+    the counts of all other words by bucket."""
+
+    def __init__(self, words=(), counts=None, rest=None):
+        super().__init__(words)
+        self.counts = np.ones(len(self)) if counts is None else counts
+        self.rest = np.ones(HASHED) if rest is None else rest
+
+
+def _bucket(word: bytes) -> int:
+    return zlib.crc32(word) % HASHED
+
+
+class Tree:
+    """Below each bucket a binary (Huffman) tree over its own words and a leaf
+    for all others. Leaf j is the j-th word that has no id below VOCAB, leaf
+    ``size`` + b the others of bucket b; a leaf's path is node[start[leaf]:start[leaf + 1]],
+    with ``right`` telling where it goes. ``odds`` are the counts' log odds."""
+
+    def __init__(self, words: list[bytes]):
+        words = words if isinstance(words, Words) else Words(words)
+        tail = words[VOCAB - HASHED:]
+        counts = words.counts[VOCAB - HASHED:]
+        self.size = len(tail)
+        self.top = np.array([VOCAB - HASHED + _bucket(w) for w in tail], np.int32)
+        members: dict[int, list[int]] = {}
+        for j, t in enumerate(self.top.tolist()):
+            members.setdefault(t - (VOCAB - HASHED), []).append(j)
+        self.odds = np.zeros(self.size, np.float32)
+        paths: list[list[tuple[int, bool]]] = [[] for _ in range(self.size + HASHED)]
+        at = 0
+        for b, js in members.items():
+            heap = [(max(float(words.rest[b]), 0.5), self.size + b, None)] + [(float(counts[j]), j, None) for j in js]
+            heapq.heapify(heap)
+            made = len(paths)
+            while len(heap) > 1:
+                left, right = heapq.heappop(heap), heapq.heappop(heap)
+                self.odds[at] = np.log(right[0] / left[0])
+                heapq.heappush(heap, (left[0] + right[0], made, (at, left, right)))
+                at, made = at + 1, made + 1
+            todo = [(heap[0], [])]
+            while todo:
+                (_, leaf, inner), path = todo.pop()
+                if inner is None:
+                    paths[leaf] = path
+                else:
+                    todo += [(inner[1], [*path, (inner[0], False)]), (inner[2], [*path, (inner[0], True)])]
+        self.start = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int64)
+        self.node = np.array([n for p in paths for n, _ in p], np.int32)
+        self.right = np.array([r for p in paths for _, r in p], bool)
+
+    def leaves(self, ids: np.ndarray) -> np.ndarray:
+        """Of target ids; -1 for words that the two-step softmax settles."""
+        return np.where(ids > VOCAB, ids - (VOCAB + 1), np.where(ids >= VOCAB - HASHED, ids - (VOCAB - HASHED) + self.size, -1))
+
+    def tops(self, ids: np.ndarray) -> np.ndarray:
+        """The ids' leaves in the two-step softmax."""
+        out, deep = ids.copy(), ids > VOCAB
+        out[deep] = self.top[ids[deep] - (VOCAB + 1)]
+        return out
 
 
 class Vocabulary(dict):
-    """Word -> id; words without an own id share one by hash."""
+    """Word -> id: below VOCAB - HASHED or above VOCAB its own, else its bucket's."""
 
     def __init__(self, words: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(words[:VOCAB - HASHED]))
+        super().__init__((w, i if i < VOCAB - HASHED else i + HASHED + 1) for i, w in enumerate(words))
         self.own = len(self)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > self.own + 200_000:
             for w in list(self)[self.own:]:
                 del self[w]
-        out = self[word] = VOCAB - HASHED + zlib.crc32(word) % HASHED
+        out = self[word] = VOCAB - HASHED + _bucket(word)
         return out
 
     def ids(self, text: bytes) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, words_of(text))), np.int32)
+        return self.of(words_of(text))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words)), np.int32)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,27 +163,45 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def vocabulary(rows: DataFrame) -> list[bytes]:
-    """The most frequent words of all texts (doc_id, text as binary)."""
-    counts = rows.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(VOCAB - HASHED).collect()]
+def count_words(rows: DataFrame) -> DataFrame:
+    """word, n of all texts (doc_id, text as binary), written."""
+    return written(rows.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(rows: DataFrame, counts: DataFrame | None = None) -> Words:
+    """The most frequent words, and all that occur MIN_COUNT times."""
+    counts = count_words(rows) if counts is None else counts
+    ordered = counts.orderBy(F.desc("n"), "word")
+    got = ordered.filter(F.col("n") >= MIN_COUNT).toArrow()
+    if got.num_rows < VOCAB - HASHED:
+        got = ordered.limit(VOCAB - HASHED).toArrow()
+    words, n = [bytes(w) for w in got["word"].to_pylist()], np.array(got["n"].to_pylist(), float)
+    rest = np.zeros(HASHED)
+    for b, total in counts.groupBy((F.crc32("word") % HASHED).cast("int")).agg(F.sum("n")).collect():
+        rest[b] = total
+    np.subtract.at(rest, np.array([_bucket(w) for w in words], np.int64), n)
+    return Words(words, n, rest)
 
 
-def _shapes() -> list[tuple[int, ...]]:
-    return [(len(OFFSETS), VOCAB + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, CLASSES), (CLASSES, CLASSES)]
+def _shapes(own: int = 0) -> list[tuple[int, ...]]:
+    return [(len(OFFSETS), VOCAB + 1 + own, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, CLASSES), (CLASSES, CLASSES)]
 
 
 class Network:
-    """emb, b0, w1, b1 (classes), w2, b2 (words within a class)."""
+    """emb, b0, w1, b1 (classes), w2, b2 (words within a class); nodes and bias
+    of the trees below the buckets, which start from the words' shares."""
 
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, tree: Tree | None = None):
+        self.tree = tree or Tree([])
+        self.nodes, self.bias = np.zeros((self.tree.size, HIDDEN), np.float32), self.tree.odds.copy()
+        self.visits = np.zeros(self.tree.size)
         if flat is None:
             rng = np.random.default_rng(SEED)
-            self.params = [(rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in _shapes()]
+            self.params = [(rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in _shapes(self.tree.size)]
             self.params[-1][:] = 0
         else:
             self.params, at = [], 0
-            for s in _shapes():
+            for s in _shapes(self.tree.size):
                 n = int(np.prod(s))
                 self.params.append(flat[at:at + n].astype(np.float32).reshape(s))
                 at += n
@@ -123,6 +217,15 @@ class Network:
             total += emb[k][context[k]]
         return context, np.tanh(total)
 
+    def _deep(self, h: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The steps to some leaves: which of them, node, direction, its log odds."""
+        start = self.tree.start[leaves]
+        lens = self.tree.start[leaves + 1] - start
+        of = np.repeat(np.arange(len(leaves)), lens)
+        at = np.arange(len(of)) + np.repeat(start - (np.cumsum(lens) - lens), lens)
+        node = self.tree.node[at]
+        return of, node, self.tree.right[at], np.einsum("ij,ij->i", self.nodes[node], h[of]) + self.bias[node]
+
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         z -= z.max(axis=1, keepdims=True)
@@ -138,7 +241,13 @@ class Network:
     def log_probs(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the words at ``at``, given their neighbours."""
         _, h = self._hidden(padded, at)
-        cls, word = np.divmod(padded[at], CLASSES)
+        deep = np.zeros(len(at))
+        if self.tree.size:
+            leaves = self.tree.leaves(padded[at])
+            below = np.flatnonzero(leaves >= 0)
+            of, _, right, z = self._deep(h[below], leaves[below])
+            deep[below] = np.bincount(of, -np.logaddexp(0, np.where(right, -z, z)), minlength=len(below))
+        cls, word = np.divmod(self.tree.tops(padded[at]), CLASSES)
         order, cut = self._by_class(cls)
         h, cls, word = h[order], cls[order], word[order]
         p = self._softmax(h @ self.params[2] + self.params[3])[np.arange(len(at)), cls]
@@ -148,14 +257,15 @@ class Network:
                 p[a:b] *= self._softmax(h[a:b] @ self.params[4][c] + self.params[5][c])[np.arange(b - a), word[a:b]]
         out = np.empty(len(at), np.float64)
         out[order] = np.log(np.maximum(p, 1e-30))
-        return out
+        return out + deep
 
     def step(self, padded: np.ndarray, at: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
-        """One adaptive gradient step on the words at ``at``."""
+        """One adaptive gradient step on the words at ``at``; rows that it doesn't
+        meet stay as they are."""
         context, h = self._hidden(padded, at)
-        cls, word = np.divmod(padded[at], CLASSES)
+        cls, word = np.divmod(self.tree.tops(padded[at]), CLASSES)
         order, cut = self._by_class(cls)
-        h, cls, word, context = h[order], cls[order], word[order], [c[order] for c in context]
+        h, cls, word, context, ids = h[order], cls[order], word[order], [c[order] for c in context], padded[at][order]
         n = len(at)
         d1 = self._softmax(h @ self.params[2] + self.params[3])
         d1[np.arange(n), cls] -= 1
@@ -168,15 +278,46 @@ class Network:
                 d2[np.arange(b - a), word[a:b]] -= 1
                 grads[4][c], grads[5][c] = h[a:b].T @ d2, d2.sum(axis=0)
                 dh[a:b] += d2 @ self.params[4][c].T
+        if self.tree.size:
+            leaves = self.tree.leaves(ids)
+            below = np.flatnonzero(leaves >= 0)
+            below = below[self.tree.start[leaves[below] + 1] > self.tree.start[leaves[below]]]
+            if len(below):
+                of, node, right, z = self._deep(h[below], leaves[below])
+                d3 = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - right).astype(np.float32)
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                dh[below] += np.add.reduceat(d3[:, None] * self.nodes[node], first, axis=0)
+                met, times, (g, gb) = _rows_of(node, d3[:, None] * h[below][of], d3)
+                self.visits[met] += times
+                _move(self.nodes, sums[6], met, g / n, rate)
+                _move(self.bias, sums[7], met, gb / n, rate)
         dz = dh * (1 - h * h)
-        emb = np.zeros_like(self.params[0])
-        for k, ids in enumerate(context):
-            np.add.at(emb[k], ids, dz)
-        grads[0], grads[1] = emb, dz.sum(axis=0)
-        for p, g, s in zip(self.params, grads, sums):
-            g /= n
-            s += g * g
-            p -= rate * g / (np.sqrt(s) + 1e-6)
+        for k, c in enumerate(context):
+            met, _, (g,) = _rows_of(c, dz)
+            _move(self.params[0][k], sums[0][k], met, g / n, rate)
+        grads[1] = dz.sum(axis=0)
+        for p, g, s in zip(self.params[1:], grads[1:], sums[1:6]):
+            _move(p, s, slice(None), g / n, rate)
+
+    def sums(self) -> list[np.ndarray]:
+        """Where the squared gradients of the steps start."""
+        return [np.full_like(p, 1e-4) for p in (*self.params, self.nodes, self.bias)]
+
+    def top(self) -> np.ndarray:
+        """All that doesn't belong to a word of the trees."""
+        return np.concatenate([p.reshape(-1) for p in (self.params[0][:, :VOCAB + 1], *self.params[1:])])
+
+
+def _rows_of(ids: np.ndarray, *values: np.ndarray) -> tuple:
+    """Distinct ids, how often each occurs, and sums of the values by id."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    return ids[order][first], np.diff(first, append=len(ids)), [np.add.reduceat(v[order], first, axis=0) for v in values]
+
+
+def _move(p: np.ndarray, s: np.ndarray, at, g: np.ndarray, rate: float) -> None:
+    s[at] += g * g
+    p[at] -= rate * g / (np.sqrt(s[at]) + 1e-6)
 
 
 def padded_ids(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,64 +344,131 @@ def _groups(texts, limit: int = GROUP_BYTES) -> Iterator[list]:
         yield some
 
 
-def _train(words: list[bytes]):
+_NETS = "k long, block int, ids binary, times binary, w binary"
+
+
+def _net_row(k: int, block: int, ids: np.ndarray, times: np.ndarray, w: np.ndarray) -> dict:
+    return {"k": k, "block": block, "ids": ids.astype(np.int32).tobytes(), "times": times.astype(np.float64).tobytes(),
+            "w": w.astype(np.float32).tobytes()}
+
+
+def _train(words: list[bytes], tree: Tree):
+    """Per task: the network's top (block -1, times: tokens), and the rows of the
+    words that it met, with how often they and their nodes were met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        vocab, net, rng, n = Vocabulary(words), Network(), np.random.default_rng([SEED, task]), 0
-        sums = [np.full_like(p, 1e-4) for p in net.params]
+        vocab, net, rng, n = Vocabulary(words), Network(tree=tree), np.random.default_rng([SEED, task]), 0
+        sums, met = net.sums(), np.zeros(tree.size)
         for b in batches:
             for texts in _groups([t.as_py() for t in b.column(1)]):
                 padded, places = padded_ids([vocab.ids(t) for t in texts])
                 n += len(places)
-                masked = rng.permutation(places[rng.random(len(places)) < MASK])
-                for a in range(0, len(masked), BATCH):
-                    net.step(padded, masked[a:a + BATCH], sums, RATE)
+                met += np.bincount(padded[padded > VOCAB] - (VOCAB + 1), minlength=tree.size)
+                targets = rng.permutation(places[rng.random(len(places)) < MASK])
+                for a in range(0, len(targets), BATCH):
+                    net.step(padded, targets[a:a + BATCH], sums, RATE)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([n], pa.int64()),
-                                              pa.array([net.flat().tobytes()], pa.binary())], names=["k", "n", "w"])
+            schema = pa.schema([("k", pa.int64()), ("block", pa.int32()), ("ids", pa.binary()), ("times", pa.binary()), ("w", pa.binary())])
+            yield pa.RecordBatch.from_pylist([_net_row(task, -1, np.zeros(0), np.array([n]), net.top())], schema)
+            for block in range(-(-tree.size // BLOCK)):
+                a, b = block * BLOCK, min((block + 1) * BLOCK, tree.size)
+                times = np.stack([met[a:b], net.visits[a:b]])
+                ids = np.flatnonzero(times.any(axis=0))
+                if len(ids):
+                    emb = net.params[0][:, VOCAB + 1 + a + ids].transpose(1, 0, 2).reshape(len(ids), -1)
+                    rows = np.concatenate([emb, net.nodes[a + ids], net.bias[a + ids, None]], axis=1)
+                    yield pa.RecordBatch.from_pylist([_net_row(task, block, ids, times[:, ids], rows)], schema)
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
-    n = np.array(table["n"].to_pylist(), np.float64)
-    w = sum(np.frombuffer(x, np.float32).astype(np.float64) * m for x, m in zip(table["w"].to_pylist(), n)) / n.sum()
-    return pa.table([pa.array([table["k"][0].as_py()], pa.int64()), pa.array([int(n.sum())], pa.int64()),
-                     pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["k", "n", "w"])
+    """Of one block: each row by how often its word and its node were met."""
+    block, emb = table["block"][0].as_py(), len(OFFSETS) * HIDDEN
+    if block < 0:
+        times = np.array([np.frombuffer(t.as_py())[0] for t in table["times"]])
+        w = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) * m for x, m in zip(table["w"], times)) / times.sum()
+        row = _net_row(table["k"][0].as_py(), block, np.zeros(0), np.array([times.sum()]), w)
+    else:
+        total, times = np.zeros((BLOCK, emb + HIDDEN + 1)), np.zeros((2, BLOCK))
+        for i, t, w in zip(table["ids"], table["times"], table["w"]):
+            i = np.frombuffer(i.as_py(), np.int32)
+            t, w = np.frombuffer(t.as_py()).reshape(2, -1), np.frombuffer(w.as_py(), np.float32).reshape(len(i), -1)
+            total[i, :emb] += w[:, :emb] * t[0][:, None]
+            total[i, emb:] += w[:, emb:] * t[1][:, None]
+            times[:, i] += t
+        total[:, :emb] /= np.maximum(times[0], 1)[:, None]
+        total[:, emb:] /= np.maximum(times[1], 1)[:, None]
+        ids = np.flatnonzero(times.any(axis=0))
+        row = _net_row(table["k"][0].as_py(), block, ids, times[:, ids], total[ids])
+    return pa.Table.from_pylist([row], table.schema)
 
 
 def train(rows: DataFrame, words: list[bytes]) -> Network:
     """Networks of the scan tasks, averaged in a tree."""
-    schema = "k long, n long, w binary"
-    nets = written(rows.mapInArrow(_train(words), schema), "networks")
-    while (count := nets.count()) > FAN:
-        groups = -(-count // FAN)
-        nets = written(nets.groupBy(F.pmod(F.col("k"), F.lit(groups)).alias("g")).applyInArrow(_average, schema), "networks")
-    got = nets.toArrow()
-    return Network(np.frombuffer(_average(got)["w"][0].as_py(), np.float32)) if got.num_rows else Network()
+    tree, emb = Tree(words), len(OFFSETS) * HIDDEN
+    nets = written(rows.mapInArrow(_train(words, tree), _NETS), "networks")
+    count = nets.filter("block < 0").count()
+    while count > 1:
+        count = -(-count // FAN)
+        nets = written(nets.groupBy(F.pmod(F.col("k"), F.lit(count)).alias("g"), "block").applyInArrow(
+            lambda t: _average(t.select(["k", "block", "ids", "times", "w"])), _NETS), "networks")
+        count = nets.filter("block < 0").count()
+    net = Network(tree=tree)
+    for r in nets.toLocalIterator():
+        w, ids = np.frombuffer(r.w, np.float32), np.frombuffer(r.ids, np.int32) + max(r.block, 0) * BLOCK
+        if r.block < 0:
+            top = Network(w)
+            net.params[0][:, :VOCAB + 1] = top.params[0]
+            net.params[1:] = top.params[1:]
+        else:
+            w, (met, visits) = w.reshape(len(ids), -1), np.frombuffer(r.times).reshape(2, -1) > 0
+            net.params[0][:, VOCAB + 1 + ids[met]] = w[met, :emb].reshape(-1, len(OFFSETS), HIDDEN).transpose(1, 0, 2)
+            net.nodes[ids[visits]], net.bias[ids[visits]] = w[visits, emb:-1], w[visits, -1]
+    return net
 
 
-def score(docs: DataFrame, words: list[bytes], net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_prob (sum over the words), mean_log_prob."""
-    flat = net.flat()
+def score(docs: DataFrame, words: list[bytes], net: Network, id_col: str = "doc_id", text_col: str = "text",
+          counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, log_prob (sum over the words), mean_log_prob. With
+    ``counts`` (word, n) the words without a leaf of their own have their share
+    of it, else they count as one word."""
+    rest = np.log(np.maximum(words.rest, 1)) if counts is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, net = Vocabulary(words), Network(flat)
+        vocab = Vocabulary(words)
         for b in batches:
-            sums, lens = [], []
+            sums, lens, rare = [], [], []
             for texts in _groups([t.as_py() for t in b.column(1)]):
-                ids = [vocab.ids(t) for t in texts]
+                found = [words_of(t) for t in texts]
+                ids = [vocab.of(ws) for ws in found]
                 padded, places = padded_ids(ids)
                 each = np.concatenate([net.log_probs(padded, places[a:a + PIECE]) for a in range(0, len(places), PIECE)] or [np.zeros(0)])
+                if rest is not None:
+                    targets = padded[places]
+                    shared = (targets >= VOCAB - HASHED) & (targets < VOCAB)
+                    each[shared] -= rest[targets[shared] - (VOCAB - HASHED)]
+                    rare += [[ws[i] for i in np.flatnonzero((d >= VOCAB - HASHED) & (d < VOCAB))] for ws, d in zip(found, ids)]
+                else:
+                    rare += [[]] * len(texts)
                 n = np.array([len(d) for d in ids], np.int64)
                 total = np.concatenate([[0.0], np.cumsum(each)])
                 ends = np.cumsum(n)
                 sums.append(total[ends] - total[ends - n])
                 lens.append(n)
             n, s = (np.concatenate(lens), np.concatenate(sums)) if lens else (np.zeros(0, np.int64), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1))],
-                                             names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s), pa.array(rare, pa.list_(pa.binary()))],
+                                             names=["doc_id", "n_words", "log_prob", "rare"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    got = _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, log_prob double, rare array<binary>")
+    mean = (F.col("log_prob") / F.greatest("n_words", F.lit(1))).alias("mean_log_prob")
+    if counts is None:
+        return got.select("doc_id", "n_words", "log_prob", mean)
+    got = written(got.withColumn("row", F.monotonically_increasing_id()), "scores")
+    # a word of the join occurs less than MIN_COUNT times in the corpus
+    shares = (got.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row")
+              .agg(F.sum(F.log(F.coalesce("n", F.lit(1)))).alias("share")))
+    return (got.join(shares, "row", "left").select("doc_id", "n_words", (F.col("log_prob") + F.coalesce("share", F.lit(0.0))).alias("log_prob"))
+            .select("doc_id", "n_words", "log_prob", mean))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -270,5 +478,6 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Gather, train and score: every document by a network trained on all."""
     rows = _rows(docs, id_col, text_col)
-    words = vocabulary(rows)
-    return score(docs, words, train(rows, words), id_col, text_col)
+    counts = count_words(rows)
+    words = vocabulary(rows, counts)
+    return score(docs, words, train(rows, words), id_col, text_col, counts)

@@ -78,3 +78,50 @@ def test_tree_of_averages(spark, monkeypatch):
     rows = lm._rows(docs, "doc_id", "text")
     net = lm.train(rows, lm.vocabulary(rows))
     assert np.isfinite(net.flat()).all() and not np.allclose(net.flat(), lm.Network().flat())
+
+
+def test_probabilities_are_of_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MIN_COUNT", 5)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.2, 300) % 5000) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = lm._rows(docs, "doc_id", "text")
+    counts = lm.count_words(rows)
+    n = {bytes(r.word): r.n for r in counts.collect()}
+    words = lm.vocabulary(rows, counts)
+    assert set(words) >= {w for w in n if n[w] >= 5} and len(words) > lm.VOCAB - lm.HASHED
+    net = lm.train(rows, words)
+    vocab = lm.Vocabulary(words)
+    assert len({vocab[w] for w in words}) == len(words) == vocab.own
+    # in one context, the probabilities of all words of the corpus add up to those of buckets that have words
+    rest = {}
+    for w in n.keys() - set(words):
+        rest[vocab[w]] = rest.get(vocab[w], 0) + n[w]
+    assert all(words.rest[i - lm.VOCAB + lm.HASHED] == rest[i] for i in rest)
+    ids = [*range(lm.VOCAB), *(vocab[w] for w in words[lm.VOCAB - lm.HASHED:])]
+    padded, at = lm.padded_ids([np.array([vocab[b"w1"], vocab[b"w2"], i, vocab[b"w3"], vocab[b"w4"]], np.int32) for i in ids])
+    assert np.exp(net.log_probs(padded, at[2::5])).sum() == pytest.approx(1, abs=1e-3)
+    # a document's score is the sum over its words, each with its share
+    got = {r.doc_id: r.log_prob for r in lm.score(docs, words, net, counts=counts).collect()}
+    for d, t in list(enumerate(texts))[:10]:
+        found = [w.encode() for w in t.split()]
+        want = net.log_probs(*lm.padded_ids([vocab.ids(t.encode())])).sum()
+        want += sum(math.log(n[w] / rest[vocab[w]]) for w in found if vocab[w] in rest)
+        assert got[d] == pytest.approx(want, rel=1e-6)
+
+
+def test_gradient_of_the_trees():
+    words = lm.Words([f"w{i}".encode() for i in range(3000)], 1000.0 / np.arange(1, 3001), np.full(lm.HASHED, 0.3))
+    net, rng = lm.Network(tree=lm.Tree(words)), np.random.default_rng(6)
+    net.nodes += rng.standard_normal(net.nodes.shape).astype(np.float32) * 0.3
+    padded, at = lm.padded_ids([rng.choice([*range(lm.VOCAB), *range(lm.VOCAB + 1, lm.VOCAB + 2400)], 60).astype(np.int32)])
+    sums = [np.zeros_like(s) for s in net.sums()]
+    net.step(padded, at, sums, 0.0)
+    for table, s in ((net.nodes, sums[6]), (net.bias, sums[7]), (net.params[0], sums[0])):
+        i = np.unravel_index(s.argmax(), s.shape)
+        old, ends = table[i], []
+        for move in (1e-2, -1e-2):
+            table[i] = old + move
+            ends.append(-net.log_probs(padded, at).mean())
+        table[i] = old
+        assert abs(ends[0] - ends[1]) / 2e-2 == pytest.approx(float(np.sqrt(s[i])), rel=0.05)
