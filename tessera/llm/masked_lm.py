@@ -7,8 +7,8 @@ that probabilities add up to one. The sum of the words' conditional log
 probabilities is the document's score.
 
 What is gathered from the corpus: the counts of all words, and one network per
-scan task, trained in numpy on all documents of the task with a share of the
-positions masked (``MASK``). The most frequent words are leaves of the two-step softmax. All
+scan task, trained in numpy on all documents of the task with every position as
+a target once. The most frequent words are leaves of the two-step softmax. All
 others share its remaining leaves (buckets) by hash, and a third step, a binary
 tree below each bucket, leads to the word: every word that occurs ``MIN_COUNT``
 times has a leaf and embeddings of its own, the rarer ones of a bucket share a
@@ -46,7 +46,6 @@ VOCAB = CLASSES * CLASSES
 HASHED = VOCAB // 2
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
-MASK = 0.2
 #: Words that occur so often have a leaf and embeddings of their own.
 MIN_COUNT = 20
 BATCH = 1024
@@ -364,7 +363,7 @@ def _train(words: list[bytes], tree: Tree):
                 padded, places = padded_ids([vocab.ids(t) for t in texts])
                 n += len(places)
                 met += np.bincount(padded[padded > VOCAB] - (VOCAB + 1), minlength=tree.size)
-                targets = rng.permutation(places[rng.random(len(places)) < MASK])
+                targets = rng.permutation(places)
                 for a in range(0, len(targets), BATCH):
                     net.step(padded, targets[a:a + BATCH], sums, RATE)
         if n:

@@ -125,3 +125,14 @@ def test_gradient_of_the_trees():
             ends.append(-net.log_probs(padded, at).mean())
         table[i] = old
         assert abs(ends[0] - ends[1]) / 2e-2 == pytest.approx(float(np.sqrt(s[i])), rel=0.05)
+
+
+def test_every_position_is_a_target_once(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(lm.Network, "step", lambda self, padded, at, sums, rate: steps.append(at.copy()))
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    texts = [b"a b c d e f g " * 500, b"", b"one two"]
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array([1, 2, 3]), lm.pa.array(texts)], names=["doc_id", "text"])
+    list(lm._train([b"a"], lm.Tree([b"a"]))(iter([batch])))
+    _, places = lm.padded_ids([lm.Vocabulary([b"a"]).ids(t) for t in texts])
+    assert sorted(np.concatenate(steps).tolist()) == places.tolist()
