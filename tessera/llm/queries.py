@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cuckoo_dedup, fm_decontam, html_gbt, masked_lm, poisson_mix, simhash_popcount, suffix_hash_dedup, token_planes, toxicity, url_templates
-from tessera.llm.common import scratch_path, table
+from tessera.llm import (cuckoo_dedup, fm_decontam, gga_packing, html_gbt, masked_lm, periodic_runs, poisson_mix, prefix_trie,
+                         simhash_popcount, suffix_hash_dedup, token_planes, toxicity, url_templates)
+from tessera.llm.common import scratch_path, table, written
 
 
 def op1_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +156,61 @@ def op10_suffix_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = written(prefix_trie.turn_arrays(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie(prefix_trie.with_borrowed_heads(arrays))
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT conv_id, turn, md5(octet_length(encode(role)) || ':' || role || text) AS id,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM t),
+own AS (SELECT conv_id, list({'id': id, 'w': w} ORDER BY turn NULLS FIRST, id) AS turns FROM k GROUP BY 1),
+-- CRC-32: its table of 256 from the polynomial 0xEDB88320, then byte by byte
+crc_table AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM range(256) r(i)),
+h AS (
+  SELECT conv_id, turns, (xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+         lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 4)::BIGINT AS h FROM own, crc_table),
+seq AS (
+  SELECT h.conv_id, list_concat(coalesce(l.turns[:h.h], []), h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN own l ON l.conv_id = h.conv_id - h.conv_id % 20),
+pre AS (
+  SELECT conv_id, d, len(turns) AS n, sha256(array_to_string(list_transform(turns[:d], lambda x: x.id), ',')) AS node,
+         CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(turns[:d - 1], lambda x: x.id), ',')) END AS parent,
+         CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM seq)),
+nodes AS (
+  SELECT node, parent, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM pre GROUP BY 1, 2, 3),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+-- every node with every node on the way to it, by its smallest member's turns
+above AS (SELECT f.node, f.n_children, (f.n_convs - 1) * f.w AS saved, p.node AS top
+          FROM full_nodes f JOIN pre p ON p.conv_id = f.conv_id AND p.d <= f.d),
+sums AS (SELECT top AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums USING (node) LEFT JOIN full_nodes p ON p.node = f.parent
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), periodic_runs.planted_periods)
+    best = periodic_runs.strongest()
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                        periodic_runs.runs_sha256().alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_gga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = gga_packing.pack(table(spark, sf_dir, "documents"), token_planes.public_tokenizer("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op2_html_gbt": op2_html_gbt,
@@ -166,10 +222,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fm_decontam": op8_fm_decontam,
     "op9_simhash_popcount": op9_simhash_popcount,
     "op10_suffix_hash_dedup": op10_suffix_hash_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_gga_packing": op13_gga_packing,
 }
 ORACLES: dict[str, str] = {
     "op1_cuckoo_dedup": OP1_SQL,
     "op6_poisson_mix": OP6_SQL,
     "op7_url_templates": OP7_SQL,
     "op8_fm_decontam": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
