@@ -1,119 +1,24 @@
-"""Exact order statistics and quantiles, computed without gathering a column.
+"""Exact order statistics and quantiles of whole columns, without gathering one.
 
 Spark's exact ``percentile`` keeps a value->count map per group in one
 aggregation buffer; for a continuous column over a whole table that buffer
-*is* the column, merged in one task.  Over a whole table, ranks are found by cutting brackets of the value range into
-equal parts, counting in Arrow batches (``_table_ranks``). Per group, every
-wanted rank is found by band refinement:
-
-1. a mergeable sketch (``percentile_approx`` read on a fixed grid of
-   probes) brackets the rank between two observed values ``lo <= hi``;
-2. one counting pass gives ``#(< lo), #(<= lo), #(< hi), #(<= hi)``, which
-   places the rank on ``lo``, on ``hi``, strictly between, or (if the sketch
-   bound was missed) outside; values strictly between are gathered sorted
-   only when the sketch bound proves there are few of them;
-3. otherwise the next round sketches only the values inside the band.
-
-A value repeated on a third of all rows becomes a bracket end and is
-resolved by counting alone, so no task ever holds a hot group's values.
-The driver keeps only a few numbers per (group, column, rank).
-"""
+*is* the column, merged in one task. Here ranks are found by cutting brackets of
+the value range into equal parts, counting in Arrow batches (``_table_ranks``).
+The driver keeps only a few numbers per (column, rank). Quantiles per group are
+in ``ranking``."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import col, num
-
-# Tuning.  A sketch is read on GRID+1 evenly spaced probes; the coarse
-# setting rides along the first scan, the fine one is used only while a
-# band still holds more values than the coarse one can narrow cheaply.
-COARSE = (100, 1000)      # (grid, accuracy)
-FINE = (1000, 10000)
-BAND_LIMIT = 200_000      # most in-band values gathered per target and group
-MAX_GROUPS = 5000
-MAX_ROUNDS = 24
-
-
-class TooManyGroups(ValueError):
-    """The groups' brackets would not fit the driver."""
-
-
-def _pcts(grid: int) -> list[float]:
-    return [i / grid for i in range(grid + 1)]
-
-
-def _width(setting) -> float:
-    grid, acc = setting
-    return 3.0 / grid + 2.0 / acc
-
-
-def _setting_for(m: int):
-    return COARSE if _width(COARSE) * m <= 20 * BAND_LIMIT else FINE
-
-
-@dataclass
-class _Target:
-    key: tuple            # group key values
-    column: str
-    rank: int             # 0-based rank among the group's non-null values
-    base: int = 0         # values strictly below the band
-    m: int = 0            # values inside the band
-    blo: float | None = None
-    blo_inc: bool = True
-    bhi: float | None = None
-    bhi_inc: bool = True
-    lo: float | None = None
-    hi: float | None = None
-    gather: bool = False
-    value: float | None = None
-    done: bool = False
-    extra: dict = field(default_factory=dict)
-
-
-def _lit(v, kind: str) -> str:
-    if v is None:
-        return "CAST(NULL AS DOUBLE)" if kind == "d" else ("CAST(NULL AS BOOLEAN)" if kind == "b"
-                                                           else "CAST(NULL AS BIGINT)")
-    if kind == "d":
-        f = float(v)
-        if math.isinf(f):
-            return "CAST('Infinity' AS DOUBLE)" if f > 0 else "CAST('-Infinity' AS DOUBLE)"
-        return repr(f) + "D"
-    if kind == "b":
-        return "true" if v else "false"
-    return f"CAST({int(v)} AS BIGINT)"
-
-
-_KINDS = {"blo": "d", "bhi": "d", "lo": "d", "hi": "d", "blo_inc": "b", "bhi_inc": "b",
-          "rank": "l", "base": "l", "m": "l"}
-
-
-class _Params:
-    """Per-target parameters as SQL literals (global) or as columns of a
-    joined bracket table (grouped)."""
-
-    def __init__(self, grouped: bool):
-        self.grouped = grouped
-
-    def of(self, j: int, t: _Target | None):
-        def p(name: str) -> str:
-            if self.grouped:
-                return f"`__t{j}_{name}`"
-            return _lit(getattr(t, name), _KINDS[name])
-        return p
-
-
-def _band_cond(c: str, p) -> str:
-    return (f"(({p('blo')} IS NULL OR {c} > {p('blo')} OR ({p('blo_inc')} AND {c} = {p('blo')})) AND "
-            f"({p('bhi')} IS NULL OR {c} < {p('bhi')} OR ({p('bhi_inc')} AND {c} = {p('bhi')})))")
+#: Rows of a group up to which a built-in percentile may hold its values.
+BAND_LIMIT = 200_000
 
 
 def _num_sql(df: DataFrame, name: str) -> str:
@@ -125,111 +30,6 @@ def _num_sql(df: DataFrame, name: str) -> str:
     return f"CAST({q} AS DOUBLE)"
 
 
-def _probe_index(rib: str, m: str, offset: int, floor: bool, grid: int) -> str:
-    fn = "floor" if floor else "ceil"
-    frac = f"(({rib}) + 1) / greatest({m}, 1) * {grid}"
-    return f"CAST(least(greatest({fn}({frac}) + ({offset}), 0), {grid}) AS INT) + 1"
-
-
-def _bracket_table(spark: SparkSession, by: list[str], key_types, groups: dict,
-                   slots: list[tuple[str, ...]]) -> DataFrame:
-    fields = [T.StructField(b, key_types[b], True) for b in by]
-    names = ["rank", "base", "m", "blo", "blo_inc", "bhi", "bhi_inc", "lo", "hi"]
-    ftypes = [T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.BooleanType(),
-              T.DoubleType(), T.BooleanType(), T.DoubleType(), T.DoubleType()]
-    for j in range(len(slots)):
-        for nm, ft in zip(names, ftypes):
-            fields.append(T.StructField(f"__t{j}_{nm}", ft, True))
-    rows = []
-    for key, tlist in groups.items():
-        row = list(key)
-        for t in tlist:
-            if t is None:
-                row.extend([None] * len(names))
-            else:
-                row.extend([t.rank, t.base, t.m, t.blo, t.blo_inc, t.bhi, t.bhi_inc, t.lo, t.hi])
-        rows.append(row)
-    return spark.createDataFrame(rows, T.StructType(fields))
-
-
-def _aggregate(data: DataFrame, by: list[str], aggs: list[str], post: list[str]) -> list:
-    """Run ``aggs`` then ``post`` per group."""
-    keys = ["`" + b.replace("`", "``") + "`" for b in by]
-    res = data.groupBy(*by).agg(*[F.expr(x) for x in aggs]) if by else data.selectExpr(*aggs)
-    return [r.asDict() for r in res.selectExpr(*keys, *post).collect()]
-
-
-def _with_brackets(df, by, slots, groups):
-    if not by:
-        return df
-    key_types = {b: df.schema[b].dataType for b in by}
-    br = _bracket_table(df.sparkSession, by, key_types, groups, slots)
-    return df.join(F.broadcast(br), on=by, how="inner")
-
-
-def _run_rounds(df: DataFrame, by: list[str], slots, groups: dict) -> None:
-    """Refine every unresolved target until all are exact: a sketch pass
-    over each band, then a counting pass."""
-    grouped = bool(by)
-    prm = _Params(grouped)
-    for _ in range(MAX_ROUNDS):
-        live = [j for j in range(len(slots))
-                if any(g[j] is not None and not g[j].done for g in groups.values())]
-        if not live:
-            return
-        m_max = max(g[j].m for g in groups.values() for j in live
-                    if g[j] is not None and not g[j].done)
-        setting = _setting_for(m_max)
-        grid, acc = setting
-        pcts = "array(" + ", ".join(repr(x) + "D" for x in _pcts(grid)) + ")"
-        aggs, post = [], []
-        for j in live:
-            c = _num_sql(df, slots[j][0])
-            t0 = None if grouped else next(iter(groups.values()))[j]
-            p = prm.of(j, t0)
-            one = (lambda e: f"first({e})") if grouped else (lambda e: e)
-            aggs.append(f"percentile_approx(CASE WHEN {_band_cond(c, p)} THEN {c} END, {pcts}, {acc}) AS __sk{j}")
-            aggs += [f"{one(p('rank'))} AS __k{j}", f"{one(p('base'))} AS __b{j}", f"{one(p('m'))} AS __m{j}"]
-            rib = f"__k{j} - __b{j}"
-            post.append(f"element_at(__sk{j}, {_probe_index(rib, f'__m{j}', -1, True, grid)}) AS lo{j}")
-            post.append(f"element_at(__sk{j}, {_probe_index(rib, f'__m{j}', 1, False, grid)}) AS hi{j}")
-        for row in _aggregate(_with_brackets(df, by, slots, groups), by, aggs, post):
-            tl = groups.get(tuple(row[b] for b in by))
-            if tl is None:
-                continue
-            for j in live:
-                t = tl[j]
-                if t is None or t.done:
-                    continue
-                t.lo, t.hi = row[f"lo{j}"], row[f"hi{j}"]
-                if t.lo is None or t.hi is None:
-                    raise RuntimeError("empty quantile band")
-                t.gather = _width(setting) * t.m <= BAND_LIMIT
-        _count_pass(df, by, slots, groups)
-    raise RuntimeError("quantile refinement did not converge")
-
-
-def _resolve(t: _Target, lt_lo: int, le_lo: int, lt_hi: int, le_hi: int, picked) -> None:
-    k = t.rank
-    end = t.base + t.m
-    if k < lt_lo:                       # sketch bound missed, rank below lo
-        t.bhi, t.bhi_inc = t.lo, False
-        t.m = lt_lo - t.base
-    elif k < le_lo:
-        t.value, t.done = t.lo, True
-    elif k < lt_hi:
-        if picked is not None:
-            t.value, t.done = picked, True
-        else:
-            t.blo, t.blo_inc, t.bhi, t.bhi_inc = t.lo, False, t.hi, False
-            t.base, t.m = le_lo, lt_hi - le_lo
-    elif k < le_hi:
-        t.value, t.done = t.hi, True
-    else:                               # rank above hi
-        t.blo, t.blo_inc = t.hi, False
-        t.base, t.m = le_hi, end - le_hi
-
-
 def _ranks(n: int, probs) -> list[int]:
     out = []
     for p in probs:
@@ -343,154 +143,18 @@ def _table_quantiles(df: DataFrame, cols: list[str], probs: list[float], extra_a
     return {(): out}, {(): row}
 
 
-def quantile_values(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None,
-                    extra_aggs: list[Column] | None = None, ranks_fn=None):
+def quantile_values(df: DataFrame, cols: list[str], probs: list[float], extra_aggs: list[Column] | None = None, ranks_fn=None):
     """Exact linear-interpolated quantiles (pandas / ``quantile_cont``
-    semantics) of each column, per group of ``by``.
-
-    Returns ``(values, extras)``: ``values[key][(column, p)] -> float|None``
-    and ``extras[key] -> Row`` holding ``extra_aggs`` (evaluated in the same
-    first scan) plus ``__n_<column>`` counts.  Rows whose group key has a
-    NULL are dropped (grouping semantics of the tabular model)."""
-    by = list(by or [])
-    if not by:
-        return _table_quantiles(df, cols, probs, extra_aggs, ranks_fn)
-    if by:
-        for b in by:  # a NaN key is a missing one
-            df = df.where(col(b).isNotNull())
-            if isinstance(df.schema[b].dataType, (T.FloatType, T.DoubleType)):
-                df = df.where(~F.isnan(col(b)))
-    aggs = list(extra_aggs or [])
-    pcts = "array(" + ", ".join(repr(x) + "D" for x in _pcts(COARSE[0])) + ")"
-    for i, c in enumerate(cols):
-        x = _num_sql(df, c)
-        aggs.append(F.expr(f"count({x})").alias(f"__n_{i}"))
-        if probs or ranks_fn is not None:
-            aggs.append(F.expr(f"percentile_approx({x}, {pcts}, {COARSE[1]})").alias(f"__g_{i}"))
-    first = (df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs))
-    rows = first.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise TooManyGroups(f"more than {MAX_GROUPS} groups")
-    slots = [(c, p, s) for c in cols for p in probs for s in (0, 1)]
-    groups: dict = {}
-    extras: dict = {}
-    for row in rows:
-        key = tuple(row[b] for b in by)
-        extras[key] = row
-        tl = []
-        for i, c in enumerate(cols):
-            n = row[f"__n_{i}"]
-            if not probs and ranks_fn is None:
-                continue
-            if ranks_fn is not None:
-                ks = ranks_fn(key, c, n)
-            else:
-                ks = _ranks(n, probs) if n else [None] * (2 * len(probs))
-            grid = row[f"__g_{i}"]
-            for r in ks:
-                if r is None:
-                    tl.append(None)
-                    continue
-                t = _Target(key=key, column=c, rank=r, base=0, m=n)
-                g0 = COARSE[0]
-                fi = (r + 1) / n * g0
-                t.lo = grid[max(0, min(g0, math.floor(fi) - 1))]
-                t.hi = grid[max(0, min(g0, math.ceil(fi) + 1))]
-                t.gather = _width(COARSE) * n <= BAND_LIMIT
-                tl.append(t)
-        groups[key] = tl
-    if ranks_fn is not None:
-        width = max((len(tl) for tl in groups.values()), default=0)
-        slots = [(cols[0], None, s) for s in range(width)]
-        for tl in groups.values():
-            tl.extend([None] * (width - len(tl)))
-        if width:
-            _count_then_refine(df, by, slots, groups)
-        return {k: [None if t is None else t.value for t in tl] for k, tl in groups.items()}, extras
-    if probs and groups:
-        _count_then_refine(df, by, slots, groups)
-    values: dict = {}
-    for key, tl in groups.items():
-        out = {}
-        for i, c in enumerate(cols):
-            n = extras[key][f"__n_{i}"]
-            for pi, p in enumerate(probs):
-                t1 = tl[(i * len(probs) + pi) * 2] if tl else None
-                t2 = tl[(i * len(probs) + pi) * 2 + 1] if tl else None
-                if not n or t1 is None:
-                    out[(c, p)] = None
-                    continue
-                h = (n - 1) * p
-                w = h - math.floor(h)
-                v1, v2 = t1.value, t2.value
-                out[(c, p)] = v1 if w == 0 or v1 == v2 else v1 + w * (v2 - v1)
-        values[key] = out
-    return values, extras
-
+    semantics) of each column over the whole table.
 
-def _count_then_refine(df, by, slots, groups):
-    """Round 0 already has brackets from the first scan: count, then loop."""
-    _count_pass(df, by, slots, groups)
-    _run_rounds(df, by, slots, groups)
+    Returns ``(values, extras)``: ``values[()][(column, p)] -> float|None``
+    and ``extras[()] -> Row`` holding ``extra_aggs`` (evaluated in the same
+    first scan) plus ``__n_<column>`` counts."""
+    return _table_quantiles(df, cols, probs, extra_aggs, ranks_fn)
 
 
-def _count_pass(df, by, slots, groups):
-    grouped = bool(by)
-    prm = _Params(grouped)
-    aggs, post, live = [], [], []
-    gathers: dict = {}
-    for j, sl in enumerate(slots):
-        ts = [g[j] for g in groups.values() if g[j] is not None and not g[j].done]
-        if not ts:
-            continue
-        live.append(j)
-        c = _num_sql(df, sl[0])
-        p = prm.of(j, None if grouped else ts[0])
-        lo, hi = p("lo"), p("hi")
-        aggs += [f"count_if({c} < {lo}) AS a{j}", f"count_if({c} <= {lo}) AS b{j}",
-                 f"count_if({c} < {hi}) AS c{j}", f"count_if({c} <= {hi}) AS d{j}"]
-        post += [f"a{j}", f"b{j}", f"c{j}", f"d{j}"]
-        if all(t.gather for t in ts):
-            one = f"first({p('rank')})" if grouped else p("rank")
-            gexpr = f"sort_array(collect_list(CASE WHEN {c} > {lo} AND {c} < {hi} THEN {c} END))"
-            if grouped or gexpr not in gathers:
-                gathers[gexpr] = f"__l{j}"
-                aggs.append(f"{gexpr} AS __l{j}")
-            lst = gathers[gexpr] if not grouped else f"__l{j}"
-            aggs.append(f"{one} AS __k{j}")
-            pos = f"CAST(__k{j} - b{j} + 1 AS INT)"
-            post.append(f"CASE WHEN {pos} >= 1 THEN try_element_at({lst}, {pos}) END AS v{j}")
-        else:
-            post.append(f"CAST(NULL AS DOUBLE) AS v{j}")
-    if not aggs:
-        return
-    for row in _aggregate(_with_brackets(df, by, slots, groups), by, aggs, post):
-        tl = groups.get(tuple(row[b] for b in by))
-        if tl is None:
-            continue
-        for j in live:
-            t = tl[j]
-            if t is None or t.done:
-                continue
-            _resolve(t, row[f"a{j}"], row[f"b{j}"], row[f"c{j}"], row[f"d{j}"], row[f"v{j}"])
-
-
-def kth_values(df: DataFrame, column: str, ranks_fn, by: list[str] | None = None,
-               extra_aggs: list[Column] | None = None):
+def kth_values(df: DataFrame, column: str, ranks_fn, extra_aggs: list[Column] | None = None):
     """Exact values at 0-based ranks (ascending, NULLs excluded) of one
-    column per group: ``ranks_fn(key, column, n) -> [rank, ...]``.
-    Returns ``({key: [value, ...]}, extras)``."""
-    return quantile_values(df, [column], [], by, extra_aggs, ranks_fn=ranks_fn)
-
-
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """Tall DataFrame ``(by..., column, p, value)`` of exact quantiles."""
-    by = list(by or [])
-    values, _ = quantile_values(df, cols, probs, by)
-    spark = df.sparkSession
-    fields = [T.StructField(b, df.schema[b].dataType, True) for b in by]
-    fields += [T.StructField("column", T.StringType(), False),
-               T.StructField("p", T.DoubleType(), False),
-               T.StructField("value", T.DoubleType(), True)]
-    rows = [list(k) + [c, float(p), v] for k, d in values.items() for (c, p), v in d.items()]
-    return spark.createDataFrame(rows, T.StructType(fields))
+    column: ``ranks_fn(key, column, n) -> [rank, ...]``.
+    Returns ``({(): [value, ...]}, extras)``."""
+    return quantile_values(df, [column], [], extra_aggs, ranks_fn=ranks_fn)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tessera.functions.columns import pround, rnd, col, num
 from tessera.functions.frames import multipass
 from tessera.functions.quantiles import quantile_values
+from tessera.functions.ranking import grouped_quantiles, keyed, small
 from tessera.operators.sampling import sample_n
 from tessera.operators.stats import grouped_mean
 
@@ -55,41 +56,33 @@ def box_stats(df: DataFrame, c: str, by: str | None = None, k: float = 1.5,
               digits: int = 6) -> DataFrame:
     """Box summary ([by,] n, q1, median, q3, lower_fence, upper_fence,
     whisker_lo, whisker_hi, n_outliers) with exact quartiles; whiskers are
-    the extreme values inside the fences."""
-    keys = [by] if by else []
-    spark = df.sparkSession
-    with multipass(df.where(col(by).isNotNull()) if by else df, keys + [c]) as work:
-        qv, ex = quantile_values(work, [c], [0.25, 0.5, 0.75], by=keys)
-        rows = []
-        for key, q in qv.items():
-            q1, med, q3 = q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)]
-            lf = None if q1 is None else q1 - k * (q3 - q1)
-            uf = None if q1 is None else q3 + k * (q3 - q1)
-            rows.append(list(key) + [ex[key]["__n_0"], q1, med, q3, lf, uf])
-        kfields = [T.StructField(b, df.schema[b].dataType, True) for b in keys]
-        qdf = spark.createDataFrame(rows, T.StructType(kfields + [
-            T.StructField("n", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in
-                                                ("q1", "median", "q3", "lower_fence", "upper_fence")]]))
-        x = num(work, c)
-        if keys:
-            j = work.join(F.broadcast(qdf), on=keys)
-        else:
-            r = rows[0]
-            j = work.select("*", *[F.lit(v).cast("double").alias(n) for n, v in
-                                   zip(("lower_fence", "upper_fence"), r[-2:])])
-        inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
-        agg = (j.groupBy(*keys) if keys else j.groupBy()).agg(
-            F.min(F.when(inside, x)).alias("whisker_lo"), F.max(F.when(inside, x)).alias("whisker_hi"),
-            F.count_if(x.isNotNull() & ~inside).alias("n_outliers"))
-        res = agg.collect()
-    wfields = kfields + [T.StructField("whisker_lo", T.DoubleType()), T.StructField("whisker_hi", T.DoubleType()),
-                         T.StructField("n_outliers", T.LongType())]
-    wdf = spark.createDataFrame([list(r) for r in res], T.StructType(wfields))
-    out = qdf.join(wdf, on=keys) if keys else qdf.join(wdf)
-    return out.select(*[col(b) for b in keys], "n",
-                      *[rnd(n, digits).alias(n) for n in ("q1", "median", "q3", "lower_fence",
-                                                                "upper_fence", "whisker_lo", "whisker_hi")],
-                      "n_outliers")
+    the extreme values inside the fences. Any number of groups."""
+    probs = [0.25, 0.5, 0.75]
+    if by:
+        rows = keyed(df, [by])
+        q = grouped_quantiles(df, [by], [c], probs)
+        q = q.select(col(by), F.col("n0").alias("n"), *[F.col(f"q0_{j}").alias(name) for j, name in enumerate(("q1", "median", "q3"))])
+    else:
+        rows = df
+        with multipass(df, [c]) as work:
+            qv, ex = quantile_values(work, [c], probs)
+        q = df.sparkSession.createDataFrame([[ex[()]["__n_0"], *[qv[()][(c, p)] for p in probs]]],
+                                            "n long, q1 double, median double, q3 double")
+    spread = F.col("q3") - F.col("q1")
+    q = q.withColumns({"lower_fence": F.col("q1") - k * spread, "upper_fence": F.col("q3") + k * spread})
+    data = rows.select(*([col(by)] if by else []), num(rows, c).alias("__x"))
+    j = data.join(small(q), by) if by else data.join(F.broadcast(q))  # one row without groups
+    x = F.col("__x")
+    inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
+    names = ["n", "q1", "median", "q3", "lower_fence", "upper_fence"]
+    keys = [col(by)] if by else []
+    # the fences go along as equal values of a group, so that the result needs no second join
+    out = j.groupBy(*keys).agg(
+        *[F.first(n).alias(n) for n in names], F.min(F.when(inside, x)).alias("whisker_lo"), F.max(F.when(inside, x)).alias("whisker_hi"),
+        F.count_if(x.isNotNull() & ~inside).alias("n_outliers"))
+    if not by:  # of an empty table too
+        out = out.select(F.coalesce("n", F.lit(0)).alias("n"), *[c for c in out.columns if c != "n"])
+    return out.select(*keys, "n", *[rnd(n, digits).alias(n) for n in (*names[1:], "whisker_lo", "whisker_hi")], "n_outliers")
 
 
 def violin_stats(df: DataFrame, c: str, by: str | None = None, bins: int = 40) -> DataFrame:

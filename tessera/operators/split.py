@@ -10,13 +10,11 @@ from pyspark.sql import types as T
 
 from tessera.functions.columns import col, rnd
 from tessera.functions.frames import stored
-from tessera.functions.quantiles import kth_values
+from tessera.functions.ranking import cuts, positions, small
 from tessera.operators.sampling import hash_long
 
 _STRATUM = "__stratum"
 _ORDER = "__order"
-#: Classes that a stratified split may have: one number each comes to the driver.
-MAX_STRATA = 100_000
 
 
 def stratify_check(df: DataFrame, target: str) -> DataFrame:
@@ -29,37 +27,34 @@ def can_stratify(df: DataFrame, target: str) -> bool:
     return bool(stratify_check(df, target).collect()[0]["can_stratify"])
 
 
-def _allocate(counts: dict, n_test: int, n: int) -> dict:
-    """Largest-remainder split of ``n_test`` over strata (ties: key order)."""
-    quota = {k: c * n_test / n for k, c in counts.items()}
-    base = {k: math.floor(v) for k, v in quota.items()}
-    left = n_test - sum(base.values())
-    order = sorted(quota, key=lambda k: (-(quota[k] - base[k]), str(k)))
-    for k in order[:left]:
-        base[k] += 1
-    return base
+def _allocate(classes: DataFrame, n_test: int, n: int) -> DataFrame:
+    """Largest-remainder split of ``n_test`` rows over ``classes`` (class, count),
+    ties by class: (class, want), in whole numbers and without a limit on classes."""
+    share = F.col("count").cast("decimal(19,0)") * F.lit(n_test).cast("decimal(19,0)")
+    quota = stored(classes.select(_STRATUM, share.alias("share")).withColumn("floor", F.expr(f"CAST(share div {n} AS BIGINT)"))
+                   .select(_STRATUM, "floor", F.expr(f"share - CAST(floor AS DECIMAL(38,0)) * {n}").alias("rest"),
+                           F.lit(1).cast("long").alias("one")), "strata")
+    left = n_test - quota.agg(F.sum("floor")).first()[0]
+    if left:
+        quota = positions(quota, [F.col("rest").desc(), F.col(_STRATUM)], "one")
+        quota = quota.withColumn("floor", F.col("floor") + (F.col("__before") < left).cast("long"))
+    return quota.where("floor > 0").select(_STRATUM, F.col("floor").alias("want"))
 
 
-def _codes(df: DataFrame, name: str, descending: bool) -> list[Column]:
-    """Numbers, exact as doubles, whose order is the column's; NULL and NaN
-    come last. Text is told apart by its first 24 bytes."""
+def _sortable(df: DataFrame, name: str) -> Column:
+    """The column as it is where Spark can order it; NaN counts as NULL."""
     c, t = col(name), df.schema[name].dataType
-    if isinstance(t, T.BooleanType):
-        out = [c.cast("int")]
-    elif isinstance(t, T.LongType):
-        out = [F.shiftright(c, 20), c.bitwiseAND(F.lit((1 << 20) - 1))]
-    elif isinstance(t, T.NumericType):
-        out = [F.nanvl(c.cast("double"), F.lit(None).cast("double"))]
-    elif isinstance(t, T.DateType):
-        out = [F.unix_date(c)]
-    elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        day = F.to_date(c)
-        out = [F.unix_date(day), F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")]
-    else:
-        raw = F.hex(F.encode(c.cast("string"), "utf-8"))
-        out = [F.conv(F.rpad(F.substring(raw, 12 * i + 1, 12), 12, "0"), 16, 10) for i in range(4)]
-    last = F.lit(1e300)
-    return [F.coalesce(-x.cast("double") if descending else x.cast("double"), last) for x in out]
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return F.nanvl(c, F.lit(None).cast(t))
+    return c if _orderable(t) else c.cast("string")
+
+
+def _orderable(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return all(_orderable(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return _orderable(t.elementType)
+    return not isinstance(t, (T.MapType, T.VariantType))
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
@@ -71,59 +66,63 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
     Shuffled: the rows with the smallest 52-bit md5 of (key, seed) are the test
     rows, ties by key. Not shuffled: the last rows by ``order_by``, then by key
     (NULLs count as first). Stratified: the test count is spread over classes by
-    largest remainder and each class is cut at its own exact rank. The order is
-    a list of numeric codes; the cut of the first comes from the distributed
-    order-statistic routine, and only rows tied on it go to the next, at last to
-    a row number. So no class and no hot value is windowed or gathered."""
+    largest remainder and each class is cut at its own exact rank.
+
+    The order is that of the real columns, of any type. Each class's cut is the
+    value at its rank among the first column's counted values; only rows with that
+    value go on to the next column, and only rows that agree in all of them are
+    written and told apart by number. All others are compared with the cuts where
+    they are read, so ``df`` must give the same rows whenever it is read."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must be in (0, 1)")
     key, cols = key or df.columns, df.columns
     if not shuffle and order_by is None:
         raise ValueError("order_by is required when shuffle=False")
-    codes = [hash_long(key, seed).cast("double")] if shuffle else _codes(df, order_by, True)
-    codes += [c for k in key for c in _codes(df, k, not shuffle)]
+    first = hash_long(key, seed) if shuffle else _sortable(df, order_by)
+    order = [first, *[_sortable(df, k) for k in key]]
+    names, down = [f"{_ORDER}{i}" for i in range(len(order))], not shuffle
     strat = F.coalesce(col(stratify).cast("string"), F.lit("\u0000")) if stratify else F.lit("")
-    n_codes = len(codes)
-    work = stored(df.select("*", strat.alias(_STRATUM), *[c.alias(f"{_ORDER}{i}") for i, c in enumerate(codes)],
-                            F.monotonically_increasing_id().cast("double").alias(f"{_ORDER}{n_codes}")), "split")
-    strata = work.groupBy(_STRATUM).count().limit(MAX_STRATA + 1).collect()
-    if len(strata) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} classes to stratify by")
-    counts = {r[_STRATUM]: r["count"] for r in strata}
-    n = sum(counts.values())
-    want = _allocate(counts, math.ceil(test_size * n), n) if n else {}
-    cuts: dict[str, list[float]] = {k: [] for k, w in want.items() if w > 0}
-    open_, tied = {k: w for k, w in want.items() if w > 0}, work
-    for level in range(n_codes + 1):
-        if not open_:
+    work = df.select("*", strat.alias(_STRATUM), *[c.alias(n) for c, n in zip(order, names)])
+    classes = stored(work.groupBy(_STRATUM).count(), "strata")
+    n = classes.agg(F.sum("count")).first()[0]
+    if not n:
+        return df.withColumn("split", F.lit("train"))
+    n_test = math.ceil(test_size * n)
+    open_ = _allocate(classes, n_test, n) if stratify else classes.select(_STRATUM, F.lit(n_test).cast("long").alias("want"))
+
+    table, tied, depth = None, work, 0
+    for level, name in enumerate(names):
+        got = stored(cuts(tied, _STRATUM, name, down, open_), "cuts")
+        one = got.select(_STRATUM, F.col(name).alias(f"__c{level}"), F.lit(True).alias(f"__p{level}"))
+        table = one if table is None else table.join(one, _STRATUM, "left")
+        depth = level + 1
+        more = got.where("eq > want - lt")
+        open_ = stored(more.select(_STRATUM, (F.col("want") - F.col("lt")).alias("want")), "cuts")
+        if open_.isEmpty():
             break
-        name = f"{_ORDER}{level}"
-        found, _ = kth_values(tied, name, lambda k, c, m: [open_[k[0]] - 1] if k[0] in open_ else [None], by=[_STRATUM])
-        for k in open_:
-            cuts[k].append(found[(k,)][0])
-        edge = _cut_table(df, {k: cuts[k][-1:] for k in open_}, 1)
-        at = tied.join(F.broadcast(edge), _STRATUM)
-        sides = {r[_STRATUM]: r for r in at.groupBy(_STRATUM).agg(
-            F.count_if(F.col(name) < F.col("__c0")).alias("lt"), F.count_if(F.col(name) == F.col("__c0")).alias("eq")).collect()}
-        open_ = {k: w - sides[k]["lt"] for k, w in open_.items() if sides[k]["lt"] + sides[k]["eq"] > w}
-        if open_:
-            tied = at.where(F.col(_STRATUM).isin(*open_) & (F.col(name) == F.col("__c0"))).drop("__c0")
-    depth = max((len(c) for c in cuts.values()), default=0)
-    if not depth:
-        return work.select(*[col(c) for c in cols], F.lit("train").alias("split"))
-    test = F.lit(True)  # rows tied on all cuts of their class are in
-    for level in reversed(range(depth)):
-        code, cut = F.col(f"{_ORDER}{level}"), F.col(f"__c{level}")
-        test = F.when(cut.isNull(), True).otherwise((code < cut) | ((code == cut) & test))
-    joined = work.join(F.broadcast(_cut_table(df, cuts, depth)), _STRATUM, "left")
-    return joined.select(*[col(c) for c in cols],
-                         F.when(F.col("__c0").isNotNull() & test, "test").otherwise("train").alias("split"))
-
+        at = small(more.select(_STRATUM, F.col(name).alias("__cut")))
+        tied = tied.join(at, _STRATUM).where(F.col(name).eqNullSafe(F.col("__cut"))).drop("__cut")
+    table = table.join(open_.select(_STRATUM, F.col("want").alias("__left")), _STRATUM, "left")
 
-def _cut_table(df: DataFrame, cuts: dict[str, list[float]], depth: int) -> DataFrame:
-    """One row a class (bounded by MAX_STRATA), its cuts padded by NULL."""
-    fields = ", ".join([f"{_STRATUM} string", *[f"__c{i} double" for i in range(depth)]])
-    return df.sparkSession.createDataFrame([(k, *c, *[None] * (depth - len(c))) for k, c in cuts.items()], fields)
+    test, same = F.lit(True), F.lit(True)
+    for level in reversed(range(depth)):
+        x, cut, there = F.col(names[level]), F.col(f"__c{level}"), F.col(f"__p{level}")
+        before = F.coalesce(x > cut if down else x < cut, F.lit(False)) | (x.isNotNull() & cut.isNull())
+        test = F.when(there, before | (x.eqNullSafe(cut) & test)).otherwise(True)
+        same = F.when(there, x.eqNullSafe(cut)).otherwise(True) & same
+    state = (F.when(F.col("__p0").isNull(), "train").when(F.col("__left").isNotNull() & same, "tied")
+             .when(test, "test").otherwise("train"))
+    joined = work.join(small(table), _STRATUM, "left").withColumn("split", state)
+    out = joined.select(*[col(c) for c in cols], "split")
+    if open_.isEmpty():
+        return out
+    rows = stored(joined.where("split = 'tied'").select(*[col(c) for c in cols], _STRATUM, "__left"), "tied")
+    numbered = positions(rows.select(_STRATUM, F.struct(*[col(c) for c in cols]).alias("__row"), "__left", F.lit(1).cast("long").alias("__one"),
+                                     F.monotonically_increasing_id().alias("__id")), [F.col(_STRATUM), F.col("__id")], "__one")
+    start = numbered.groupBy(_STRATUM).agg(F.min("__before").alias("__start"))
+    told = (numbered.join(small(start), _STRATUM)
+            .select("__row.*", F.when(F.col("__before") - F.col("__start") < F.col("__left"), "test").otherwise("train").alias("split")))
+    return out.where("split != 'tied'").unionByName(told)
 
 
 def split_summary(split_df: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import pround, rnd, col, num, numeric_cols
-from tessera.functions.frames import explode_structs, multipass
+from tessera.functions.frames import explode_structs, multipass, stored
 from tessera.functions.moments import adj_kurt, adj_skew, pearson
-from tessera.functions.quantiles import BAND_LIMIT, MAX_GROUPS, quantile_values
+from tessera.functions.quantiles import BAND_LIMIT, quantile_values
+from tessera.functions.ranking import grouped_quantiles, keyed, small
 
 _DESCRIBE_SCHEMA = T.StructType([
     T.StructField("column", T.StringType(), False),
@@ -90,34 +91,25 @@ def grouped_stats(df: DataFrame, key: str, cols: list[str], digits: int = 3) ->
     (exact); rows with a NULL or NaN key dropped.
 
     Groups of up to BAND_LIMIT rows are aggregated by built-in functions; of the
-    larger ones (at most one in BAND_LIMIT rows) the medians are found by the
-    distributed order statistics, so that no buffer holds a hot group."""
-    d = df.where(col(key).isNotNull())
-    if isinstance(df.schema[key].dataType, (T.FloatType, T.DoubleType)):
-        d = d.where(~F.isnan(col(key)))
-    hot = [r[0] for r in d.groupBy(col(key)).count().where(F.col("count") > BAND_LIMIT).limit(MAX_GROUPS).collect()]
-    aggs = []
-    for c in cols:
-        x = num(d, c)
-        aggs += [rnd(F.avg(x), digits).alias(f"{c}_mean"), rnd(F.stddev_samp(x), digits).alias(f"{c}_std"),
-                 rnd(F.percentile(x, 0.5), digits).alias(f"{c}_median")]
-    if not hot:
-        return d.groupBy(col(key)).agg(*aggs)
-    small = d.where(~col(key).isin(*hot)).groupBy(col(key)).agg(*aggs)
-    return small.unionByName(_hot_stats(d.where(col(key).isin(*hot)), key, cols, digits))
-
-
-def _hot_stats(df: DataFrame, key: str, cols: list[str], digits: int) -> DataFrame:
-    with multipass(df, [key] + cols) as work:
-        extra = []
-        for i, c in enumerate(cols):
-            extra += [F.avg(num(work, c)).alias(f"m{i}"), F.stddev_samp(num(work, c)).alias(f"s{i}")]
-        qv, ex = quantile_values(work, cols, [0.5], by=[key], extra_aggs=extra)
-    fields = [T.StructField(key, df.schema[key].dataType, True)]
-    fields += [T.StructField(f"{c}_{s}", T.DoubleType(), True) for c in cols for s in ("mean", "std", "median")]
-    rows = [[*k, *[None if v is None else pround(float(v), digits) for i, c in enumerate(cols)
-                   for v in (r[f"m{i}"], r[f"s{i}"], qv[k][(c, 0.5)])]] for k, r in ex.items()]
-    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+    larger ones (at most one in BAND_LIMIT rows) the medians are found by
+    distributed ranks, so that no buffer holds a hot group."""
+    d = keyed(df, [key]).select(col(key), *[num(df, c).alias(f"__x{i}") for i, c in enumerate(cols)])
+
+    def moments(i: int, c: str) -> list[Column]:
+        x = F.col(f"__x{i}")
+        return [rnd(F.avg(x), digits).alias(f"{c}_mean"), rnd(F.stddev_samp(x), digits).alias(f"{c}_std")]
+
+    names = [n for c in cols for n in (f"{c}_mean", f"{c}_std", f"{c}_median")]
+    # one pass; it says which groups are hot, and has all but the medians
+    plain = stored(d.groupBy(col(key)).agg(F.count(F.lit(1)).alias("__rows"), *[m for i, c in enumerate(cols) for m in moments(i, c)]), "groups")
+    hot = plain.where(F.col("__rows") > BAND_LIMIT).select(col(key))
+    n_hot = hot.count()
+    few = d if not n_hot else d.join(small(hot, n_hot), key, "left_anti")
+    medians = few.groupBy(col(key)).agg(*[rnd(F.percentile(F.col(f"__x{i}"), 0.5), digits).alias(f"{c}_median") for i, c in enumerate(cols)])
+    if n_hot:
+        q = grouped_quantiles(d.join(small(hot, n_hot), key), [key], [f"__x{i}" for i in range(len(cols))], [0.5])
+        medians = medians.unionByName(q.select(col(key), *[rnd(F.col(f"q{i}_0"), digits).alias(f"{c}_median") for i, c in enumerate(cols)]))
+    return plain.join(medians, key).select(col(key), *[col(n) for n in names])
 
 
 def grouped_mean(df: DataFrame, key: str, c: str, grain: str | None = None,

@@ -31,19 +31,24 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+#: Scratch folders of local sessions that name none, by application.
+_SCRATCH: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must already be set (a shared filesystem path); only
-    when it is unset -- local tests -- a scratch folder is created."""
+    for a local master that has none -- tests, a first try -- a scratch folder is
+    created and remembered here: the setting itself can't be changed at run time."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        conf = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    spark.sparkContext.setCheckpointDir(conf)
+        app = spark.sparkContext.applicationId
+        if app not in _SCRATCH:
+            _SCRATCH[app] = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
+        return _SCRATCH[app]
     return conf

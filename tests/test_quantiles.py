@@ -16,9 +16,7 @@ def _frame(spark, seed=0, n=3000):
     return spark.createDataFrame(pdf), pdf
 
 
-@pytest.mark.parametrize("limit", [200_000, 40])
-def test_global_quantiles_exact(spark, limit, monkeypatch):
-    monkeypatch.setattr(Q, "BAND_LIMIT", limit)
+def test_global_quantiles_exact(spark):
     df, pdf = _frame(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     vals, ex = Q.quantile_values(df, ["a", "hot", "ints"], probs)
@@ -28,16 +26,6 @@ def test_global_quantiles_exact(spark, limit, monkeypatch):
         assert ex[()][f"__n_{['a', 'hot', 'ints'].index(c)}"] == pdf[c].count()
 
 
-def test_grouped_quantiles_exact(spark, monkeypatch):
-    monkeypatch.setattr(Q, "BAND_LIMIT", 25)
-    df, pdf = _frame(spark, 1)
-    vals, _ = Q.quantile_values(df, ["a", "hot"], [0.3, 0.5], by=["g"])
-    for (g,), d in vals.items():
-        sub = pdf[pdf.g == g]
-        for (c, p), v in d.items():
-            assert v == pytest.approx(sub[c].quantile(p), abs=1e-12)
-
-
 def test_kth_values(spark):
     df, pdf = _frame(spark, 2)
     vals, _ = Q.kth_values(df, "hot", lambda k, c, n: [0, n // 2, n - 1])
