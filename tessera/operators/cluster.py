@@ -1,122 +1,102 @@
 """k-means clustering and its diagnostics.
 
-Fits use ``pyspark.ml.clustering.KMeans`` (k-means|| seeding, one
-distributed pass per iteration) on mean-imputed, standardised features;
-the best of ``n_init`` seeds by training cost is kept.  The K scan fits and
-measures every K on all rows."""
+Features are mean-imputed and standardised. Restarts, and in the K scan all
+numbers of clusters, are fitted and measured by scans they share
+(``shared_kmeans``); of the restarts the one of least cost is kept."""
 
 from __future__ import annotations
 
-import math
+from contextlib import contextmanager
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, num, numeric_cols, pround, rnd
-from tessera.functions.frames import multipass
 from tessera.functions.linalg import Prepared, prepare
+from tessera.operators import shared_kmeans as SK
 from tessera.operators.reduce import fit_pca
 
+#: Fits stop when their centres' squared moves add up to this share of a variance.
+TOLERANCE = 1e-4
+
 
 @dataclass
 class KMeansResult:
     prep: Prepared
     k: int
-    centers: np.ndarray       # k x d, in standardised space, renumbered
+    centers: np.ndarray       # k x d, in standardised space, largest cluster first
     cost: float
-    relabel: dict             # spark cluster id -> our 0-based id
-
-    model: object = None      # fitted pyspark.ml KMeansModel
+    sizes: np.ndarray
 
     def assign(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """Nearest centre from the fitted model as ``cluster`` (0-based,
-        renumbered) plus ``KMeans_Cluster`` = "Cluster n" (1-based); the
-        standardised features ``__z*`` are kept for diagnostics."""
+        """Nearest centre (the first of equal ones) as ``cluster`` (0-based) plus
+        ``KMeans_Cluster`` = "Cluster n" (1-based); the standardised features
+        ``__z*`` are kept for diagnostics."""
         keep = keep if keep is not None else df.columns
+        centers = self.centers
+
+        @F.pandas_udf("int")
+        def nearest(x: pd.Series) -> pd.Series:
+            return pd.Series(SK._distances(np.stack(x.to_numpy()), centers).argmin(axis=1).astype(np.int32))
+
         z = self.prep.columns(df)
-        asm = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(z))], outputCol="features")
-        out = self.model.transform(asm.transform(df.select(*[col(c) for c in keep], *z)))
-        ids = sorted(self.relabel)
-        mapped = F.element_at(F.array(*[F.lit(self.relabel[i]) for i in ids]), F.col("prediction") + 1)
-        out = out.withColumn("cluster", mapped.cast("int")).drop("features", "prediction")
+        out = df.select(*[col(c) for c in keep], *z)
+        out = out.withColumn("cluster", nearest(F.array(*[f"__z{i}" for i in range(len(z))])))
         return out.withColumn("KMeans_Cluster", F.concat(F.lit("Cluster "), (F.col("cluster") + 1).cast("string")))
 
 
-def fit_kmeans(df: DataFrame, feats: list[str] | None = None, k: int = 4, n_init: int = 10,
-               max_iter: int = 300, seed: int = 42) -> KMeansResult:
-    """Best of ``n_init`` k-means|| fits; default features are all numeric
-    columns (a target column is not excluded).  Clusters are
-    renumbered by size (largest first), then by centre."""
-    feats = feats or numeric_cols(df)
+@contextmanager
+def _standardised(df: DataFrame, feats: list[str]):
+    """(prep, data): the features every pass reads, kept over the passes and
+    spread where the input has fewer partitions than there are cores."""
     if len(feats) < 2:
         raise ValueError("clustering needs at least two features")
     prep = prepare(df, feats, True)
-    z = prep.columns(df)
-    vec = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(z))], outputCol="features")
-    data = vec.transform(df.select(*z)).select("features")
+    data = df.select(*prep.columns(df))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        data.count()
-        # stop when the centres' squared moves add up to 1e-4 of a standardised variance; Spark bounds each centre's move
-        tol = math.sqrt(1e-4 / k)
-
-        def one(r: int):
-            m = KMeans(k=k, maxIter=max_iter, seed=seed + r, initMode="k-means||", tol=tol).fit(data)
-            return m.summary.trainingCost, r, m
-
-        # the restarts' many short jobs share the cluster; the first of equal costs wins
-        with ThreadPool(min(n_init, 4)) as pool:
-            cost, _, model = min(pool.map(one, range(n_init)), key=lambda x: x[:2])
-        sizes = {r["prediction"]: r["count"] for r in model.transform(data).groupBy("prediction").count().collect()}
+        yield prep, data
     finally:
         data.unpersist()
-    centers = np.array(model.clusterCenters())
-    order = sorted(range(len(centers)), key=lambda j: (-sizes.get(j, 0), tuple(centers[j])))
-    return KMeansResult(prep, len(centers), centers[order], cost, {old: new for new, old in enumerate(order)},
-                        model)
+
+
+def _result(prep: Prepared, fit: SK.Fit) -> KMeansResult:
+    order = sorted(range(len(fit.centers)), key=lambda j: (-fit.sizes[j], tuple(fit.centers[j])))
+    return KMeansResult(prep, len(order), fit.centers[order], fit.cost, fit.sizes[order])
+
+
+def fit_kmeans(df: DataFrame, feats: list[str] | None = None, k: int = 4, n_init: int = 10,
+               max_iter: int = 300, seed: int = 42, init: np.ndarray | None = None) -> KMeansResult:
+    """Best of ``n_init`` fits, the first of equal costs; default features are all
+    numeric columns (a target column is not excluded). ``init`` gives the starting
+    centres (standardised) of a single fit. Clusters are numbered by size (largest
+    first), then by centre."""
+    feats = feats or numeric_cols(df)
+    with _standardised(df, feats) as (prep, data):
+        if init is not None:
+            fits = SK.lloyd(data, len(feats), [init], max_iter, TOLERANCE)
+        else:
+            fits = SK.fit_all(data, len(feats), [k] * n_init, [seed + r for r in range(n_init)], max_iter, TOLERANCE)
+    return _result(prep, min(fits, key=lambda f: f.cost))
+
+
+_METRICS = "k int, inertia double, silhouette double, davies_bouldin double"
 
 
 def cluster_metrics(assigned: DataFrame, res: KMeansResult, digits: int | None = 4) -> DataFrame:
-    """(k, inertia, silhouette, davies_bouldin).  Silhouette is Spark's
-    ClusteringEvaluator (squared Euclidean, linear time); Davies-Bouldin
-    uses Euclidean distances to each cluster's mean."""
+    """(k, inertia, silhouette, davies_bouldin) of rows with ``__z*`` and
+    ``cluster``. Silhouette takes squared Euclidean distances (linear time);
+    Davies-Bouldin Euclidean distances to each cluster's mean."""
     d = len(res.prep.feats)
-    zc = [f"__z{i}" for i in range(d)]
-    vec = VectorAssembler(inputCols=zc, outputCol="features").transform(assigned)
-    sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
-                              distanceMeasure="squaredEuclidean").evaluate(vec)
-    means = {r["cluster"]: np.array([r[c] for c in zc]) for r in
-             assigned.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in zc]).collect()}
-    ids = sorted(means)
-    cen = np.array([means[i] for i in ids])
-    arr = [F.element_at(F.array(*[F.lit(float(cen[j, i])) for j in range(len(ids))]),
-                        F.array_position(F.array(*[F.lit(x) for x in ids]), F.col("cluster")).cast("int"))
-           for i in range(d)]
-    dist = F.sqrt(sum(((F.col(zc[i]) - arr[i]) ** 2 for i in range(d)), F.lit(0.0)))
-    sq = sum(((F.col(zc[i]) - arr[i]) ** 2 for i in range(d)), F.lit(0.0))
-    agg = {r["cluster"]: (r["s"], r["w"]) for r in
-           assigned.groupBy("cluster").agg(F.avg(dist).alias("s"), F.sum(sq).alias("w")).collect()}
-    s = np.array([agg[i][0] for i in ids])
-    inertia = float(sum(agg[i][1] for i in ids))
-    db = 0.0
-    for a in range(len(ids)):
-        worst = 0.0
-        for b in range(len(ids)):
-            if a != b:
-                dd = float(np.linalg.norm(cen[a] - cen[b]))
-                worst = max(worst, (s[a] + s[b]) / dd if dd > 0 else 0.0)
-        db += worst
-    db /= len(ids)
-    return assigned.sparkSession.createDataFrame(
-        [(res.k, *(float(v) if digits is None else pround(v, digits) for v in (inertia, sil, db)))],
-        "k int, inertia double, silhouette double, davies_bouldin double")
+    (found,) = SK.measures(assigned.select(*[f"__z{i}" for i in range(d)], F.col("cluster").cast("double")), d, n_labels=res.k)
+    return assigned.sparkSession.createDataFrame([(res.k, *(v if digits is None else pround(v, digits) for v in found))], _METRICS)
 
 
 def kmeans_scan(df: DataFrame, feats: list[str] | None = None, ks: list[int] | None = None,
@@ -125,18 +105,15 @@ def kmeans_scan(df: DataFrame, feats: list[str] | None = None, ks: list[int] | N
     2 .. min(12, n // 5 + 2) - 1: every K is fitted on all rows and measured on
     all rows; best is the highest unrounded silhouette, the first on ties."""
     feats = feats or numeric_cols(df)
-    spark = df.sparkSession
-    with multipass(df, feats) as work:
-        if ks is None:
-            ks = list(range(2, min(12, work.count() // 5 + 2)))
-        rows = []
-        for k in ks:
-            res = fit_kmeans(work, feats, k, n_init, max_iter, seed)
-            rows.append(cluster_metrics(res.assign(work, []), res, None).first())
-    best = max(range(len(rows)), key=lambda i: (rows[i]["silhouette"], -i)) if rows else None
-    out = [(k, *(pround(r[c], 4) for c in ("inertia", "silhouette", "davies_bouldin")), i == best)
-           for i, (k, r) in enumerate(zip(ks, rows))]
-    return spark.createDataFrame(out, "k int, inertia double, silhouette double, davies_bouldin double, best boolean")
+    with _standardised(df, feats) as (prep, data):
+        ks = ks if ks is not None else list(range(2, min(12, prep.n // 5 + 2)))
+        fits = SK.fit_all(data, len(feats), [k for k in ks for _ in range(n_init)], [seed + r for _ in ks for r in range(n_init)],
+                          max_iter, TOLERANCE) if ks else []
+        best_of = [min(fits[i * n_init:(i + 1) * n_init], key=lambda f: f.cost) for i in range(len(ks))]
+        rows = SK.measures(data, len(feats), [f.centers for f in best_of]) if ks else []
+    best = max(range(len(rows)), key=lambda i: (rows[i][1], -i)) if rows else None
+    out = [(k, *(pround(v, 4) for v in r), i == best) for i, (k, r) in enumerate(zip(ks, rows))]
+    return df.sparkSession.createDataFrame(out, _METRICS + ", best boolean")
 
 
 def cluster_profile(assigned: DataFrame, feats: list[str], digits: int = 3) -> DataFrame:
