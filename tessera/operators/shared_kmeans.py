@@ -40,6 +40,13 @@ class Fit:
     iterations: int
 
 
+def _partitions(data: DataFrame) -> int:
+    """Of a frame that many passes read: counted once."""
+    if not hasattr(data, "_n_partitions"):
+        data._n_partitions = data.rdd.getNumPartitions()
+    return data._n_partitions
+
+
 def _rows(batch: pa.RecordBatch, d: int):
     """The first d columns of a batch as matrices of up to BLOCK rows."""
     for a in range(0, batch.num_rows, BLOCK):
@@ -66,7 +73,7 @@ def _sums(data: DataFrame, d: int, width: int, n: int, found) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["i", "s"])
 
     rows = data.mapInArrow(run, "i int, s array<double>")
-    if data.rdd.getNumPartitions() * n * width > DIRECT:
+    if _partitions(data) * n * width > DIRECT:
         rows = (rows.select("i", F.posexplode("s").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
                 .groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("s")))
     total, t = np.zeros((n, width)), rows.toArrow()
