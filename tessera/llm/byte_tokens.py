@@ -77,8 +77,6 @@ class ChunkIds:
 
     def _learn(self, words: set[str]) -> None:
         """All new Latin words in one call; their ends follow from the ids' bytes."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.forget()
         latin = [w for w in words if _LATIN.fullmatch(w)]
         if latin:
             raw = [b" " + w.encode() for w in latin]
@@ -103,11 +101,21 @@ class ChunkIds:
                 first, *rest = text.split(" ")
                 out[i] = self._any(first)
                 split.append((i, rest))
-        new: set[str] = set().union(*[rest for _, rest in split]) - self.known.keys()
-        if new:
-            words = new if len(self.known) + len(new) <= CACHE_WORDS else set().union(*[rest for _, rest in split]) - {""}
-            self._learn(words)
+        get, again = self.known.get, []
+        new: set[str] = set()
         for i, rest in split:
+            found = list(map(get, rest))
+            if None in found:
+                new.update([w for w, f in zip(rest, found) if f is None])
+                again.append((i, rest))
+            else:
+                out[i] += b"".join(found)
+        if new:
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.forget()
+                new = set().union(*[rest for _, rest in again]) - {""}
+            self._learn(new)
+        for i, rest in again:
             out[i] += b"".join(map(self.known.__getitem__, rest))
         return out
 

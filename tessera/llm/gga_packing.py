@@ -78,7 +78,6 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                                  names=["key", "doc_id", "piece", "start", "length", "ids_crc32"])
-        chunks.forget()  # workers live on, for other operators too
     return run
 
 
@@ -187,12 +186,27 @@ def mutate(s: Solution, sizes: list[int], capacity: int, rng: np.random.Generato
     return _rebuild(keep, [i for k in gone for i in s.items[k]], sizes, capacity)
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """No packing has fewer sequences: for a threshold, items beyond half the
+    capacity never share one, those within the threshold of it share with none of
+    the items from the threshold on, and what of these doesn't fit beside the
+    others needs more."""
+    s = np.sort(np.array(sizes, np.int64))
+    total = np.concatenate([[0], np.cumsum(s)])
+    half, best = int(np.searchsorted(s, capacity // 2, "right")), -(-int(total[-1]) // capacity)
+    for a in np.unique(s[:half]).tolist():
+        low, top = int(np.searchsorted(s, a)), int(np.searchsorted(s, capacity - a, "right"))
+        beside = (top - half) * capacity - int(total[top] - total[half])
+        best = max(best, len(s) - half + max(0, -(-(int(total[half] - total[low]) - beside) // capacity)))
+    return max(best, len(s) - half)
+
+
 def evolve(sizes: list[int], capacity: int, population: list[Solution], rng: np.random.Generator,
            generations: int = GENERATIONS, size: int = POPULATION) -> list[Solution]:
     """A population after so many generations, best first; it begins with best
     fit, longest first, and the same in loosened orders. It ends early where no
     packing can have fewer sequences."""
-    least = -(-sum(sizes) // capacity)
+    least = least_bins(sizes, capacity)
     by_size = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     if not population:
         population = [best_fit(sizes, capacity, by_size)]
@@ -217,7 +231,7 @@ def evolve(sizes: list[int], capacity: int, population: list[Solution], rng: np.
     return population
 
 
-_STATE = "shard long, island int, population array<binary>, n_bins int, squares long"
+_STATE = "shard long, island int, population array<binary>, n_bins int, squares long, least int"
 
 
 def _epoch(capacity: int, epoch: int, seed: int):
@@ -232,8 +246,9 @@ def _epoch(capacity: int, epoch: int, seed: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["shard"]], pa.int64()), pa.array([row["island"]], pa.int32()),
                      pa.array([[s.assigned().tobytes() for s in out]], pa.list_(pa.binary())),
-                     pa.array([out[0].merit[0]], pa.int32()), pa.array([out[0].merit[1]], pa.int64())],
-                    names=["shard", "island", "population", "n_bins", "squares"])
+                     pa.array([out[0].merit[0]], pa.int32()), pa.array([out[0].merit[1]], pa.int64()),
+                     pa.array([least_bins(sizes, capacity)], pa.int32())],
+                    names=["shard", "island", "population", "n_bins", "squares", "least"])
     return run
 
 
@@ -287,8 +302,7 @@ def _solve(items: DataFrame, n_shards: int, level: int, capacity: int, seed: int
                     .join(moved, ["shard", "island"]).select("shard", "island", "sizes", "population", "migrant"))
         state = written(rows.repartition(tasks, "shard", "island").mapInArrow(_epoch(capacity, epoch, seed), _STATE),
                         "packing-islands")
-        bound = shards.select("shard", F.expr(f"ceil(aggregate(sizes, 0L, (a, x) -> a + x) / {capacity})").alias("least"))
-        if state.join(bound, "shard").where("n_bins > least").isEmpty():
+        if state.where("n_bins > least").isEmpty():
             break
     best = state.groupBy("shard").agg(F.min_by(F.col("population")[0], F.struct("n_bins", "squares", "island")).alias("best"))
     placed = (shards.join(best, "shard").select("shard", "items", "sizes", "best")

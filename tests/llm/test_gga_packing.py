@@ -57,6 +57,19 @@ def test_pack(spark, shard_items):
     assert gp.pack(docs.limit(0), BPE).count() == 0
 
 
+def test_least_bins_is_a_bound():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        sizes = rng.integers(1, rng.choice([20, 64, 100]), rng.integers(1, 9)).tolist()
+        least = gp.least_bins(sizes, 100)
+
+        def fits(left, bins):  # brute force: can the items go into so many sequences?
+            return not left or any(fits(left[1:], bins[:k] + [b + left[0]] + bins[k + 1:])
+                                   for k, b in enumerate(bins) if b + left[0] <= 100 and b not in bins[:k])
+        assert least == 1 or not fits(sorted(sizes, reverse=True), [0] * (least - 1))
+    assert gp.least_bins([60] * 5 + [50] * 2 + [45], 100) == 7
+
+
 def test_evolution_beats_best_fit():
     """Islands of sizes that best fit, longest first, packs with loss."""
     rng = np.random.default_rng(5)
