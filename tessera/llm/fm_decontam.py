@@ -12,7 +12,8 @@ The benchmark is the stated query set: it is taken in blocks of bounded size
 (``block_bytes`` of text each), so what a task holds of it has a bound too.
 
 Defined cases: null or empty texts have no words and no hits; an item without
-words or without an id is no phrase; items of one id count once; rows with the
+words is no phrase; items of one id count once, those without an id as one more
+item, which has no place in the ids' digest; rows with the
 same doc_id are judged one by one; empty tables give
 empty results or no hits; other columns are ignored; a text longer than a shard
 is a shard of its own.
@@ -53,7 +54,7 @@ class Phrases:
             words = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text)]
             for at in range(max(1, len(words) - window + 1) if words else 0):
                 phrase = tuple(words[at:at + window])
-                pairs.add((rows.setdefault(phrase, len(rows)), item))
+                pairs.add((rows.setdefault(phrase, len(rows)), NO_ID if item is None else item))
         self.lens = np.array([len(p) for p in rows], np.int64)
         self.table = np.zeros((len(rows), window), np.int64)
         for p, r in rows.items():
@@ -210,6 +211,8 @@ def scan_shard(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tup
     return out
 
 
+#: Stands for a null item id inside a task.
+NO_ID = -(1 << 63)
 HITS = "doc_id long, h long, n_words long, spans array<struct<first:int,last:int>>, items array<long>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
@@ -236,7 +239,7 @@ def _scan(phrases: Phrases, shard_bytes: int):
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                      pa.array([g[0] for g in got], pa.int64()),
                      pa.array([[{"first": x, "last": y} for x, y in g[1]] for g in got], _SPANS),
-                     pa.array([g[2] for g in got], pa.list_(pa.int64()))],
+                     pa.array([[i for i in g[2] if i != NO_ID] + [None] * (NO_ID in g[2]) for g in got], pa.list_(pa.int64()))],
                     names=["doc_id", "h", "n_words", "spans", "items"])
     return run
 
@@ -244,7 +247,7 @@ def _scan(phrases: Phrases, shard_bytes: int):
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Phrases]:
     """The benchmark's phrases in blocks that the driver and each task can hold; at least one."""
     items = (benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[text_col].cast("string").alias("text"))
-             .filter("item IS NOT NULL AND text IS NOT NULL"))
+             .filter("text IS NOT NULL"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-int(size) // block_bytes) or 1
     for k in range(n):
@@ -256,7 +259,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                   text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                   block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row a document: doc_id, n_words, spans (hit words, merged), items (ids
-    of items with an occurring phrase, ascending)."""
+    of items with an occurring phrase, ascending, null last)."""
     rows = id_text(docs, id_col, text_col).select(
         "doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     blocks = _blocks(benchmark, item_col, item_text, window, block_bytes)

@@ -17,7 +17,7 @@ def words(t):
 
 
 def brute(docs, items):
-    phrases = {(i, tuple(w[a:a + 13])) for i, t in items if i is not None for w in [words(t)]
+    phrases = {(i, tuple(w[a:a + 13])) for i, t in items for w in [words(t)]
                for a in range(max(1, len(w) - 12) if w else 0)}
     out = []
     for doc, t in docs:
@@ -27,7 +27,7 @@ def brute(docs, items):
                 if tuple(w[a:a + len(p)]) == p:
                     hit |= set(range(a, a + len(p)))
                     found.add(i)
-        sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        sha = hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(map(str, out))
 
@@ -51,7 +51,7 @@ def make(seed):
             a = rng.randrange(0, max(1, len(p) - 13))
             t += rng.choice([" ", ", ", "\n- "]) + " ".join(p[a:]).upper().replace("É", "É") + " " + text(rng.randrange(0, 30))
         docs.append((i, t))
-    docs += [(60, None), (61, ""), (62, docs[3][1]), (62, docs[3][1]), (None, items[5][1]), (70, " ".join(w for _, t in items[:6] for w in t.split()) * 3)]
+    docs += [(60, None), (61, ""), (63, items[-2][1]), (62, docs[3][1]), (62, docs[3][1]), (None, items[5][1]), (70, " ".join(w for _, t in items[:6] for w in t.split()) * 3)]
     return docs, items
 
 
