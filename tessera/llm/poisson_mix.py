@@ -4,8 +4,10 @@ A source of n documents and target weight w shall give a share w of as many
 documents as there are now, so its mean repetition rate is ``total * w / n``.
 Every document inverts the Poisson distribution of that mean at a uniform
 number seeded by a hash of its id, is repeated so many times, and all copies
-are dealt out and sorted by a hash of id and copy: a global shuffle that any
-task can be rerun for. Rates above 500 are sums of several Poisson numbers of
+are dealt out by a hash of id and copy and of the row's number in the input, and
+sorted by the first: a global shuffle that any task can be rerun for, and that
+spreads the rows of one id. A row without id is known by a hash of its text and
+its number in the input. Rates above 500 are sums of several Poisson numbers of
 equal means, as ``exp(-rate)`` would vanish otherwise.
 
 Hot sources need no care: a source is only a row of the rates table, which is
@@ -13,7 +15,7 @@ broadcast when it has at most ``BROADCAST_SOURCES`` rows and joined otherwise.
 
 Defined cases: a null source is a source of its own; a source without a target
 weight (or with weight zero, or null) has rate 0; rows that share an id get the
-same count, null ids share one; negative weights raise; an empty table gives an
+same count, rows without id each their own; negative weights raise; an empty table gives an
 empty result; other columns are handed on unless named like the added ones.
 """
 
@@ -62,24 +64,29 @@ def rates(docs: DataFrame, weights: DataFrame, source_col: str = "source") -> Da
             .withColumn("cdf", fold))
 
 
-def mix(docs: DataFrame, weights: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source",
+        text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with n_copies, copy (from 0), rate and shuffle_key;
-    the rows of each partition are in the order of the shuffle key."""
+    the rows of each partition are in the order of the shuffle key. Numbers of rows
+    are those of the scan, so ``docs`` should be a stored table."""
     of_source = written(rates(docs, weights, source_col), "rates")
     small = of_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     of_source = of_source.select(*[F.col(c).alias(f"__{c}") for c in of_source.columns])
     of_source = F.broadcast(of_source) if small else of_source
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    count = F.aggregate(
-        F.transform(F.sequence(F.lit(0), F.col("__pieces") - 1), lambda j: F.size(F.filter(
-            F.col("__cdf"), lambda c: c <= _uniform(F.lit(str(seed)), ident, j.cast("string"))))),
-        F.lit(0), lambda a, b: a + b)
+    text = F.coalesce(F.md5(docs[text_col].cast("string")), F.lit("")) if text_col in docs.columns else F.lit("")
     own = [c for c in docs.columns if c not in ("n_copies", "copy", "rate", "shuffle_key")]
-    copies = (docs.join(of_source, docs[source_col].eqNullSafe(of_source["__source"]))
-              .select(*[docs[c] for c in own], count.alias("n_copies"), F.col("__rate").alias("rate")).filter("n_copies > 0")
+    rows = docs.select(*[docs[c] for c in own], F.monotonically_increasing_id().alias("__row"),
+                       F.when(docs[id_col].isNull(), text).alias("__text"))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat_ws("/", F.lit(""), F.col("__text"), F.col("__row").cast("string")))
+    drawn = F.transform(F.sequence(F.lit(0), F.col("__pieces") - 1), lambda j: _uniform(F.lit(str(seed)), F.col("__ident"), j.cast("string")))
+    count = F.aggregate("__drawn", F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
+    copies = (rows.join(of_source, rows[source_col].eqNullSafe(of_source["__source"]))
+              .withColumn("__ident", ident).withColumn("__drawn", drawn)
+              .select(*own, "__row", "__ident", count.alias("n_copies"), F.col("__rate").alias("rate")).filter("n_copies > 0")
               .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1))))
-    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("copy").cast("string")))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.col("__ident"), F.col("copy").cast("string")))
+    return (copies.withColumn("shuffle_key", key).repartition("shuffle_key", "__row").sortWithinPartitions("shuffle_key")
+            .drop("__row", "__ident"))
 
 
 def write_mixed(docs: DataFrame, weights: DataFrame, path: str, seed: int = SEED, id_col: str = "doc_id",

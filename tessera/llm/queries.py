@@ -104,7 +104,12 @@ def _op7_sql() -> str:
                  f"x{d} AS (SELECT {above}, {t} FROM k{d} JOIN p{d} USING ({above}) WHERE abs(kb / kn - p) <= 1.96::DOUBLE * sqrt(p * (1 - p) / kn) + 0.5::DOUBLE / kn)",
                  f"y{d} AS (SELECT s.* REPLACE (CASE WHEN ({above}, {t}) IN (SELECT ({above}, {t}) FROM x{d}) THEN '~' ELSE {t} END AS {t}) FROM {last} s)"]
         last = f"y{d}"
-    ctes += [f"j AS (SELECT host, t1, t2, t3, tail, (sum(b) + 1) / (sum(a) + sum(b) + 4) > 0.5 AS reject FROM {last} GROUP BY ALL)",
+    nodes = ["host", "t1", "t2", "t3", "tail"]
+    ctes += [f"g0 AS (SELECT host, t1, t2, t3, tail, sum(b) AS b, sum(a) AS a, (SELECT (coalesce(sum(b), 0) + 1) / (coalesce(sum(a) + sum(b), 0) + 4.0::DOUBLE) FROM {last}) AS share FROM {last} GROUP BY ALL)"]
+    for d in range(1, 6):
+        node = ", ".join(nodes[:d])
+        ctes.append(f"g{d} AS (SELECT * EXCLUDE (share), (sum(b) OVER (PARTITION BY {node}) + 4.0::DOUBLE * share) / (sum(a + b) OVER (PARTITION BY {node}) + 4.0::DOUBLE) AS share FROM g{d - 1})")
+    ctes += ["j AS (SELECT host, t1, t2, t3, tail, share > 0.5 AS reject FROM g5)",
              f"e AS (SELECT host, typed, reject FROM {last} JOIN j USING (host, t1, t2, t3, tail))"]
     return ("WITH " + ",\n".join(ctes) + "\nSELECT page_id, host, path, rule, coalesce(known, CASE WHEN reject THEN 'block' "
             "ELSE 'allow' END) AS verdict FROM v JOIN e USING (host, typed)")

@@ -6,9 +6,11 @@ from one row a host and typed path, with the pages that rules allow or block as
 labels. Top down, a node with more than ``max_kids`` different segments below
 it gets one wildcard branch; segments beyond ``DEPTH`` are one wildcard tail.
 Bottom up, sibling branches whose share of blocked pages does not differ
-significantly from their parent's are merged. A template is rejected if the
-smoothed share of blocked pages among its labelled pages is above one half;
-without labelled pages the smoothing alone decides, for allowing it.
+significantly from their parent's are merged. A node's share of blocked pages is
+smoothed towards its parent's, ``BACKOFF`` pages strong, from all hosts down to
+the host, its branches and the template; a template is rejected if its share is
+above one half. So a branch without labelled pages is judged as the host or the
+branches beside it are, and a host without any as all labelled pages are.
 
 A hot host or template is only ever aggregated with partial sums; verdicts
 return to the pages by a broadcast of the template table if it has at most
@@ -30,8 +32,9 @@ from tessera.llm.common import written
 DEPTH = 3
 MAX_KIDS = 20
 Z = 1.96
-#: Pages that smoothing adds to a template: blocked, allowed.
-SMOOTH = (1.0, 3.0)
+#: Pages of the parent's share that smoothing adds to a node; pages that it adds
+#: to all hosts together: blocked, allowed.
+BACKOFF, SMOOTH = 4.0, (1.0, 3.0)
 BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,9 +90,16 @@ def template_tree(labelled: DataFrame, max_kids: int = MAX_KIDS) -> DataFrame:
                            <= Z * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("kn")) + 0.5 / F.col("kn"))
                    .select(*above, t, F.lit("~").alias("merged")))
         paths = written(paths.join(similar, [*above, t], "left").withColumn(t, F.coalesce("merged", t)).drop("merged"), "paths")
-    share = (F.sum("b") + SMOOTH[0]) / (F.sum("a") + F.sum("b") + SMOOTH[0] + SMOOTH[1])
     template = ["host", *levels, "tail"]
-    judged = paths.groupBy(*template).agg((share > 0.5).alias("reject"))
+    known = paths.agg(F.sum("b"), F.sum("a")).first()
+    top = ((known[0] or 0) + SMOOTH[0]) / ((known[0] or 0) + (known[1] or 0) + sum(SMOOTH))
+    shares = paths.groupBy(*template).agg(F.sum("b").alias("b"), F.sum("a").alias("a")).withColumn("share", F.lit(top))
+    for depth in range(1, len(template) + 1):
+        node = template[:depth]
+        sums = shares.groupBy(*node).agg(F.sum("b").alias("nb"), (F.sum("a") + F.sum("b")).alias("nn"))
+        shares = (shares.join(sums, node).withColumn("share", (F.col("nb") + BACKOFF * F.col("share")) / (F.col("nn") + BACKOFF))
+                  .drop("nb", "nn"))
+    judged = shares.select(*template, (F.col("share") > 0.5).alias("reject"))
     return paths.join(judged, template).select("host", "typed", "reject")
 
 

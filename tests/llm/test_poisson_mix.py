@@ -36,17 +36,37 @@ def test_counts_and_edge_cases(spark):
     w = {"big": 0.1, "small": 0.3, None: 0.01, "rare": 4.0}
     want = []
     for r in rows:
+        if r[0] is None:  # drawn by text and row number, see below
+            continue
         rate = w[r[2]] * len(rows) / n[r[2]]
         k = count(rate, r[0])
         want += [(r[0], r[1], r[2], k, c) for c in range(k)]
     mixed = pm.mix(df, weights)
-    got = [(r.doc_id, r.text, r.source, r.n_copies, r.copy) for r in mixed.collect()]
+    got = [(r.doc_id, r.text, r.source, r.n_copies, r.copy) for r in mixed.collect() if r.doc_id is not None]
     assert sorted(map(str, got)) == sorted(map(str, want))
     rare = [g for g in got if g[2] == "rare"]
     assert abs(len(rare) - 4.0 * len(rows)) < 6 * math.sqrt(4.0 * len(rows))  # a rate above one piece
     assert len({(r.doc_id, r.copy) for r in mixed.collect()}) > 50
 
 
+def test_rows_without_id_are_drawn_and_spread_singly(spark, tmp_path):
+    hot = next(i for i in range(1, 100) if count(1.0, i) == 1)
+    df = spark.range(9000).selectExpr(f"if(id % 3 = 0, NULL, if(id % 3 = 1, {hot}, id)) AS doc_id",
+                                      "if(id % 2 = 0, 'same', cast(id as string)) AS text", "'s' AS source", "id AS line")
+    df.write.parquet(f"{tmp_path}/d")
+    w = spark.createDataFrame([("s", 1.0)], "source string, weight double")
+    mixed = pm.mix(spark.read.parquet(f"{tmp_path}/d"), w)
+    rows = mixed.collect()
+    counts = {r.line: r.n_copies for r in rows if r.doc_id is None}
+    n = [counts.get(i, 0) for i in range(0, 9000, 3)]
+    mean = sum(n) / len(n)
+    assert abs(mean - 1) < 0.1 and abs(sum((x - mean) ** 2 for x in n) / len(n) - 1) < 0.15 and set(n) >= {0, 1, 2, 3}
+    assert len({r.n_copies for r in rows if r.doc_id == hot}) == 1  # one id, one count
+    sizes = [r["count"] for r in mixed.groupBy(pm.F.spark_partition_id()).count().collect()]
+    again = {(r.line, r.copy) for r in pm.mix(spark.read.parquet(f"{tmp_path}/d"), w).collect()}
+    assert max(sizes) < 1.5 * len(rows) / max(len(sizes), 1) and again == {(r.line, r.copy) for r in rows}
+
+
 def test_order_is_shuffled_and_stable(spark):
     df = spark.range(500).selectExpr("id as doc_id", "'t' as text", "'s' as source")
     w = spark.createDataFrame([("s", 1.0)], "source string, weight double")

@@ -53,6 +53,16 @@ def test_empty(spark):
     assert ut.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_unlabelled_branches_follow_their_host(spark):
+    rows = [("p", f"/x/{i}", "block") for i in range(9)] + [("p", "/y/z", None), ("q", "/x/1", "allow"), ("q", "/y/z", None), ("r", "/y/z", None)]
+    tree = {(r.host, r.typed): r.reject for r in ut.template_tree(spark.createDataFrame(rows, "host string, path string, verdict string")).collect()}
+    # all hosts: (9 + 1) / (10 + 4) blocked
+    assert tree[("p", "/y/z")] and tree[("r", "/y/z")] and tree[("q", "/y/z")]
+    more = rows + [("q", f"/x/{i}", "allow") for i in range(9)]
+    tree = {(r.host, r.typed): r.reject for r in ut.template_tree(spark.createDataFrame(more, "host string, path string, verdict string")).collect()}
+    assert tree[("p", "/y/z")] and not tree[("q", "/y/z")] and not tree[("r", "/y/z")]
+
+
 def test_tree_generalises_merges_and_rejects(spark):
     rows = [("h", f"/user{chr(97 + i)}/page", "block") for i in range(25)] + [("h", "/userzz/page", None)]  # a wildcard branch
     rows += [("g", f"/a/{i}", "block") for i in range(9)] + [("g", f"/b/{i}", "block") for i in range(3)] + [("g", f"/c/{i}", "allow") for i in range(30)]
