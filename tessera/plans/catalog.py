@@ -6,6 +6,7 @@ generated per column from the same parameters the Spark side uses."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -604,6 +605,34 @@ register("scree_lineitem", None)(lambda spark, d: RD.scree(load(spark, d, "linei
 register("pca_variance_lineitem", None)(lambda spark, d: RD.pca_variance(load(spark, d, "lineitem"), _PCA, 5))
 
 
+def _score_sql(p: str) -> str:
+    """The normal distribution's inverse at p, as in the operator."""
+    def ratio(of, x):
+        num, den = (functools.reduce(lambda acc, c: f"({acc} * {x} + {c!r}::DOUBLE)", [f"{part[-1]!r}::DOUBLE", *part[-2::-1]]) for part in of)
+        return f"{num} / {den}"
+    q, r = f"({p} - 0.5::DOUBLE)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    return (f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(N._CENTRE, f'(0.180625::DOUBLE - {q} * {q})')} WHEN {r} <= 5 THEN "
+            f"sign({q}) * {ratio(N._MIDDLE, f'({r} - 1.6::DOUBLE)')} ELSE sign({q}) * {ratio(N._TAIL, f'({r} - 5)')} END")
+
+
+def _francia_sql(table: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        p = "((i - 0.375::DOUBLE) / (n + 0.25::DOUBLE))"
+        parts.append(f"""SELECT '{c}' AS column, n, round(w, 6) AS w, round((ln(1 - w) - (1.0521::DOUBLE * (ln(ln(n)) - ln(n)) - 1.2725::DOUBLE))
+ / (1.0308::DOUBLE - 0.26758::DOUBLE * (ln(ln(n)) + 2 / ln(n))), 4) AS z FROM (
+SELECT count(*) AS n, pow(sum((x - mean) * m), 2) / (sum((x - mean) * (x - mean)) * sum(m * m)) AS w FROM (
+SELECT x, mean, {_score_sql(p)} AS m FROM (SELECT {c}::DOUBLE AS x, row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n, avg({c}) OVER () AS mean
+FROM {src(table)} WHERE {c} IS NOT NULL)))""")
+    return union(parts)
+
+
+register("normality_ranks_events", _francia_sql("events_cubed", ["value", "value3"]))(
+    lambda spark, d: N.shapiro_francia(load(spark, d, "events_cubed"), ["value", "value3"]).select("column", "n", "w", "z"))
+register("normality_ranks_orders", _francia_sql("orders", ["o_totalprice", "o_custkey"]))(
+    lambda spark, d: N.shapiro_francia(load(spark, d, "orders"), ["o_totalprice", "o_custkey"]).select("column", "n", "w", "z"))
+
+
 def _pca_rebuilt(spark, d):
     """The correlation matrix from all components: sum over k of eigenvalue * loading_a * loading_b."""
     t = load(spark, d, "lineitem")
