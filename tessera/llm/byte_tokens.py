@@ -18,7 +18,7 @@ import numpy as np
 #: Fixed value: the split pattern that "use_regex" of a byte-level tokenizer stands for.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept in a worker's table, beyond those of the texts at hand; it is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 _LATIN = re.compile("[\n -~À-ɏ]*")
 _WIDE = re.compile(r" \s")
 _PROBE = "Don't stop,\nnow:  Été 42!\n\n Über-all we'll (see) x's 'tis   l'été\t<b> \n z "
@@ -77,17 +77,21 @@ class ChunkIds:
 
     def _learn(self, words: set[str]) -> None:
         """All new Latin words in one call; their ends follow from the ids' bytes."""
-        latin = [w for w in words if _LATIN.fullmatch(w)]
+        latin = list(words)
+        joined = " ".join(latin)
+        if not _LATIN.fullmatch(joined):
+            latin = [w for w in latin if _LATIN.fullmatch(w)]
+            joined = " ".join(latin)
         if latin:
-            raw = [b" " + w.encode() for w in latin]
-            ids = np.array(self.merge(b"".join(raw).decode()), "<u4")
-            cut = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(list(map(len, raw)))) + 1
-            begin = 0
-            for w, end in zip(latin, cut.tolist()):
-                self.known[w] = ids[begin:end].tobytes()
-                begin = end
-        for w in words - set(latin):
-            self.known[w] = self.whole(" " + w)
+            raw = joined.encode()
+            ids = np.array(self.merge(" " + joined), "<u4")
+            ends = np.cumsum([len(w) + 1 for w in raw.split(b" ")])
+            cut = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 4).tolist()
+            whole = ids.tobytes()
+            self.known.update(zip(latin, [whole[x:y] for x, y in zip([0, *cut], cut)]))
+        if len(latin) < len(words):
+            for w in words.difference(latin):
+                self.known[w] = self.whole(" " + w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -106,17 +110,19 @@ class ChunkIds:
         for i, rest in split:
             found = list(map(get, rest))
             if None in found:
-                new.update([w for w, f in zip(rest, found) if f is None])
-                again.append((i, rest))
+                gaps = [k for k, f in enumerate(found) if f is None]
+                new.update([rest[k] for k in gaps])
+                again.append((i, rest, found, gaps))
             else:
                 out[i] += b"".join(found)
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.forget()
-                new = set().union(*[rest for _, rest in again]) - {""}
             self._learn(new)
-        for i, rest in again:
-            out[i] += b"".join(map(self.known.__getitem__, rest))
+        for i, rest, found, gaps in again:
+            for k in gaps:
+                found[k] = self.known[rest[k]]
+            out[i] += b"".join(found)
         return out
 
 
