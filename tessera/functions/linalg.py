@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +99,93 @@ def _products(d: int):
     return run
 
 
+#: Columns of a block of masked products: a task holds four squares of this width.
+MASKED_WIDTH = 1024
+#: Tasks whose products are merged at a time.
+FAN = 64
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows x columns, missing values (NULL or NaN) as NaN."""
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+
+
+def column_facts(df: DataFrame, cols: list[Column]) -> dict[str, np.ndarray]:
+    """Per column: values present, mean, least and greatest, and the number of rows,
+    from one pass of Arrow batches (any number of columns)."""
+    d = len(cols)
+
+    def run(batches):
+        n, rows = np.zeros(d, np.int64), 0
+        total, low, high = np.zeros(d), np.full(d, np.inf), np.full(d, -np.inf)
+        for b in batches:
+            x = _matrix(b)
+            there = ~np.isnan(x)
+            rows += len(x)
+            n += there.sum(axis=0)
+            total += np.where(there, x, 0.0).sum(axis=0)
+            low = np.minimum(low, np.where(there, x, np.inf).min(axis=0, initial=np.inf))
+            high = np.maximum(high, np.where(there, x, -np.inf).max(axis=0, initial=-np.inf))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, rows)), pa.array(n), pa.array(total),
+                                              pa.array(low), pa.array(high)], names=["i", "rows", "n", "s", "lo", "hi"])
+
+    got = (df.select(*[c.cast("double").alias(f"__g{i}") for i, c in enumerate(cols)]).mapInArrow(
+        run, "i int, rows long, n long, s double, lo double, hi double").groupBy("i")
+        .agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .orderBy("i").collect())
+    if not got:
+        return {"rows": np.zeros(d, int), "n": np.zeros(d, int), "mean": np.zeros(d), "lo": np.full(d, np.inf), "hi": np.full(d, -np.inf)}
+    n = np.array([r["n"] for r in got])
+    return {"rows": np.array([r["rows"] for r in got]), "n": n, "mean": np.array([r["s"] for r in got]) / np.maximum(n, 1),
+            "lo": np.array([r["lo"] for r in got]), "hi": np.array([r["hi"] for r in got])}
+
+
+def masked_products(df: DataFrame, cols: list[Column], shift: np.ndarray):
+    """(n, s, q, p), d x d each: over the rows where columns i and j are both
+    present, their number, the sum of i, of i squared and of i times j, all of values
+    less ``shift``. A job serves two blocks of columns; up to MASKED_WIDTH columns
+    that is one job."""
+    d = len(cols)
+    out = np.zeros((4, d, d))
+    blocks = [(a, min(a + MASKED_WIDTH, d)) for a in range(0, d, MASKED_WIDTH)]
+    for x, (a, b) in enumerate(blocks):
+        for e, f in blocks[x:]:
+            out[:, a:b, e:f] = _block_products(df, cols[a:b], cols[e:f], shift[a:b], shift[e:f], a == e)
+            if e > a:  # s and q are not symmetric
+                out[:, e:f, a:b] = _block_products(df, cols[e:f], cols[a:b], shift[e:f], shift[a:b], False)
+    return out
+
+
+def _block_products(df: DataFrame, left: list[Column], right: list[Column], ls: np.ndarray, rs: np.ndarray, same: bool) -> np.ndarray:
+    w, v = len(left), len(right)
+    cols = left if same else left + right
+
+    def run(batches):
+        total = np.zeros((4, w, v))
+        for b in batches:
+            m = _matrix(b)
+            x, y = m[:, :w] - ls, (m if same else m[:, w:]) - rs
+            here, there = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+            x, y = np.nan_to_num(x), np.nan_to_num(y)
+            total += np.stack([here.T @ there, x.T @ there, (x * x).T @ there, x.T @ y])
+        if total[0].any():
+            flat = total.transpose(1, 0, 2).reshape(w, 4 * v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(w, dtype=np.int32)), pa.array(np.full(w, TaskContext.get().partitionId() % FAN, np.int32)),
+                                              pa.array(list(flat), pa.list_(pa.float64()))], names=["i", "g", "s"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        s = np.array(t["s"].combine_chunks().flatten()).reshape(t.num_rows, -1).sum(axis=0)
+        return pa.Table.from_arrays([t["i"].slice(0, 1), t["g"].slice(0, 1), pa.array([s], pa.list_(pa.float64()))], names=["i", "g", "s"])
+
+    kind = "i int, g int, s array<double>"
+    parts = df.select(*[c.cast("double").alias(f"__g{i}") for i, c in enumerate(cols)]).mapInArrow(run, kind)
+    out = np.zeros((w, 4, v))
+    for r in parts.groupBy("i", "g").applyInArrow(merge, kind).groupBy("i").applyInArrow(merge, kind).toArrow().to_pylist():
+        out[r["i"]] = np.array(r["s"]).reshape(4, v)
+    return out.transpose(1, 0, 2)
+
+
 def fix_signs(vectors: np.ndarray) -> np.ndarray:
     """Make the largest-magnitude entry of each column positive."""
     v = vectors.copy()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import pround, rnd, col, num, numeric_cols
 from tessera.functions.frames import explode_structs, multipass, stored
+from tessera.functions.linalg import column_facts, masked_products
 from tessera.functions.moments import adj_kurt, adj_skew, pearson
 from tessera.functions.quantiles import BAND_LIMIT, quantile_values
 from tessera.functions.ranking import grouped_quantiles, keyed, small
@@ -163,9 +166,11 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, digits: int | None
     deviations from those means (plain sums, mergeable, numerically stable
     because the shift is the mean).  Columns without NULLs share their
     per-column sums across all pairs; a pair involving a column with NULLs
-    gets its own sums over the rows where both are present.  Wide inputs
-    are split into chunks of ``chunk`` pairs per job."""
+    gets its own sums over the rows where both are present.  Inputs of more
+    than ``chunk`` pairs take both passes as matrix products of Arrow batches."""
     cols = cols or numeric_cols(df)
+    if len(cols) * (len(cols) - 1) // 2 > chunk:
+        return _wide_corr(df, cols, digits)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     spark = df.sparkSession
     vals: dict = {}
@@ -180,33 +185,26 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, digits: int | None
         dev = [x - F.lit(float(st[f"m{i}"] if st[f"m{i}"] is not None else 0.0)) for i, x in enumerate(xs)]
         one = [F.sum(dev[i]).alias(f"s{i}") for i in range(len(cols))] + \
               [F.sum(dev[i] * dev[i]).alias(f"q{i}") for i in range(len(cols))]
-        diag = None
-        for s0 in range(0, max(len(pairs), 1), chunk):
-            part = pairs[s0:s0 + chunk]
-            exprs = []
-            for i, j in part:
-                exprs.append(F.sum(dev[i] * dev[j]).alias(f"p{i}_{j}"))
-                if not (full[i] and full[j]):
-                    both = xs[i].isNotNull() & xs[j].isNotNull()
-                    di, dj = F.when(both, dev[i]), F.when(both, dev[j])
-                    exprs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(di).alias(f"si{i}_{j}"),
-                              F.sum(dj).alias(f"sj{i}_{j}"), F.sum(di * di).alias(f"qi{i}_{j}"),
-                              F.sum(dj * dj).alias(f"qj{i}_{j}")]
-            row = work.agg(*(exprs + (one if diag is None else []))).collect()[0]
-            if diag is None:
-                diag = row
-            for i, j in part:
-                if const[i] or const[j]:
-                    vals[(i, j)] = None
-                    continue
-                if full[i] and full[j]:
-                    m, si, sj, qi, qj = n, diag[f"s{i}"], diag[f"s{j}"], diag[f"q{i}"], diag[f"q{j}"]
-                else:
-                    m, si, sj = row[f"n{i}_{j}"], row[f"si{i}_{j}"], row[f"sj{i}_{j}"]
-                    qi, qj = row[f"qi{i}_{j}"], row[f"qj{i}_{j}"]
-                vals[(i, j)] = _pearson(m, si, sj, qi, qj, row[f"p{i}_{j}"])
-        if diag is None:
-            diag = work.agg(*one).collect()[0]
+        exprs = []
+        for i, j in pairs:
+            exprs.append(F.sum(dev[i] * dev[j]).alias(f"p{i}_{j}"))
+            if not (full[i] and full[j]):
+                both = xs[i].isNotNull() & xs[j].isNotNull()
+                di, dj = F.when(both, dev[i]), F.when(both, dev[j])
+                exprs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(di).alias(f"si{i}_{j}"),
+                          F.sum(dj).alias(f"sj{i}_{j}"), F.sum(di * di).alias(f"qi{i}_{j}"),
+                          F.sum(dj * dj).alias(f"qj{i}_{j}")]
+        row = diag = work.agg(*(exprs + one)).collect()[0]
+        for i, j in pairs:
+            if const[i] or const[j]:
+                vals[(i, j)] = None
+                continue
+            if full[i] and full[j]:
+                m, si, sj, qi, qj = n, diag[f"s{i}"], diag[f"s{j}"], diag[f"q{i}"], diag[f"q{j}"]
+            else:
+                m, si, sj = row[f"n{i}_{j}"], row[f"si{i}_{j}"], row[f"sj{i}_{j}"]
+                qi, qj = row[f"qi{i}_{j}"], row[f"qj{i}_{j}"]
+            vals[(i, j)] = _pearson(m, si, sj, qi, qj, row[f"p{i}_{j}"])
     out = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -222,6 +220,28 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, digits: int | None
     return spark.createDataFrame(out, "i int, j int, a string, b string, r double")
 
 
+def _wide_corr(df: DataFrame, cols: list[str], digits: int | None) -> DataFrame:
+    """``corr_matrix`` of many columns in two jobs."""
+    d = len(cols)
+    with multipass(df, cols) as work:
+        xs = [num(work, c) for c in cols]
+        facts = column_facts(work, xs)
+        n, s, q, p = masked_products(work, xs, facts["mean"])
+    m = np.maximum(n, 1)
+    sxx, syy, sxy = q - s * s / m, q.T - s.T * s.T / m, p - s * s.T / m
+    const = ~(facts["hi"] > facts["lo"])
+    ok = (n >= 2) & (sxx > 1e-12 * q) & (syy > 1e-12 * q.T) & ~const[:, None] & ~const
+    r = np.where(ok, np.clip(sxy / np.sqrt(np.where(ok, sxx * syy, 1.0)), -1.0, 1.0), np.nan)
+    r[np.diag_indices(d)] = np.where(np.diag(ok), 1.0, np.nan)
+    if digits is not None:
+        r = np.where(np.isnan(r), r, np.sign(r) * np.floor(np.abs(r) * 10.0 ** digits + 0.5) / 10.0 ** digits) + 0.0
+    i, j = (a.reshape(-1) for a in np.indices((d, d)))
+    names = np.array(cols, dtype=object)
+    out = pa.table({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "a": pa.array(names[i], pa.string()), "b": pa.array(names[j], pa.string()),
+                    "r": pa.array(r.reshape(-1), pa.float64(), from_pandas=True)})
+    return df.sparkSession.createDataFrame(out, "i int, j int, a string, b string, r double")
+
+
 def _pearson(m, si, sj, qi, qj, p):
     """r from sums of deviations over the ``m`` complete pairs; NULL for
     fewer than two pairs or a zero variance."""

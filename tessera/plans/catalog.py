@@ -605,6 +605,19 @@ register("scree_lineitem", None)(lambda spark, d: RD.scree(load(spark, d, "linei
 register("pca_variance_lineitem", None)(lambda spark, d: RD.pca_variance(load(spark, d, "lineitem"), _PCA, 5))
 
 
+def _corr_wide(spark, d):
+    """All pairs of 64 columns with missing values: beyond the pairs of one plain aggregate."""
+    t = embedding_table(spark, d)
+    gaps = t.select(*[F.when(F.col("vec_id") % (i + 5) != 0, F.col(f"e{i}")).alias(f"e{i}") for i in range(64)])
+    return S.corr_matrix(gaps, digits=4).where("i < j").select("i", "j", "r")
+
+
+register("corr_wide_embeddings", """
+WITH t AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+g AS (SELECT vec_id, i, v FROM t WHERE vec_id % (i + 5) <> 0)
+SELECT a.i::INT AS i, b.i::INT AS j, round(corr(a.v, b.v), 4) + 0.0 AS r FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i""")(_corr_wide)
+
+
 def _score_sql(p: str) -> str:
     """The normal distribution's inverse at p, as in the operator."""
     def ratio(of, x):
