@@ -186,6 +186,23 @@ def _block_products(df: DataFrame, left: list[Column], right: list[Column], ls:
     return out.transpose(1, 0, 2)
 
 
+#: Numbers from all tasks that may go to the driver unmerged.
+DIRECT = 4_000_000
+
+
+def add_up(rows: DataFrame, n: int, width: int, tasks: int) -> np.ndarray:
+    """Sums by ``i`` of the tasks' rows (i, s: array of ``width`` numbers) as an
+    (n, width) array; merged in Spark first if there are many."""
+    if tasks * n * width > DIRECT:
+        rows = (rows.select("i", F.posexplode("s").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+                .groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("s")))
+    total, t = np.zeros((n, width)), rows.toArrow()
+    if t.num_rows:
+        values = np.array(t["s"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
+        np.add.at(total, t["i"].to_numpy(), values)
+    return total
+
+
 def fix_signs(vectors: np.ndarray) -> np.ndarray:
     """Make the largest-magnitude entry of each column positive."""
     v = vectors.copy()

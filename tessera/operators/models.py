@@ -12,7 +12,7 @@ import math
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
+from pyspark.ml.classification import (LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -22,6 +22,7 @@ from tessera.functions.columns import col, numeric_cols
 from tessera.functions.frames import stored
 from tessera.functions.linalg import prepare
 from tessera.operators import metrics as M
+from tessera.operators.boosting import fit_boosted
 from tessera.operators.neighbors import knn_predict
 from tessera.operators.split import can_stratify, train_test_split
 
@@ -99,9 +100,6 @@ def estimator(name: str, n_train: int, seed: int = 42, rf_depth: int = FOREST_DE
                                   standardization=False, maxIter=1000, tol=1e-4)
     if name == "random_forest":
         return RandomForestClassifier(numTrees=100, maxDepth=rf_depth, seed=seed, featureSubsetStrategy="sqrt")
-    if name == "gradient_boosting":
-        return OneVsRest(classifier=GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
-                         parallelism=8)
     if name == "svm":
         return OneVsRest(classifier=LinearSVC(regParam=1.0 / max(n_train, 1), maxIter=100, tol=1e-4,
                                               standardization=False), parallelism=8)
@@ -117,6 +115,10 @@ def fit_predict(name: str, split_df: DataFrame, d: int, seed: int = 42, rff_dim:
     keep = [c for c in split_df.columns if not c.startswith("__z")]
     if name == "knn":
         return stored(knn_predict(split_df, d, k=5), "predictions")
+    if name == "gradient_boosting":
+        train = split_df.where(F.col("split") == "train")
+        classes = int(split_df.agg(F.max("label")).first()[0] or 0) + 1
+        return stored(fit_boosted(train, d, classes).predict(split_df, d).select(*keep, "prediction"), "predictions")
     if name == "svm":
         g = gamma if gamma is not None else 1.0 / max(d, 1)
         frame = with_rff(split_df, d, rff_dim, g, seed)

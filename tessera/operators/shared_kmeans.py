@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.linalg import add_up
+
 #: Rows that a task compares with all centres at a time.
 BLOCK = 8192
-#: Numbers from all tasks that may go to the driver unmerged.
-DIRECT = 4_000_000
 
 
 @dataclass
@@ -72,15 +72,7 @@ def _sums(data: DataFrame, d: int, width: int, n: int, found) -> np.ndarray:
             at = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["i", "s"])
 
-    rows = data.mapInArrow(run, "i int, s array<double>")
-    if _partitions(data) * n * width > DIRECT:
-        rows = (rows.select("i", F.posexplode("s").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-                .groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("s")))
-    total, t = np.zeros((n, width)), rows.toArrow()
-    if t.num_rows:
-        values = np.array(t["s"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
-        np.add.at(total, t["i"].to_numpy(), values)
-    return total
+    return add_up(data.mapInArrow(run, "i int, s array<double>"), n, width, _partitions(data))
 
 
 def _nearest(centers: list[np.ndarray]):

@@ -618,6 +618,10 @@ g AS (SELECT vec_id, i, v FROM t WHERE vec_id % (i + 5) <> 0)
 SELECT a.i::INT AS i, b.i::INT AS j, round(corr(a.v, b.v), 4) + 0.0 AS r FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i""")(_corr_wide)
 
 
+register("compare_models_boosting_customer", None)(
+    lambda spark, d: MO.compare_models(load(spark, d, "customer"), "c_mktsegment", ["c_nationkey", "c_acctbal"], ["gradient_boosting"], key=["c_custkey"])[0])
+
+
 def _score_sql(p: str) -> str:
     """The normal distribution's inverse at p, as in the operator."""
     def ratio(of, x):

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tessera.functions import linalg as L
 from tessera.operators import cluster as K
 from tessera.operators import shared_kmeans as SK
 
@@ -23,7 +24,7 @@ def plain(x, c, steps):
 
 @pytest.mark.parametrize("direct", [4_000_000, 0])
 def test_iterations_against_numpy(points, direct, monkeypatch):
-    monkeypatch.setattr(SK, "DIRECT", direct)
+    monkeypatch.setattr(L, "DIRECT", direct)
     x, df = points
     starts = [x[[0, 200, 400]], x[[1, 2]], np.array([[100.0, 100.0, 100.0], [0.0, 0.0, 0.0]])]  # the last has an empty cluster
     for fit, start in zip(SK.lloyd(df, 3, starts, 3, 0.0), starts):
