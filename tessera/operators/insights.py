@@ -135,7 +135,7 @@ def _outliers(df: DataFrame, nums: list[str], prof: list) -> list[dict]:
 
 
 def _variables(df: DataFrame, nums: list[str]) -> dict[str, list]:
-    """Means, skewness and zero shares of the variables that keywords find, in one pass."""
+    """Means, spreads, skewness and zero shares of the variables that keywords find, in one pass."""
     found = {k: find_col(df, kw) for k, kw in (("temperature", TEMP_KW), ("humidity", HUMID_KW), ("rainfall", RAIN_KW), ("pressure", PRESSURE_KW))}
     found = {k: c for k, c in found.items() if c in nums}
     season, out = find_col(df, SEASON_KW), {}
@@ -144,9 +144,13 @@ def _variables(df: DataFrame, nums: list[str]) -> dict[str, list]:
     if not found:
         return out
     row = df.agg(*[f.alias(f"{k}_{s}") for k, c in found.items() for s, f in (
-        ("mean", F.avg(num(df, c))), ("skew", adj_skew(num(df, c))),
+        ("mean", F.avg(num(df, c))), ("skew", adj_skew(num(df, c))), ("std", F.stddev_samp(num(df, c))),
+        ("min", F.min(num(df, c))), ("max", F.max(num(df, c))),
         ("zero", F.try_divide(F.count_if(num(df, c) == 0) * 100.0, F.count(num(df, c)))))]).first()
     out |= {k: [(c, row[f"{k}_mean"])] for k, c in found.items()}
+    if "temperature" in found and row["temperature_std"] is not None:
+        spread = f"standard deviation {row['temperature_std']:.1f}, from {row['temperature_min']:.1f} to {row['temperature_max']:.1f}"
+        out["temperature"] = [(f"{found['temperature']} ({spread})", row["temperature_mean"])]
     if "temperature" in found:
         out["temperature_skew"] = [(found["temperature"], row["temperature_skew"])]
     if "rainfall" in found:

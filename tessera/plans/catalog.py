@@ -810,6 +810,35 @@ register("compare_models_embeddings", None)(
                                        ["logistic", "random_forest"], key=["vec_id"])[0])
 
 
+#: The findings as the oracle has them, written out apart from the library's rules:
+#: section, code, measure, mode, threshold on |value|, upper end, most rows.
+_FINDINGS = [
+    ("observations", "size", "rows", "first", -1, None, 1),
+    ("warnings", "missing", "null_pct", "some", 0, None, 1),
+    ("warnings", "missing_high", "null_pct", "some", 30, None, 1),
+    ("recommendations", "missing_drop", "null_pct_worst", "first", 30, None, 1),
+    ("recommendations", "missing_median", "null_pct_worst", "first", 0, 30, 1),
+    ("observations", "missing_none", "null_pct", "none", 0, None, 1),
+    ("warnings", "duplicates", "duplicate_rows", "first", 0, None, 1),
+    ("observations", "duplicates_none", "duplicate_rows", "none", 0, None, 1),
+    ("observations", "target", "classes", "first", 0, None, 1),
+    ("warnings", "imbalance_severe", "class_ratio", "first", 5, None, 1),
+    ("warnings", "imbalance_moderate", "class_ratio", "first", 2, 5, 1),
+    ("observations", "balanced", "class_ratio", "first", 0, 2, 1),
+    ("warnings", "high_corr", "abs_r", "some", 0.8, None, 1),
+    ("warnings", "high_corr_pair", "abs_r", "each", 0.8, None, 5),
+    ("recommendations", "merge_corr", "abs_r", "first", 0.8, None, 1),
+    ("warnings", "outliers", "outlier_pct", "some", 5, None, 1),
+    ("recommendations", "robust", "outlier_pct", "first", 5, None, 1),
+    ("observations", "outliers_ok", "outlier_pct", "none", 5, None, 1),
+    ("observations", "skewed", "skewness", "some", 1, None, 1),
+    ("recommendations", "transform", "skewness", "first", 1, None, 1),
+    ("recommendations", "dimensionality", "columns", "first", 30, None, 1),
+    ("recommendations", "models", "classes", "first", 0, None, 1),
+    ("recommendations", "analyses", "classes", "first", 0, None, 1),
+]
+
+
 def _insight_sql(table: str, nums: list[str], others: list[str], target: str) -> str:
     """Measures as rows (m, pos, v); each rule as a SELECT over them."""
     t, cols = src(table), [*nums, *others]
@@ -825,22 +854,19 @@ def _insight_sql(table: str, nums: list[str], others: list[str], target: str) ->
         facts += [f"SELECT 'outlier_pct', {i}, 100.0 * count_if({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({c}) "
                   f"FROM (SELECT *, {lo} AS q1, {hi} AS q3 FROM {t})", f"SELECT 'skewness', {i}, skewness({c}) FROM {t}"]
     rules = []
-    for n, r in enumerate(I.RULES):
-        m = "null_pct" if r.measure == "null_pct_worst" else r.measure
-        order = "abs(v) DESC" if r.measure in ("null_pct_worst", "abs_r") else "pos"
-        if m not in ("rows", "columns", "duplicate_rows", "classes", "class_ratio", "null_pct", "abs_r", "outlier_pct", "skewness"):
-            continue
-        upto = "" if r.upto == float("inf") else f" AND abs(v) <= {r.upto}"
-        hits = f"FROM f WHERE m = '{m}' AND abs(v) > {r.above}{upto}"
-        if r.measure == "null_pct_worst" and upto:  # the worst column itself must be in range
+    for n, (section, code, measure, mode, above, upto, most) in enumerate(_FINDINGS):
+        m = "null_pct" if measure == "null_pct_worst" else measure
+        order = "abs(v) DESC" if measure in ("null_pct_worst", "abs_r") else "pos"
+        hits = f"FROM f WHERE m = '{m}' AND abs(v) > {above}" + ("" if upto is None else f" AND abs(v) <= {upto}")
+        if measure == "null_pct_worst" and upto:  # the worst column itself must be in range
             hits += f" AND v = (SELECT max(v) FROM f WHERE m = '{m}')"
-        head = f"SELECT '{r.section}' AS section, {n} AS n, '{r.code}' AS code"
-        if r.mode == "some":
+        head = f"SELECT '{section}' AS section, {n} AS n, '{code}' AS code"
+        if mode == "some":
             rules.append(f"{head}, 0 AS i, count(*)::DOUBLE AS value {hits} HAVING count(*) > 0")
-        elif r.mode == "none":
+        elif mode == "none":
             rules.append(f"{head}, 0 AS i, NULL::DOUBLE AS value WHERE NOT EXISTS (SELECT 1 {hits})")
         else:
-            rules.append(f"SELECT * FROM ({head}, row_number() OVER (ORDER BY {order}) AS i, v AS value {hits}) WHERE i <= {1 if r.mode == 'first' else r.limit}")
+            rules.append(f"SELECT * FROM ({head}, row_number() OVER (ORDER BY {order}) AS i, v AS value {hits}) WHERE i <= {most}")
     return (f"WITH f AS ({union(facts)}), r AS ({union(rules)})\nSELECT section, row_number() OVER (PARTITION BY section ORDER BY n, i) AS rank, "
             "code, round(value, 4) AS value FROM r")
 

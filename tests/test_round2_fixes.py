@@ -141,6 +141,9 @@ def test_findings(spark):
     assert {"size", "missing", "missing_high", "missing_drop", "duplicates_none", "target", "imbalance_severe", "temperature", "humidity",
             "rainfall", "dry", "pressure", "season", "high_corr", "high_corr_pair", "merge_corr", "outliers_ok", "skewed", "transform",
             "models", "analyses"} <= codes.keys()
+    temp = [20.0 + i % 7 for i in range(90)]
+    assert codes["temperature"].value == pytest.approx(sum(temp) / 90, abs=1e-4)
+    assert f"standard deviation {pd.Series(temp).std():.1f}, from 20.0 to 26.0" in codes["temperature"].message
     assert codes["imbalance_severe"].value == 8.0 and codes["dry"].value == pytest.approx(100 * 67 / 90)
     assert codes["high_corr_pair"].value == pytest.approx(1) and "dimensionality" not in codes and "missing_median" not in codes
     lines = [r.value for r in I.insights_text(report).collect()]
