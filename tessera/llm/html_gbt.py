@@ -25,6 +25,8 @@ from __future__ import annotations
 import html as htmllib
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,11 +70,51 @@ subscribe subscription tags teaser toc toolbar topbar tracking warning widget wi
 WITHIN = frozenset("article body content entry main page post story text".split())
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>?)", re.S)
+_NAME_END = re.compile(r"[\s/>]")
 _ATTR = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _POINTS = re.compile(r"[.,;:!?]")
 
 
+class TagEnds:
+    """Which `<` can start a tag: from there a `>` outside quotes must follow. One
+    backward pass over the page's quotes and `>` tells it for every place, so that a
+    long page of tags that never end is not read to its end for each of them."""
+
+    def __init__(self, source: str):
+        self.at = [m.start() for m in re.finditer("[>\"']", source)]
+        kinds = [source[i] for i in self.at]
+        n = len(kinds)
+        self.ok = [False] * (n + 1)       # read on from before this one, outside quotes
+        after = {}                        # the next quote of each kind
+        for t in range(n - 1, -1, -1):
+            c = kinds[t]
+            if c == ">":
+                self.ok[t] = True
+            else:
+                self.ok[t] = c in after and self.ok[after[c] + 1]
+                after[c] = t
+        # quotes may be part of a tag's name: how many of the first t are followed well
+        self.named = [0]
+        for t in range(n):
+            self.named.append(self.named[-1] + (kinds[t] != ">" and self.ok[t + 1]))
+        self.source, self.name_end = source, -1
+
+    def may_start(self, at: int) -> bool:
+        """Does a tag start at the `<` at ``at`` (ascending from call to call)?"""
+        first = at + (3 if self.source[at + 1:at + 2] == "/" else 2)
+        t = bisect_left(self.at, first)
+        if self.ok[t]:
+            return True
+        if self.name_end < first:
+            m = _NAME_END.search(self.source, first)
+            self.name_end = m.start() if m else len(self.source)
+        end = bisect_left(self.at, self.name_end)
+        if end > t and self.named[end] > self.named[t]:
+            return True
+        return end < len(self.at) and self.at[end] == self.name_end and self.ok[end]
+
+
 class Page:
     """Nodes in page order, and the page's text as (node, text) with None for a block's end."""
 
@@ -82,9 +124,21 @@ class Page:
         self.own, self.link, self.points, self.tags, self.inputs = [0], [0], [0], [0], [0]
         stack: list[tuple[str, int]] = [("#", 0)]
         at, end, links = 0, len(source), 0
+        open_: Counter = Counter()
+        ends = None  # asked only where a tag did not end
         while at < end:
-            m = _TAG.search(source, at)
-            stop = m.start() if m else end
+            m, stop = None, at
+            while m is None:
+                stop = source.find("<", stop)
+                if stop < 0:
+                    break
+                if ends is None or source[stop + 1:stop + 2] in ("!", "?") or ends.may_start(stop):
+                    m = _TAG.match(source, stop)
+                    if m is None and ends is None and source[stop + 1:stop + 2] not in ("!", "?"):
+                        ends = TagEnds(source)
+                stop += m is None
+            if m is None:
+                stop = end
             if stop > at:
                 self._text(source[at:stop], stack[-1][1], links)
             if not m:
@@ -94,8 +148,9 @@ class Page:
                 continue
             name = name.lower()
             if m[2]:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+                depth = open_[name] and next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
                 if depth:
+                    open_.subtract(s[0] for s in stack[depth:])
                     links -= sum(s[0] == "a" for s in stack[depth:])
                     if any(s[0] in BLOCKS for s in stack[depth:]):
                         self.flow.append(None)
@@ -108,9 +163,9 @@ class Page:
             if name in BLOCKS:
                 self.flow.append(None)
                 if name not in INLINE_BLOCKS:
-                    links -= self._end(stack, {"p"}, FENCES | {"button"})
+                    links -= self._end(stack, open_, {"p"}, FENCES | {"button"})
                     if name in ENDS:
-                        links -= self._end(stack, ENDS[name], FENCES - {"td", "th"} if name in ("tr", "td", "th") else FENCES)
+                        links -= self._end(stack, open_, ENDS[name], FENCES - {"td", "th"} if name in ("tr", "td", "th") else FENCES)
             node = stack[-1][1]
             self.tags[node] += 1
             tokens = tuple(t.lower() for a in _ATTR.finditer(m[4]) for t in _TOKEN.findall(a[2] or a[3] or a[4] or "")) if "=" in m[4] else ()
@@ -129,13 +184,17 @@ class Page:
             links += name == "a"
             if not m[4].endswith("/") or name in BLOCKS or name == "a":
                 stack.append((name, node))
+                open_[name] += 1
 
     @staticmethod
-    def _end(stack: list, names: set, fences: frozenset) -> int:
+    def _end(stack: list, open_: Counter, names: set, fences: frozenset) -> int:
         """Close the nearest open element of ``names``; gives the links closed."""
+        if not any(open_[n] > 0 for n in names):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 n = sum(s[0] == "a" for s in stack[i:])
+                open_.subtract(s[0] for s in stack[i:])
                 del stack[i:]
                 return n
             if stack[i][0] in fences:
@@ -210,7 +269,8 @@ def features(pages: list[Page], odds: dict[str, float]) -> np.ndarray:
     up = np.maximum(flat("parent").astype(np.int64), 0) + roots[page]
     group = np.array([GROUPS.get(t, N_GROUPS - 1) for t in tags_of])
     own = flat("own")
-    levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.searchsorted(depth[by_depth], np.arange(1, int(depth.max()) + 1)))[1:]
     sums = np.stack([own, flat("link"), flat("points"), flat("tags"), flat("inputs"), group == GROUPS["p"], group == GROUPS["li"],
                      np.ones(n)], axis=1).astype(float)
     for level in reversed(levels):

@@ -3,6 +3,8 @@
 import html
 import random
 import re
+import time
+import re
 
 import numpy as np
 import pytest
@@ -91,3 +93,20 @@ def test_edge_cases(spark, extractor):
     assert by[4].n_chars == len("word and word, again. " * 8000) - 1
     assert hg.extract_main_text(df.limit(0), extractor).count() == 0
     assert isinstance(hg.train(df.limit(0)), hg.Extractor)
+
+
+def test_tag_ends_agree_with_the_tag_pattern():
+    rng = random.Random(2)
+    parts = ["<a", "<b ", "</p", "</", "<", ">", '"', "'", "/", "x", " ", "\n", "é", 'a"b']
+    for _ in range(5000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))
+        ends = hg.TagEnds(s)
+        for i in [i for i, c in enumerate(s) if c == "<" and re.match(r"</?[a-zA-Z]", s[i:])]:
+            assert ends.may_start(i) == (hg._TAG.match(s, i) is not None), (s, i)
+
+
+@pytest.mark.parametrize("page", ["<b " * 350_000, "<div>" * 100_000 + "</x>" * 100_000, '<b " ' * 200_000 + ">", "<a" * 500_000 + '" >'])
+def test_long_malformed_pages(page):
+    began = time.time()
+    parsed = hg.Page(page)
+    assert len(hg.features([parsed], {})) == len(parsed.tag) and time.time() - began < 60
