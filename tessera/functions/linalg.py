@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -213,10 +214,25 @@ def fix_signs(vectors: np.ndarray) -> np.ndarray:
     return v
 
 
+#: Products of one projection that are left to generated code.
+MANY_TERMS = 128
+
+
 def linear_columns(zcols: list[Column], weights: np.ndarray, names: list[str],
                    offset: np.ndarray | None = None) -> list[Column]:
-    """``names[j] = sum_i z_i * W[i, j] (+ offset[j])`` as built-in Column
-    arithmetic (stays in codegen; no UDF)."""
+    """``names[j] = sum_i z_i * W[i, j] (+ offset[j])``: built-in Column arithmetic,
+    or, with more than ``MANY_TERMS`` products (whose generated code would be too
+    long to compile), elements of one matrix product per Arrow batch."""
+    if weights.size > MANY_TERMS:
+        add = np.zeros(weights.shape[1]) if offset is None else offset
+
+        @F.pandas_udf("array<double>")
+        def product(x: pd.Series) -> pd.Series:
+            m = np.array(x.tolist(), dtype=float)  # a missing value makes its row's scores missing
+            return pd.Series([None if np.isnan(r).any() else r for r in m @ weights + add])
+
+        scores = product(F.array(*[z.cast("double") for z in zcols]))
+        return [F.get(scores, F.lit(j)).alias(nm) for j, nm in enumerate(names)]
     out = []
     for j, nm in enumerate(names):
         terms = [z * F.lit(float(weights[i, j])) for i, z in enumerate(zcols) if weights[i, j] != 0.0]

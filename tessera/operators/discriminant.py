@@ -1,23 +1,24 @@
 """Linear discriminant analysis.
 
-Spark computes per-class counts and means (one grouped aggregation) and
-the pooled within-class scatter (one Gramian pass over rows centred on
-their class mean, class means broadcast: classes are few).  The driver
+One pass gives per-class counts and sums and the sums of products of all rows,
+from which the pooled within-class scatter follows.  The driver
 solves the d x d problem the SVD way: whiten by the within-class
 scatter, then take the principal axes of the class means.  Projections
-and class scores are linear Column expressions."""
+and class scores are matrix products."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import numeric_cols, pround
 from tessera.functions.frames import stored
-from tessera.functions.linalg import covariance, fix_signs, linear_columns
+from tessera.functions.linalg import add_up, fix_signs, linear_columns
 from tessera.operators import metrics as M
 from tessera.operators.models import model_frame
 from tessera.operators.split import can_stratify, train_test_split
@@ -41,12 +42,33 @@ class LDAModel:
         return df.select(*keep, *ld)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        z = [F.col(f"__z{i}") for i in range(self.d)]
-        scores = linear_columns(z, self.coef.T, [f"__s{k}" for k in range(len(self.classes))], self.intercept)
-        arr = F.array(*[F.col(f"__s{k}") for k in range(len(self.classes))])
-        pred = (F.array_position(arr, F.array_max(arr)) - 1).cast("double")
-        return df.select("*", *scores).withColumn("prediction", pred).drop(
-            *[f"__s{k}" for k in range(len(self.classes))])
+        """Adds ``prediction``: the class of the highest score, the first of equal ones."""
+        coef, intercept = self.coef, self.intercept
+
+        @F.pandas_udf("double")
+        def best(x: pd.Series) -> pd.Series:
+            return pd.Series((np.array(x.tolist(), dtype=float) @ coef.T + intercept).argmax(axis=1).astype(float))
+
+        return df.withColumn("prediction", best(F.array(*[F.col(f"__z{i}") for i in range(self.d)])))
+
+
+def _class_sums(train: DataFrame, d: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and column sums of each class, and the sums of products of all rows, in one pass."""
+    def run(batches):
+        total = np.zeros((k + d, d + 1))
+        for b in batches:
+            lab = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = np.stack([b.column(1 + j).to_numpy(zero_copy_only=False) for j in range(d)], axis=1).astype(float)
+            hot = np.zeros((len(x), k))
+            hot[np.arange(len(x)), lab] = 1.0
+            total[:k, 0] += hot.sum(axis=0)
+            total[:k, 1:] += hot.T @ x
+            total[k:, 1:] += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + d, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "s"])
+
+    rows = train.select(F.col("label").cast("double"), *[F.col(f"__z{i}").cast("double") for i in range(d)])
+    total = add_up(rows.mapInArrow(run, "i int, s array<double>"), k + d, d + 1, rows.rdd.getNumPartitions())
+    return total[:k, 0], total[:k, 1:], total[k:, 1:]
 
 
 # The two-step solution (whiten the within-class scatter, then rotate to the
@@ -54,24 +76,21 @@ class LDAModel:
 # solver (BSD 3-clause licence), from which its tolerances are taken too.
 def fit_lda(train: DataFrame, d: int, classes: list, tol: float = 1e-4) -> LDAModel:
     k = len(classes)
-    z = [f"__z{i}" for i in range(d)]
-    per = (train.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in z])
-           .collect())
-    if len(per) > MAX_CLASSES:
+    if k > MAX_CLASSES:
         raise ValueError("too many classes")
-    per = sorted(per, key=lambda r: r["label"])
-    labels = [int(r["label"]) for r in per]
-    counts = np.array([r["n"] for r in per], float)
-    means = np.array([[r[c] for c in z] for r in per], float)
+    rows, sums, products = _class_sums(train, d, k)
+    labels = np.flatnonzero(rows).tolist()
+    counts = rows[labels]
+    means = sums[labels] / np.maximum(counts, 1)[:, None]
     n = counts.sum()
     if n <= len(labels):
         raise ValueError("discriminant analysis needs more rows than classes")
     priors = counts / n
-    mdf = train.sparkSession.createDataFrame([(float(labels[i]), *map(float, means[i])) for i in range(len(labels))],
-                                             ["label"] + [f"__mu{i}" for i in range(d)])
-    cen = train.join(F.broadcast(mdf), on="label")
-    _, mu_c, cov_c = covariance(cen, [(F.col(f"__z{i}") - F.col(f"__mu{i}")).alias(f"__c{i}") for i in range(d)], d)
-    within = (cov_c + np.outer(mu_c, mu_c)) * n          # sum of (x - mu_class)(x - mu_class)^T
+    # the features are standardised, so little cancels here
+    within = products - (means * counts[:, None]).T @ means
+    within[np.diag_indices(d)] = np.maximum(np.diag(within), 0.0)
+    flat = np.diag(within) <= 1e-12 * np.maximum(np.diag(products), 1e-300)
+    within[flat], within[:, flat] = 0.0, 0.0
     std = np.sqrt(np.diag(within) / n)
     std[std == 0] = 1.0
     fac = 1.0 / (n - len(labels))
