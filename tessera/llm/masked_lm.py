@@ -1,22 +1,25 @@
 """Document scores by masked pseudo-likelihood.
 
 A small network predicts every word from the two words on either side: the four
-context words' embeddings (one table a position) are added, pass a tanh layer,
-and a two-step softmax gives the word's class and the word within its class, so
-that probabilities add up to one. The sum of the words' conditional log
+context words' embeddings (one table, with a scale for each position) are added,
+pass a tanh layer, and a two-step softmax gives the word's class and the word
+within its class, so that probabilities add up to one. The sum of the words' conditional log
 probabilities is the document's score.
 
-What is gathered from the corpus: the counts of all words, and one network per
-scan task, trained in numpy on all documents of the task with every position as
-a target once. The most frequent words are leaves of the two-step softmax. All
+What is gathered from the corpus: the counts of all words, and the networks of
+trainers, each trained in numpy on all documents of its scan splits with every
+position as a target once, in batches of shuffled stretches of ``SPAN`` places.
+There are as many trainers as the corpus holds networks (by bytes), so that what
+they write follows the input whatever the number of splits. The most frequent words are leaves of the two-step softmax. All
 others share its remaining leaves (buckets) by hash, and a third step, a binary
 tree below each bucket, leads to the word: every word that occurs ``MIN_COUNT``
-times has a leaf and embeddings of its own, the rarer ones of a bucket share a
-leaf, whose probability is multiplied by the word's share of their counts. So
-scores are of words, and vocabulary and network grow with the input. The tasks'
-rows of the words' tables are averaged by how often each was met, the rest by
-tokens, in a tree of groups of ``FAN``; the counts of the rarer words stay a
-distributed table.
+times has a leaf and embeddings of its own, but no more words than ``OWN`` times
+the cube root of the corpus' words (the most frequent): that bounds what the
+driver and every task hold. The rarer ones of a bucket share a leaf, whose
+probability is multiplied by the word's share of their counts. So scores are of
+words, and vocabulary and network grow with the input. The trainers' rows of the
+words' tables are averaged by how often each was met, the rest by tokens, in a
+tree of groups of ``FAN``; the counts of the rarer words stay a distributed table.
 
 Defined cases: null and empty texts have no words, log_prob 0 and mean 0; words
 at a text's ends see a padding word; rows with one id are scored one by one; an
@@ -27,6 +30,7 @@ scored in pieces of fixed size, which changes nothing.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -46,17 +50,23 @@ VOCAB = CLASSES * CLASSES
 HASHED = VOCAB // 2
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
-#: Words that occur so often have a leaf and embeddings of their own.
+#: Words that occur so often have a leaf and embeddings of their own, up to OWN
+#: times the cube root of all words: 0.2 million of 10^8, 10 million of 10^13.
 MIN_COUNT = 20
-BATCH = 1024
+OWN = 400
+#: Neighbouring places that are targets together, and such stretches a step.
+SPAN = 64
+SPANS = 64
 RATE = 0.3
 SEED = 42
+_ONES = np.ones(CLASSES, np.float32)
 FAN = 16
 #: Words scored at a time, and bytes of text prepared at a time, in a task.
 PIECE = 16_384
 GROUP_BYTES = 2_000_000
-#: Words whose rows are averaged at a time.
+#: Words whose rows are averaged at a time, and bytes that a written row takes.
 BLOCK = 4096
+ROW_BYTES = 2 * (2 * HIDDEN + 1) + 4 + 8
 
 
 class Words(list):
@@ -140,7 +150,7 @@ class Vocabulary(dict):
         return self.of(words_of(text))
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, words)), np.int32)
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +178,12 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, counts: DataFrame | None = None) -> Words:
-    """The most frequent words, and all that occur MIN_COUNT times."""
+    """The most frequent words, and all that occur MIN_COUNT times, or the count
+    from which on they are at most OWN times the cube root of all words."""
     counts = count_words(rows) if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
     ordered = counts.orderBy(F.desc("n"), "word")
-    got = ordered.filter(F.col("n") >= MIN_COUNT).toArrow()
+    got = ordered.filter(F.col("n") >= own_count(counts, int(OWN * total ** (1 / 3)))).toArrow()
     if got.num_rows < VOCAB - HASHED:
         got = ordered.limit(VOCAB - HASHED).toArrow()
     words, n = [bytes(w) for w in got["word"].to_pylist()], np.array(got["n"].to_pylist(), float)
@@ -182,13 +194,29 @@ def vocabulary(rows: DataFrame, counts: DataFrame | None = None) -> Words:
     return Words(words, n, rest)
 
 
+def own_count(counts: DataFrame, bound: int) -> int:
+    """The smallest count, MIN_COUNT or more, that at most ``bound`` words reach."""
+    least, beyond = MIN_COUNT, counts.filter(F.col("n") >= MIN_COUNT).count()
+    if beyond <= bound:
+        return least
+    # steps of a sixteenth, so that few numbers reach the driver
+    step = F.floor(F.log2("n") * 16).cast("int")
+    total = 0
+    for s, n in counts.filter(F.col("n") >= MIN_COUNT).groupBy(step).count().orderBy(F.desc(step)).collect():
+        total += n
+        if total > bound:
+            return max(least, math.ceil(2 ** ((s + 1) / 16)))
+    return least
+
+
 def _shapes(own: int = 0) -> list[tuple[int, ...]]:
-    return [(len(OFFSETS), VOCAB + 1 + own, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, CLASSES), (CLASSES, CLASSES)]
+    return [(VOCAB + 1 + own, HIDDEN), (len(OFFSETS), HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, CLASSES), (CLASSES, CLASSES)]
 
 
 class Network:
-    """emb, b0, w1, b1 (classes), w2, b2 (words within a class); nodes and bias
-    of the trees below the buckets, which start from the words' shares."""
+    """emb, scale (of a position), b0, w1, b1 (classes), w2, b2 (words within a
+    class); nodes and bias of the trees below the buckets, which start from the
+    words' shares."""
 
     def __init__(self, flat: np.ndarray | None = None, tree: Tree | None = None):
         self.tree = tree or Tree([])
@@ -197,6 +225,7 @@ class Network:
         if flat is None:
             rng = np.random.default_rng(SEED)
             self.params = [(rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in _shapes(self.tree.size)]
+            self.params[1] = (1 + 3 * self.params[1]).astype(np.float32)
             self.params[-1][:] = 0
         else:
             self.params, at = [], 0
@@ -208,28 +237,38 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([p.reshape(-1) for p in self.params])
 
-    def _hidden(self, padded: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        emb, b0 = self.params[:2]
-        context = [padded[at + o] for o in OFFSETS]
-        total = emb[0][context[0]] + b0
+    def _hidden(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of stretches of ids (last axis), and the hidden layer of
+        all places but two at either end."""
+        emb, scale, b0 = self.params[:3]
+        rows, n = emb.take(ids, axis=0), ids.shape[-1] - 4
+        total = rows[..., :n, :] * scale[0] + b0
         for k in range(1, len(OFFSETS)):
-            total += emb[k][context[k]]
-        return context, np.tanh(total)
+            total += rows[..., 2 + OFFSETS[k]:2 + OFFSETS[k] + n, :] * scale[k]
+        return rows, np.tanh(total, out=total)
 
     def _deep(self, h: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The steps to some leaves: which of them, node, direction, its log odds."""
+        """The steps to some leaves: which of them, node, direction, its log odds,
+        the nodes' rows, the leaves' hidden rows."""
         start = self.tree.start[leaves]
         lens = self.tree.start[leaves + 1] - start
         of = np.repeat(np.arange(len(leaves)), lens)
         at = np.arange(len(of)) + np.repeat(start - (np.cumsum(lens) - lens), lens)
         node = self.tree.node[at]
-        return of, node, self.tree.right[at], np.einsum("ij,ij->i", self.nodes[node], h[of]) + self.bias[node]
+        rows, at_node = self.nodes.take(node, axis=0), h.take(of, axis=0)
+        return of, node, self.tree.right[at], np.einsum("ij,ij->i", rows, at_node) + self.bias[node], rows, at_node
+
+    @staticmethod
+    def _small(w: np.ndarray, b: np.ndarray) -> bool:
+        """Whether no exponent of a hidden layer (within -1 and 1) can overflow."""
+        return bool(np.abs(w).sum(axis=-2).max() + np.abs(b).max() < 60)
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
+    def _softmax(z: np.ndarray, small: bool) -> np.ndarray:
+        if not small:
+            z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= (z @ _ONES)[:, None]
         return z
 
     @staticmethod
@@ -239,84 +278,115 @@ class Network:
 
     def log_probs(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the words at ``at``, given their neighbours."""
-        _, h = self._hidden(padded, at)
+        if not len(at):
+            return np.zeros(0)
+        first = at.min()
+        h = self._hidden(padded[first - 2:at.max() + 3])[1][at - first]
         deep = np.zeros(len(at))
         if self.tree.size:
             leaves = self.tree.leaves(padded[at])
             below = np.flatnonzero(leaves >= 0)
-            of, _, right, z = self._deep(h[below], leaves[below])
-            deep[below] = np.bincount(of, -np.logaddexp(0, np.where(right, -z, z)), minlength=len(below))
+            of, _, right, z, _, _ = self._deep(h.take(below, axis=0), leaves[below])
+            z = np.where(right, -z, z)
+            deep[below] = np.bincount(of, -np.log1p(np.exp(-np.abs(z))) - np.maximum(z, 0), minlength=len(below))
         cls, word = np.divmod(self.tree.tops(padded[at]), CLASSES)
         order, cut = self._by_class(cls)
-        h, cls, word = h[order], cls[order], word[order]
-        p = self._softmax(h @ self.params[2] + self.params[3])[np.arange(len(at)), cls]
+        h, cls, word = h.take(order, axis=0), cls[order], word[order]
+        w1, b1, w2, b2 = self.params[3:]
+        p, small = self._softmax(h @ w1 + b1, self._small(w1, b1))[np.arange(len(at)), cls], self._small(w2, b2)
         for c in range(CLASSES):
             a, b = cut[c], cut[c + 1]
             if a < b:
-                p[a:b] *= self._softmax(h[a:b] @ self.params[4][c] + self.params[5][c])[np.arange(b - a), word[a:b]]
+                p[a:b] *= self._softmax(h[a:b] @ w2[c] + b2[c], small)[np.arange(b - a), word[a:b]]
         out = np.empty(len(at), np.float64)
         out[order] = np.log(np.maximum(p, 1e-30))
         return out + deep
 
-    def step(self, padded: np.ndarray, at: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
-        """One adaptive gradient step on the words at ``at``; rows that it doesn't
-        meet stay as they are."""
-        context, h = self._hidden(padded, at)
-        cls, word = np.divmod(self.tree.tops(padded[at]), CLASSES)
+    def gradients(self, spans: np.ndarray) -> tuple[list[np.ndarray], tuple, tuple]:
+        """Of the mean loss of the words of the stretches (a row: two words, SPAN
+        targets, two words; padding is no target): of params[1:], and (which
+        rows, how often met, gradients) of the embeddings and of the nodes."""
+        rows, hidden = self._hidden(spans)
+        real = spans[:, 2:-2] != VOCAB
+        ids, h = spans[:, 2:-2][real], hidden[real]
+        cls, word = np.divmod(self.tree.tops(ids), CLASSES)
         order, cut = self._by_class(cls)
-        h, cls, word, context, ids = h[order], cls[order], word[order], [c[order] for c in context], padded[at][order]
-        n = len(at)
-        d1 = self._softmax(h @ self.params[2] + self.params[3])
-        d1[np.arange(n), cls] -= 1
-        dh = d1 @ self.params[2].T
-        grads = [None, None, h.T @ d1, d1.sum(axis=0), np.zeros_like(self.params[4]), np.zeros_like(self.params[5])]
+        h, cls, word, ids, n = h.take(order, axis=0), cls[order], word[order], ids[order], np.float32(len(ids))
+        w1, b1, w2, b2 = self.params[3:]
+        d1, small = self._softmax(h @ w1 + b1, self._small(w1, b1)), self._small(w2, b2)
+        d1[np.arange(len(ids)), cls] -= 1
+        dh, gw2, gb2 = d1 @ w1.T, np.zeros_like(w2), np.zeros_like(b2)
         for c in range(CLASSES):
             a, b = cut[c], cut[c + 1]
             if a < b:
-                d2 = self._softmax(h[a:b] @ self.params[4][c] + self.params[5][c])
+                d2 = self._softmax(h[a:b] @ w2[c] + b2[c], small)
                 d2[np.arange(b - a), word[a:b]] -= 1
-                grads[4][c], grads[5][c] = h[a:b].T @ d2, d2.sum(axis=0)
-                dh[a:b] += d2 @ self.params[4][c].T
+                gw2[c], gb2[c] = h[a:b].T @ d2, d2.sum(axis=0)
+                dh[a:b] += d2 @ w2[c].T
+        nodes = (np.zeros(0, np.int32), np.zeros(0, np.int64), [self.nodes[:0], self.bias[:0]])
         if self.tree.size:
             leaves = self.tree.leaves(ids)
             below = np.flatnonzero(leaves >= 0)
             below = below[self.tree.start[leaves[below] + 1] > self.tree.start[leaves[below]]]
             if len(below):
-                of, node, right, z = self._deep(h[below], leaves[below])
+                of, node, right, z, at_node, hb = self._deep(h.take(below, axis=0), leaves[below])
                 d3 = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - right).astype(np.float32)
                 first = np.flatnonzero(np.diff(of, prepend=-1))
-                dh[below] += np.add.reduceat(d3[:, None] * self.nodes[node], first, axis=0)
-                met, times, (g, gb) = _rows_of(node, d3[:, None] * h[below][of], d3)
-                self.visits[met] += times
-                _move(self.nodes, sums[6], met, g / n, rate)
-                _move(self.bias, sums[7], met, gb / n, rate)
-        dz = dh * (1 - h * h)
-        for k, c in enumerate(context):
-            met, _, (g,) = _rows_of(c, dz)
-            _move(self.params[0][k], sums[0][k], met, g / n, rate)
-        grads[1] = dz.sum(axis=0)
-        for p, g, s in zip(self.params[1:], grads[1:], sums[1:6]):
-            _move(p, s, slice(None), g / n, rate)
+                at_node *= d3[:, None]
+                dh[below] += _segments(at_node, first)
+                hb *= (d3 / n)[:, None]
+                nodes = _rows_of(node, hb, d3 / n)
+        dz = np.zeros_like(hidden)
+        back = np.empty_like(h)
+        back[order] = dh * (1 - h * h) / n
+        dz[real] = back
+        each, gs, m = np.zeros_like(rows), np.zeros_like(self.params[1]), dz.shape[1]
+        for k, o in enumerate(OFFSETS):
+            each[:, 2 + o:2 + o + m] += dz * self.params[1][k]
+            gs[k] = (dz * rows[:, 2 + o:2 + o + m]).reshape(-1, HIDDEN).sum(axis=0)
+        emb = _rows_of(spans.reshape(-1), each.reshape(-1, HIDDEN))
+        return [gs, back.sum(axis=0), h.T @ d1 / n, d1.sum(axis=0) / n, gw2 / n, gb2 / n], emb, nodes
+
+    def step(self, spans: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
+        """One adaptive gradient step; rows that it doesn't meet stay as they are."""
+        dense, (met, _, (g,)), (node, times, (gn, gb)) = self.gradients(spans)
+        _move_rows(self.params[0], sums[0], met, g, rate)
+        for p, g, s in zip(self.params[1:], dense, sums[1:7]):
+            s += g * g
+            p -= rate * g / (np.sqrt(s) + np.float32(1e-6))
+        self.visits[node] += times
+        _move_rows(self.nodes, sums[7], node, gn, rate)
+        _move_rows(self.bias[:, None], sums[8], node, gb[:, None], rate)
 
     def sums(self) -> list[np.ndarray]:
-        """Where the squared gradients of the steps start."""
-        return [np.full_like(p, 1e-4) for p in (*self.params, self.nodes, self.bias)]
+        """Where the squared gradients of the steps start: a number a row of the
+        words' tables, else one a weight."""
+        start = [np.full_like(p, 1e-6) for p in self.params[1:]]
+        return [np.full(len(self.params[0]), 1e-6, np.float32), *start, *(np.full(self.tree.size, 1e-6, np.float32) for _ in range(2))]
 
     def top(self) -> np.ndarray:
         """All that doesn't belong to a word of the trees."""
-        return np.concatenate([p.reshape(-1) for p in (self.params[0][:, :VOCAB + 1], *self.params[1:])])
+        return np.concatenate([p.reshape(-1) for p in (self.params[0][:VOCAB + 1], *self.params[1:])])
+
+
+def _segments(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the segments that start at ``first``; rows of floats are added in
+    pairs, as complex numbers, which takes half the time."""
+    if rows.ndim == 1:
+        return np.add.reduceat(rows, first)
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
 
 
 def _rows_of(ids: np.ndarray, *values: np.ndarray) -> tuple:
     """Distinct ids, how often each occurs, and sums of the values by id."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    return ids[order][first], np.diff(first, append=len(ids)), [np.add.reduceat(v[order], first, axis=0) for v in values]
+    return ids[order][first], np.diff(first, append=len(ids)), [_segments(v.take(order, axis=0), first) for v in values]
 
 
-def _move(p: np.ndarray, s: np.ndarray, at, g: np.ndarray, rate: float) -> None:
-    s[at] += g * g
-    p[at] -= rate * g / (np.sqrt(s[at]) + 1e-6)
+def _move_rows(p: np.ndarray, s: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
+    s[at] += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+    p[at] = p.take(at, axis=0) - g * (rate / (np.sqrt(s[at]) + np.float32(1e-6)))[:, None]
 
 
 def padded_ids(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -330,6 +400,18 @@ def padded_ids(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts), np.concatenate(places)) if docs else (pad, np.zeros(0, np.int64))
 
 
+def stretches(padded: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """All places in SPANS rows of SPAN a step, in shuffled order, each row with
+    the two words before and behind."""
+    count = -(-len(padded) // SPAN)
+    wide = np.full(count * SPAN + 4, VOCAB, np.int32)
+    wide[2:2 + len(padded)] = padded
+    rows = np.lib.stride_tricks.sliding_window_view(wide, SPAN + 4)[::SPAN]
+    order = rng.permutation(count)
+    for a in range(0, count, SPANS):
+        yield rows[order[a:a + SPANS]]
+
+
 def _groups(texts, limit: int = GROUP_BYTES) -> Iterator[list]:
     """Neighbouring texts, cut when ``limit`` bytes are reached."""
     some, size = [], 0
@@ -347,13 +429,13 @@ _NETS = "k long, block int, ids binary, times binary, w binary"
 
 
 def _net_row(k: int, block: int, ids: np.ndarray, times: np.ndarray, w: np.ndarray) -> dict:
-    return {"k": k, "block": block, "ids": ids.astype(np.int32).tobytes(), "times": times.astype(np.float64).tobytes(),
-            "w": w.astype(np.float32).tobytes()}
+    return {"k": k, "block": block, "ids": ids.astype(np.int32).tobytes(), "times": times.astype(np.float64 if block < 0 else np.float32).tobytes(),
+            "w": w.astype(np.float32 if block < 0 else np.float16).tobytes()}
 
 
 def _train(words: list[bytes], tree: Tree):
     """Per task: the network's top (block -1, times: tokens), and the rows of the
-    words that it met, with how often they and their nodes were met."""
+    words that it met in half precision, with how often they and their nodes were met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         vocab, net, rng, n = Vocabulary(words), Network(tree=tree), np.random.default_rng([SEED, task]), 0
@@ -361,11 +443,13 @@ def _train(words: list[bytes], tree: Tree):
         for b in batches:
             for texts in _groups([t.as_py() for t in b.column(1)]):
                 padded, places = padded_ids([vocab.ids(t) for t in texts])
+                if not len(places):
+                    continue
                 n += len(places)
                 met += np.bincount(padded[padded > VOCAB] - (VOCAB + 1), minlength=tree.size)
-                targets = rng.permutation(places)
-                for a in range(0, len(targets), BATCH):
-                    net.step(padded, targets[a:a + BATCH], sums, RATE)
+                for spans in stretches(padded, rng):
+                    if (spans[:, 2:-2] != VOCAB).any():
+                        net.step(spans, sums, RATE)
         if n:
             schema = pa.schema([("k", pa.int64()), ("block", pa.int32()), ("ids", pa.binary()), ("times", pa.binary()), ("w", pa.binary())])
             yield pa.RecordBatch.from_pylist([_net_row(task, -1, np.zeros(0), np.array([n]), net.top())], schema)
@@ -374,15 +458,14 @@ def _train(words: list[bytes], tree: Tree):
                 times = np.stack([met[a:b], net.visits[a:b]])
                 ids = np.flatnonzero(times.any(axis=0))
                 if len(ids):
-                    emb = net.params[0][:, VOCAB + 1 + a + ids].transpose(1, 0, 2).reshape(len(ids), -1)
-                    rows = np.concatenate([emb, net.nodes[a + ids], net.bias[a + ids, None]], axis=1)
+                    rows = np.concatenate([net.params[0][VOCAB + 1 + a + ids], net.nodes[a + ids], net.bias[a + ids, None]], axis=1)
                     yield pa.RecordBatch.from_pylist([_net_row(task, block, ids, times[:, ids], rows)], schema)
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
     """Of one block: each row by how often its word and its node were met."""
-    block, emb = table["block"][0].as_py(), len(OFFSETS) * HIDDEN
+    block, emb = table["block"][0].as_py(), HIDDEN
     if block < 0:
         times = np.array([np.frombuffer(t.as_py())[0] for t in table["times"]])
         w = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) * m for x, m in zip(table["w"], times)) / times.sum()
@@ -391,7 +474,7 @@ def _average(table: pa.Table) -> pa.Table:
         total, times = np.zeros((BLOCK, emb + HIDDEN + 1)), np.zeros((2, BLOCK))
         for i, t, w in zip(table["ids"], table["times"], table["w"]):
             i = np.frombuffer(i.as_py(), np.int32)
-            t, w = np.frombuffer(t.as_py()).reshape(2, -1), np.frombuffer(w.as_py(), np.float32).reshape(len(i), -1)
+            t, w = np.frombuffer(t.as_py(), np.float32).reshape(2, -1), np.frombuffer(w.as_py(), np.float16).reshape(len(i), -1)
             total[i, :emb] += w[:, :emb] * t[0][:, None]
             total[i, emb:] += w[:, emb:] * t[1][:, None]
             times[:, i] += t
@@ -402,9 +485,18 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], table.schema)
 
 
+def input_splits(rows: DataFrame) -> int:
+    return rows.rdd.getNumPartitions()
+
+
 def train(rows: DataFrame, words: list[bytes]) -> Network:
-    """Networks of the scan tasks, averaged in a tree."""
-    tree, emb = Tree(words), len(OFFSETS) * HIDDEN
+    """Networks of the trainers, averaged in a tree. A trainer reads the splits of
+    at least as many bytes of words as its network takes, but no core is left idle."""
+    tree = Tree(words if isinstance(words, Words) else Words(words))
+    size = float(np.dot(words.counts, [len(w) + 1 for w in words])) if isinstance(words, Words) else 0.0
+    trainers = max(rows.sparkSession.sparkContext.defaultParallelism, int(size / (tree.size * ROW_BYTES + 1)))
+    if trainers < input_splits(rows):
+        rows = rows.coalesce(trainers)
     nets = written(rows.mapInArrow(_train(words, tree), _NETS), "networks")
     count = nets.filter("block < 0").count()
     while count > 1:
@@ -414,15 +506,15 @@ def train(rows: DataFrame, words: list[bytes]) -> Network:
         count = nets.filter("block < 0").count()
     net = Network(tree=tree)
     for r in nets.toLocalIterator():
-        w, ids = np.frombuffer(r.w, np.float32), np.frombuffer(r.ids, np.int32) + max(r.block, 0) * BLOCK
+        ids = np.frombuffer(r.ids, np.int32) + max(r.block, 0) * BLOCK
         if r.block < 0:
-            top = Network(w)
-            net.params[0][:, :VOCAB + 1] = top.params[0]
+            top = Network(np.frombuffer(r.w, np.float32))
+            net.params[0][:VOCAB + 1] = top.params[0]
             net.params[1:] = top.params[1:]
         else:
-            w, (met, visits) = w.reshape(len(ids), -1), np.frombuffer(r.times).reshape(2, -1) > 0
-            net.params[0][:, VOCAB + 1 + ids[met]] = w[met, :emb].reshape(-1, len(OFFSETS), HIDDEN).transpose(1, 0, 2)
-            net.nodes[ids[visits]], net.bias[ids[visits]] = w[visits, emb:-1], w[visits, -1]
+            w, (met, visits) = np.frombuffer(r.w, np.float16).reshape(len(ids), -1), np.frombuffer(r.times, np.float32).reshape(2, -1) > 0
+            net.params[0][VOCAB + 1 + ids[met]] = w[met, :HIDDEN]
+            net.nodes[ids[visits]], net.bias[ids[visits]] = w[visits, HIDDEN:-1], w[visits, -1]
     return net
 
 

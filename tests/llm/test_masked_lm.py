@@ -12,10 +12,10 @@ from tessera.llm import masked_lm as lm
 def naive(net, vocab, text):
     ids = vocab.ids((text or "").encode()).tolist()
     padded = [lm.VOCAB] * 2 + ids + [lm.VOCAB] * 2
-    emb, b0, w1, b1, w2, b2 = [p.astype(float) for p in net.params]
+    emb, scale, b0, w1, b1, w2, b2 = [p.astype(float) for p in net.params]
     total = 0.0
     for i, word in enumerate(ids):
-        h = np.tanh(sum(emb[k][padded[i + 2 + o]] for k, o in enumerate(lm.OFFSETS)) + b0)
+        h = np.tanh(sum(emb[padded[i + 2 + o]] * scale[k] for k, o in enumerate(lm.OFFSETS)) + b0)
         c, w = divmod(word, lm.CLASSES)
         z1, z2 = h @ w1 + b1, h @ w2[c] + b2[c]
         total += z1[c] - math.log(np.exp(z1).sum()) + z2[w] - math.log(np.exp(z2).sum())
@@ -39,23 +39,26 @@ def test_scores_equal_plain_loops_and_edge_cases(spark):
     assert lm.pseudo_likelihood(df).count() == len(rows)
 
 
+def spans_of(padded):
+    return np.concatenate(list(lm.stretches(padded, np.random.default_rng(0))))
+
+
 def test_gradient():
     net, rng = lm.Network(), np.random.default_rng(2)
-    padded, at = lm.padded_ids([rng.integers(0, lm.VOCAB, 40).astype(np.int32)])
+    padded, at = lm.padded_ids([rng.integers(0, lm.VOCAB, 40).astype(np.int32) for _ in range(3)])
     loss = lambda: -net.log_probs(padded, at).mean()
-    before, start = [p.copy() for p in net.params], loss()
-    sums = [np.zeros_like(p) for p in net.params]
-    net.step(padded, at, sums, 0.0)
-    grads = [np.sqrt(s) for s in sums]  # the squared gradient of one step
-    for k in (1, 2, 3, 5):
-        i = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
-        for sign in (1, -1):
-            net.params[k][i] = before[k][i] + sign * 1e-2
-            if sign == 1:
-                up = loss()
-        assert abs((up - loss()) / 2e-2) == pytest.approx(float(grads[k][i]), rel=0.05)
-        net.params[k][i] = before[k][i]
-    assert loss() == pytest.approx(start)
+    dense, (met, times, (rows,)), _ = net.gradients(spans_of(padded))
+    emb = np.zeros_like(net.params[0])
+    emb[met] = rows
+    for k, grad in enumerate([emb, *dense]):
+        for i in {np.abs(grad).argmax(), grad.argmax(), grad.argmin()}:
+            i = np.unravel_index(i, grad.shape)
+            old, ends = net.params[k][i], []
+            for move in (1e-2, -1e-2):
+                net.params[k][i] = old + move
+                ends.append(loss())
+            net.params[k][i] = old
+            assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(float(grad[i]), rel=0.05, abs=1e-5), k
 
 
 def test_training_prefers_real_order(spark):
@@ -115,24 +118,57 @@ def test_gradient_of_the_trees():
     net, rng = lm.Network(tree=lm.Tree(words)), np.random.default_rng(6)
     net.nodes += rng.standard_normal(net.nodes.shape).astype(np.float32) * 0.3
     padded, at = lm.padded_ids([rng.choice([*range(lm.VOCAB), *range(lm.VOCAB + 1, lm.VOCAB + 2400)], 60).astype(np.int32)])
-    sums = [np.zeros_like(s) for s in net.sums()]
-    net.step(padded, at, sums, 0.0)
-    for table, s in ((net.nodes, sums[6]), (net.bias, sums[7]), (net.params[0], sums[0])):
-        i = np.unravel_index(s.argmax(), s.shape)
-        old, ends = table[i], []
+    _, (met, _, (rows,)), (node, _, (gn, gb)) = net.gradients(spans_of(padded))
+    for table, at_rows, grad in ((net.nodes, node, gn), (net.bias, node, gb), (net.params[0], met, rows)):
+        i = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        cell = (at_rows[i[0]], *i[1:])
+        old, ends = table[cell], []
         for move in (1e-2, -1e-2):
-            table[i] = old + move
+            table[cell] = old + move
             ends.append(-net.log_probs(padded, at).mean())
-        table[i] = old
-        assert abs(ends[0] - ends[1]) / 2e-2 == pytest.approx(float(np.sqrt(s[i])), rel=0.05)
+        table[cell] = old
+        assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(float(grad[i]), rel=0.05)
 
 
 def test_every_position_is_a_target_once(spark, monkeypatch):
     steps = []
-    monkeypatch.setattr(lm.Network, "step", lambda self, padded, at, sums, rate: steps.append(at.copy()))
+    monkeypatch.setattr(lm.Network, "step", lambda self, spans, sums, rate: steps.append(spans.copy()))
     monkeypatch.setattr(lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
-    texts = [b"a b c d e f g " * 500, b"", b"one two"]
+    texts = [b"a b c d e f g " * 5000, b"", b"one two"]
     batch = lm.pa.RecordBatch.from_arrays([lm.pa.array([1, 2, 3]), lm.pa.array(texts)], names=["doc_id", "text"])
     list(lm._train([b"a"], lm.Tree([b"a"]))(iter([batch])))
-    _, places = lm.padded_ids([lm.Vocabulary([b"a"]).ids(t) for t in texts])
-    assert sorted(np.concatenate(steps).tolist()) == places.tolist()
+    padded, places = lm.padded_ids([lm.Vocabulary([b"a"]).ids(t) for t in texts])
+    contexts = lambda ids, at: sorted(zip(*(ids[at + o].tolist() for o in (-2, -1, 0, 1, 2))))
+    seen = []
+    for s in np.concatenate(steps):
+        at = 2 + np.flatnonzero(s[2:-2] != lm.VOCAB)
+        seen += contexts(s, at)
+    assert len(steps) > 1 and sorted(seen) == contexts(padded, places)
+
+
+def test_own_words_are_bounded(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"w{i}".encode(), int(3000 / (i + 1)) + 1) for i in range(2000)], "word binary, n long")
+    n = sorted((r.n for r in counts.collect()), reverse=True)
+    assert lm.own_count(counts, 10_000) == lm.MIN_COUNT
+    for bound in (3, 20, 90, 150):
+        least = lm.own_count(counts, bound)
+        own = sum(x >= least for x in n)
+        assert least >= lm.MIN_COUNT and own <= bound
+        # a step of counts more would not fit
+        assert sum(x >= max(lm.MIN_COUNT, least / 2 ** 0.125 - 1) for x in n) > bound or least == lm.MIN_COUNT
+    monkeypatch.setattr(lm, "OWN", 1)
+    rows = lm._rows(spark.createDataFrame([(1, " ".join(f"w{i % 700}" for i in range(30_000)))], "doc_id long, text string"), "doc_id", "text")
+    # no fewer than the leaves of the two-step softmax
+    assert len(lm.vocabulary(rows)) == lm.VOCAB - lm.HASHED
+
+
+def test_trainers_follow_the_networks_size(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ROW_BYTES", 10_000_000)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 900}" for j in range(300))) for i in range(200)], "doc_id long, text string").repartition(40)
+    rows = lm._rows(docs, "doc_id", "text")
+    seen, real = [], lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: seen.append((name, out := real(df, name))) or out)
+    net = lm.train(rows, lm.vocabulary(rows))
+    first = next(df for name, df in seen if name == "networks")
+    assert first.filter("block < 0").count() <= spark.sparkContext.defaultParallelism < 40
+    assert np.isfinite(net.flat()).all()
