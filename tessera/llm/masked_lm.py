@@ -56,7 +56,7 @@ MIN_COUNT = 20
 OWN = 400
 #: Neighbouring places that are targets together, and such stretches a step.
 SPAN = 64
-SPANS = 64
+SPANS = 128
 RATE = 0.3
 SEED = 42
 _ONES = np.ones(CLASSES, np.float32)
@@ -356,7 +356,8 @@ class Network:
             p -= rate * g / (np.sqrt(s) + np.float32(1e-6))
         self.visits[node] += times
         _move_rows(self.nodes, sums[7], node, gn, rate)
-        _move_rows(self.bias[:, None], sums[8], node, gb[:, None], rate)
+        sums[8][node] += gb * gb
+        self.bias[node] -= rate * gb / (np.sqrt(sums[8][node]) + np.float32(1e-6))
 
     def sums(self) -> list[np.ndarray]:
         """Where the squared gradients of the steps start: a number a row of the
@@ -538,7 +539,10 @@ def score(docs: DataFrame, words: list[bytes], net: Network, id_col: str = "doc_
                     targets = padded[places]
                     shared = (targets >= VOCAB - HASHED) & (targets < VOCAB)
                     each[shared] -= rest[targets[shared] - (VOCAB - HASHED)]
-                    rare += [[ws[i] for i in np.flatnonzero((d >= VOCAB - HASHED) & (d < VOCAB))] for ws, d in zip(found, ids)]
+                    some = np.flatnonzero(shared)
+                    cut = np.searchsorted(some, np.cumsum([0, *map(len, ids)]))
+                    at = some - np.repeat(np.cumsum([0, *map(len, ids)])[:-1], np.diff(cut))
+                    rare += [[ws[i] for i in at[a:b].tolist()] for ws, a, b in zip(found, cut, cut[1:])]
                 else:
                     rare += [[]] * len(texts)
                 n = np.array([len(d) for d in ids], np.int64)
