@@ -7,9 +7,6 @@ count tables reach the driver."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, OneVsRest,
@@ -23,6 +20,7 @@ from tessera.functions.frames import stored
 from tessera.functions.linalg import prepare
 from tessera.operators import metrics as M
 from tessera.operators.boosting import fit_boosted
+from tessera.operators.kernel import fit_kernel
 from tessera.operators.neighbors import knn_predict
 from tessera.operators.split import can_stratify, train_test_split
 
@@ -54,32 +52,6 @@ def model_frame(df: DataFrame, feats: list[str], target: str, fit_rows: DataFram
     return frame.withColumn("label", lab.cast("double")), classes
 
 
-def rff_weights(d: int, n_comp: int, gamma: float, seed: int = 42):
-    """Random Fourier features for an RBF kernel exp(-gamma |x - y|^2)
-    (Rahimi & Recht 2007): sqrt(2 / D) cos(x . w + b), w ~ N(0, 2 gamma)."""
-    rng = np.random.default_rng(seed)
-    return rng.normal(0.0, math.sqrt(2 * gamma), size=(d, n_comp)), rng.uniform(0, 2 * math.pi, size=n_comp)
-
-
-def with_rff(frame: DataFrame, d: int, n_comp: int, gamma: float, seed: int = 42) -> DataFrame:
-    """Adds ``__rff`` (array<double>) computed per Arrow batch with one
-    matrix product; the weights are a small d x D closure."""
-    w, b = rff_weights(d, n_comp, gamma, seed)
-    zc = [f"__z{i}" for i in range(d)]
-    fac = math.sqrt(2.0 / n_comp)
-
-    def fn(it):
-        for pdf in it:
-            x = pdf[zc].to_numpy(dtype=float)
-            feats = np.cos(x @ w + b) * fac
-            pdf["__rff"] = list(feats)
-            yield pdf
-
-    from pyspark.sql import types as T
-    schema = T.StructType(frame.schema.fields + [T.StructField("__rff", T.ArrayType(T.DoubleType()))])
-    return frame.mapInPandas(fn, schema)
-
-
 #: Depth of the forest's trees: Spark's own limit, as the method sets none.
 FOREST_DEPTH = 30
 #: Classes a model may have; their names go into the plan.
@@ -106,9 +78,9 @@ def estimator(name: str, n_train: int, seed: int = 42, rf_depth: int = FOREST_DE
     raise ValueError(f"unknown model {name}")
 
 
-def fit_predict(name: str, split_df: DataFrame, d: int, seed: int = 42, rff_dim: int = 256,
-                gamma: float | None = None) -> DataFrame:
-    """Fit on the train rows, predict every row; adds ``prediction``.  The
+def fit_predict(name: str, split_df: DataFrame, d: int, seed: int = 42, gamma: float | str = "scale") -> DataFrame:
+    """Fit on the train rows, predict every row; adds ``prediction``.  The kernel
+    machine is linear in the features of ``kernel.fit_kernel``.  The
     assembled feature vectors are persisted once, so iterative learners do
     not recompute the split lineage on every pass."""
     from pyspark.ml.functions import array_to_vector
@@ -120,9 +92,9 @@ def fit_predict(name: str, split_df: DataFrame, d: int, seed: int = 42, rff_dim:
         classes = int(split_df.agg(F.max("label")).first()[0] or 0) + 1
         return stored(fit_boosted(train, d, classes).predict(split_df, d).select(*keep, "prediction"), "predictions")
     if name == "svm":
-        g = gamma if gamma is not None else 1.0 / max(d, 1)
-        frame = with_rff(split_df, d, rff_dim, g, seed)
-        frame = frame.select(*keep, array_to_vector("__rff").alias("features"))
+        cols = [f"__z{i}" for i in range(d)]
+        found = fit_kernel(split_df.where(F.col("split") == "train"), cols, gamma, seed=seed)
+        frame = found.transform(split_df, cols, "__k").select(*keep, array_to_vector("__k").alias("features"))
     else:
         asm = VectorAssembler(inputCols=[f"__z{i}" for i in range(d)], outputCol="features")
         frame = asm.transform(split_df).select(*keep, "features")

@@ -576,6 +576,7 @@ from tessera.operators import cluster as K  # noqa: E402
 from tessera.operators import discriminant as D  # noqa: E402
 from tessera.operators import factor as FA  # noqa: E402
 from tessera.operators import insights as I  # noqa: E402
+from tessera.operators import kernel as KE  # noqa: E402
 from tessera.operators import models as MO  # noqa: E402
 from tessera.operators import normality as N  # noqa: E402
 from tessera.operators import reduce as RD  # noqa: E402
@@ -972,3 +973,17 @@ for _name, _like, _args in (
 register("knn_predictions_embeddings", _knn_embeddings_sql().split("cnt AS (SELECT actual")[0].rstrip().rstrip(",")
          + "\nSELECT actual, predicted FROM scored WHERE split = 'test'")(
     lambda spark, d: MO.compare_models(embedding_table(spark, d), "label", [f"e{i}" for i in range(64)], ["knn"], key=["vec_id"])[2])
+
+# mean kernels of the market segments; the oracle takes all pairs of customers
+register("kernel_means_customer", """
+WITH z AS (SELECT c_mktsegment AS g, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x,
+  (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS y FROM customer),
+v AS (SELECT 1 / (2 * (var_pop(x) + var_pop(y)) / 2) AS gamma FROM z)
+SELECT p.g AS a, q.g AS b, round(avg(exp(-(SELECT gamma FROM v) * ((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)))), 3) AS mean_kernel
+FROM z p JOIN z q ON p.g <= q.g GROUP BY 1, 2""")(
+    lambda spark, d: KE.kernel_means(load(spark, d, "customer"), ["c_acctbal", "c_nationkey"], "c_mktsegment")
+    .withColumn("mean_kernel", rnd(F.col("mean_kernel"), 3)))
+
+register("compare_models_svm_lineitem", None)(
+    lambda spark, d: MO.compare_models(load(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_discount"], ["svm"],
+                                       key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])[0])
