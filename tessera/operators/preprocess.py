@@ -15,6 +15,7 @@ from tessera.functions.columns import categorical_cols, col, is_missing, num, nu
 from tessera.functions.frames import explode_structs, multipass
 from tessera.functions.quantiles import quantile_values
 from tessera.operators.profile import distinct_upto
+from tessera.operators.wide_onehot import fit_wide_onehot
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> dict:
@@ -106,10 +107,15 @@ def standard_scale(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                        for c in df.columns])
 
 
-def one_hot(df: DataFrame, cols: list[str], max_width: int = 1000, keep_source: bool = False) -> DataFrame:
+#: Levels of a column that may become columns of their own.
+ONE_HOT_WIDTH = 1000
+
+
+def one_hot(df: DataFrame, cols: list[str], max_width: int = ONE_HOT_WIDTH, keep_source: bool = False) -> DataFrame:
     """One 0/1 double column ``<col>_<value>`` per category (sorted, all
     kept; NULL becomes ``<col>_nan``).  The category count is checked
-    against ``max_width`` before any column is built."""
+    against ``max_width`` before any column is built; ``wide_onehot`` codes
+    columns of more levels."""
     widths = distinct_upto(df, cols, max_width)
     too_wide = [c for c, w in widths.items() if w > max_width]
     if too_wide:
@@ -229,7 +235,8 @@ def preprocess(df: DataFrame, target: str | None = None, remove_dups: bool = Tru
     categorical features (impute, one-hot); optional constant removal and
     k-best selection; the target column stays in each row.  Columns keep
     their real names (categoricals pass through unchanged when they have
-    no step)."""
+    no step).  Categoricals of more than ``ONE_HOT_WIDTH`` levels become one
+    sparse vector column ``onehot`` (see ``wide_onehot``)."""
     work = df.dropDuplicates() if remove_dups else df
     feat_num = [c for c in numeric_cols(work) if c != target]
     feat_cat = [c for c in categorical_cols(work) if c != target]
@@ -241,8 +248,13 @@ def preprocess(df: DataFrame, target: str | None = None, remove_dups: bool = Tru
         work = impute(work, feat_cat, cat_strategy if cat_strategy != "constant" else "constant")
     out_cols = list(feat_num)
     if encode and feat_cat:
-        work = one_hot(work.select(*[col(c) for c in feat_num + feat_cat + ([target] if target else [])]),
-                       feat_cat)
+        work = work.select(*[col(c) for c in feat_num + feat_cat + ([target] if target else [])])
+        widths = distinct_upto(work, feat_cat, ONE_HOT_WIDTH)
+        wide = [c for c in feat_cat if widths[c] > ONE_HOT_WIDTH]
+        if len(wide) < len(feat_cat):
+            work = one_hot(work, [c for c in feat_cat if c not in wide])
+        if wide:
+            work = fit_wide_onehot(work, wide).transform(work, "onehot")
         out_cols += [c for c in work.columns if c not in feat_num and c != target]
     else:
         out_cols += feat_cat

@@ -580,6 +580,8 @@ from tessera.operators import kernel as KE  # noqa: E402
 from tessera.operators import models as MO  # noqa: E402
 from tessera.operators import normality as N  # noqa: E402
 from tessera.operators import reduce as RD  # noqa: E402
+from tessera.operators import wide_onehot as W  # noqa: E402
+from tessera.operators import wide_pca as WP  # noqa: E402
 
 _PCA = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
 
@@ -987,3 +989,25 @@ FROM z p JOIN z q ON p.g <= q.g GROUP BY 1, 2""")(
 register("compare_models_svm_lineitem", None)(
     lambda spark, d: MO.compare_models(load(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_discount"], ["svm"],
                                        key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])[0])
+
+# codes of a column with a level a row beside a narrow one: the places of each row's ones
+register("one_hot_wide_customer", """
+SELECT c_custkey, [n, m + s - 1] AS onehot, s + w AS size FROM (
+  SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS n, dense_rank() OVER (ORDER BY c_mktsegment) AS m,
+    (SELECT count(DISTINCT c_name) FROM customer) AS s, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS w FROM customer)""")(
+    lambda spark, d: (lambda t: (lambda m: m.places(t).withColumn("size", F.lit(m.size).cast("long")))(
+        W.fit_wide_onehot(t, ["c_name", "c_mktsegment"])))(load(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")))
+
+
+def _pca_wide_rebuilt(spark, d):
+    """Correlations of all pairs of embedding elements, rebuilt from all components."""
+    m = WP.fit_wide_pca(load(spark, d, "embeddings"), "embedding", 64)
+    c = m.components * m.explained_variance @ m.components.T * (m.n - 1) / m.n
+    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(len(c)) for j in range(i, len(c))], "i int, j int, r double").withColumn(
+        "r", rnd(F.col("r"), 4))
+
+
+register("pca_wide_rebuilt_embeddings", """
+WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+z AS (SELECT vec_id, i, coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0) AS z FROM e WINDOW w AS (PARTITION BY i))
+SELECT a.i::INT AS i, b.i::INT AS j, round(avg(a.z * b.z), 4) AS r FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2""")(_pca_wide_rebuilt)
