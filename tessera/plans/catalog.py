@@ -7,6 +7,7 @@ generated per column from the same parameters the Spark side uses."""
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -20,6 +21,9 @@ from tessera.operators import split as SP
 from tessera.operators import stats as S
 from tessera.functions.columns import rnd
 from tessera.plans.views import duck_sql, load
+from tessera.session import checkpoint_dir
+from tessera.sources.readers import read_table
+from tessera.sources.writers import write_csv
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
@@ -1011,3 +1015,16 @@ register("pca_wide_rebuilt_embeddings", """
 WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 z AS (SELECT vec_id, i, coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0) AS z FROM e WINDOW w AS (PARTITION BY i))
 SELECT a.i::INT AS i, b.i::INT AS j, round(avg(a.z * b.z), 4) AS r FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2""")(_pca_wide_rebuilt)
+
+
+def _csv_split(spark, d):
+    """Customers with line breaks, quotes and commas in a field, written as CSV and read back from splits."""
+    t = load(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('",\n\n'), F.col("c_nationkey").cast("string")).alias("note"), "c_nationkey")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_csv(t, path)
+    return read_table(spark, path, fmt="csv", multi_line="split").select("c_custkey", F.md5("note").alias("note_md5"), F.length("note").alias("n_chars"), "c_nationkey")
+
+
+register("csv_split_customer", """
+SELECT c_custkey, md5(note) AS note_md5, length(note) AS n_chars, c_nationkey
+FROM (SELECT *, c_name || chr(10) || '"' || c_mktsegment || '",' || chr(10) || chr(10) || c_nationkey AS note FROM customer)""")(_csv_split)

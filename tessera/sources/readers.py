@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col
+from tessera.sources.quoted_csv import read_quoted_csv
 
 # Text tokens read as missing (the common CSV NA spellings).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -57,22 +58,25 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = None, multi_line: bool = False,
+def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = None, multi_line: bool | str = False,
                **options) -> DataFrame:
     """Read csv / parquet / json / orc by extension (or ``fmt``).  CSV:
     header row, quotes doubled inside quotes, NA tokens to NULL, types from
     ``schema`` or inferred.  Errors surface as Spark exceptions.
-    ``multi_line`` reads line breaks inside quotes; a file is then one task, so
-    it is off unless asked for."""
+    ``multi_line=True`` reads line breaks inside quotes with a task a file;
+    ``"split"`` reads them from many splits of a file (see ``quoted_csv``)."""
     fmt = fmt or _FORMATS.get(_ext(path))
     if fmt is None:
         raise ValueError(f"unsupported file type: {path}")
     if fmt != "csv":
         r = spark.read.format(fmt).options(**options)
         return (r.schema(schema) if schema is not None else r).load(path)
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
-           .option("multiLine", multi_line).options(**options).csv(path))
+    if multi_line == "split":
+        raw = read_quoted_csv(spark, path, **options)
+    else:
+        raw = (spark.read.option("header", True).option("inferSchema", False)
+               .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+               .option("multiLine", multi_line).options(**options).csv(path))
     clean = raw.select(*[F.when(F.trim(col(c)).isin(NA_TOKENS) | col(c).isNull(), F.lit(None))
                          .otherwise(col(c)).alias(c) for c in raw.columns])
     if schema is not None:
