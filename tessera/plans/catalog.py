@@ -1028,3 +1028,42 @@ def _csv_split(spark, d):
 register("csv_split_customer", """
 SELECT c_custkey, md5(note) AS note_md5, length(note) AS n_chars, c_nationkey
 FROM (SELECT *, c_name || chr(10) || '"' || c_mktsegment || '",' || chr(10) || chr(10) || c_nationkey AS note FROM customer)""")(_csv_split)
+
+
+def _jacobi_sql(table: str, cols: list[str], sweeps: int = 8) -> str:
+    """CTE ``eig`` (k from 1 by descending eigenvalue, lam, v: vector with its largest entry
+    positive) of the correlation matrix, by cyclic plane rotations."""
+    d = len(cols)
+    pairs = [(a, b) for a in range(d) for b in range(a + 1, d)]
+    corr = ", ".join("1.0::DOUBLE" if a == b else f"corr({cols[a]}, {cols[b]})" for a in range(d) for b in range(d))
+    unit = ", ".join("1.0::DOUBLE" if a == b else "0.0::DOUBLE" for a in range(d) for b in range(d))
+    columns = lambda m: (f"[CASE WHEN e % {d} = p THEN c * {m}[e + 1] - s * {m}[e - p + q + 1] WHEN e % {d} = q "
+                         f"THEN s * {m}[e - q + p + 1] + c * {m}[e + 1] ELSE {m}[e + 1] END for e in range({d * d})]")
+    rows = (f"[CASE WHEN e // {d} = p THEN c * b[e + 1] - s * b[e + (q - p) * {d} + 1] WHEN e // {d} = q "
+            f"THEN s * b[e - (q - p) * {d} + 1] + c * b[e + 1] ELSE b[e + 1] END for e in range({d * d})]")
+    return f"""WITH RECURSIVE turn(step, a, v) AS (
+  SELECT 0, [{corr}], [{unit}] FROM {table}
+  UNION ALL
+  SELECT step + 1, {rows}, v FROM (
+    SELECT step, p, q, c, s, {columns('a')} AS b, {columns('v')} AS v FROM (
+      SELECT *, t / sqrt(1 + t * t) AS s, 1 / sqrt(1 + t * t) AS c FROM (
+        SELECT *, CASE WHEN off = 0 THEN 0 ELSE (CASE WHEN tau < 0 THEN -1 ELSE 1 END) / (abs(tau) + sqrt(1 + tau * tau)) END AS t FROM (
+          SELECT *, CASE WHEN off = 0 THEN 0 ELSE (a[q * {d + 1} + 1] - a[p * {d + 1} + 1]) / (2 * off) END AS tau FROM (
+            SELECT *, a[p * {d} + q + 1] AS off FROM (
+              SELECT *, {[a for a, _ in pairs]}[step % {len(pairs)} + 1] AS p, {[b for _, b in pairs]}[step % {len(pairs)} + 1] AS q
+              FROM turn WHERE step < {sweeps * len(pairs)}))))))),
+raw AS (SELECT a[k * {d + 1} + 1] AS lam, [v[i * {d} + k + 1] for i in range({d})] AS v FROM turn, range({d}) t(k) WHERE step = {sweeps * len(pairs)}),
+eig AS (SELECT row_number() OVER (ORDER BY lam DESC) AS k, lam,
+  [x * CASE WHEN abs(list_max(v)) >= abs(list_min(v)) THEN 1 ELSE -1 END for x in v] AS v FROM raw)
+"""
+
+
+REGISTRY["scree_lineitem"] = (REGISTRY["scree_lineitem"][0], _jacobi_sql("lineitem", _PCA) +
+                              "SELECT 'F' || k AS factor, round(lam, 4) AS eigenvalue, lam > 1 AS kaiser FROM eig WHERE lam > 0")
+REGISTRY["pca_variance_lineitem"] = (REGISTRY["pca_variance_lineitem"][0], _jacobi_sql("lineitem", _PCA) + f"""
+SELECT 'PC' || k AS component, round(100 * lam / {len(_PCA)}, 2) AS explained_variance_pct,
+  round(100 * (SELECT sum(lam) FROM eig f WHERE f.k <= eig.k) / {len(_PCA)}, 2) AS cumulative_pct,
+  round(lam * (SELECT count(*) / (count(*) - 1) FROM lineitem), 4) AS eigenvalue FROM eig WHERE k <= 5""")
+REGISTRY["pca_loadings_lineitem"] = (REGISTRY["pca_loadings_lineitem"][0], _jacobi_sql("lineitem", _PCA) +
+                                     "SELECT " + repr(_PCA) + "[i] AS feature, " + ", ".join(
+    f"round((SELECT v[i] FROM eig WHERE k = {j}), 4) + 0.0 AS PC{j}" for j in range(1, 6)) + f" FROM range(1, {len(_PCA) + 1}) t(i)")
