@@ -65,6 +65,27 @@ def positions(df: DataFrame, order: list[Column], weight: str) -> DataFrame:
             .drop("__range", "__base"))
 
 
+#: Values that one row of a grid is paired with at a time.
+GRID = 1000
+
+
+def grid(left: DataFrame, right: DataFrame, size: int | None = None) -> DataFrame:
+    """All pairs of a value of ``left`` and one of ``right`` (frames of one column of
+    distinct values): up to ``size`` right values are exploded as literals; more are dealt into
+    lists of ``size``, to which the left values are joined list by list."""
+    size = size or GRID
+    a, b = left.columns[0], right.columns[0]
+    values = [r[0] for r in right.limit(size + 1).collect()]
+    if not values:
+        return left.where("false").withColumn(b, F.lit(None).cast(right.schema[b].dataType))
+    if len(values) <= size:
+        return left.select(col(a), F.explode(F.array(*[F.lit(v) for v in values])).alias(b))
+    at = positions(right.select(col(b).alias("__v"), F.lit(1).cast("long").alias("__w")), [F.col("__v")], "__w")
+    lists = at.groupBy(F.floor(F.col("__before") / size).alias("__list")).agg(F.collect_list("__v").alias("__vs"))
+    turns = left.withColumn("__list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((right.count() - 1) // size).cast("long"))))
+    return turns.join(lists, "__list").select(col(a), F.explode("__vs").alias(b))
+
+
 def cuts(df: DataFrame, by: str, value: str, descending: bool, wanted: DataFrame) -> DataFrame:
     """Per class of ``wanted`` (by, want): the ``value`` that the want-th row has
     (first ascending or descending, NULL last), rows before it (lt) and with it (eq)."""

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, rnd
-
-MAX_CLASSES = 1000
+from tessera.functions.ranking import grid
 
 
 def _counts(pred: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -20,22 +19,13 @@ def _counts(pred: DataFrame, label: str, prediction: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _classes(counts: DataFrame) -> list:
-    cls = sorted({r[0] for r in counts.select(F.explode(F.array("actual", "predicted"))).distinct()
-                  .limit(MAX_CLASSES + 1).collect() if r[0] is not None})
-    if len(cls) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return cls
-
-
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Tall confusion matrix (actual, predicted, n) over the sorted union
     of labels, zero cells kept."""
     counts = _counts(pred, label, prediction)
-    cls = _classes(counts)
-    grid = (counts.select(F.explode(F.array(*[F.lit(c) for c in cls])).alias("actual")).distinct()
-            .select("actual", F.explode(F.array(*[F.lit(c) for c in cls])).alias("predicted")))
-    return (grid.join(counts, on=["actual", "predicted"], how="left")
+    cls = counts.select(F.explode(F.array("actual", "predicted")).alias("actual")).distinct().where("actual IS NOT NULL")
+    cells = grid(cls, cls.select(F.col("actual").alias("predicted")))
+    return (cells.join(counts, on=["actual", "predicted"], how="left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")))
 
 

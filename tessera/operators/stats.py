@@ -13,7 +13,7 @@ from tessera.functions.frames import explode_structs, multipass, stored
 from tessera.functions.linalg import column_facts, masked_products
 from tessera.functions.moments import adj_kurt, adj_skew, pearson
 from tessera.functions.quantiles import BAND_LIMIT, quantile_values
-from tessera.functions.ranking import grouped_quantiles, keyed, small
+from tessera.functions.ranking import grid, grouped_quantiles, keyed, small
 
 _DESCRIBE_SCHEMA = T.StructType([
     T.StructField("column", T.StringType(), False),
@@ -143,12 +143,8 @@ def crosstab(df: DataFrame, a: str, b: str, zeros: bool = True) -> DataFrame:
     counts = d.groupBy(col(a), col(b)).count()
     if not zeros:
         return counts
-    levels = sorted(r[0] for r in counts.select(col(b)).distinct().collect())
-    if not levels:
-        return counts
-    grid = (counts.select(col(a)).distinct()
-            .select(col(a), F.explode(F.array(*[F.lit(v) for v in levels])).alias(b)))
-    return (grid.join(counts, on=[a, b], how="left")
+    cells = grid(counts.select(col(a)).distinct(), counts.select(col(b)).distinct())
+    return (cells.join(counts, on=[a, b], how="left")
             .select(col(a), col(b), F.coalesce(F.col("count"), F.lit(0)).alias("count")))
 
 
