@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.frames import stored
 from tessera.functions.ranking import small
 
 _LINE = "path string, block long, i long, p int, q int, s0 long, s1 long, value string"
@@ -50,13 +51,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     lines = text.mapInArrow(_number, _LINE)
     order = Window.partitionBy("path").orderBy("block")
     ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (lines.groupBy("path", "block").agg(F.max_by("q", "i").alias("odd"), F.max("s0").alias("l0"), F.max("s1").alias("l1"))
+    blocks = (lines.groupBy("path", "block").agg(F.max("i").alias("end"), F.max_by("q", "i").alias("odd"), F.max("s0").alias("l0"), F.max("s1").alias("l1"))
               .withColumn("open", F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2)
               .withColumn("begun", F.when(F.col("open") == 0, F.col("l0")).otherwise(F.col("l1")))
               .withColumn("carry", F.last(F.when(F.col("begun") >= 0, F.struct(F.col("block").alias("b"), F.col("begun").alias("l"))), True).over(ahead))
-              .select("path", "block", "open", "carry"))
-    at = lines.join(small(blocks), ["path", "block"], "left")
-    known = F.when(F.col("open").isNull(), F.raise_error(F.lit("the files were split otherwise between two passes")).cast("long")).otherwise(F.col("open"))
+              .select("path", "block", "end", "open", "carry"))
+    at = lines.join(small(stored(blocks, "blocks")), ["path", "block"], "left")
+    known = F.when(F.col("open").isNull() | (F.col("i") > F.col("end")), F.raise_error(F.lit("the files were split otherwise between two passes")).cast("long")).otherwise(F.col("open"))
     own = F.when(known == 0, F.col("s0")).otherwise(F.col("s1"))
     at = at.select("path", "block", "i", "value", own.alias("own"), "carry", ((F.col("p") == known) & (F.col("q") == known)).alias("single"))
     alone = at.where("single").select("path", "block", F.col("i").alias("line"), F.col("value").alias("record"))
@@ -73,7 +74,7 @@ def read_quoted_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """The CSV files at ``path`` with all columns as text. The first record of each file is its header,
     the first file's header names the columns. Files without a record: no columns, no rows."""
     found = records(spark, path)
-    first = found.where("block = 0").groupBy("path").agg(F.min(F.struct("line", "record")).alias("h"))
+    first = stored(found.where("block = 0").groupBy("path").agg(F.min(F.struct("line", "record")).alias("h")), "headers")
     head = first.orderBy("path").select("h.record").first()
     if head is None:
         return spark.createDataFrame([], "")
