@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ class WideOneHot:
         """Instead of the coded columns, ``name``: a sparse vector with ``size`` entries."""
         out, codes = self._coded(df)
         keep = [col(c) for c in df.columns if c not in self.cols]
+        if not self.size:
+            return out.select(*keep, array_to_vector(F.array().cast("array<double>")).alias(name))
         # an unknown level is a further category, the one that the encoder drops
         marked = [F.coalesce(F.col(c), F.lit(w)).cast("double").alias(c, metadata={"ml_attr": {"type": "nominal", "num_vals": w + 1, "name": c}})
                   for c, w in zip(codes, self.widths)]

@@ -35,6 +35,7 @@ def test_unknown_levels_and_empty_tables(spark):
     assert got.places(new.limit(0)).count() == 0
     none = fit_wide_onehot(new.limit(0), ["a"])
     assert none.size == 0 and [r.onehot for r in none.places(new).collect()] == [[], [], []]
+    assert [len(r.onehot) for r in none.transform(new).collect()] == [0, 0, 0]
 
 
 def test_preprocess_takes_a_wide_column(spark):
