@@ -5,9 +5,10 @@ softmax, as in Friedman (2001): start at the log shares of the classes, split by
 least squares, leaves by one Newton step. All classes' trees grow together: a pass
 over the train rows gives the histograms of every class, node, column and bin of a
 level, so a stage takes ``depth`` passes however many classes there are. Rows are
-bin numbers (a byte a column) with their margins; trees grown since the margins
-were last written are applied on the way. The driver sees histograms, whose size
-does not depend on the rows."""
+bin numbers (a byte a column) with their margins; rows of one label and equal bin
+numbers are alike to every tree, so they are one row with a count. Trees grown since
+the margins were last written are applied on the way. The driver sees histograms,
+whose size does not depend on the rows."""
 
 from __future__ import annotations
 
@@ -26,6 +27,8 @@ from tessera.functions.linalg import add_up
 BINS = 32
 #: Stages after which the rows' margins are written anew.
 REFRESH = 10
+#: Counted rows that one task takes through a pass.
+TASK_ROWS = 20_000
 
 
 def softmax(f: np.ndarray) -> np.ndarray:
@@ -66,20 +69,30 @@ class Boosted:
         return np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(self.cuts)], axis=1)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        codes, out = self.codes(x), np.tile(self.start, (len(x), 1))
+        """Rows of equal bin numbers go through the trees once."""
+        codes, of = _distinct(self.codes(x))
+        out = np.tile(self.start, (len(codes), 1))
         for s in self.stages:
             s.add_to(codes, out)
-        return out
+        return out[of]
 
     def predict(self, df: DataFrame, d: int) -> DataFrame:
         """Adds ``prediction``: the class number of the largest margin (the first of equal ones)."""
         me = self
 
         @F.pandas_udf("double")
-        def best(x: pd.Series) -> pd.Series:
-            return pd.Series(me.margins(np.stack(x.to_numpy()).astype(float)).argmax(axis=1).astype(float))
+        def best(*x: pd.Series) -> pd.Series:
+            return pd.Series(me.margins(np.stack([c.to_numpy(float) for c in x], axis=1)).argmax(axis=1).astype(float))
 
-        return df.withColumn("prediction", best(F.array(*[F.col(f"__z{i}") for i in range(d)])))
+        return df.withColumn("prediction", best(*[F.col(f"__z{i}") for i in range(d)]))
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different rows, which of them each row is)."""
+    keys = np.ascontiguousarray(codes.astype(np.uint8))
+    keys = keys.view(f"V{keys.shape[1]}").ravel() if keys.shape[1] else np.zeros(len(keys), "V1")
+    _, at, of = np.unique(keys, return_index=True, return_inverse=True)
+    return codes[at], of
 
 
 def _split(g: np.ndarray, n: np.ndarray) -> tuple[int, int]:
@@ -96,33 +109,39 @@ def _split(g: np.ndarray, n: np.ndarray) -> tuple[int, int]:
     return int(f), int(b)
 
 
-def _read(batch: pa.RecordBatch, d: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read(batch: pa.RecordBatch, d: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, bin numbers, margins and counts."""
     n = batch.num_rows
     codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, d)
     return (batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), codes,
-            np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(n, classes).copy())
+            np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(n, classes).copy(),
+            batch.column(3).to_numpy(zero_copy_only=False).astype(float))
 
 
 def _encode(model: Boosted, d: int):
-    start = model.start.astype("<f8").tobytes()
-
+    """(label, codes, n): a batch's rows of one label and equal codes are one row."""
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             x = np.stack([b.column(1 + j).to_numpy(zero_copy_only=False) for j in range(d)], axis=1).astype(float)
-            codes = model.codes(x).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()),
-                                              pa.array([start] * len(codes), pa.binary())], names=["label", "codes", "margins"])
+            codes, of = _distinct(model.codes(x))
+            labels, label = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            cells, n = np.unique(label * len(codes) + of, return_counts=True)
+            found = [codes[i].astype(np.uint8).tobytes() for i in cells % len(codes)]
+            yield pa.RecordBatch.from_arrays([pa.array(labels[cells // len(codes)]), pa.array(found, pa.binary()), pa.array(n.astype(np.int64))],
+                                             names=["label", "codes", "n"])
     return run
 
 
 def _apply(stages: list[Stage], d: int, classes: int):
     def run(batches):
         for b in batches:
-            _, codes, margins = _read(b, d, classes)
+            _, codes, margins, _ = _read(b, d, classes)
             for s in stages:
                 s.add_to(codes, margins)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.astype("<f8").tobytes() for m in margins], pa.binary())],
-                                             names=["label", "codes", "margins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.astype("<f8").tobytes() for m in margins], pa.binary()),
+                                              b.column(3)], names=["label", "codes", "margins", "n"])
     return run
 
 
@@ -134,7 +153,7 @@ def _histograms(stages: list[Stage], tree: Stage, level: int, d: int, classes: i
     def run(batches):
         total = np.zeros((classes * nodes, 3, d, bins))
         for b in batches:
-            y, codes, margins = _read(b, d, classes)
+            y, codes, margins, n = _read(b, d, classes)
             for s in stages:
                 s.add_to(codes, margins)
             r = (np.arange(classes) == y[:, None]) - softmax(margins)
@@ -143,7 +162,7 @@ def _histograms(stages: list[Stage], tree: Stage, level: int, d: int, classes: i
                 at = tree.places(codes, k, level)
                 for j in range(d):
                     cell = at * bins + codes[:, j]
-                    for v, values in enumerate((r[:, k], None, weight[:, k])):
+                    for v, values in enumerate((n * r[:, k], n, n * weight[:, k])):
                         total[k * nodes:(k + 1) * nodes, v, j] += np.bincount(cell, values, minlength=nodes * bins).reshape(nodes, bins)
         on = np.flatnonzero(total[:, 1].any(axis=(1, 2)))
         if len(on):
@@ -168,10 +187,12 @@ def fit_boosted(train: DataFrame, d: int, classes: int, stages: int = 100, depth
         raise ValueError("no rows to train on")
     start = np.log(np.maximum([shares.get(k, 0) for k in range(classes)], 1e-9 * n) / n)
     model = Boosted(cuts, start, [])
-    schema = "label double, codes binary, margins binary"
-    rows = train.select(F.col("label").cast("double"), *[F.col(c).cast("double") for c in z]).mapInArrow(_encode(model, d), schema)
-    rows = stored(rows, "boosting").persist(StorageLevel.MEMORY_AND_DISK)
-    parts = rows.rdd.getNumPartitions()
+    schema = "label double, codes binary, margins binary, n long"
+    rows = train.select(F.col("label").cast("double"), *[F.col(c).cast("double") for c in z]).mapInArrow(_encode(model, d), "label double, codes binary, n long")
+    rows = stored(rows.groupBy("label", "codes").agg(F.sum("n").alias("n")), "boosting")
+    parts = max(1, min(-(-rows.count() // TASK_ROWS), max(train.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())))
+    rows = rows.select("label", "codes", F.lit(model.start.astype("<f8").tobytes()).alias("margins"), "n")
+    rows = rows.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     recent: list[Stage] = []
     for t in range(stages):
         tree = Stage(np.full((classes, (1 << depth) - 1), -1), np.zeros((classes, (1 << depth) - 1), np.int64), np.zeros((classes, 1 << depth)))
@@ -192,7 +213,7 @@ def fit_boosted(train: DataFrame, d: int, classes: int, stages: int = 100, depth
         model.stages.append(tree)
         recent.append(tree)
         if len(recent) == REFRESH and t + 1 < stages:
-            old, rows = rows, stored(rows.mapInArrow(_apply(recent, d, classes), schema), "boosting").persist(StorageLevel.MEMORY_AND_DISK)
+            old, rows = rows, stored(rows.mapInArrow(_apply(recent, d, classes), schema), "boosting").repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
             old.unpersist()
             recent = []
     rows.unpersist()

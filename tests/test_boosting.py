@@ -73,3 +73,29 @@ def test_in_the_comparison(spark):
     df = spark.range(200).selectExpr("id", "cast(id % 10 as double) AS a", "cast(id % 7 as double) AS b", "if(id % 10 > 4, 'x', if(id % 7 > 3, 'y', 'z')) AS t")
     table, best, pred = MO.compare_models(df, "t", ["a", "b"], ["gradient_boosting"], key=["id"])
     assert table.first().test_accuracy == 1.0 and best == "gradient_boosting" and pred.count() == 40
+
+
+def test_equal_bin_numbers_are_one_row(spark, monkeypatch):
+    """Passes read counted rows: no more than labels x bins, however many rows there are."""
+    seen, pass_ = [], B._histograms
+
+    def counted(stages, tree, level, d, classes, bins):
+        run = pass_(stages, tree, level, d, classes, bins)
+
+        def few(batches):
+            def small():
+                for b in batches:
+                    assert b.num_rows <= 2 * 4 * 4
+                    yield b
+            return run(small())
+        seen.append(level)
+        return few
+    monkeypatch.setattr(B, "_histograms", counted)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 2))
+    y = (x[:, 0] + 0.3 * rng.normal(size=4000) > 0).astype(int)
+    df = spark.createDataFrame([(float(k), *map(float, r)) for k, r in zip(y, x)], "label double, __z0 double, __z1 double").repartition(4)
+    cuts = [np.quantile(x[:, j], [0.25, 0.5, 0.75]) for j in range(2)]
+    model = B.fit_boosted(df, 2, 2, stages=3, cuts=cuts)
+    assert len(seen) == 9
+    np.testing.assert_allclose(model.margins(x), plain(x, y, 2, cuts, 3), atol=1e-8)
