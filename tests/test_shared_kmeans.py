@@ -70,3 +70,31 @@ def test_small_inputs(spark):
     assert res.k == 2 and res.cost == pytest.approx(0) and sorted(res.sizes) == [1, 2]
     assert [r.cluster for r in res.assign(df).orderBy("a").collect()] == [0, 0, 1]
     assert K.kmeans_scan(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_fits_of_many_rows_start_near_where_they_settle(spark, monkeypatch):
+    """Cells over all rows move the starts; the iterations over all rows are few, and settle as well."""
+    rng = np.random.default_rng(8)
+    x = rng.random((6000, 2)) * [1.0, 1.3]
+    df = spark.createDataFrame(x.tolist(), "a double, b double").repartition(3).persist()
+    slow = SK.fit_all(df, 2, [6] * 4, [1, 2, 3, 4], 300, 1e-8)
+    monkeypatch.setattr(SK, "GRID_ROWS", 1000)
+    means, rows = SK._cells(df, 2)
+    assert rows.sum() == 6000 and len(means) > 1000
+    np.testing.assert_allclose((means * rows[:, None]).sum(axis=0), x.sum(axis=0))
+    fast = SK.fit_all(df, 2, [6] * 4, [1, 2, 3, 4], 300, 1e-8, 6000)
+    assert sum(f.iterations for f in fast) < sum(f.iterations for f in slow) / 2
+    assert min(f.cost for f in fast) < 1.02 * min(f.cost for f in slow)
+    for f in fast:  # a plain iteration does not move it
+        again, cost, sizes = plain(x, f.centers, 1)
+        assert ((again - f.centers) ** 2).sum() < 1e-6 and sizes.sum() == 6000
+    assert SK._cells(df.selectExpr("a * 1e9 AS a", "0.0D AS b"), 2)[1].sum() == 6000
+
+
+def test_packed_rows_are_the_rows(points):
+    x, df = points
+    blocks = SK.packed(df, 3).persist()
+    assert blocks.count() < len(x)
+    for a, b in zip(SK.fit_all(df, 3, [4, 2], [1, 2], 50, 1e-6), SK.fit_all(blocks, 3, [4, 2], [1, 2], 50, 1e-6)):
+        np.testing.assert_allclose(a.centers, b.centers, atol=1e-9)
+        assert a.sizes.tolist() == b.sizes.tolist()
