@@ -72,15 +72,21 @@ def normal_scores(p: np.ndarray) -> np.ndarray:
 
 
 def _add_scores(batches):
-    """Rows (c, x, first, last, n): x times the sum of the scores of these ranks, and of their squares."""
+    """From rows (c, x, n, first, last), sums by column c: of x times the scores of these
+    ranks, and of the scores' squares; up to RANKS scores, or one row's, at a time."""
     for b in batches:
-        rows = b.to_pydict()
-        sums = []
-        for x, first, last, n in zip(rows["x"], rows["first"], rows["last"], rows["n"]):
-            m = normal_scores((np.arange(first, last + 1) - 0.375) / (n + 0.25))
-            sums.append((x * m.sum(), float(m @ m)))
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("c")), pa.array([s[0] for s in sums], pa.float64()),
-                                          pa.array([s[1] for s in sums], pa.float64())], names=["c", "xm", "mm"])
+        c, x, n, first, last = (b.column(b.schema.names.index(k)).to_numpy(zero_copy_only=False) for k in ("c", "x", "n", "first", "last"))
+        count = last - first + 1
+        ends, a = np.cumsum(count), 0
+        while a < len(c):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + RANKS, side="right")))
+            k, at = count[a:z], ends[a:z] - count[a:z] - (ends[a - 1] if a else 0)
+            ranks = np.arange(int(k.sum())) + np.repeat(first[a:z] - at, k)
+            m = normal_scores((ranks - 0.375) / (np.repeat(n[a:z], k) + 0.25))
+            on, of = np.unique(c[a:z], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(np.bincount(of, x[a:z] * np.add.reduceat(m, at))),
+                                              pa.array(np.bincount(of, np.add.reduceat(m * m, at)))], names=["c", "xm", "mm"])
+            a = z
 
 
 def shapiro_francia(df: DataFrame, cols: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
@@ -107,7 +113,7 @@ def shapiro_francia(df: DataFrame, cols: list[str] | None = None, alpha: float =
              .withColumn("a", F.explode(F.sequence(F.col("from"), F.col("to") - 1, F.lit(RANKS).cast("long"))))
              .select("c", "x", "n", (F.col("a") + 1).alias("first"), F.least(F.col("a") + RANKS, "to").alias("last")))
     # a value's blocks leave the task that counted it
-    hot = ranks.repartition("c", "first") if counted.where(F.col("__n") > RANKS).limit(1).count() else ranks
+    hot = ranks.repartition("c", "first") if at.where(F.col("__n") > RANKS).limit(1).count() else ranks
     sums = hot.mapInArrow(_add_scores, "c int, xm double, mm double").groupBy("c").agg(F.sum("xm").alias("xm"), F.sum("mm").alias("mm"))
     ss = F.col("var") * F.col("n")
     w = F.when(F.col("var") > 0, F.col("xm") * F.col("xm") / (ss * F.col("mm")))

@@ -39,3 +39,23 @@ def test_against_numpy(spark, monkeypatch, block):
         assert (got[c].n, got[c].w, got[c].z, got[c].p_value) == (n, pytest.approx(w, abs=1e-6), pytest.approx(z, abs=1e-3), pytest.approx(p, abs=1e-5))
     assert got["g"].normal and not got["e"].normal and got["k"].w is None and not got["k"].normal
     assert N.shapiro_francia(df.limit(0)).count() == 0
+
+
+def test_scores_are_added_up_by_column(monkeypatch):
+    """Many values a call, not one: a batch gives a row a column and block of ranks."""
+    import pyarrow as pa
+    calls, scores = [], N.normal_scores
+    monkeypatch.setattr(N, "normal_scores", lambda p: calls.append(len(p)) or scores(p))
+    monkeypatch.setattr(N, "RANKS", 40)
+    rng = np.random.default_rng(3)
+    count = np.where(np.arange(90) == 50, 60, rng.integers(1, 4, 90))
+    first = np.cumsum(count) - count + 1
+    c, x, n = np.repeat([0, 1], 45).astype(np.int32), rng.normal(size=90), int(count.sum())
+    batch = pa.RecordBatch.from_arrays([pa.array(c), pa.array(x), pa.array(np.full(90, n)), pa.array(first), pa.array(first + count - 1)],
+                                       names=["c", "x", "n", "first", "last"])
+    got = pa.Table.from_batches(N._add_scores([batch])).to_pandas().groupby("c").sum()
+    m = scores((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    for k in (0, 1):
+        mine = np.repeat(c, count) == k
+        assert got.xm[k] == pytest.approx((np.repeat(x, count) * m)[mine].sum()) and got.mm[k] == pytest.approx((m[mine] ** 2).sum())
+    assert sum(calls) == n and len(calls) < 20
