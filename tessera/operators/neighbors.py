@@ -3,9 +3,10 @@
 The classifier is fitted on at most ``FIT_ROWS`` train rows (the first in the
 order of a hash of the row's features; all of them when there are fewer).
 Equal vectors of one label become one row with a count of at most k. Those
-rows go to the tasks as one matrix; each Arrow batch of query rows is compared
-with them in blocks by a matrix product, so a task holds the matrix and one
-block of distances, whatever the number of queries. The product only picks
+rows go to the tasks as one matrix, sorted into boxes of near rows; the query rows
+of a box are compared with the boxes that can hold a neighbour of theirs, in blocks
+by a matrix product, so a task holds the matrix and one block of distances, whatever
+the number of queries. The product only picks
 candidates: distances that decide are summed from differences. Ties on distance
 are broken by label (smallest first); the vote picks the most frequent label,
 the smallest on ties. Queries are never shuffled.
@@ -14,6 +15,7 @@ the smallest on ties. Queries are never shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 FIT_ROWS = 100_000
 #: Distances that a task holds at a time.
 BLOCK = 4_000_000
+#: Fitted rows of a box, and query rows that are dealt to the boxes at a time.
+BOX, QUERIES = 64, 50_000
 
 
 def fit_rows_of(frame: DataFrame, d: int, k: int, split_col: str = "split", fit_rows: int = FIT_ROWS):
@@ -39,6 +43,63 @@ def fit_rows_of(frame: DataFrame, d: int, k: int, split_col: str = "split", fit_
     return units[:, :d], units[:, d], np.minimum(copies, k)
 
 
+def _halves(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of the rows, halved across the widest column until ``size`` or equal ones are left."""
+    open_, done = [np.arange(len(x))], []
+    while open_:
+        at = open_.pop()
+        wide = np.ptp(x[at], axis=0) if len(at) > size else np.zeros(1)
+        if wide.max(initial=0) <= 0:
+            done.append(at)
+            continue
+        at = at[np.argsort(x[at, int(wide.argmax())], kind="stable")]
+        open_ += [at[:len(at) // 2], at[len(at) // 2:]]
+    return done
+
+
+@dataclass
+class Boxes:
+    """Fitted rows in boxes of near ones."""
+    vectors: np.ndarray
+    labels: np.ndarray
+    copies: np.ndarray
+    k: int
+    starts: np.ndarray    # of the boxes' rows, and the end
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, labels: np.ndarray, copies: np.ndarray, k: int) -> Boxes:
+        places = _halves(vectors, max(BOX, k))
+        at = np.concatenate(places)
+        return cls(vectors[at], labels[at], copies[at], k, np.cumsum([0, *map(len, places)]),
+                   np.stack([vectors[p].min(axis=0) for p in places]), np.stack([vectors[p].max(axis=0) for p in places]))
+
+    def vote(self, x: np.ndarray) -> np.ndarray:
+        """Predicted label of each row of ``x``: near query rows are compared with the
+        boxes no farther than a distance within which each of them has k fitted rows."""
+        out, kk = np.empty(len(x)), min(self.k, len(self.vectors))
+        for at in _halves(x, BOX) if len(x) else []:
+            low, high = x[at].min(axis=0), x[at].max(axis=0)
+            q = x[at] if (low < high).any() else x[at[:1]]  # equal rows are compared once
+            gap = np.maximum(np.maximum(self.low - high, low - self.high), 0.0)
+            least = (gap ** 2).sum(axis=1)
+            order, sizes = np.argsort(least, kind="stable"), np.diff(self.starts)
+            near = order[:int(np.searchsorted(np.cumsum(sizes[order]), kk)) + 1]
+            rows = self._rows(near)
+            far = ((q[:, None] - self.vectors[rows]) ** 2).sum(axis=2) if len(rows) * len(q) <= BLOCK // x.shape[1] else None
+            if far is None:
+                some = np.arange(len(self.vectors))
+            else:
+                reach = np.partition(far, kk - 1, axis=1)[:, kk - 1].max()
+                some = self._rows(np.sort(np.flatnonzero(least <= reach * (1 + 1e-9) + 1e-12)))
+            out[at] = vote(q, self.vectors[some], self.labels[some], self.copies[some], self.k)
+        return out
+
+    def _rows(self, boxes: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.starts[b], self.starts[b + 1]) for b in boxes])
+
+
 def vote(x: np.ndarray, vectors: np.ndarray, labels: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
     """Predicted label of each row of ``x``."""
     k = int(min(k, copies.sum()))
@@ -74,14 +135,31 @@ def knn_predict(frame: DataFrame, d: int, k: int = 5, split_col: str = "split",
     if k < 1:
         raise ValueError("k must be at least 1")
     vectors, labels, copies = fit_rows_of(frame, d, k, split_col, fit_rows)
+    boxes = Boxes.of(vectors, labels, copies, k)
     z = [f"__z{i}" for i in range(d)]
     keep = [c for c in frame.columns if not c.startswith("__z")]
     n_keep = len(keep)
     schema = T.StructType([*[frame.schema[c] for c in keep], T.StructField("prediction", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.stack([b.column(n_keep + i).to_numpy(zero_copy_only=False) for i in range(d)], axis=1).astype(float)
-            found = vote(x, vectors, labels, copies, k) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], pa.array(found)], names=[*keep, "prediction"])
-    return frame.select(*keep, *z).mapInArrow(run, schema)
+        for some in _gathered(batches):
+            x = np.stack([np.concatenate([b.column(n_keep + i).to_numpy(zero_copy_only=False) for b in some]) for i in range(d)], axis=1).astype(float)
+            found, a = boxes.vote(x), 0
+            for b in some:
+                yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], pa.array(found[a:a + b.num_rows])], names=[*keep, "prediction"])
+                a += b.num_rows
+    work, cores = frame.select(*keep, *z), frame.sparkSession.sparkContext.defaultParallelism
+    if work.rdd.getNumPartitions() < cores:  # a small file has few splits
+        work = work.repartition(cores)
+    return work.mapInArrow(run, schema)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    some: list[pa.RecordBatch] = []
+    for b in batches:
+        some.append(b)
+        if sum(s.num_rows for s in some) >= QUERIES:
+            yield some
+            some = []
+    if some:
+        yield some

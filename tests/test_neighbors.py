@@ -61,3 +61,22 @@ def test_compare_models_knn(lineitem):
     assert 0 <= rows[0]["test_accuracy"] <= 1 and rows[0]["train_accuracy"] >= rows[0]["test_accuracy"] - 0.2
     n = lineitem.where("l_returnflag IS NOT NULL").count()
     assert best == "knn" and pred.count() == -(-n // 5)          # every test row predicted once
+
+
+@pytest.mark.parametrize("d,kind", [(1, "grid"), (3, "grid"), (2, "even"), (9, "even"), (2, "one")])
+def test_boxes_vote_as_all_rows(monkeypatch, d, kind):
+    """Near boxes decide as all fitted rows do, on far fewer distances where columns are few."""
+    from tessera.operators import neighbors as NB
+    rng = np.random.default_rng(d)
+    make = {"grid": lambda n: rng.integers(-9, 9, (n, d)).astype(float), "even": lambda n: rng.random((n, d)) * 1e3,
+            "one": lambda n: np.where(rng.random((n, 1)) < 0.9, 2.0, rng.normal(size=(n, d)))}[kind]
+    rows = np.column_stack([make(3000), rng.integers(0, 4, 3000)])
+    units, copies = np.unique(rows, axis=0, return_counts=True)
+    vectors, labels, copies = units[:, :d], units[:, d], np.minimum(copies, 5)
+    x = np.concatenate([make(700), vectors[:200], np.full((3, d), 1e6)])
+    want = NB.vote(x, vectors, labels, copies, 5)
+    looked, plain = [], NB.vote
+    monkeypatch.setattr(NB, "vote", lambda q, v, *a: looked.append(len(q) * len(v)) or plain(q, v, *a))
+    assert np.array_equal(NB.Boxes.of(vectors, labels, copies, 5).vote(x), want)
+    if (d, kind) == (2, "even"):
+        assert sum(looked) < 0.7 * len(x) * len(vectors)
