@@ -76,3 +76,16 @@ def test_compare_models_logistic(lineitem):
     # return flags are drawn without regard to the features: near the share of the largest class
     assert 0.2 < r["test_accuracy"] < 0.5 and best == "logistic"
     assert pred.count() == 1200
+
+
+def test_many_rows_in_one_partition_are_dealt_out(spark, monkeypatch):
+    from tessera.operators import models as MO
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "cast(id % 10 AS double) AS a", "cast(id % 7 AS double) AS b", "if(id % 3 > 0, 'x', 'y') AS t")
+    cores = spark.sparkContext.defaultParallelism
+    few, _ = MO.split_frame(df, ["a", "b"], "t", key=["id"])
+    monkeypatch.setattr(MO, "SPREAD_ROWS", 400)
+    many, _ = MO.split_frame(df, ["a", "b"], "t", key=["id"])
+    assert many.rdd.getNumPartitions() >= cores
+    assert few.orderBy("id").collect() == many.orderBy("id").collect()
+    few.unpersist()
+    many.unpersist()
