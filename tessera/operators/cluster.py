@@ -44,6 +44,9 @@ class KMeansResult:
         def nearest(*x: pd.Series) -> pd.Series:
             return pd.Series(SK._closest(np.stack([c.to_numpy() for c in x], axis=1), centers)[0].astype(np.int32))
 
+        # else Spark moves filters on the cluster below the columns' projections, and the filter's
+        # constraints double with each column that has a name there: the driver's heap runs full
+        nearest = nearest.asNondeterministic()
         z = self.prep.columns(df)
         out = df.select(*[col(c) for c in keep], *z)
         out = out.withColumn("cluster", nearest(*[F.col(f"__z{i}") for i in range(len(z))]))

@@ -98,3 +98,17 @@ def test_packed_rows_are_the_rows(points):
     for a, b in zip(SK.fit_all(df, 3, [4, 2], [1, 2], 50, 1e-6), SK.fit_all(blocks, 3, [4, 2], [1, 2], 50, 1e-6)):
         np.testing.assert_allclose(a.centers, b.centers, atol=1e-9)
         assert a.sizes.tolist() == b.sizes.tolist()
+
+
+def test_clusters_of_many_columns_are_filtered(spark):
+    """A filter on the cluster of 64 columns filled the driver's heap: its constraints doubled with each column."""
+    from tessera.operators.stats import crosstab
+    rng = np.random.default_rng(8)
+    x, label = rng.normal(size=(200, 64)) + 6 * rng.integers(0, 2, (200, 1)), rng.integers(0, 3, 200)
+    df = (spark.createDataFrame([(r.tolist(), f"L{v}") for r, v in zip(x, label)], "v array<double>, label string")
+          .selectExpr(*[f"v[{i}] AS e{i}" for i in range(64)], "label").repartition(4))
+    res = K.fit_kmeans(df, [f"e{i}" for i in range(64)], 2, n_init=1, max_iter=5)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    lab = ((z[:, None] - res.centers) ** 2).sum(axis=2).argmin(axis=1)
+    got = {(r[0], r[1]): r[2] for r in crosstab(res.assign(df), "KMeans_Cluster", "label").collect()}
+    assert got == {(f"Cluster {c + 1}", f"L{v}"): int(((lab == c) & (label == v)).sum()) for c in range(2) for v in range(3)}
