@@ -136,7 +136,7 @@ class Vocabulary(dict):
     """Word -> id: below VOCAB - HASHED or above VOCAB its own, else its bucket's."""
 
     def __init__(self, words: list[bytes]):
-        super().__init__((w, i if i < VOCAB - HASHED else i + HASHED + 1) for i, w in enumerate(words))
+        super().__init__(zip(words, [*range(min(len(words), VOCAB - HASHED)), *range(VOCAB + 1, len(words) + HASHED + 1)]))
         self.own = len(self)
 
     def __missing__(self, word: bytes) -> int:
@@ -247,16 +247,19 @@ class Network:
             total += rows[..., 2 + OFFSETS[k]:2 + OFFSETS[k] + n, :] * scale[k]
         return rows, np.tanh(total, out=total)
 
-    def _deep(self, h: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The steps to some leaves: which of them, node, direction, its log odds,
-        the nodes' rows, the leaves' hidden rows."""
+    def _levels(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The leaves by length of their paths, longest first; where these paths
+        start; how many have a first, second, .. step."""
         start = self.tree.start[leaves]
         lens = self.tree.start[leaves + 1] - start
-        of = np.repeat(np.arange(len(leaves)), lens)
-        at = np.arange(len(of)) + np.repeat(start - (np.cumsum(lens) - lens), lens)
-        node = self.tree.node[at]
-        rows, at_node = self.nodes.take(node, axis=0), h.take(of, axis=0)
-        return of, node, self.tree.right[at], np.einsum("ij,ij->i", rows, at_node) + self.bias[node], rows, at_node
+        order = np.argsort(-lens, kind="stable")
+        return order, start[order], (len(lens) - np.cumsum(np.bincount(lens)))[:-1].tolist()
+
+    def _level(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of a step of every path: node, direction, its log odds, the nodes' rows."""
+        node = self.tree.node.take(at)
+        rows = self.nodes.take(node, axis=0)
+        return node, self.tree.right.take(at), np.einsum("ij,ij->i", rows, h) + self.bias.take(node), rows
 
     @staticmethod
     def _small(w: np.ndarray, b: np.ndarray) -> bool:
@@ -271,6 +274,20 @@ class Network:
         z /= (z @ _ONES)[:, None]
         return z
 
+    def _classes(self, h: np.ndarray) -> np.ndarray:
+        """Probabilities of the classes; h: hidden rows and a column of ones."""
+        w, b = self.params[3:5]
+        return self._softmax(h @ np.concatenate([w, b[None]]), self._small(w, b))
+
+    def _words(self, h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Probabilities of the words within the class, of rows sorted by class."""
+        w, b = self.params[5:]
+        both, z = np.concatenate([w, b[:, None]], axis=1), np.empty((len(h), CLASSES), np.float32)
+        for c, (i, j) in enumerate(zip(cut, cut[1:])):
+            if i < j:
+                np.matmul(h[i:j], both[c], out=z[i:j])
+        return self._softmax(z, self._small(w, b))
+
     @staticmethod
     def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(cls, kind="stable")
@@ -281,23 +298,24 @@ class Network:
         if not len(at):
             return np.zeros(0)
         first = at.min()
-        h = self._hidden(padded[first - 2:at.max() + 3])[1][at - first]
+        hidden = self._hidden(padded[first - 2:at.max() + 3])[1]
         deep = np.zeros(len(at))
         if self.tree.size:
             leaves = self.tree.leaves(padded[at])
             below = np.flatnonzero(leaves >= 0)
-            of, _, right, z, _, _ = self._deep(h.take(below, axis=0), leaves[below])
-            z = np.where(right, -z, z)
-            deep[below] = np.bincount(of, -np.log1p(np.exp(-np.abs(z))) - np.maximum(z, 0), minlength=len(below))
+            longest, start, sizes = self._levels(leaves[below])
+            below, total = below[longest], np.zeros(len(below))
+            h = hidden.take(at[below] - first, axis=0)
+            for k, m in enumerate(sizes):
+                _, right, z, _ = self._level(h[:m], start[:m] + k)
+                z = np.where(right, -z, z)
+                total[:m] -= np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0)
+            deep[below] = total
         cls, word = np.divmod(self.tree.tops(padded[at]), CLASSES)
         order, cut = self._by_class(cls)
-        h, cls, word = h.take(order, axis=0), cls[order], word[order]
-        w1, b1, w2, b2 = self.params[3:]
-        p, small = self._softmax(h @ w1 + b1, self._small(w1, b1))[np.arange(len(at)), cls], self._small(w2, b2)
-        for c in range(CLASSES):
-            a, b = cut[c], cut[c + 1]
-            if a < b:
-                p[a:b] *= self._softmax(h[a:b] @ w2[c] + b2[c], small)[np.arange(b - a), word[a:b]]
+        h = _with_ones(hidden, at[order] - first)
+        each = np.arange(len(at))
+        p = self._classes(h)[each, cls[order]] * self._words(h, cut)[each, word[order]]
         out = np.empty(len(at), np.float64)
         out[order] = np.log(np.maximum(p, 1e-30))
         return out + deep
@@ -307,45 +325,52 @@ class Network:
         targets, two words; padding is no target): of params[1:], and (which
         rows, how often met, gradients) of the embeddings and of the nodes."""
         rows, hidden = self._hidden(spans)
-        real = spans[:, 2:-2] != VOCAB
-        ids, h = spans[:, 2:-2][real], hidden[real]
-        cls, word = np.divmod(self.tree.tops(ids), CLASSES)
+        targets = spans[:, 2:-2].ravel()
+        real = np.flatnonzero(targets != VOCAB)
+        cls, word = np.divmod(self.tree.tops(targets[real]), CLASSES)
         order, cut = self._by_class(cls)
-        h, cls, word, ids, n = h.take(order, axis=0), cls[order], word[order], ids[order], np.float32(len(ids))
-        w1, b1, w2, b2 = self.params[3:]
-        d1, small = self._softmax(h @ w1 + b1, self._small(w1, b1)), self._small(w2, b2)
-        d1[np.arange(len(ids)), cls] -= 1
-        dh, gw2, gb2 = d1 @ w1.T, np.zeros_like(w2), np.zeros_like(b2)
-        for c in range(CLASSES):
-            a, b = cut[c], cut[c + 1]
+        real, n, each = real[order], np.float32(len(real)), np.arange(len(real))
+        h1, ids = _with_ones(hidden, real), targets[real]
+        h = np.ascontiguousarray(h1[:, :HIDDEN])
+        d1, d2 = self._classes(h1), self._words(h1, cut)
+        d1[each, cls[order]] -= 1
+        d2[each, word[order]] -= 1
+        gw1, gw2, dh = h1.T @ d1, np.zeros((CLASSES, HIDDEN + 1, CLASSES), np.float32), d1 @ self.params[3].T
+        for c, (a, b) in enumerate(zip(cut, cut[1:])):
             if a < b:
-                d2 = self._softmax(h[a:b] @ w2[c] + b2[c], small)
-                d2[np.arange(b - a), word[a:b]] -= 1
-                gw2[c], gb2[c] = h[a:b].T @ d2, d2.sum(axis=0)
-                dh[a:b] += d2 @ w2[c].T
+                np.matmul(h1[a:b].T, d2[a:b], out=gw2[c])
+                dh[a:b] += d2[a:b] @ self.params[5][c].T
+        gw1, gw2 = gw1 / n, gw2 / n
         nodes = (np.zeros(0, np.int32), np.zeros(0, np.int64), [self.nodes[:0], self.bias[:0]])
         if self.tree.size:
             leaves = self.tree.leaves(ids)
             below = np.flatnonzero(leaves >= 0)
-            below = below[self.tree.start[leaves[below] + 1] > self.tree.start[leaves[below]]]
-            if len(below):
-                of, node, right, z, at_node, hb = self._deep(h.take(below, axis=0), leaves[below])
-                d3 = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - right).astype(np.float32)
-                first = np.flatnonzero(np.diff(of, prepend=-1))
-                at_node *= d3[:, None]
-                dh[below] += _segments(at_node, first)
-                hb *= (d3 / n)[:, None]
-                nodes = _rows_of(node, hb, d3 / n)
-        dz = np.zeros_like(hidden)
-        back = np.empty_like(h)
-        back[order] = dh * (1 - h * h) / n
-        dz[real] = back
-        each, gs, m = np.zeros_like(rows), np.zeros_like(self.params[1]), dz.shape[1]
+            longest, start, sizes = self._levels(leaves[below])
+            if sizes:
+                below = below[longest][:sizes[0]]
+                hb, total, at = h.take(below, axis=0), np.zeros((len(below), HIDDEN), np.float32), 0
+                node, d3, pull = np.empty(sum(sizes), np.int32), np.empty(sum(sizes), np.float32), np.empty((sum(sizes), HIDDEN), np.float32)
+                for k, m in enumerate(sizes):
+                    some = slice(at, at + m)
+                    node[some], right, z, at_node = self._level(hb[:m], start[:m] + k)
+                    d3[some] = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - right
+                    at_node *= d3[some, None]
+                    total[:m] += at_node
+                    d3[some] /= n
+                    np.multiply(hb[:m], d3[some, None], out=pull[some])
+                    at += m
+                dh[below] += total
+                nodes = _rows_of(node, pull, d3)
+        dh *= 1 - h * h
+        dh /= n
+        dz, ones = np.zeros_like(hidden), np.ones(len(targets), np.float32)
+        dz.reshape(-1, HIDDEN)[real] = dh
+        back, gs, m, part = np.zeros_like(rows), np.zeros_like(self.params[1]), dz.shape[1], np.empty_like(dz)
         for k, o in enumerate(OFFSETS):
-            each[:, 2 + o:2 + o + m] += dz * self.params[1][k]
-            gs[k] = (dz * rows[:, 2 + o:2 + o + m]).reshape(-1, HIDDEN).sum(axis=0)
-        emb = _rows_of(spans.reshape(-1), each.reshape(-1, HIDDEN))
-        return [gs, back.sum(axis=0), h.T @ d1 / n, d1.sum(axis=0) / n, gw2 / n, gb2 / n], emb, nodes
+            back[:, 2 + o:2 + o + m] += np.multiply(dz, self.params[1][k], out=part)
+            gs[k] = ones @ np.multiply(dz, rows[:, 2 + o:2 + o + m], out=part).reshape(-1, HIDDEN)
+        emb = _rows_of(spans.reshape(-1), back.reshape(-1, HIDDEN))
+        return [gs, ones[:len(dh)] @ dh, gw1[:HIDDEN], gw1[HIDDEN], gw2[:, :HIDDEN], gw2[:, HIDDEN]], emb, nodes
 
     def step(self, spans: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
         """One adaptive gradient step; rows that it doesn't meet stay as they are."""
@@ -378,16 +403,33 @@ def _segments(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
 
 
+def _with_ones(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Some rows and a column of ones, for sums and constants beside a product."""
+    out = np.ones((len(at), HIDDEN + 1), np.float32)
+    out[:, :HIDDEN] = rows.reshape(-1, HIDDEN).take(at, axis=0)
+    return out
+
+
 def _rows_of(ids: np.ndarray, *values: np.ndarray) -> tuple:
     """Distinct ids, how often each occurs, and sums of the values by id."""
-    order = np.argsort(ids)
-    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    return ids[order][first], np.diff(first, append=len(ids)), [_segments(v.take(order, axis=0), first) for v in values]
+    # sorting ids and places as one number is several times faster than argsort
+    both = (ids.astype(np.int64) << 32) + np.arange(len(ids))
+    both.sort()
+    order, ids = both & 0xFFFFFFFF, (both >> 32).astype(np.int32)
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    times = np.diff(first, append=len(ids))
+    # ids that occur once need no sum, and come first
+    once, more = times == 1, np.repeat(times > 1, times)
+    single, several, times_several = order[first[once]], order[more], times[~once]
+    start = np.cumsum(times_several) - times_several
+    sums = [np.concatenate([v.take(single, axis=0), _segments(v.take(several, axis=0), start)]) if len(start) else v.take(single, axis=0) for v in values]
+    return np.concatenate([ids[first[once]], ids[first[~once]]]), np.concatenate([times[once], times_several]), sums
 
 
 def _move_rows(p: np.ndarray, s: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
-    s[at] += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
-    p[at] = p.take(at, axis=0) - g * (rate / (np.sqrt(s[at]) + np.float32(1e-6)))[:, None]
+    total = s.take(at) + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+    s[at] = total
+    p[at] = p.take(at, axis=0) - g * (rate / (np.sqrt(total) + np.float32(1e-6)))[:, None]
 
 
 def padded_ids(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

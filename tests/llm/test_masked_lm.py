@@ -172,3 +172,37 @@ def test_trainers_follow_the_networks_size(spark, monkeypatch):
     first = next(df for name, df in seen if name == "networks")
     assert first.filter("block < 0").count() <= spark.sparkContext.defaultParallelism < 40
     assert np.isfinite(net.flat()).all()
+
+
+def test_a_step_takes_classes_and_paths_together(monkeypatch):
+    """A softmax for all classes of a step, not one a class, and paths level by level: the same numbers as word by word."""
+    words = lm.Words([f"w{i}".encode() for i in range(3000)], 1000.0 / np.arange(1, 3001), np.full(lm.HASHED, 0.3))
+    net, rng, calls = lm.Network(tree=lm.Tree(words)), np.random.default_rng(7), []
+    net.nodes += rng.standard_normal(net.nodes.shape).astype(np.float32) * 0.3
+    net.params[5] += rng.standard_normal(net.params[5].shape).astype(np.float32)
+    padded, at = lm.padded_ids([rng.choice([*range(lm.VOCAB), *range(lm.VOCAB + 1, lm.VOCAB + 2400)], 300).astype(np.int32)])
+    plain = lm.Network._softmax
+    monkeypatch.setattr(lm.Network, "_softmax", staticmethod(lambda z, small: calls.append(len(z)) or plain(z, small)))
+    net.gradients(spans_of(padded))
+    assert calls == [len(at), len(at)]
+    tree, (w1, b1, w2, b2) = net.tree, [p.astype(float) for p in net.params[3:]]
+    got, hidden = net.log_probs(padded, at), net._hidden(padded[at.min() - 2:at.max() + 3])[1]
+    for i, h, p in zip(padded[at].tolist(), hidden.astype(float), got):
+        c, w = divmod(int(tree.tops(np.array([i]))[0]), lm.CLASSES)
+        z1, z2, leaf = h @ w1 + b1, h @ w2[c] + b2[c], int(tree.leaves(np.array([i]))[0])
+        want = z1[c] - math.log(np.exp(z1).sum()) + z2[w] - math.log(np.exp(z2).sum())
+        for j in range(tree.start[leaf], tree.start[leaf + 1]) if leaf >= 0 else ():
+            z = float(net.nodes[tree.node[j]] @ h + net.bias[tree.node[j]])
+            want -= math.log1p(math.exp(-z if tree.right[j] else z))
+        assert p == pytest.approx(want, abs=1e-4)
+
+
+def test_rows_are_added_up_by_id():
+    rng = np.random.default_rng(9)
+    for ids in (np.array([5], np.int32), np.array([3, 3, 3], np.int32), rng.integers(0, 40, 60).astype(np.int32), np.arange(9, dtype=np.int32)[::-1]):
+        wide, single = rng.standard_normal((len(ids), lm.HIDDEN)).astype(np.float32), rng.standard_normal(len(ids)).astype(np.float32)
+        met, times, (a, b) = lm._rows_of(ids, wide, single)
+        assert sorted(met.tolist()) == sorted(set(ids.tolist()))
+        for i, n, x, y in zip(met, times, a, b):
+            assert n == (ids == i).sum() and y == pytest.approx(single[ids == i].sum(), abs=1e-5)
+            np.testing.assert_allclose(x, wide[ids == i].sum(axis=0), atol=1e-5)
