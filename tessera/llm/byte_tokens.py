@@ -14,6 +14,8 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the split pattern that "use_regex" of a byte-level tokenizer stands for.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -32,21 +34,20 @@ def _byte_of() -> dict[str, int]:
 
 
 class ChunkIds:
-    """Texts -> ids as little-endian uint32 bytes; ``known`` has the ids of a
-    blank and the word after it."""
+    """Texts -> ids as little-endian uint32 bytes; ``ids`` has those of a blank
+    and the word after it, for each of ``words``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge, self.n_bytes = self._merger()
-        self.known: dict[str, bytes] = {}
         self.forget()
         if self.merge and self.encode([_PROBE]) != [self.whole(_PROBE)]:
             self.merge = None
 
     def forget(self) -> None:
-        self.known = {"": self.whole(" ")}  # a blank at the end of a text
+        self.words, self.ids = pa.array([""], pa.large_string()), pa.array([self.whole(" ")], pa.large_binary())  # a blank at the end of a text
 
     def _merger(self):
         """The same merges by tiktoken, and the bytes that each id stands for."""
@@ -63,7 +64,7 @@ class ChunkIds:
                 return None, None
             n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
             n_bytes[list(ranks.values())] = list(map(len, ranks))
-            return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, n_bytes
+            return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy, n_bytes
         except (KeyError, ValueError):
             return None, None
 
@@ -75,57 +76,67 @@ class ChunkIds:
             return np.array(self.merge(text), "<u4").tobytes()
         return self.whole(text)
 
-    def _learn(self, words: set[str]) -> None:
-        """All new Latin words in one call; their ends follow from the ids' bytes."""
-        latin = list(words)
-        joined = " ".join(latin)
+    def _learn(self, words: pa.Array) -> pa.Array:
+        """Ids of all new Latin words in one call; their ends follow from the ids' bytes."""
+        joined = _joined(words)
         if not _LATIN.fullmatch(joined):
-            latin = [w for w in latin if _LATIN.fullmatch(w)]
-            joined = " ".join(latin)
-        if latin:
-            raw = joined.encode()
-            ids = np.array(self.merge(" " + joined), "<u4")
-            ends = np.cumsum([len(w) + 1 for w in raw.split(b" ")])
-            cut = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 4).tolist()
-            whole = ids.tobytes()
-            self.known.update(zip(latin, [whole[x:y] for x, y in zip([0, *cut], cut)]))
-        if len(latin) < len(words):
-            for w in words.difference(latin):
-                self.known[w] = self.whole(" " + w)
+            latin = pc.match_substring_regex(words, rf"\A{_LATIN.pattern}\z")
+            rest = words.filter(pc.invert(latin)).to_pylist()
+            both = [self._learn(words.filter(latin)), pa.array([self.whole(" " + w) for w in rest], pa.large_binary())]
+            first = np.argsort(~latin.to_numpy(zero_copy_only=False), kind="stable")
+            return pa.concat_arrays(both).take(pa.array(np.argsort(first)))
+        ids, cut = np.zeros(0, "<u4"), np.zeros(len(words) + 1, np.int64)
+        if len(words):
+            ids = self.merge(" " + joined).astype("<u4", copy=False)
+            ends = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+            cut[1:] = 4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 4
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(cut), pa.py_buffer(ids)])
+
+    def _of(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words, each after a blank."""
+        at = pc.index_in(words, value_set=self.words)
+        if len(self.words) + at.null_count > CACHE_WORDS:
+            self.forget()
+            at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            new = words.filter(pc.is_null(at))
+            at = at.fill_null(-1).to_numpy().copy()
+            at[at < 0] = len(self.words) + np.arange(len(new))
+            self.ids = pa.concat_arrays([self.ids, self._learn(new)])
+            self.words = pa.concat_arrays([self.words, new])
+        return self.ids.take(pa.array(at))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        split: list[tuple[int, list[str]]] = []
+        split: list[int] = []
+        rests: list[str] = []
         for i, text in enumerate(texts):
             if not self.merge or "<|" in text:
                 out[i] = self.whole(text)
             elif _WIDE.search(text):
                 out[i] = self._any(text)
             else:
-                first, *rest = text.split(" ")
+                first, blank, rest = text.partition(" ")
                 out[i] = self._any(first)
-                split.append((i, rest))
-        get, again = self.known.get, []
-        new: set[str] = set()
-        for i, rest in split:
-            found = list(map(get, rest))
-            if None in found:
-                gaps = [k for k, f in enumerate(found) if f is None]
-                new.update([rest[k] for k in gaps])
-                again.append((i, rest, found, gaps))
-            else:
-                out[i] += b"".join(found)
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.forget()
-            self._learn(new)
-        for i, rest, found, gaps in again:
-            for k in gaps:
-                found[k] = self.known[rest[k]]
-            out[i] += b"".join(found)
+                if blank:
+                    split.append(i)
+                    rests.append(rest)
+        if split:
+            # a distinct word is looked up once, however often the texts have it
+            lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+            words = lists.values.dictionary_encode()
+            _, places, data = self._of(words.dictionary).take(words.indices).buffers()
+            ends, found = np.frombuffer(places, np.int64)[lists.offsets.to_numpy()].tolist(), memoryview(data)
+            for i, a, b in zip(split, ends, ends[1:]):
+                out[i] += found[a:b]
         return out
 
 
+def _joined(words: pa.Array) -> str:
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py()
+
+
 _KEPT: dict[str, ChunkIds] = {}
 
 

@@ -48,7 +48,7 @@ FILLED, RELEASE = 0.995, 0.3
 PIECES = "key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _portions(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _portions(batch: pa.RecordBatch, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of about ``size`` bytes of text, or one longer row."""
     ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -21,6 +21,20 @@ def test_ids_are_the_tokenizers():
     assert ids.encode(texts) == [ids.whole(t) for t in texts]
 
 
+def test_a_distinct_word_is_looked_up_once(monkeypatch):
+    seen, plain = [], ChunkIds._of
+    monkeypatch.setattr("tessera.llm.byte_tokens.CACHE_WORDS", 60)
+    ids, rng = ChunkIds(BPE), random.Random(4)
+    monkeypatch.setattr(ChunkIds, "_of", lambda self, words: seen.append(words.to_pylist()) or plain(self, words))
+    pool = [f"w{i}" for i in range(40)] + ["中文", "été", "日x", "\u0301a", "ÿ", ""]
+    for _ in range(6):
+        pool += [f"v{rng.randrange(99)}", f"щ{rng.randrange(9)}"]
+        texts = [" ".join(rng.choice(pool) for _ in range(300)) + " x" for _ in range(20)] + ["", "one", "ends ", " starts"]
+        assert ids.encode(texts) == [ids.whole(t) for t in texts]
+    split = [w for some in seen for w in some]
+    assert len(seen) == 6 and all(len(some) == len(set(some)) for some in seen) and len(split) <= 6 * (len(pool) + 2)
+
+
 def checked(rows, texts, capacity):
     """Every piece once, as cut from plain ids; sequences gapless and not too long. Number of sequences."""
     ids, by_doc, by_seq = ChunkIds(BPE), defaultdict(list), defaultdict(list)
