@@ -32,8 +32,8 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_text, written
-from tessera.llm.fm_decontam import words_of
+from tessera.llm.fm_decontam import _WORDS, words_of
 
 CLASSES = 32
 VOCAB = CLASSES * CLASSES
@@ -64,6 +64,12 @@ FAN = 16
 #: Words scored at a time, and bytes of text prepared at a time, in a task.
 PIECE = 16_384
 GROUP_BYTES = 2_000_000
+#: Such groups of texts whose words are looked up together.
+GROUPS = 4
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 500_000
+#: Rows of one id that are added one after the other; further ones as a segment.
+ROUNDS = 8
 #: Words whose rows are averaged at a time, and bytes that a written row takes.
 BLOCK = 4096
 ROW_BYTES = 2 * (2 * HIDDEN + 1) + 4 + 8
@@ -98,6 +104,7 @@ class Tree:
         members: dict[int, list[int]] = {}
         for j, t in enumerate(self.top.tolist()):
             members.setdefault(t - (VOCAB - HASHED), []).append(j)
+        self.top_of = np.concatenate([np.arange(VOCAB + 1), self.top]).astype(np.int16)
         self.odds = np.zeros(self.size, np.float32)
         paths: list[list[tuple[int, bool]]] = [[] for _ in range(self.size + HASHED)]
         at = 0
@@ -127,9 +134,17 @@ class Tree:
 
     def tops(self, ids: np.ndarray) -> np.ndarray:
         """The ids' leaves in the two-step softmax."""
-        out, deep = ids.copy(), ids > VOCAB
-        out[deep] = self.top[ids[deep] - (VOCAB + 1)]
-        return out
+        return self.top_of.take(ids)
+
+    def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids' order by class and place in it (a bucket's side by side, as
+        its nodes are); in this order their classes and places; where a class starts."""
+        top = self.tops(ids)
+        # numpy sorts numbers of 16 bits by radix
+        order = np.argsort(top, kind="stable")
+        top = top.take(order)
+        cls = top // np.int16(CLASSES)
+        return order, cls, top - cls * np.int16(CLASSES), np.searchsorted(cls, np.arange(CLASSES + 1))
 
 
 class Vocabulary(dict):
@@ -152,24 +167,60 @@ class Vocabulary(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+    def coded(self, groups: list[list[bytes]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, pa.Array]]:
+        """Of each group the ids of every text, and all words as places in an
+        array, and that array. A distinct word is looked up once for all groups."""
+        codes, words, ends = coded(groups)
+        listed = words.to_numpy(zero_copy_only=False).tolist()
+        of = np.fromiter(map(self.get, listed, repeat(-1)), np.int32, len(listed))
+        shared = np.flatnonzero(of < 0)
+        of[shared] = [VOCAB - HASHED + _bucket(listed[i]) for i in shared.tolist()]
+        for some, end in zip(codes, ends):
+            ids, end = of.take(some), end.tolist()
+            yield [ids[a:b] for a, b in zip([0, *end], end)], some, words
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
 
-    def out() -> Iterator[pa.RecordBatch]:
-        words = list(seen)
-        for a in range(0, len(words), 100_000):
-            some = words[a:a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([seen[w] for w in some], pa.int64())],
-                                             names=["word", "n"])
-        seen.clear()
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts (those of ``words_of``) in one array, and where each text's words end."""
+    text = b"".join([b" ", b" ".join(texts), b" "]).lower().translate(_WORDS)
+    inside = np.frombuffer(text, np.uint8) != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts = edges[::2]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(edges[1::2] - starts, out=offsets[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text.translate(None, b" "))])
+    return words, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+
+
+def coded(groups: list[list[bytes]]) -> tuple[list[np.ndarray], pa.Array, list[np.ndarray]]:
+    """The words of each group of texts as places in an array of the distinct
+    ones; that array; where each text's words end in its group."""
+    words, ends = zip(*map(split, groups))
+    # arrays without words have no chunk
+    chunks = pa.chunked_array(words).dictionary_encode().chunks
+    codes = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in chunks)])
+    upto = np.cumsum([0, *map(len, words)]).tolist()
+    return [codes[a:b] for a, b in zip(upto, upto[1:])], chunks[-1].dictionary if chunks else words[0], list(ends)
+
+
+def _merged(parts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]) if parts else _NO_COUNTS
+
 
+_NO_COUNTS = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts: list[pa.Table] = []
     for b in batches:
-        for t in b.column(1):
-            seen.update(words_of(t.as_py()))
-        if len(seen) > 500_000:
-            yield from out()
-    yield from out()
+        for groups in _blocks(b):
+            codes, words, _ = coded(groups)
+            parts.append(pa.table({"word": words.cast(pa.binary()), "n": np.bincount(np.concatenate(codes), minlength=len(words))}))
+            if sum(map(len, parts)) > 2 * COUNTED:
+                parts = [_merged(parts)]
+                if len(parts[0]) > COUNTED:
+                    yield from parts.pop().to_batches(100_000)
+    yield from _merged(parts).to_batches(100_000)
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -242,17 +293,21 @@ class Network:
         all places but two at either end."""
         emb, scale, b0 = self.params[:3]
         rows, n = emb.take(ids, axis=0), ids.shape[-1] - 4
-        total = rows[..., :n, :] * scale[0] + b0
+        # a stretch is one long row, so that numpy's inner loops are long too
+        beside, wide = rows.reshape(*ids.shape[:-1], -1), n * HIDDEN
+        total = beside[..., :wide] * np.tile(scale[0], n)
+        total += np.tile(b0, n)
         for k in range(1, len(OFFSETS)):
-            total += rows[..., 2 + OFFSETS[k]:2 + OFFSETS[k] + n, :] * scale[k]
-        return rows, np.tanh(total, out=total)
+            at = (2 + OFFSETS[k]) * HIDDEN
+            total += beside[..., at:at + wide] * np.tile(scale[k], n)
+        return rows, np.tanh(total, out=total).reshape(*ids.shape[:-1], n, HIDDEN)
 
     def _levels(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """The leaves by length of their paths, longest first; where these paths
         start; how many have a first, second, .. step."""
         start = self.tree.start[leaves]
         lens = self.tree.start[leaves + 1] - start
-        order = np.argsort(-lens, kind="stable")
+        order = np.argsort((-lens).astype(np.int16), kind="stable")
         return order, start[order], (len(lens) - np.cumsum(np.bincount(lens)))[:-1].tolist()
 
     def _level(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -267,38 +322,43 @@ class Network:
         return bool(np.abs(w).sum(axis=-2).max() + np.abs(b).max() < 60)
 
     @staticmethod
-    def _softmax(z: np.ndarray, small: bool) -> np.ndarray:
+    def _exp(z: np.ndarray, small: bool) -> np.ndarray:
         if not small:
             z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= (z @ _ONES)[:, None]
+        return np.exp(z, out=z)
+
+    @staticmethod
+    def _softmax(z: np.ndarray, small: bool) -> np.ndarray:
+        z = Network._exp(z, small)
+        z *= np.reciprocal(z @ _ONES)[:, None]
         return z
 
-    def _classes(self, h: np.ndarray) -> np.ndarray:
-        """Probabilities of the classes; h: hidden rows and a column of ones."""
+    @staticmethod
+    def _chosen(z: np.ndarray, small: bool, at: np.ndarray) -> np.ndarray:
+        """One value of each row of the softmax."""
+        z = Network._exp(z, small)
+        return z.reshape(-1).take(np.arange(0, z.size, CLASSES) + at) / (z @ _ONES)
+
+    def _classes(self, h: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Log odds of the classes, and whether they are small; h: hidden rows and a column of ones."""
         w, b = self.params[3:5]
-        return self._softmax(h @ np.concatenate([w, b[None]]), self._small(w, b))
+        return h @ np.concatenate([w, b[None]]), self._small(w, b)
 
-    def _words(self, h: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """Probabilities of the words within the class, of rows sorted by class."""
+    def _words(self, h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Log odds of the words within the class, of rows sorted by class."""
         w, b = self.params[5:]
         both, z = np.concatenate([w, b[:, None]], axis=1), np.empty((len(h), CLASSES), np.float32)
         for c, (i, j) in enumerate(zip(cut, cut[1:])):
             if i < j:
                 np.matmul(h[i:j], both[c], out=z[i:j])
-        return self._softmax(z, self._small(w, b))
-
-    @staticmethod
-    def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(cls, kind="stable")
-        return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        return z, self._small(w, b)
 
     def log_probs(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the words at ``at``, given their neighbours."""
         if not len(at):
             return np.zeros(0)
         first = at.min()
-        hidden = self._hidden(padded[first - 2:at.max() + 3])[1]
+        hidden = self._hidden(_windows(padded[first - 2:at.max() + 3]))[1].reshape(-1, HIDDEN)
         deep = np.zeros(len(at))
         if self.tree.size:
             leaves = self.tree.leaves(padded[at])
@@ -311,11 +371,9 @@ class Network:
                 z = np.where(right, -z, z)
                 total[:m] -= np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0)
             deep[below] = total
-        cls, word = np.divmod(self.tree.tops(padded[at]), CLASSES)
-        order, cut = self._by_class(cls)
+        order, cls, word, cut = self.tree.by_class(padded[at])
         h = _with_ones(hidden, at[order] - first)
-        each = np.arange(len(at))
-        p = self._classes(h)[each, cls[order]] * self._words(h, cut)[each, word[order]]
+        p = self._chosen(*self._classes(h), cls) * self._chosen(*self._words(h, cut), word)
         out = np.empty(len(at), np.float64)
         out[order] = np.log(np.maximum(p, 1e-30))
         return out + deep
@@ -327,15 +385,14 @@ class Network:
         rows, hidden = self._hidden(spans)
         targets = spans[:, 2:-2].ravel()
         real = np.flatnonzero(targets != VOCAB)
-        cls, word = np.divmod(self.tree.tops(targets[real]), CLASSES)
-        order, cut = self._by_class(cls)
-        real, n, each = real[order], np.float32(len(real)), np.arange(len(real))
+        order, cls, word, cut = self.tree.by_class(targets[real])
+        real, n, each = real[order], np.float32(len(real)), np.arange(len(real)) * CLASSES
         h1, ids = _with_ones(hidden, real), targets[real]
         h = np.ascontiguousarray(h1[:, :HIDDEN])
-        d1, d2 = self._classes(h1), self._words(h1, cut)
-        d1[each, cls[order]] -= 1
-        d2[each, word[order]] -= 1
-        gw1, gw2, dh = h1.T @ d1, np.zeros((CLASSES, HIDDEN + 1, CLASSES), np.float32), d1 @ self.params[3].T
+        d1, d2 = self._softmax(*self._classes(h1)), self._softmax(*self._words(h1, cut))
+        d1.reshape(-1)[each + cls] -= 1
+        d2.reshape(-1)[each + word] -= 1
+        gw1, gw2, dh = h1.T @ d1, np.zeros((CLASSES, HIDDEN + 1, CLASSES), np.float32), d1 @ np.ascontiguousarray(self.params[3].T)
         for c, (a, b) in enumerate(zip(cut, cut[1:])):
             if a < b:
                 np.matmul(h1[a:b].T, d2[a:b], out=gw2[c])
@@ -353,22 +410,27 @@ class Network:
                 for k, m in enumerate(sizes):
                     some = slice(at, at + m)
                     node[some], right, z, at_node = self._level(hb[:m], start[:m] + k)
-                    d3[some] = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - right
+                    np.maximum(z, -30, out=z)
+                    np.exp(np.negative(z, out=z), out=z)
+                    z += 1
+                    np.subtract(np.reciprocal(z, out=z), right, out=d3[some])
                     at_node *= d3[some, None]
                     total[:m] += at_node
                     d3[some] /= n
                     np.multiply(hb[:m], d3[some, None], out=pull[some])
                     at += m
-                dh[below] += total
+                dh[below] = dh.take(below, axis=0) + total
                 nodes = _rows_of(node, pull, d3)
         dh *= 1 - h * h
         dh /= n
         dz, ones = np.zeros_like(hidden), np.ones(len(targets), np.float32)
         dz.reshape(-1, HIDDEN)[real] = dh
-        back, gs, m, part = np.zeros_like(rows), np.zeros_like(self.params[1]), dz.shape[1], np.empty_like(dz)
+        back, gs, m, part = np.zeros_like(rows), np.zeros_like(self.params[1]), dz.shape[1], np.empty((len(dz), dz.shape[1] * HIDDEN), np.float32)
+        dz, rows, wide = dz.reshape(part.shape), rows.reshape(len(rows), -1), back.reshape(len(rows), -1)
         for k, o in enumerate(OFFSETS):
-            back[:, 2 + o:2 + o + m] += np.multiply(dz, self.params[1][k], out=part)
-            gs[k] = ones @ np.multiply(dz, rows[:, 2 + o:2 + o + m], out=part).reshape(-1, HIDDEN)
+            some = slice((2 + o) * HIDDEN, (2 + o + m) * HIDDEN)
+            wide[:, some] += np.multiply(dz, np.tile(self.params[1][k], m), out=part)
+            gs[k] = ones @ np.multiply(dz, rows[:, some], out=part).reshape(-1, HIDDEN)
         emb = _rows_of(spans.reshape(-1), back.reshape(-1, HIDDEN))
         return [gs, ones[:len(dh)] @ dh, gw1[:HIDDEN], gw1[HIDDEN], gw2[:, :HIDDEN], gw2[:, HIDDEN]], emb, nodes
 
@@ -379,10 +441,10 @@ class Network:
         for p, g, s in zip(self.params[1:], dense, sums[1:7]):
             s += g * g
             p -= rate * g / (np.sqrt(s) + np.float32(1e-6))
-        self.visits[node] += times
+        self.visits[node] = self.visits.take(node) + times
         _move_rows(self.nodes, sums[7], node, gn, rate)
-        sums[8][node] += gb * gb
-        self.bias[node] -= rate * gb / (np.sqrt(sums[8][node]) + np.float32(1e-6))
+        sums[8][node] = total = sums[8].take(node) + gb * gb
+        self.bias[node] = self.bias.take(node) - rate * gb / (np.sqrt(total) + np.float32(1e-6))
 
     def sums(self) -> list[np.ndarray]:
         """Where the squared gradients of the steps start: a number a row of the
@@ -418,12 +480,24 @@ def _rows_of(ids: np.ndarray, *values: np.ndarray) -> tuple:
     order, ids = both & 0xFFFFFFFF, (both >> 32).astype(np.int32)
     first = np.flatnonzero(np.diff(ids, prepend=-1))
     times = np.diff(first, append=len(ids))
-    # ids that occur once need no sum, and come first
-    once, more = times == 1, np.repeat(times > 1, times)
-    single, several, times_several = order[first[once]], order[more], times[~once]
-    start = np.cumsum(times_several) - times_several
-    sums = [np.concatenate([v.take(single, axis=0), _segments(v.take(several, axis=0), start)]) if len(start) else v.take(single, axis=0) for v in values]
-    return np.concatenate([ids[first[once]], ids[first[~once]]]), np.concatenate([times[once], times_several]), sums
+    # the frequent ids first: those with a second row, a third, .. are a slice
+    rounds = np.minimum(times, ROUNDS + 1)
+    by = np.argsort((-rounds).astype(np.int16), kind="stable")
+    first, times = first[by], times[by]
+    sizes = (len(times) - np.cumsum(np.bincount(rounds, minlength=ROUNDS + 1)))[1:].tolist()
+    takes = [order[first], *(order[first[:m] + k] for k, m in enumerate(sizes[:ROUNDS - 1], 1) if m)]
+    rest = times[:sizes[ROUNDS - 1]] - ROUNDS
+    start = np.cumsum(rest) - rest
+    beyond = order[np.repeat(first[:len(rest)] + ROUNDS - start, rest) + np.arange(rest.sum())]
+    sums = []
+    for v in values:
+        total = v.take(takes[0], axis=0)
+        for some in takes[1:]:
+            total[:len(some)] += v.take(some, axis=0)
+        if len(rest):
+            total[:len(rest)] += _segments(v.take(beyond, axis=0), start)
+        sums.append(total)
+    return ids.take(first).astype(np.int64), times, sums
 
 
 def _move_rows(p: np.ndarray, s: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
@@ -443,15 +517,21 @@ def padded_ids(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts), np.concatenate(places)) if docs else (pad, np.zeros(0, np.int64))
 
 
+def _windows(ids: np.ndarray) -> np.ndarray:
+    """Rows of SPAN places, each with the two ids before and behind; the first
+    and the last two ids are only such neighbours."""
+    wide = np.full(-(-(len(ids) - 4) // SPAN) * SPAN + 4, VOCAB, np.int32)
+    wide[:len(ids)] = ids
+    return np.lib.stride_tricks.sliding_window_view(wide, SPAN + 4)[::SPAN]
+
+
 def stretches(padded: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
     """All places in SPANS rows of SPAN a step, in shuffled order, each row with
     the two words before and behind."""
-    count = -(-len(padded) // SPAN)
-    wide = np.full(count * SPAN + 4, VOCAB, np.int32)
-    wide[2:2 + len(padded)] = padded
-    rows = np.lib.stride_tricks.sliding_window_view(wide, SPAN + 4)[::SPAN]
-    order = rng.permutation(count)
-    for a in range(0, count, SPANS):
+    pad = np.full(2, VOCAB, np.int32)
+    rows = _windows(np.concatenate([pad, padded, pad]))
+    order = rng.permutation(len(rows))
+    for a in range(0, len(rows), SPANS):
         yield rows[order[a:a + SPANS]]
 
 
@@ -468,6 +548,13 @@ def _groups(texts, limit: int = GROUP_BYTES) -> Iterator[list]:
         yield some
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[list[list]]:
+    """Groups of a batch's texts, GROUPS at a time."""
+    groups = _groups(t.as_py() for t in batch.column(1))
+    while some := list(islice(groups, GROUPS)):
+        yield some
+
+
 _NETS = "k long, block int, ids binary, times binary, w binary"
 
 
@@ -484,8 +571,8 @@ def _train(words: list[bytes], tree: Tree):
         vocab, net, rng, n = Vocabulary(words), Network(tree=tree), np.random.default_rng([SEED, task]), 0
         sums, met = net.sums(), np.zeros(tree.size)
         for b in batches:
-            for texts in _groups([t.as_py() for t in b.column(1)]):
-                padded, places = padded_ids([vocab.ids(t) for t in texts])
+            for ids, _, _ in chain.from_iterable(map(vocab.coded, _blocks(b))):
+                padded, places = padded_ids(ids)
                 if not len(places):
                     continue
                 n += len(places)
@@ -571,29 +658,25 @@ def score(docs: DataFrame, words: list[bytes], net: Network, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(words)
         for b in batches:
-            sums, lens, rare = [], [], []
-            for texts in _groups([t.as_py() for t in b.column(1)]):
-                found = [words_of(t) for t in texts]
-                ids = [vocab.of(ws) for ws in found]
+            sums, lens, rare, cuts = [np.zeros(0)], [np.zeros(0, np.int64)], [pa.array([], pa.binary())], [np.zeros(1, np.int64)]
+            for ids, codes, found in chain.from_iterable(map(vocab.coded, _blocks(b))):
                 padded, places = padded_ids(ids)
                 each = np.concatenate([net.log_probs(padded, places[a:a + PIECE]) for a in range(0, len(places), PIECE)] or [np.zeros(0)])
+                n = np.array([len(d) for d in ids], np.int64)
+                ends = np.cumsum(n)
                 if rest is not None:
                     targets = padded[places]
-                    shared = (targets >= VOCAB - HASHED) & (targets < VOCAB)
-                    each[shared] -= rest[targets[shared] - (VOCAB - HASHED)]
-                    some = np.flatnonzero(shared)
-                    cut = np.searchsorted(some, np.cumsum([0, *map(len, ids)]))
-                    at = some - np.repeat(np.cumsum([0, *map(len, ids)])[:-1], np.diff(cut))
-                    rare += [[ws[i] for i in at[a:b].tolist()] for ws, a, b in zip(found, cut, cut[1:])]
+                    some = np.flatnonzero((targets >= VOCAB - HASHED) & (targets < VOCAB))
+                    each[some] -= rest[targets[some] - (VOCAB - HASHED)]
+                    rare.append(found.take(pa.array(codes[some])).cast(pa.binary()))
+                    cuts.append(cuts[-1][-1] + np.searchsorted(some, ends))
                 else:
-                    rare += [[]] * len(texts)
-                n = np.array([len(d) for d in ids], np.int64)
+                    cuts.append(np.zeros_like(n))
                 total = np.concatenate([[0.0], np.cumsum(each)])
-                ends = np.cumsum(n)
                 sums.append(total[ends] - total[ends - n])
                 lens.append(n)
-            n, s = (np.concatenate(lens), np.concatenate(sums)) if lens else (np.zeros(0, np.int64), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s), pa.array(rare, pa.list_(pa.binary()))],
+            shared = pa.ListArray.from_arrays(pa.array(np.concatenate(cuts), pa.int32()), pa.concat_arrays(rare))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(lens)), pa.array(np.concatenate(sums)), shared],
                                              names=["doc_id", "n_words", "log_prob", "rare"])
 
     got = _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, log_prob double, rare array<binary>")

@@ -206,3 +206,49 @@ def test_rows_are_added_up_by_id():
         for i, n, x, y in zip(met, times, a, b):
             assert n == (ids == i).sum() and y == pytest.approx(single[ids == i].sum(), abs=1e-5)
             np.testing.assert_allclose(x, wide[ids == i].sum(axis=0), atol=1e-5)
+
+
+def test_words_are_looked_up_once_a_block(monkeypatch):
+    """Ids and counts come from the distinct words of some groups of texts, not from one lookup a word."""
+    rng, own = np.random.default_rng(11), [f"w{i}".encode() for i in range(600)]
+    some = lambda n: b" ".join(b"W%d," % i for i in rng.zipf(1.3, n) % 3000)
+    texts = [b"", b" .,- ", *(some(200) for _ in range(9)), b"", "Ünï -w1-W1\x00w2".encode(), some(700), b"", b"w5", b" ., " * 200]
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array(range(len(texts))), lm.pa.array(texts, lm.pa.binary())], names=["doc_id", "text"])
+    vocab, looked = lm.Vocabulary(lm.Words(own)), []
+    monkeypatch.setattr(lm, "_groups", lambda texts, real=lm._groups: real(texts, 400))
+    monkeypatch.setattr(lm.Vocabulary, "get", lambda self, w, other: looked.append(w) or (self[w] if w in self else other))
+    blocks = list(lm._blocks(batch))
+    assert len(blocks) > 2 and [t for b in blocks for g in b for t in g] == texts
+    got, words = [], []
+    for block in blocks:
+        looked.clear()
+        for ids, codes, found in vocab.coded(block):
+            got += [i.tolist() for i in ids]
+            words += found.take(lm.pa.array(codes)).to_pylist()
+        assert len(looked) == len(set(looked)) == len({w for g in block for t in g for w in lm.words_of(t)})
+    assert got == [vocab.ids(t).tolist() for t in texts]
+    assert words == [w for t in texts for w in lm.words_of(t)]
+    for least in (lm.COUNTED, 100):
+        monkeypatch.setattr(lm, "COUNTED", least)
+        n = {}
+        for b in lm._word_counts(iter([batch, batch])):
+            for w, k in zip(b["word"].to_pylist(), b["n"].to_pylist()):
+                n[w] = n.get(w, 0) + k
+        assert n == {w: 2 * words.count(w) for w in set(words)}
+    assert not list(lm._word_counts(iter([])))
+
+
+def test_rows_of_frequent_ids_are_added_in_rounds(monkeypatch):
+    """Segments take only what is left after ROUNDS rows of an id."""
+    rng, seen, plain = np.random.default_rng(12), [], lm._segments
+    monkeypatch.setattr(lm, "_segments", lambda rows, first: seen.append(len(rows)) or plain(rows, first))
+    for many in (1, lm.ROUNDS - 1, lm.ROUNDS, lm.ROUNDS + 1, 5 * lm.ROUNDS):
+        ids = rng.permutation(np.repeat(np.arange(7), [1, 1, 2, 3, many, 1, many])).astype(np.int32)
+        rows = rng.standard_normal((len(ids), lm.HIDDEN)).astype(np.float32)
+        seen.clear()
+        met, times, (got,) = lm._rows_of(ids, rows)
+        assert sum(seen) == 2 * max(0, many - lm.ROUNDS)
+        assert sorted(met.tolist()) == list(range(7))
+        for i, n, x in zip(met, times, got):
+            assert n == (ids == i).sum()
+            np.testing.assert_allclose(x, rows[ids == i].sum(axis=0), atol=1e-5)
