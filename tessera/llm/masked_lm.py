@@ -68,8 +68,8 @@ GROUP_BYTES = 2_000_000
 GROUPS = 4
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 500_000
-#: Rows of one id that are added one after the other; further ones as a segment.
-ROUNDS = 8
+#: Up to so many rows of one id are added one after the other, more as a segment.
+ROUNDS = 4
 #: Words whose rows are averaged at a time, and bytes that a written row takes.
 BLOCK = 4096
 ROW_BYTES = 2 * (2 * HIDDEN + 1) + 4 + 8
@@ -137,14 +137,21 @@ class Tree:
         return self.top_of.take(ids)
 
     def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The ids' order by class and place in it (a bucket's side by side, as
-        its nodes are); in this order their classes and places; where a class starts."""
+        """The ids' order by class; in this order their classes and places in
+        them; where a class starts."""
         top = self.tops(ids)
-        # numpy sorts numbers of 16 bits by radix
-        order = np.argsort(top, kind="stable")
-        top = top.take(order)
         cls = top // np.int16(CLASSES)
-        return order, cls, top - cls * np.int16(CLASSES), np.searchsorted(cls, np.arange(CLASSES + 1))
+        # numpy sorts numbers of 16 bits by radix
+        order = np.argsort(cls, kind="stable")
+        cls = cls.take(order)
+        return order, cls, top.take(order) - cls * np.int16(CLASSES), np.searchsorted(cls, np.arange(CLASSES + 1))
+
+    def below(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which ids have a leaf, those of a bucket side by side, as its nodes are; the leaves."""
+        leaves = self.leaves(ids)
+        some = np.flatnonzero(leaves >= 0)
+        some = some[np.argsort(self.tops(ids[some]), kind="stable")]
+        return some, leaves[some]
 
 
 class Vocabulary(dict):
@@ -272,7 +279,6 @@ class Network:
     def __init__(self, flat: np.ndarray | None = None, tree: Tree | None = None):
         self.tree = tree or Tree([])
         self.nodes, self.bias = np.zeros((self.tree.size, HIDDEN), np.float32), self.tree.odds.copy()
-        self.visits = np.zeros(self.tree.size)
         if flat is None:
             rng = np.random.default_rng(SEED)
             self.params = [(rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in _shapes(self.tree.size)]
@@ -330,7 +336,7 @@ class Network:
     @staticmethod
     def _softmax(z: np.ndarray, small: bool) -> np.ndarray:
         z = Network._exp(z, small)
-        z *= np.reciprocal(z @ _ONES)[:, None]
+        z /= (z @ _ONES)[:, None]
         return z
 
     @staticmethod
@@ -361,9 +367,8 @@ class Network:
         hidden = self._hidden(_windows(padded[first - 2:at.max() + 3]))[1].reshape(-1, HIDDEN)
         deep = np.zeros(len(at))
         if self.tree.size:
-            leaves = self.tree.leaves(padded[at])
-            below = np.flatnonzero(leaves >= 0)
-            longest, start, sizes = self._levels(leaves[below])
+            below, leaves = self.tree.below(padded[at])
+            longest, start, sizes = self._levels(leaves)
             below, total = below[longest], np.zeros(len(below))
             h = hidden.take(at[below] - first, axis=0)
             for k, m in enumerate(sizes):
@@ -400,9 +405,8 @@ class Network:
         gw1, gw2 = gw1 / n, gw2 / n
         nodes = (np.zeros(0, np.int32), np.zeros(0, np.int64), [self.nodes[:0], self.bias[:0]])
         if self.tree.size:
-            leaves = self.tree.leaves(ids)
-            below = np.flatnonzero(leaves >= 0)
-            longest, start, sizes = self._levels(leaves[below])
+            below, leaves = self.tree.below(ids)
+            longest, start, sizes = self._levels(leaves)
             if sizes:
                 below = below[longest][:sizes[0]]
                 hb, total, at = h.take(below, axis=0), np.zeros((len(below), HIDDEN), np.float32), 0
@@ -436,12 +440,11 @@ class Network:
 
     def step(self, spans: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
         """One adaptive gradient step; rows that it doesn't meet stay as they are."""
-        dense, (met, _, (g,)), (node, times, (gn, gb)) = self.gradients(spans)
+        dense, (met, _, (g,)), (node, _, (gn, gb)) = self.gradients(spans)
         _move_rows(self.params[0], sums[0], met, g, rate)
         for p, g, s in zip(self.params[1:], dense, sums[1:7]):
             s += g * g
             p -= rate * g / (np.sqrt(s) + np.float32(1e-6))
-        self.visits[node] = self.visits.take(node) + times
         _move_rows(self.nodes, sums[7], node, gn, rate)
         sums[8][node] = total = sums[8].take(node) + gb * gb
         self.bias[node] = self.bias.take(node) - rate * gb / (np.sqrt(total) + np.float32(1e-6))
@@ -484,18 +487,21 @@ def _rows_of(ids: np.ndarray, *values: np.ndarray) -> tuple:
     rounds = np.minimum(times, ROUNDS + 1)
     by = np.argsort((-rounds).astype(np.int16), kind="stable")
     first, times = first[by], times[by]
-    sizes = (len(times) - np.cumsum(np.bincount(rounds, minlength=ROUNDS + 1)))[1:].tolist()
-    takes = [order[first], *(order[first[:m] + k] for k, m in enumerate(sizes[:ROUNDS - 1], 1) if m)]
-    rest = times[:sizes[ROUNDS - 1]] - ROUNDS
-    start = np.cumsum(rest) - rest
-    beyond = order[np.repeat(first[:len(rest)] + ROUNDS - start, rest) + np.arange(rest.sum())]
+    many, *sizes = (len(times) - np.cumsum(np.bincount(rounds, minlength=ROUNDS + 1)))[ROUNDS:0:-1].tolist()
+    takes = [order[first[many:m] + k] for k, m in enumerate(sizes[::-1], 1) if m > many]
+    start = np.cumsum(times[:many]) - times[:many]
+    crowd = order[np.repeat(first[:many] - start, times[:many]) + np.arange(times[:many].sum())]
     sums = []
     for v in values:
-        total = v.take(takes[0], axis=0)
-        for some in takes[1:]:
-            total[:len(some)] += v.take(some, axis=0)
-        if len(rest):
-            total[:len(rest)] += _segments(v.take(beyond, axis=0), start)
+        total = v.take(order[first], axis=0)
+        if takes:
+            # the first row comes last, as in a segment
+            further = v.take(takes[0], axis=0)
+            for some in takes[1:]:
+                further[:len(some)] += v.take(some, axis=0)
+            total[many:many + len(further)] += further
+        if many:
+            total[:many] = _segments(v.take(crowd, axis=0), start)
         sums.append(total)
     return ids.take(first).astype(np.int64), times, sums
 
@@ -569,23 +575,26 @@ def _train(words: list[bytes], tree: Tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         vocab, net, rng, n = Vocabulary(words), Network(tree=tree), np.random.default_rng([SEED, task]), 0
-        sums, met = net.sums(), np.zeros(tree.size)
+        sums, met = net.sums(), np.zeros(tree.size + HASHED)
         for b in batches:
             for ids, _, _ in chain.from_iterable(map(vocab.coded, _blocks(b))):
                 padded, places = padded_ids(ids)
                 if not len(places):
                     continue
                 n += len(places)
-                met += np.bincount(padded[padded > VOCAB] - (VOCAB + 1), minlength=tree.size)
+                leaves = tree.leaves(padded[places])
+                met += np.bincount(leaves[leaves >= 0], minlength=len(met))
                 for spans in stretches(padded, rng):
                     if (spans[:, 2:-2] != VOCAB).any():
                         net.step(spans, sums, RATE)
         if n:
             schema = pa.schema([("k", pa.int64()), ("block", pa.int32()), ("ids", pa.binary()), ("times", pa.binary()), ("w", pa.binary())])
             yield pa.RecordBatch.from_pylist([_net_row(task, -1, np.zeros(0), np.array([n]), net.top())], schema)
+            # every place was a target once, and met the nodes of its leaf's path
+            visits = np.bincount(tree.node, weights=np.repeat(met, np.diff(tree.start)), minlength=tree.size)
             for block in range(-(-tree.size // BLOCK)):
                 a, b = block * BLOCK, min((block + 1) * BLOCK, tree.size)
-                times = np.stack([met[a:b], net.visits[a:b]])
+                times = np.stack([met[a:b], visits[a:b]])
                 ids = np.flatnonzero(times.any(axis=0))
                 if len(ids):
                     rows = np.concatenate([net.params[0][VOCAB + 1 + a + ids], net.nodes[a + ids], net.bias[a + ids, None]], axis=1)

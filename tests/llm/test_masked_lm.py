@@ -239,7 +239,7 @@ def test_words_are_looked_up_once_a_block(monkeypatch):
 
 
 def test_rows_of_frequent_ids_are_added_in_rounds(monkeypatch):
-    """Segments take only what is left after ROUNDS rows of an id."""
+    """Segments take only the rows of ids that have more than ROUNDS."""
     rng, seen, plain = np.random.default_rng(12), [], lm._segments
     monkeypatch.setattr(lm, "_segments", lambda rows, first: seen.append(len(rows)) or plain(rows, first))
     for many in (1, lm.ROUNDS - 1, lm.ROUNDS, lm.ROUNDS + 1, 5 * lm.ROUNDS):
@@ -247,8 +247,34 @@ def test_rows_of_frequent_ids_are_added_in_rounds(monkeypatch):
         rows = rng.standard_normal((len(ids), lm.HIDDEN)).astype(np.float32)
         seen.clear()
         met, times, (got,) = lm._rows_of(ids, rows)
-        assert sum(seen) == 2 * max(0, many - lm.ROUNDS)
+        assert sum(seen) == (2 * many if many > lm.ROUNDS else 0)
         assert sorted(met.tolist()) == list(range(7))
         for i, n, x in zip(met, times, got):
             assert n == (ids == i).sum()
             np.testing.assert_allclose(x, rows[ids == i].sum(axis=0), atol=1e-5)
+
+
+def test_visits_of_nodes_are_those_of_the_steps(monkeypatch):
+    """How often a node was met follows from the words of the texts, without a number a node and step."""
+    words = lm.Words([f"w{i}".encode() for i in range(900)], 1000.0 / np.arange(1, 901), np.full(lm.HASHED, 0.3))
+    tree, rng, plain = lm.Tree(words), np.random.default_rng(13), lm.Network.gradients
+    want = np.zeros(tree.size)
+
+    def counted(self, spans):
+        dense, emb, (node, times, grads) = plain(self, spans)
+        want[node] += times
+        return dense, emb, (node, times, grads)
+
+    monkeypatch.setattr(lm.Network, "gradients", counted)
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    texts = [b"", *(b" ".join(b"w%d" % i for i in rng.integers(0, 1200, 3000)) for _ in range(5)), b" , "]
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array(range(7)), lm.pa.array(texts)], names=["doc_id", "text"])
+    top, *rows = [r for b in lm._train(words, tree)(iter([batch])) for r in b.to_pylist()]
+    assert np.frombuffer(top["times"])[0] == 15_000 and not hasattr(lm.Network(tree=tree), "visits")
+    got, met, n = np.zeros(tree.size), np.zeros(tree.size), lm.Vocabulary(words)
+    for r in rows:
+        ids = np.frombuffer(r["ids"], np.int32) + r["block"] * lm.BLOCK
+        met[ids], got[ids] = np.frombuffer(r["times"], np.float32).reshape(2, -1)
+    assert want.any() and (got == want).all()
+    all_ids = np.concatenate([n.ids(t) for t in texts])
+    assert (met == np.bincount(all_ids[all_ids > lm.VOCAB] - (lm.VOCAB + 1), minlength=tree.size)).all()
