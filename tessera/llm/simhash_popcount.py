@@ -125,7 +125,9 @@ def links(fps: DataFrame) -> DataFrame:
     """(u, v): links that connect exactly the distinct fingerprints ``fps``
     (column fp) within 2 bits of one another, directly or through others."""
     entered = _meeting_cells(fps)
-    met = written(entered.join(entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cell"), "met")
+    # a merge join: Spark sizes the cells as if each fingerprint had one entry, and would broadcast them
+    counted = entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").hint("merge")
+    met = written(entered.join(counted, "cell"), "met")
     groups = met.filter(F.col("n") <= PAIRS_UP_TO).groupBy("cell").agg(F.collect_list(F.struct("kind", "own", "fp")).alias("g"))
     # which kinds may meet: equal vectors (0, 0), one step apart (0, 1), two steps
     # apart (1, 1) or (1, 2); other meetings repeat these

@@ -85,3 +85,12 @@ def test_rows_without_or_with_repeated_ids_stay(spark):
     kept = sp.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row long").coalesce(1))
     assert kept.columns == ["doc_id", "text", "row"]
     assert sorted(r.row for r in kept.collect()) == [1, 2, 4, 6, 7]
+
+
+def test_cells_are_never_broadcast(spark, monkeypatch):
+    """Spark takes the cells for as many as the fingerprints; there are up to 33 of each, and they don't fit the driver."""
+    plans, plain = {}, sp.written
+    monkeypatch.setattr(sp, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or plain(df, name))
+    fps = plain(spark.range(50).selectExpr("xxhash64(id) AS fp"), "few")
+    assert sp.links(fps).count() == 0
+    assert "SortMergeJoin" in plans["met"] and "Broadcast" not in plans["met"]
