@@ -138,8 +138,9 @@ def compare_models(df: DataFrame, target: str, feats: list[str] | None = None,
     s, classes = split_frame(df, feats, target, test_size, seed, key)
     rows, best, best_acc = [], None, -1.0
     try:
+        rows_of = s.drop(*[k for k in key or [] if k not in (target, "label", "split")])  # the split alone needs them
         for name in models:
-            pred = fit_predict(name, s, len(feats), seed)
+            pred = fit_predict(name, rows_of, len(feats), seed)
             acc = {r["split"]: r["accuracy"] for r in
                    M.accuracy_by_split(pred, "label", "prediction").collect()}
             exact = pred.where(F.col("split") == "test").agg(

@@ -80,3 +80,38 @@ def test_boxes_vote_as_all_rows(monkeypatch, d, kind):
     assert np.array_equal(NB.Boxes.of(vectors, labels, copies, 5).vote(x), want)
     if (d, kind) == (2, "even"):
         assert sum(looked) < 0.7 * len(x) * len(vectors)
+
+
+@pytest.mark.parametrize("d,kind", [(1, "grid"), (3, "grid"), (4, "even"), (9, "even"), (2, "apart"), (2, "one")])
+def test_many_fitted_rows_in_leaves(spark, monkeypatch, d, kind):
+    """All train rows are fitted, however many: the leaves vote as a brute force does."""
+    from tessera.operators import neighbors as NB
+    monkeypatch.setattr(NB, "MARKS", 8)
+    monkeypatch.setattr(NB, "LEAF", 20)
+    monkeypatch.setattr(NB, "ASKED", 50)
+    rng = np.random.default_rng(d)
+    n = 900
+    x = {"grid": rng.integers(-4, 4, (n, d)).astype(float), "even": rng.random((n, d)), "apart": rng.normal(size=(n, d)),
+         "one": np.where(rng.random((n, 1)) < 0.8, 2.0, rng.normal(size=(n, d)))}[kind]
+    y = rng.integers(0, 4, size=n)
+    split = np.where(rng.random(n) < 0.25, "test", "train")
+    if kind == "apart":  # test rows where no fitted row is near, fewer fitted rows than leaves in places
+        split = np.where(x[:, 0] > 0.3, "test", "train")
+        x[split == "test"] += 40
+    got = NB.knn_predict(_frame(spark, x, y, split), d, k=5, few=0).select("rid", "prediction").toPandas().sort_values("rid")
+    tr = split == "train"
+    assert np.array_equal(got["prediction"].to_numpy().astype(int), _brute(x[tr], y[tr], x, 5))
+
+
+def test_fewer_fitted_rows_than_k_in_leaves(spark):
+    x = np.array([[0.0], [1.0], [5.0], [6.0]])
+    df = _frame(spark, x, np.array([0, 1, 1, 0]), np.array(["train", "train", "train", "test"]))
+    got = knn_predict(df, 1, k=5, few=0).select("rid", "prediction").toPandas().sort_values("rid")
+    assert got["prediction"].tolist() == [1.0, 1.0, 1.0, 1.0]
+
+
+def test_all_train_rows_are_fitted(spark):
+    """A class beyond the first hundred thousand rows of any order has its votes."""
+    n = 130_000
+    df = spark.range(0, n, 1, 8).selectExpr("CAST(id AS DOUBLE) AS __z0", "CAST(id AS DOUBLE) AS label", "'train' AS split", "id AS rid")
+    assert knn_predict(df, 1, k=1).where("prediction != rid").count() == 0
