@@ -30,6 +30,8 @@ FIRST = 64
 MOST = 2048
 #: Rows drawn a round, in units of the landmarks wanted (the residuals are those of the round before).
 DRAWN = 4
+#: Features that a task holds at a time.
+BLOCK = 4_000_000
 #: Directions of the landmarks' kernel that are left out, as a share of the largest.
 FLAT = 1e-12
 
@@ -62,8 +64,13 @@ class KernelMap:
     def features(self, x: np.ndarray) -> np.ndarray:
         return rbf(x, self.landmarks, self.gamma) @ self.root
 
+    def blocks(self, x: np.ndarray) -> list[np.ndarray]:
+        """The rows in parts whose features a task can hold; at least one."""
+        step = max(1, BLOCK // max(1, len(self.landmarks)))
+        return [x[a:a + step] for a in range(0, max(1, len(x)), step)]
+
     def residuals(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(1.0 - (self.features(x) ** 2).sum(axis=1), 0.0, 1.0)
+        return np.concatenate([np.clip(1.0 - (self.features(part) ** 2).sum(axis=1), 0.0, 1.0) for part in self.blocks(x)])
 
     def transform(self, df: DataFrame, cols: list[str], name: str = "features") -> DataFrame:
         """Adds the features (array of double), a matrix product per Arrow batch."""
@@ -71,9 +78,13 @@ class KernelMap:
 
         def run(batches):
             for b in batches:
-                if b.num_rows:
-                    got = self.features(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in places], axis=1))
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(got), pa.list_(pa.float64()))], names=[*b.schema.names, name])
+                x, a = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in places], axis=1), 0
+                for part in self.blocks(x) if b.num_rows else []:
+                    got = self.features(part)
+                    ends = np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]
+                    yield pa.RecordBatch.from_arrays([*b.slice(a, len(got)).columns, pa.ListArray.from_arrays(ends, got.ravel())],
+                                                     names=[*b.schema.names, name])
+                    a += len(got)
 
         return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 

@@ -7,6 +7,8 @@ count tables reach the driver."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, OneVsRest,
@@ -14,13 +16,14 @@ from pyspark.ml.classification import (LinearSVC, LogisticRegression, OneVsRest,
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.columns import col, numeric_cols
 from tessera.functions.frames import stored
 from tessera.functions.linalg import prepare
 from tessera.operators import metrics as M
 from tessera.operators.boosting import fit_boosted
-from tessera.operators.kernel import fit_kernel
+from tessera.operators.kernel import KernelMap, fit_kernel
 from tessera.operators.neighbors import knn_predict
 from tessera.operators.split import can_stratify, train_test_split
 
@@ -56,6 +59,10 @@ def model_frame(df: DataFrame, feats: list[str], target: str, fit_rows: DataFram
 FOREST_DEPTH = 30
 #: Rows from which the fits' input is dealt out over the cores, where a file has fewer splits.
 SPREAD_ROWS = 100_000
+#: Train rows from which a kernel machine is fitted on merged rows.
+MERGE_ROWS = 1_000_000
+#: Bytes of merged rows' features that a task of its fits holds, about.
+FIT_BYTES = 1 << 25
 #: Classes a model may have; their names go into the plan.
 MAX_CLASSES = 1000
 
@@ -95,7 +102,10 @@ def fit_predict(name: str, split_df: DataFrame, d: int, seed: int = 42, gamma: f
         return stored(fit_boosted(train, d, classes).predict(split_df, d).select(*keep, "prediction"), "predictions")
     if name == "svm":
         cols = [f"__z{i}" for i in range(d)]
-        found = fit_kernel(split_df.where(F.col("split") == "train"), cols, gamma, seed=seed)
+        train = split_df.where(F.col("split") == "train")
+        found = fit_kernel(train, cols, gamma, seed=seed)
+        if train.count() > MERGE_ROWS:
+            return stored(_merged_svm(split_df, found, cols, keep, seed), "predictions")
         frame = found.transform(split_df, cols, "__k").select(*keep, array_to_vector("__k").alias("features"))
     else:
         asm = VectorAssembler(inputCols=[f"__z{i}" for i in range(d)], outputCol="features")
@@ -111,6 +121,35 @@ def fit_predict(name: str, split_df: DataFrame, d: int, seed: int = 42, gamma: f
     return pred
 
 
+def _merged_svm(split_df: DataFrame, found: KernelMap, cols: list[str], keep: list[str], seed: int) -> DataFrame:
+    """``split_df`` plus the kernel machine's ``prediction``: train rows that are equal go into the
+    fit as one with their number as its weight, which leaves the loss as it is; rows to predict
+    become scores a block at a time, and no features of theirs are kept."""
+    from pyspark.ml.functions import array_to_vector
+    equal = stored(split_df.where(F.col("split") == "train").groupBy(*cols, "label").agg(F.count(F.lit(1)).cast("double").alias("weight")), "equal")
+    # every iteration is a job: no more tasks than their features are worth
+    equal = equal.repartition(-(-equal.count() * found.root.shape[1] * 8 // FIT_BYTES) or 1)
+    frame = found.transform(equal, cols, "__k").select("label", "weight", array_to_vector("__k").alias("features"))
+    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_train = int(frame.agg(F.sum("weight")).first()[0])
+        # a class at a time: each fit keeps blocks of its own
+        model = estimator("svm", n_train, seed).setWeightCol("weight").setParallelism(1).fit(frame)
+    finally:
+        frame.unpersist()
+    weights = np.stack([m.coefficients.toArray() for m in model.models], axis=1)
+    start, n_keep = np.array([m.intercept for m in model.models]), len(keep)
+
+    def run(batches):
+        for b in batches:
+            x = np.stack([b.column(n_keep + i).to_numpy(zero_copy_only=False) for i in range(len(cols))], axis=1)
+            best = [(found.features(part) @ weights + start).argmax(axis=1) for part in found.blocks(x)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], pa.array(np.concatenate(best).astype(float))], names=[*keep, "prediction"])
+
+    schema = T.StructType([*[split_df.schema[c] for c in keep], T.StructField("prediction", T.DoubleType())])
+    return split_df.select(*keep, *cols).mapInArrow(run, schema)
+
+
 def split_frame(df: DataFrame, feats: list[str], target: str, test_size: float = 0.2, seed: int = 42,
                 key: list[str] | None = None):
     frame, classes = model_frame(df, feats, target, key=key)

@@ -75,3 +75,31 @@ def test_kernel_means(spark):
         for j in range(i, 3):
             assert got[f"g{i}", f"g{j}"] == pytest.approx(k[np.ix_(g[5:] == i, g[5:] == j)].mean(), abs=1e-5)
     assert len(got) == 6 and KE.kernel_means(df.limit(0), COLS, "g").count() == 0
+
+
+def test_merged_rows_fit_as_all_rows(spark, monkeypatch):
+    """Equal train rows go into a fit once, with their number; predictions are those of all rows."""
+    rng = np.random.default_rng(5)
+    angle, ring = rng.uniform(0, 2 * np.pi, 60), rng.integers(0, 2, 60)
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1).round(1) * (2 * ring + 1)[:, None]
+    many = np.repeat(np.arange(60), rng.integers(2, 12, 60))
+    df = spark.createDataFrame([(i, float(x[j, 0]), float(x[j, 1]), f"ring{ring[j]}") for i, j in enumerate(many)], "id long, a double, b double, t string")
+    sizes, plain = [], MO.estimator
+    monkeypatch.setattr(MO, "estimator", lambda name, n, *a: sizes.append(n) or plain(name, n, *a))
+    want = MO.compare_models(df, "t", COLS, ["svm"], key=["id"])[0].first()
+    monkeypatch.setattr(MO, "MERGE_ROWS", 0)
+    seen, fit = [], MO.OneVsRest.fit
+    monkeypatch.setattr(MO.OneVsRest, "fit", lambda self, rows: seen.append((self.getWeightCol(), rows.count())) or fit(self, rows))
+    got = MO.compare_models(df, "t", COLS, ["svm"], key=["id"])[0].first()
+    assert sizes[0] == sizes[1] and got.test_accuracy == pytest.approx(want.test_accuracy, abs=0.02) and got.test_accuracy > 0.9
+    assert seen == [("weight", min(seen[0][1], 60))]
+
+
+def test_features_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(300, 2))
+    df = frame(spark, x, 2)
+    found = KE.fit_kernel(df, COLS)
+    monkeypatch.setattr(KE, "BLOCK", 7 * len(found.landmarks))
+    assert [len(p) for p in found.blocks(x[:16])] == [7, 7, 2]
+    got = found.transform(df, COLS, "f").collect()
+    assert len(got) == 300 and np.allclose([r.f for r in got], found.features(np.array([[r.a, r.b] for r in got])))
